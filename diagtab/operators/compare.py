@@ -136,7 +136,7 @@ def set_members(first: DataFrame, second: DataFrame, on: Sequence[str] = M.KEYS)
     return _sides(first, second, on).filter(F.col("key").isNotNull()).select(*on, "kind", "key", side.alias("side"))
 
 
-def compare(first: DataFrame, second: DataFrame, on: Sequence[str] = M.KEYS) -> DataFrame:
+def compare(first: DataFrame, second: DataFrame, on: Sequence[str] = M.KEYS, rounded: bool = True) -> DataFrame:
     """One row per record: four Jaccards and the differences of classes, attributes and pairs."""
     a, b = F.col("in_first"), F.col("in_second")
     real = F.col("key").isNotNull()
@@ -145,7 +145,7 @@ def compare(first: DataFrame, second: DataFrame, on: Sequence[str] = M.KEYS) ->
     for kind in ("classes", "attributes", "relationships", "enum_values"):
         of = real & (F.col("kind") == kind)
         value = jaccard_of(F.count_if(of & a), F.count_if(of & b), F.count_if(of & a & b))
-        aggs.append(F.bround(value, 4).alias(f"jaccard_{kind}"))
+        aggs.append((F.bround(value, 4) if rounded else value).alias(f"jaccard_{kind}"))
     for kind in ("classes", "attributes", "relationships"):
         of = real & (F.col("kind") == kind)
         for name, side in (("only_in_first", a & ~b), ("only_in_second", b & ~a), ("intersection", a & b)):
@@ -170,9 +170,9 @@ def cross_dataset_report(records: DataFrame, first: str, second: str, legacy: bo
     )
 
 
-def cross_report(first: DataFrame, second: DataFrame, legacy: bool = False) -> DataFrame:
+def cross_report(first: DataFrame, second: DataFrame, legacy: bool = False, rounded: bool = True) -> DataFrame:
     """id, three Jaccards, ``;``-joined class and pair differences of two record sets."""
-    both = compare(element_sets(first, legacy, ["id"]), element_sets(second, legacy, ["id"]), ["id"])
+    both = compare(element_sets(first, legacy, ["id"]), element_sets(second, legacy, ["id"]), ["id"], rounded)
     return both.select(
         "id", "jaccard_classes", "jaccard_attributes", F.col("jaccard_relationships").alias("jaccard_rels"),
         F.array_join("only_in_first_classes", ";").alias("only_in_first_classes"),

@@ -210,6 +210,75 @@ def diagrams(spark: SparkSession, sf_dir: str, side: str = "a") -> DataFrame:
     return per_customer.join(customers, "id").select("dataset", "id", puml.alias("puml"))
 
 
+def loose_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dataset, id, puml in the loose form: a comment, attributes outside bodies, a note, links and unknown lines."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("dataset"), F.col("c_custkey").alias("id")
+    )
+    per_class = orders.groupBy(F.col("o_custkey").alias("id"), class_name("o_orderpriority").alias("cls")).agg(
+        F.sort_array(F.collect_list("o_orderkey")).alias("keys"),
+        *[F.count_if(F.col("o_orderstatus") == s).alias(s) for s in ("F", "O", "P")],
+    )
+    per_customer = per_class.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("cls", "keys", "F", "O", "P"))).alias("_c")
+    )
+    attributes = F.flatten(
+        F.transform("_c", lambda c: F.transform(c["keys"], lambda k: F.concat(c["cls"], F.lit(" : order_"), k.cast("string"))))
+    )
+    arrows = {"F": "<--", "O": "-", "P": "--*"}
+
+    def link(c: Column, status: str) -> Column:
+        text = F.concat(
+            F.lit(f'Customer "1" {arrows[status]} "'), c[status].cast("string"), F.lit('" '), c["cls"], F.lit(f" : {status}")
+        )
+        return F.when(c[status] > 0, text)
+
+    links = F.flatten(F.transform("_c", lambda c: F.array_compact(F.array(*[link(c, s) for s in arrows]))))
+    unknown = F.transform(F.filter("_c", lambda c: c["P"] > 0), lambda c: F.concat(F.lit("?? "), c["cls"]))
+    n_orders = F.aggregate("_c", F.lit(0), lambda acc, c: acc + F.size(c["keys"]))
+    head = F.array(F.lit("@startuml"), F.concat(F.lit("' customer "), F.col("id").cast("string")))
+    note = F.array(F.lit("note right of Customer"), F.concat(F.lit("orders "), n_orders.cast("string")), F.lit("end note"))
+    puml = F.array_join(F.concat(head, attributes, note, links, unknown, F.array(F.lit("@enduml"))), "\n")
+    return per_customer.join(customers, "id").select("dataset", "id", puml.alias("puml"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dataset, id, reply: the diagrams in the sectioned text form."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("dataset"), F.col("c_custkey").alias("id")
+    )
+    per_class = orders.groupBy(F.col("o_custkey").alias("id"), class_name("o_orderpriority").alias("cls")).agg(
+        F.sort_array(F.collect_list("o_orderkey")).alias("keys")
+    )
+    per_customer = per_class.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("cls", "keys"))).alias("_c"))
+    classes = F.transform(
+        "_c",
+        lambda c: F.concat(
+            c["cls"], F.lit("("),
+            F.array_join(F.transform(c["keys"], lambda k: F.concat(F.lit("Double order_"), k.cast("string"))), ", "),
+            F.lit(")"),
+        ),
+    )
+    literals = F.concat(F.lit("Level("), F.array_join(F.transform("_c", lambda c: c["cls"]), ", "), F.lit(")"))
+    links = F.transform(
+        "_c",
+        lambda c: F.when(
+            F.size(c["keys"]) > 1,
+            F.concat(F.lit("1 Customer contain "), F.size(c["keys"]).cast("string"), F.lit(" "), c["cls"]),
+        ).otherwise(F.concat(c["cls"], F.lit(" inherit Customer"))),
+    )
+    reply = F.array_join(
+        F.concat(
+            F.array(F.lit("Here is the model."), F.lit("Enumerations:"), literals, F.lit("Classes:"), F.lit("abstract Customer()")),
+            classes, F.array(F.lit("Relationships:")), links,
+        ),
+        "\n",
+    )
+    return per_customer.join(customers, "id").select("dataset", "id", reply.alias("reply"))
+
+
 def class_name(priority: Column | str) -> Column:
     return F.concat(F.lit("P_"), F.regexp_replace(priority, "[^A-Za-z0-9]", "_"))
 
