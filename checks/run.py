@@ -23,7 +23,7 @@ def normal(rows, columns):
 
     def value(v):
         if isinstance(v, float):
-            v = round(v, 6)
+            v = round(v, 10)
             return 0.0 if v == 0 else v
         return v
 
@@ -58,7 +58,7 @@ def main() -> int:
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     folder = f"/root/testdata/sf{args.sf}"
-    spark = builder("check", 8, 8).getOrCreate()
+    spark = builder("check", 8, 8).config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")

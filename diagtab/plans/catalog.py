@@ -40,11 +40,16 @@ def plain(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
-def query(fn: Query) -> Query:
-    _REGISTERED[fn.__name__] = lambda spark, sf_dir: plain(fn(spark, sf_dir))
+def query(fn: Query, digits: int = 6) -> Query:
+    _REGISTERED[fn.__name__] = lambda spark, sf_dir: plain(fn(spark, sf_dir), digits)
     return fn
 
 
+def score_query(fn: Query) -> Query:
+    """Scores have few decimals; more digits keep their means off rounding ties."""
+    return query(fn, 10)
+
+
 def queries() -> dict[str, Query]:
     return dict(_REGISTERED)
 
@@ -575,12 +580,12 @@ def bucketise(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query
+@score_query
 def summarise(spark: SparkSession, d: str) -> DataFrame:
     return G.summarise(fx.scores(spark, d))
 
 
-@query
+@score_query
 def bucket_table(spark: SparkSession, d: str) -> DataFrame:
     return G.bucket_table(fx.scores(spark, d))
 
@@ -624,27 +629,27 @@ def build_run_records(spark: SparkSession, d: str) -> DataFrame:
                      F.col("buckets.association_score").alias("association_bucket")).agg(F.count("*").alias("n"))
 
 
-@query
+@score_query
 def per_run_table(spark: SparkSession, d: str) -> DataFrame:
     return G.per_run_table(fx.scores(spark, d))
 
 
-@query
+@score_query
 def run_stability(spark: SparkSession, d: str) -> DataFrame:
     return G.run_stability(fx.scores(spark, d))
 
 
-@query
+@score_query
 def baseline_gap(spark: SparkSession, d: str) -> DataFrame:
     return G.baseline_gap(fx.scores(spark, d), "A")
 
 
-@query
+@score_query
 def mean_pivot(spark: SparkSession, d: str) -> DataFrame:
     return G.mean_pivot(fx.scores(spark, d))
 
 
-@query
+@score_query
 def leaderboard(spark: SparkSession, d: str) -> DataFrame:
     return G.leaderboard(fx.scores(spark, d))
 
@@ -807,7 +812,7 @@ def attribute_type_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _coverage_wide(spark: SparkSession, d: str) -> DataFrame:
-    cov = L.coverage_summary(_matched(spark, d), rounded=False)
+    cov = L.coverage_summary(_matched(spark, d), fx.records(spark, d), rounded=False)
     return cov.groupBy("dataset", "id").agg(
         *[F.max(F.when(F.col("kind") == k, F.col("pct_l1"))).alias(f"cov_{k}_l1") for k in L.KINDS],
         *[F.max(F.when(F.col("kind") == k, F.col("pct_absent"))).alias(f"cov_{k}_absent") for k in L.KINDS],

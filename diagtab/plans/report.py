@@ -255,10 +255,10 @@ def wide_record_table(records: DataFrame, tokens: DataFrame, elements: DataFrame
         return df.select(*KEYS, *[F.col(c).alias(prefix + c) for c in df.columns if c not in KEYS])
 
     short = {"class": "classes", "attribute": "attrs", "enum_value": "enum", "rel_source": "rel_src", "rel_target": "rel_tgt"}
-    cov = lexmatch.coverage_summary(matched, rounded=rounded)
+    cov = lexmatch.coverage_summary(matched, records, rounded=rounded)
     coverage = cov.groupBy(*KEYS).agg(
         *[
-            F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(src))), F.lit(0)).alias(f"cov_{name}_{dst}")
+            F.max(F.when(F.col("kind") == kind, F.col(src))).alias(f"cov_{name}_{dst}")
             for kind, name in short.items()
             for src, dst in (("n", "n"), *((f"pct_{x}", x) for x in ("l1", "l2", "l3", "l4", "absent")))
         ]
