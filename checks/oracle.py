@@ -475,7 +475,7 @@ def _needs(names: tuple[str, ...], seen: list[str]) -> list[str]:
 
 
 # read more than once: computed once per statement
-_ONCE = {"tokens", "element_parts", "words", "sentences", "idx", "class_words", "hits", "rels", "elements", "names", "closure", "matched"}
+_ONCE = {"tokens", "element_parts", "words", "sentences", "idx", "class_words", "roles", "objects", "hits", "rels", "elements", "names", "closure", "matched"}
 
 
 def sql(*views: str, select: str) -> str:
@@ -496,27 +496,27 @@ def _s(expr: str) -> str:
 
 
 
-def _verb_rule(verbs: str, accept: str, label: str, label_accept: str, turned: bool) -> str:
+def _verb_rule(n: str, verbs: str, accept: str, label: str, label_accept: str, turned: bool) -> tuple[str, str]:
+    """Extra views (named with ``n``) and final select of one verb-list rule."""
     a, b = ("o", "s") if turned else ("s", "o")
     cap = lambda x: f"upper(left({x}.text, 1)) || lower(substr({x}.text, 2))"
     card = lambda x: f"CASE WHEN max({x}.tag) = 'NNS' THEN '1..*' ELSE '1' END"
-    return sql(
-        "tokens", "roles", "objects",
-        select=f"""
-        , vb AS (SELECT * FROM tokens WHERE pos = 'VERB' AND lemma IN ({verbs})),
-        acting AS (SELECT dataset, id, sent_i, i AS subj_v, i AS verb_i, lemma, text AS verb FROM vb
-          UNION ALL SELECT c.dataset, c.id, c.sent_i, p.i, c.i, c.lemma, c.text FROM vb c JOIN vb p
+    views = f"""
+        , vb{n} AS (SELECT * FROM tokens WHERE pos = 'VERB' AND lemma IN ({verbs})),
+        acting{n} AS (SELECT dataset, id, sent_i, i AS subj_v, i AS verb_i, lemma, text AS verb FROM vb{n}
+          UNION ALL SELECT c.dataset, c.id, c.sent_i, p.i, c.i, c.lemma, c.text FROM vb{n} c JOIN vb{n} p
             ON p.dataset = c.dataset AND p.id = c.id AND p.sent_i = c.sent_i AND p.i = c.head_i WHERE c.dep = 'conj'),
-        lastp AS (SELECT v.dataset, v.id, v.sent_i, v.i, arg_max(p.text, p.i) AS prep FROM vb v JOIN tokens p ON p.dataset = v.dataset AND p.id = v.id
-          AND p.sent_i = v.sent_i AND p.head_i = v.i AND p.dep = 'prep' WHERE {label_accept} GROUP BY ALL)
+        lastp{n} AS (SELECT v.dataset, v.id, v.sent_i, v.i, arg_max(p.text, p.i) AS prep FROM vb{n} v JOIN tokens p ON p.dataset = v.dataset AND p.id = v.id
+          AND p.sent_i = v.sent_i AND p.head_i = v.i AND p.dep = 'prep' WHERE {label_accept} GROUP BY ALL)"""
+    final = f"""
         SELECT x.dataset, x.id, x.sent_i, {cap(a)} AS source, {label} AS label, {cap(b)} AS target,
           {card(a)} AS source_card, {card(b)} AS target_card
-        FROM acting x JOIN roles s ON s.dataset = x.dataset AND s.id = x.id AND s.sent_i = x.sent_i AND s.dep = 'nsubj' AND s.head_i = x.subj_v
+        FROM acting{n} x JOIN roles s ON s.dataset = x.dataset AND s.id = x.id AND s.sent_i = x.sent_i AND s.dep = 'nsubj' AND s.head_i = x.subj_v
         JOIN objects o ON o.dataset = x.dataset AND o.id = x.id AND o.sent_i = x.sent_i AND o.verb_i = x.verb_i
-        LEFT JOIN lastp lp ON lp.dataset = x.dataset AND lp.id = x.id AND lp.sent_i = x.sent_i AND lp.i = x.verb_i
+        LEFT JOIN lastp{n} lp ON lp.dataset = x.dataset AND lp.id = x.id AND lp.sent_i = x.sent_i AND lp.i = x.verb_i
         WHERE o.prep IS NULL OR ({accept})
-        GROUP BY x.dataset, x.id, x.sent_i, x.subj_v, x.verb_i, x.lemma, x.verb, s.text, o.text, lp.prep""",
-    )
+        GROUP BY x.dataset, x.id, x.sent_i, x.subj_v, x.verb_i, x.lemma, x.verb, s.text, o.text, lp.prep"""
+    return views, final
 
 
 _AGG_OK = "(({l} IN ('consist','comprise') AND {p} = 'of') OR ({l} IN ('belong','divide') AND {p} = 'to') OR ({l} = 'include' AND {p} = 'in'))"
@@ -758,24 +758,29 @@ def statements() -> dict[str, str]:
 
     # extraction
     out["candidate_nouns"] = sql("class_words", select="SELECT * FROM class_words")
-    out["extract_association"] = _verb_rule(
-        "'take','send','buy','give','show','record','work','talk'", "true", "x.verb || CASE WHEN lp.prep IS NULL THEN '' ELSE ' ' || lp.prep END", "true", False)
-    out["extract_aggregation"] = _verb_rule(
-        "'hold','carry','involve','imply','embrace','consist','comprise','belong','divide','include'", _AGG_OK.format(l="x.lemma", p="o.prep"),
-        "x.lemma || CASE WHEN lp.prep IS NULL THEN '' ELSE ' ' || lp.prep END", _AGG_OK.format(l="v.lemma", p="p.text"), False)
-    out["extract_composition"] = _verb_rule("'have','comprise','possess','contain'", "false", "x.lemma", "false", True)
     cap = lambda x: f"upper(left({x}, 1)) || lower(substr({x}, 2))"
     card = lambda x: f"CASE WHEN {x} = 'NNS' THEN '1..*' ELSE '1' END"
-    out["extract_include"] = sql("tokens", "roles", "class_words", select=f"""
-        , s AS (SELECT dataset, id, sent_i, head_i, arg_min(text, i) AS st, arg_min(tag, i) AS stag FROM
-          (SELECT r.* FROM roles r JOIN tokens t ON t.dataset = r.dataset AND t.id = r.id AND t.sent_i = r.sent_i AND t.i = r.i WHERE t.dep = 'nsubj') GROUP BY ALL)
-        SELECT DISTINCT v.dataset, v.id, v.sent_i, {cap('o.text')} AS source, 'include' AS label, {cap('s.st')} AS target, {card('o.tag')} AS source_card,
-          {card('s.stag')} AS target_card, v.i AS k FROM tokens v
-        JOIN s ON s.dataset = v.dataset AND s.id = v.id AND s.sent_i = v.sent_i AND s.head_i = v.i
-        JOIN roles o ON o.dataset = v.dataset AND o.id = v.id AND o.sent_i = v.sent_i AND o.head_i = v.i AND o.dep = 'dobj'
-        WHERE v.pos = 'VERB' AND v.lemma = 'include' AND s.st <> o.text""")
-    out["extract_include"] = f"SELECT dataset, id, sent_i, source, label, target, source_card, target_card FROM ({out['extract_include']})"
-    out["extract_generalization"] = sql("tokens", "class_words", select=f"""
+    rules = {
+        "association": _verb_rule(
+            "1", "'take','send','buy','give','show','record','work','talk'", "true",
+            "x.verb || CASE WHEN lp.prep IS NULL THEN '' ELSE ' ' || lp.prep END", "true", False),
+        "aggregation": _verb_rule(
+            "2", "'hold','carry','involve','imply','embrace','consist','comprise','belong','divide','include'", _AGG_OK.format(l="x.lemma", p="o.prep"),
+            "x.lemma || CASE WHEN lp.prep IS NULL THEN '' ELSE ' ' || lp.prep END", _AGG_OK.format(l="v.lemma", p="p.text"), False),
+        "composition": _verb_rule("3", "'have','comprise','possess','contain'", "false", "x.lemma", "false", True),
+        "include": (
+            """
+        , first_subject AS (SELECT dataset, id, sent_i, head_i, arg_min(text, i) AS st, arg_min(tag, i) AS stag FROM
+          (SELECT r.* FROM roles r JOIN tokens t ON t.dataset = r.dataset AND t.id = r.id AND t.sent_i = r.sent_i AND t.i = r.i WHERE t.dep = 'nsubj') GROUP BY ALL),
+        included AS (SELECT DISTINCT v.dataset, v.id, v.sent_i, v.i, s.st, s.stag, o.text, o.tag FROM tokens v
+          JOIN first_subject s ON s.dataset = v.dataset AND s.id = v.id AND s.sent_i = v.sent_i AND s.head_i = v.i
+          JOIN roles o ON o.dataset = v.dataset AND o.id = v.id AND o.sent_i = v.sent_i AND o.head_i = v.i AND o.dep = 'dobj'
+          WHERE v.pos = 'VERB' AND v.lemma = 'include' AND s.st <> o.text)""",
+            f"""
+        SELECT dataset, id, sent_i, {cap('text')} AS source, 'include' AS label, {cap('st')} AS target, {card('tag')} AS source_card,
+          {card('stag')} AS target_card FROM included"""),
+        "generalization": (
+            """
         , be AS (SELECT dataset, id, sent_i, min(i) AS b FROM tokens WHERE lemma = 'be' GROUP BY ALL),
         ok AS (SELECT t.* FROM tokens t JOIN class_words c ON c.dataset = t.dataset AND c.id = t.id AND c.name_lower = lower(t.text)
           WHERE lower(t.text) NOT IN ('category', 'type', 'kind', 'a')),
@@ -785,21 +790,23 @@ def statements() -> dict[str, str]:
           AND ok.sent_i = be.sent_i AND ok.head_i = be.b WHERE ok.dep = 'attr' GROUP BY ALL),
         ofp AS (SELECT be.dataset, be.id, be.sent_i, arg_min(ok.text, (p.i, ok.i)) AS o FROM be JOIN tokens p ON p.dataset = be.dataset AND p.id = be.id
           AND p.sent_i = be.sent_i AND p.head_i = be.b AND p.dep = 'prep' AND p.text = 'of' JOIN ok ON ok.dataset = be.dataset AND ok.id = be.id
-          AND ok.sent_i = be.sent_i AND ok.head_i = p.i AND ok.dep = 'pobj' GROUP BY ALL)
+          AND ok.sent_i = be.sent_i AND ok.head_i = p.i AND ok.dep = 'pobj' GROUP BY ALL)""",
+            f"""
         SELECT s.dataset, s.id, s.sent_i, {cap('s.s')} AS source, {cap('coalesce(a.o, f.o)')} AS target FROM subj s
         LEFT JOIN attr a ON a.dataset = s.dataset AND a.id = s.id AND a.sent_i = s.sent_i
-        LEFT JOIN ofp f ON f.dataset = s.dataset AND f.id = s.id AND f.sent_i = s.sent_i WHERE coalesce(a.o, f.o) IS NOT NULL""")
-    rules = {"association": "extract_association", "aggregation": "extract_aggregation", "composition": "extract_composition",
-             "include": "extract_include", "generalization": "extract_generalization"}
-    union = " UNION ALL ".join(f"SELECT '{rule}' AS rule, id, source, target FROM ({out[q]})" for rule, q in rules.items())
-    out["relations_to_diagram"] = f"""
-        WITH r AS MATERIALIZED ({union}),
+        LEFT JOIN ofp f ON f.dataset = s.dataset AND f.id = s.id AND f.sent_i = s.sent_i WHERE coalesce(a.o, f.o) IS NOT NULL"""),
+    }
+    for rule, (views, final) in rules.items():
+        out[f"extract_{rule}"] = sql("tokens", "roles", "objects", "class_words", select=views + final)
+    union = " UNION ALL ".join(f"SELECT '{rule}' AS rule, id, source, target FROM ({final})" for rule, (_, final) in rules.items())
+    out["relations_to_diagram"] = sql("tokens", "roles", "objects", "class_words", select="".join(v for v, _ in rules.values()) + f"""
+        , r AS MATERIALIZED ({union}),
         n AS (SELECT id, count(*) AS n_relationships, count_if(rule = 'association')::BIGINT AS a, count_if(rule = 'aggregation')::BIGINT AS g,
           count_if(rule IN ('composition', 'include'))::BIGINT AS c, count_if(rule = 'generalization')::BIGINT AS i FROM r GROUP BY id),
         k AS (SELECT id, count(DISTINCT name) AS n_classes FROM (SELECT id, source AS name FROM r UNION ALL SELECT id, target FROM r) GROUP BY id)
         SELECT d.source AS dataset, d.doc_id AS id, n.id IS NULL AS failed, CASE WHEN n.id IS NULL THEN 'no_relations' END AS error, n_classes, n_relationships,
           a AS n_rels_association, g AS n_rels_aggregation, c AS n_rels_composition, i AS n_rels_inheritance, CASE WHEN n.id IS NOT NULL THEN 0::BIGINT END AS n_implicit_classes
-        FROM documents d LEFT JOIN n ON n.id = d.doc_id LEFT JOIN k ON k.id = d.doc_id"""
+        FROM documents d LEFT JOIN n ON n.id = d.doc_id LEFT JOIN k ON k.id = d.doc_id""")
 
     # scores
     labels = "['[0, 0.1)','[0.1, 0.2)','[0.2, 0.3)','[0.3, 0.4)','[0.4, 0.5)','[0.5, 0.6)','[0.6, 0.7)','[0.7, 0.8)','[0.8, 0.9)','[0.9, 1.0]']"

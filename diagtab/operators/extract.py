@@ -37,7 +37,8 @@ def promote_svo(tokens: DataFrame) -> DataFrame:
     nouns = tokens.filter(F.col("pos").isin("NOUN", "PROPN") & F.col("dep").isin("nsubj", "dobj"))
     fresh = nouns.filter(~is_valid_identifier("text"))
     verbs = tokens.filter(F.col("pos") == "VERB").select(*SENTENCE, F.col("i").alias("head_i"))
-    per_verb = fresh.join(verbs, [*SENTENCE, "head_i"], "left_semi").groupBy(*SENTENCE, "head_i").agg(
+    # an inner join on the unique verb lets the few fresh nouns be the small side
+    per_verb = fresh.join(verbs, [*SENTENCE, "head_i"]).groupBy(*SENTENCE, "head_i").agg(
         F.max_by("text", F.when(F.col("dep") == "nsubj", F.col("i"))).alias("subject"),
         F.max_by("text", F.when(F.col("dep") == "dobj", F.col("i"))).alias("object"),
     )
