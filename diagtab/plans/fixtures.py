@@ -22,8 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_record(docs: DataFrame) -> DataFrame:
+    """Documents hash-partitioned by record.
+
+    A text is a tenth of its token rows, so it is the text that travels, once;
+    every later grouping or join on (dataset, id, ...) finds its rows in place.
+    """
+    return docs.repartition("source", "doc_id")
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Documents over all cores when the files have fewer splits than there are cores; else as they are."""
+    few = docs.rdd.getNumPartitions() < docs.sparkSession.sparkContext.defaultParallelism
+    return by_record(docs) if few else docs
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    return _as_records(documents(spark, sf_dir))
+
+
+def _as_records(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("source").alias("dataset"), F.col("doc_id").alias("id"), F.col("text").alias("nlt"))
 
 
@@ -33,40 +55,50 @@ def _item(values: tuple[str, ...], index: Column) -> Column:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotated tokens of every sentence of every document, by a clause grammar of six tokens."""
-    sents = records(spark, sf_dir).select("dataset", "id", F.posexplode(sentences("nlt")).alias("sent_i", "_s"))
+    placed = _as_records(by_record(table(spark, sf_dir, "documents")))
+    sents = placed.select("dataset", "id", F.posexplode(sentences("nlt")).alias("sent_i", "_s"))
 
     def row(ws: Column, w: Column, r: Column) -> Column:
-        j = F.pmod(r, F.lit(6))
-        v = r - j + 1
-        verb = F.try_element_at(ws, v + 1)
-        verb_lemma = _item(VERB_LEMMAS, F.pmod(F.length(verb) + v, F.lit(8)))
-        no_verb = (j == 0) & (v >= F.size(ws))
-        text = F.when(j == 4, _item(PREPOSITIONS, F.pmod(F.length(w), F.lit(4)))).otherwise(w)
-        lemma = F.when(j == 1, verb_lemma).when(j == 4, text).otherwise(F.regexp_replace(w, r"s\z", ""))
-        pos = F.when(j == 1, "VERB").when(j == 4, "ADP").otherwise("NOUN")
-        tag = F.when(j == 1, "VB").when(j == 4, "IN").when(w.endswith("s"), "NNS").otherwise("NN")
-        dep = (
-            F.when(no_verb, "dep")
-            .when(j == 0, "nsubj")
-            .when(j == 1, F.when(r == 1, "ROOT").otherwise("conj"))
-            .when(j == 2, F.when(verb_lemma == "be", "attr").otherwise("dobj"))
-            .when(j == 3, "conj")
-            .when(j == 4, "prep")
-            .otherwise("pobj")
-        )
-        head = (
-            F.when(no_verb, F.when(v < 6, r).otherwise(v - 6))
-            .when(j.isin(0, 2, 4), v)
-            .when(j == 1, F.when(r == 1, r).otherwise(v - 6))
-            .otherwise(r - 1)
-        )
+        verb_at = r - F.pmod(r, F.lit(6)) + 1
         return F.struct(
-            r.alias("i"), text.alias("text"), lemma.alias("lemma"), pos.alias("pos"), tag.alias("tag"),
-            dep.alias("dep"), head.alias("head_i"),
+            r.alias("i"), w.alias("w"), F.try_element_at(ws, verb_at + 1).alias("verb"), F.size(ws).alias("n")
         )
 
-    annotated = let(lower_words("_s"), lambda ws: F.transform(ws, lambda w, r: row(ws, w, r)))
-    return sents.select("dataset", "id", "sent_i", F.inline(annotated))
+    # the array step only pairs each word with its verb; the grammar runs on plain columns
+    words = sents.select(
+        "dataset", "id", "sent_i",
+        F.inline(let(lower_words("_s"), lambda ws: F.transform(ws, lambda w, r: row(ws, w, r)))),
+    )
+    r, w = F.col("i"), F.col("w")
+    j = F.pmod(r, F.lit(6))
+    v = r - j + 1
+    verb_lemma = _item(VERB_LEMMAS, F.pmod(F.length("verb") + v, F.lit(8)))
+    prep = _item(PREPOSITIONS, F.pmod(F.length(w), F.lit(4)))
+    no_verb = (j == 0) & (v >= F.col("n"))
+    return words.select(
+        "dataset", "id", "sent_i", "i",
+        F.when(j == 4, prep).otherwise(w).alias("text"),
+        F.when(j == 1, verb_lemma)
+        .when(j == 4, prep)
+        .when(w.endswith("s"), F.expr("left(w, length(w) - 1)"))
+        .otherwise(w)
+        .alias("lemma"),
+        F.when(j == 1, "VERB").when(j == 4, "ADP").otherwise("NOUN").alias("pos"),
+        F.when(j == 1, "VB").when(j == 4, "IN").when(w.endswith("s"), "NNS").otherwise("NN").alias("tag"),
+        F.when(no_verb, "dep")
+        .when(j == 0, "nsubj")
+        .when(j == 1, F.when(r == 1, "ROOT").otherwise("conj"))
+        .when(j == 2, F.when(verb_lemma == "be", "attr").otherwise("dobj"))
+        .when(j == 3, "conj")
+        .when(j == 4, "prep")
+        .otherwise("pobj")
+        .alias("dep"),
+        F.when(no_verb, F.when(v < 6, r).otherwise(v - 6))
+        .when(j.isin(0, 2, 4), v)
+        .when(j == 1, F.when(r == 1, r).otherwise(v - 6))
+        .otherwise(r - 1)
+        .alias("head_i"),
+    )
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +119,7 @@ def _from_names(spark: SparkSession, sf_dir: str, rows) -> DataFrame:
     The texts stay where they are: each document hands its names to its
     predecessor, and only the short (id, source) side is joined.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     long_words = F.filter(
         F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z0-9]*)"), F.lit(1)), lambda w: F.length(w) >= 3
     )
@@ -102,7 +134,7 @@ def _from_names(spark: SparkSession, sf_dir: str, rows) -> DataFrame:
 
     names = let(long_words, pairs)
     donors = docs.select((F.col("doc_id") - 1).alias("id"), F.inline(let(names, rows)))
-    owners = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("dataset"))
+    owners = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("dataset"))
     return donors.join(owners, "id")
 
 

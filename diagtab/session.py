@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # pattern matching makes even a small partition worth a task of its own
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     # A side already hash-partitioned on (dataset, id) may join on
     # (dataset, id, ...) without another exchange.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
