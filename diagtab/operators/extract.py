@@ -1,15 +1,14 @@
 """Rule-based relation extraction over dependency-annotated tokens.
 
-Each rule is a handful of equi-joins child -> head inside a sentence. Verbs are
-filtered by lemma first, and role tokens by role, so only a small part of the
-tokens is shuffled.
+Tokens are gathered into one small tree per sentence; every rule is an array
+expression over that tree. Tokens already placed by record need no exchange.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import (
@@ -19,246 +18,298 @@ from ..functions.lexicons import (
     COMPOSITION_VERBS,
     GENERALIZATION_RESERVED,
 )
-from ..functions.text import capitalize, is_valid_identifier, plural_cardinality
+from ..functions.text import capitalize, is_valid_identifier, let, plural_cardinality
 from .quality import render_diagram
 
 KEYS = ["dataset", "id"]
 SENTENCE = [*KEYS, "sent_i"]
-_OUT = [*SENTENCE, "rule", "source", "label", "target", "source_card", "target_card"]
+
+
+def _is_candidate() -> Column:
+    return F.col("pos").isin("NOUN", "PROPN") & is_valid_identifier("text")
 
 
 def candidate_nouns(tokens: DataFrame) -> DataFrame:
     """Noun tokens whose text may name a class."""
-    return tokens.filter(F.col("pos").isin("NOUN", "PROPN") & is_valid_identifier("text"))
+    return tokens.filter(_is_candidate())
 
 
 def promote_svo(tokens: DataFrame) -> DataFrame:
-    """dataset, id, name: subjects and objects of one verb that are not candidates yet, when the verb has both."""
-    nouns = tokens.filter(F.col("pos").isin("NOUN", "PROPN") & F.col("dep").isin("nsubj", "dobj"))
-    fresh = nouns.filter(~is_valid_identifier("text"))
-    verbs = tokens.filter(F.col("pos") == "VERB").select(*SENTENCE, F.col("i").alias("head_i"))
-    # an inner join on the unique verb lets the few fresh nouns be the small side
-    per_verb = fresh.join(verbs, [*SENTENCE, "head_i"]).groupBy(*SENTENCE, "head_i").agg(
-        F.max_by("text", F.when(F.col("dep") == "nsubj", F.col("i"))).alias("subject"),
-        F.max_by("text", F.when(F.col("dep") == "dobj", F.col("i"))).alias("object"),
+    """The tokens with ``promoted``: subject and object of one verb, both not candidates by themselves.
+
+    A verb and its noun children share one window; the last subject and the
+    last object of the verb are promoted together.
+    """
+    key = F.when(F.col("pos") == "VERB", F.col("i")).otherwise(F.col("head_i"))
+    w = Window.partitionBy(*SENTENCE, "_verb")
+    fresh = F.col("pos").isin("NOUN", "PROPN") & ~is_valid_identifier("text")
+
+    def last(dep: str) -> Column:
+        return F.max(F.when(fresh & (F.col("dep") == dep), F.col("i"))).over(w)
+
+    placed = tokens.withColumn("_verb", key).withColumns(
+        {"_s": last("nsubj"), "_o": last("dobj"), "_has": F.max(F.col("pos") == "VERB").over(w)}
     )
-    both = per_verb.filter(F.col("subject").isNotNull() & F.col("object").isNotNull())
-    return both.select(*KEYS, F.explode(F.array("subject", "object")).alias("name"))
+    both = fresh & F.col("_has") & F.col("_s").isNotNull() & F.col("_o").isNotNull()
+    chosen = both & ((F.col("i") == F.col("_s")) | (F.col("i") == F.col("_o")))
+    return placed.withColumn("promoted", F.coalesce(chosen, F.lit(False))).drop("_verb", "_s", "_o", "_has")
+
+
+def marked_tokens(tokens: DataFrame) -> DataFrame:
+    """The tokens with ``name_lower`` and ``is_class``: is this word, in any case, a class name of the record?"""
+    named = promote_svo(tokens).withColumn("name_lower", F.lower("text"))
+    same_word = Window.partitionBy(*KEYS, "name_lower")
+    return named.withColumn("is_class", F.max(_is_candidate() | F.col("promoted")).over(same_word)).drop("promoted")
 
 
 def class_names(tokens: DataFrame) -> DataFrame:
     """dataset, id, name_lower: what the rules accept as a class in each record."""
-    nouns = candidate_nouns(tokens).select(*KEYS, F.lower("text").alias("name_lower"))
-    promoted = promote_svo(tokens).select(*KEYS, F.lower("name").alias("name_lower"))
-    return nouns.unionByName(promoted).distinct()
+    named = promote_svo(tokens).filter(_is_candidate() | F.col("promoted"))
+    return named.select(*KEYS, F.lower("text").alias("name_lower")).distinct()
+
 
+_ROLES = ("nsubj", "dobj", "pobj", "conj", "prep", "attr", "acomp", "aux")
 
-def with_conjuncts(roles: DataFrame, conjuncts: DataFrame) -> DataFrame:
-    """Role tokens plus their ``conj`` children, which share role and head."""
-    shared = roles.select(
-        *SENTENCE, F.col("i").alias("_of"), F.col("dep").alias("_dep"), F.col("head_i").alias("_head")
+
+def sentence_trees(tokens: DataFrame) -> DataFrame:
+    """dataset, id, sent_i, nodes: the tokens of a sentence in order, each with its children.
+
+    Every token goes to its own place and to its head's; one aggregation there
+    and one per sentence build the tree in linear time. A sentence is never
+    larger than its text. Tokens are numbered consecutively inside a sentence.
+    """
+    fields = [F.col(c) for c in ("i", "text", "name_lower", "lemma", "pos", "tag", "dep", "is_class")]
+    me = F.struct(*fields)
+    is_kid = (F.col("head_i") != F.col("i")) & (F.col("dep").isin(*_ROLES) | (F.col("name_lower") == "maybe"))
+    rows = marked_tokens(tokens).withColumn("me", me).select(
+        *SENTENCE,
+        F.inline(F.array(
+            F.struct(F.col("i").alias("at"), F.col("me").alias("own"), F.lit(None).cast(_NODE).alias("kid")),
+            F.struct(F.col("head_i").alias("at"), F.lit(None).cast(_NODE).alias("own"), F.when(is_kid, F.col("me")).alias("kid")),
+        )),
     )
-    children = conjuncts.select(*SENTENCE, "i", "text", "tag", F.col("head_i").alias("_of"))
-    added = children.join(shared, [*SENTENCE, "_of"]).select(
-        *SENTENCE, "i", "text", "tag", F.col("_dep").alias("dep"), F.col("_head").alias("head_i")
+    nodes = rows.groupBy(*SENTENCE, "at").agg(
+        F.max("own").alias("own"), F.sort_array(F.collect_list("kid")).alias("kids")
     )
-    return roles.select(*SENTENCE, "i", "text", "tag", "dep", "head_i").unionByName(added)
+    ordered = F.array_sort(F.collect_list(F.struct("at", "own", "kids")))
+    return nodes.groupBy(*SENTENCE).agg(ordered.alias("nodes"))
 
 
-def _class_tokens(tokens: DataFrame, deps: Sequence[str]) -> DataFrame:
-    picked = tokens.filter(F.col("dep").isin(*deps)).withColumn("name_lower", F.lower("text"))
-    return picked.join(class_names(tokens), [*KEYS, "name_lower"], "left_semi")
+_NODE = "struct<i:int,text:string,name_lower:string,lemma:string,pos:string,tag:string,dep:string,is_class:boolean>"
 
 
-def _accepted(rule: Column, lemma: Column, prep: Column) -> Column:
-    """May this preposition bring objects to the verb under the rule?"""
-    allowed = F.create_map(*[F.lit(x) for pair in AGGREGATION_PREPOSITIONS.items() for x in pair])
-    by_rule = F.when(rule == "association", F.lit(True)).when(
-        rule == "aggregation", F.try_element_at(allowed, lemma) == F.lower(prep)
-    )
-    return F.coalesce(by_rule, F.lit(False))
+class _Tree:
+    """Lookups inside one sentence array."""
+
+    def __init__(self, nodes: Column):
+        self.nodes = nodes
+        self.first = F.element_at(nodes, 1)["at"]
+
+    def kids(self, i: Column, *deps: str) -> Column:
+        found = F.get(self.nodes, (i - self.first).cast("int"))["kids"]
+        return F.filter(found, lambda k: k["dep"].isin(*deps))
+
+    def classes(self, i: Column, *deps: str) -> Column:
+        return F.filter(self.kids(i, *deps), lambda k: k["is_class"])
+
+    def with_conjuncts(self, found: Column) -> Column:
+        """Role tokens and their ``conj`` children (one level), which share the role."""
+        return let(
+            found, lambda xs: F.concat(xs, F.flatten(F.transform(xs, lambda x: self.classes(x["i"], "conj"))))
+        )
+
+    def preps(self, i: Column) -> Column:
+        return F.filter(self.kids(i, "prep"), lambda k: k["pos"] == "ADP")
+
+
+def _distinct_names(found: Column) -> Column:
+    """``array<struct<name, tag>>`` without repeated names; a name that is ever plural stays plural."""
+
+    def names(xs: Column) -> Column:
+        texts = F.array_distinct(F.transform(xs, lambda x: x["text"]))
+
+        def named(t: Column) -> Column:
+            tags = F.transform(F.filter(xs, lambda x: x["text"] == t), lambda x: x["tag"])
+            return F.struct(t.alias("name"), F.array_max(tags).alias("tag"))
+
+        return F.transform(texts, named)
+
+    return let(found, names)
 
 
 _VERBS = {"association": ASSOCIATION_VERBS, "aggregation": AGGREGATION_VERBS, "composition": COMPOSITION_VERBS}
 
 
-def extract_verb_relations(tokens: DataFrame, rules: Sequence[str] = tuple(_VERBS)) -> DataFrame:
-    """Relations of the verb-list rules in one pass: sentence, rule, source, label, target, cards.
+def _relation(rule: str, source: Column, label: Column, target: Column) -> Column:
+    return F.struct(
+        F.lit(rule).alias("rule"),
+        capitalize(source["name"]).alias("source"),
+        label.cast("string").alias("label"),
+        capitalize(target["name"]).alias("target"),
+        plural_cardinality(source["tag"]).alias("source_card"),
+        plural_cardinality(target["tag"]).alias("target_card"),
+    )
+
+
+def _verb_rule(tree: _Tree, rule: str) -> Column:
+    """Subjects of each listed verb with its objects, and with those of its conjoined listed verbs.
 
-    Subjects (with conjuncts) meet direct objects and objects of accepted
-    prepositions (with conjuncts). A conjoined verb of the same list reuses the
-    subjects. Composition runs from object to subject.
+    Subjects, direct objects and objects of accepted prepositions come with
+    their conjuncts. Composition runs from object to subject.
     """
-    of_rule = F.array_compact(F.array(*[F.when(F.col("lemma").isin(*_VERBS[r]), F.lit(r)) for r in rules]))
-    listed = sorted({v for r in rules for v in _VERBS[r]})
-    verbs = tokens.filter((F.col("pos") == "VERB") & F.col("lemma").isin(*listed)).select(
-        *SENTENCE, F.explode(of_rule).alias("rule"), F.col("i").alias("verb_i"), "lemma",
-        F.col("text").alias("verb"), "dep", "head_i",
-    )
-    # whose subjects act on which verb's objects
-    own = verbs.select(*SENTENCE, "rule", F.col("verb_i").alias("subj_v"), F.col("verb_i").alias("verb_i"), "lemma", "verb")
-    parents = verbs.select(*SENTENCE, "rule", F.col("verb_i").alias("head_i"))
-    conjoined = (
-        verbs.filter(F.col("dep") == "conj")
-        .join(parents, [*SENTENCE, "rule", "head_i"], "left_semi")
-        .select(*SENTENCE, "rule", F.col("head_i").alias("subj_v"), "verb_i", "lemma", "verb")
-    )
-    acting = own.unionByName(conjoined)
+    listed = _VERBS[rule]
+    allowed = F.create_map(*[F.lit(x) for pair in AGGREGATION_PREPOSITIONS.items() for x in pair])
 
-    nouns = _class_tokens(tokens, ["nsubj", "dobj", "pobj", "conj"])
-    roles = with_conjuncts(
-        nouns.filter(F.col("dep") != "conj"), nouns.filter(F.col("dep") == "conj")
-    )
-    named = [F.col("text").alias("name"), F.col("tag").alias("tag")]
-    subjects = roles.filter(F.col("dep") == "nsubj").select(*SENTENCE, F.col("head_i").alias("subj_v"), *named)
-    preps = tokens.filter((F.col("dep") == "prep") & (F.col("pos") == "ADP")).select(
-        *SENTENCE, F.col("i").alias("prep_i"), F.col("text").alias("prep"), F.col("head_i").alias("verb_i")
-    )
-    direct = roles.filter(F.col("dep") == "dobj").select(
-        *SENTENCE, F.col("head_i").alias("verb_i"), F.lit(None).cast("string").alias("prep"), *named
-    )
-    indirect = (
-        roles.filter(F.col("dep") == "pobj")
-        .withColumnRenamed("head_i", "prep_i")
-        .join(preps, [*SENTENCE, "prep_i"])
-        .select(*SENTENCE, "verb_i", "prep", *named)
-    )
-    objects = direct.unionByName(indirect)
-    accepted = _accepted(F.col("rule"), F.col("lemma"), F.col("prep"))
-    last_prep = (
-        verbs.select(*SENTENCE, "rule", "verb_i", "lemma")
-        .join(preps, [*SENTENCE, "verb_i"])
-        .filter(accepted)
-        .groupBy(*SENTENCE, "rule", "verb_i")
-        .agg(F.max_by("prep", "prep_i").alias("_prep"))
-    )
-    pairs = (
-        acting.join(subjects.withColumn("s", F.struct("name", "tag")).drop("name", "tag"), [*SENTENCE, "subj_v"])
-        .join(objects.withColumn("o", F.struct("name", "tag")).drop("name", "tag"), [*SENTENCE, "verb_i"])
-        .filter(F.col("prep").isNull() | accepted)
-        .groupBy(*SENTENCE, "rule", "subj_v", "verb_i", "lemma", "verb", F.col("s.name").alias("subject"), F.col("o.name").alias("object"))
-        .agg(F.max("s.tag").alias("subject_tag"), F.max("o.tag").alias("object_tag"))
-        .join(last_prep, [*SENTENCE, "rule", "verb_i"], "left")
-    )
-    head = F.when(F.col("rule") == "association", F.col("verb")).otherwise(F.col("lemma"))
-    prep = F.when(F.col("rule") == "aggregation", F.lower("_prep")).otherwise(F.col("_prep"))
-    label = F.concat_ws(" ", head, prep)
-    turned = F.col("rule") == "composition"
-    s, o = capitalize("subject"), capitalize("object")
-    s_card, o_card = plural_cardinality("subject_tag"), plural_cardinality("object_tag")
-    return pairs.select(
-        *SENTENCE, "rule",
-        F.when(turned, o).otherwise(s).alias("source"),
-        label.alias("label"),
-        F.when(turned, s).otherwise(o).alias("target"),
-        F.when(turned, o_card).otherwise(s_card).alias("source_card"),
-        F.when(turned, s_card).otherwise(o_card).alias("target_card"),
-        "verb_i",
-    )
+    def is_listed(t: Column) -> Column:
+        return (t["pos"] == "VERB") & t["lemma"].isin(*listed)
 
+    def preps(verb: Column) -> Column:
+        if rule == "association":
+            return tree.preps(verb["i"])
+        if rule == "aggregation":
+            return F.filter(tree.preps(verb["i"]), lambda p: F.coalesce(p["name_lower"] == F.try_element_at(allowed, verb["lemma"]), F.lit(False)))
+        return F.filter(tree.preps(verb["i"]), lambda p: F.lit(False))
 
-def extract_association(tokens: DataFrame) -> DataFrame:
-    return extract_verb_relations(tokens, ["association"])
+    def objects(verb: Column) -> Column:
+        direct = tree.with_conjuncts(tree.classes(verb["i"], "dobj"))
+        indirect = F.flatten(F.transform(preps(verb), lambda p: tree.with_conjuncts(tree.classes(p["i"], "pobj"))))
+        return _distinct_names(F.concat(direct, indirect))
 
+    def label(verb: Column) -> Column:
+        last = F.try_element_at(preps(verb), F.lit(-1))
+        if rule == "association":
+            return F.concat_ws(" ", verb["text"], last["text"])
+        return F.concat_ws(" ", verb["lemma"], last["name_lower"])
 
-def extract_aggregation(tokens: DataFrame) -> DataFrame:
-    return extract_verb_relations(tokens, ["aggregation"])
+    def relations(verb: Column) -> Column:
+        subjects = _distinct_names(tree.with_conjuncts(tree.classes(verb["i"], "nsubj")))
+        acting = F.concat(F.array(verb), F.filter(tree.kids(verb["i"], "conj"), is_listed))
 
+        def of_verb(act: Column, subject: Column, text: Column) -> Column:
+            pair = (lambda o: _relation(rule, o, text, subject)) if rule == "composition" else (
+                lambda o: _relation(rule, subject, text, o))
+            return F.transform(objects(act), pair)
 
-def extract_composition(tokens: DataFrame) -> DataFrame:
-    return extract_verb_relations(tokens, ["composition"])
+        return let(subjects, lambda ss: F.when(F.size(ss) > 0, F.flatten(F.transform(
+            acting, lambda act: let(label(act), lambda text: F.flatten(F.transform(ss, lambda s: of_verb(act, s, text))))
+        ))).otherwise(F.array().cast(_RELATIONS)))
 
+    verbs = F.transform(F.filter(tree.nodes, lambda n: is_listed(n["own"])), lambda n: n["own"])
+    return F.flatten(F.transform(verbs, relations))
 
-def extract_include(tokens: DataFrame) -> DataFrame:
+
+def _include_rule(tree: _Tree) -> Column:
     """``X includes Y``: first subject, direct objects with conjuncts, never itself; runs object to subject."""
-    verbs = tokens.filter((F.col("pos") == "VERB") & (F.col("lemma") == "include")).select(
-        *SENTENCE, F.col("i").alias("verb_i")
-    )
-    nouns = _class_tokens(tokens, ["nsubj", "dobj", "conj"])
-    first = F.min_by(F.struct("text", "tag"), "i")
-    subjects = (
-        nouns.filter(F.col("dep") == "nsubj").groupBy(*SENTENCE, F.col("head_i").alias("verb_i")).agg(first.alias("s"))
-    )
-    roles = with_conjuncts(nouns.filter(F.col("dep") == "dobj"), nouns.filter(F.col("dep") == "conj"))
-    objects = roles.groupBy(*SENTENCE, F.col("head_i").alias("verb_i"), F.col("text").alias("object")).agg(
-        F.max("tag").alias("object_tag")
-    )
-    pairs = verbs.join(subjects, [*SENTENCE, "verb_i"]).join(objects, [*SENTENCE, "verb_i"])
-    return pairs.filter(F.col("s.text") != F.col("object")).select(
-        *SENTENCE, F.lit("include").alias("rule"), capitalize("object").alias("source"), F.lit("include").alias("label"),
-        capitalize("s.text").alias("target"), plural_cardinality("object_tag").alias("source_card"),
-        plural_cardinality("s.tag").alias("target_card"), "verb_i",
-    )
 
+    def relations(verb: Column) -> Column:
+        first = F.try_element_at(tree.classes(verb["i"], "nsubj"), F.lit(1))
+        subject = F.struct(first["text"].alias("name"), first["tag"].alias("tag"))
+        objects = _distinct_names(tree.with_conjuncts(tree.classes(verb["i"], "dobj")))
+        return let(
+            subject,
+            lambda s: F.transform(
+                F.filter(objects, lambda o: F.coalesce(o["name"] != s["name"], F.lit(False))),
+                lambda o: _relation("include", o, F.lit("include"), s),
+            ),
+        )
+
+    verbs = F.filter(tree.nodes, lambda n: (n["own"]["pos"] == "VERB") & (n["own"]["lemma"] == "include"))
+    return F.flatten(F.transform(verbs, lambda n: relations(n["own"])))
 
-def extract_generalization(tokens: DataFrame) -> DataFrame:
-    """``A is a B`` by the first copula of a sentence, and ``A maybe B`` in sentences without one.
+
+def _generalization_rule(tree: _Tree) -> Column:
+    """``A is a B`` by the first copula; ``A maybe B`` in a sentence without one.
 
     An auxiliary *can* or a child *maybe* turns the direction round.
     """
-    named = tokens.withColumn("name_lower", F.lower("text"))
-    names = class_names(tokens)
-    reserved = F.col("name_lower").isin(*GENERALIZATION_RESERVED)
-    is_class = ~reserved
-
-    copulas = tokens.filter(F.col("lemma") == "be").groupBy(*SENTENCE).agg(F.min("i").alias("be_i"))
-    children = named.join(copulas, SENTENCE).filter(F.col("head_i") == F.col("be_i"))
-    cue = (F.col("name_lower") == "maybe") | ((F.col("lemma") == "can") & (F.col("dep") == "aux"))
-    turned = children.filter(cue & (F.col("i") != F.col("be_i"))).select(*SENTENCE, F.lit(True).alias("_turned")).distinct()
-    linked = children.filter(F.col("dep").isin("nsubj", "attr", "acomp")).select(
-        *SENTENCE, "name_lower", "text", "dep", F.lit(0).alias("prep_i"), "i"
-    )
-    of_preps = children.filter((F.col("dep") == "prep") & (F.col("name_lower") == "of")).select(
-        *SENTENCE, F.col("i").alias("prep_i")
-    )
-    of_objects = (
-        named.filter(F.col("dep") == "pobj")
-        .withColumnRenamed("head_i", "prep_i")
-        .join(of_preps, [*SENTENCE, "prep_i"])
-        .select(*SENTENCE, "name_lower", "text", "dep", "prep_i", "i")
-    )
-    candidates = linked.unionByName(of_objects).filter(is_class).join(names, [*KEYS, "name_lower"], "left_semi")
-    place = F.struct("prep_i", "i")
-    pairs = candidates.groupBy(*SENTENCE).agg(
-        F.min_by("text", F.when(F.col("dep") == "nsubj", place)).alias("subject"),
-        F.coalesce(
-            F.min_by("text", F.when(F.col("dep").isin("attr", "acomp"), place)),
-            F.min_by("text", F.when(F.col("dep") == "pobj", place)),
-        ).alias("object"),
-    )
-    copular = pairs.filter("subject IS NOT NULL AND object IS NOT NULL").join(turned, SENTENCE, "left")
-
-    cues = tokens.filter(F.lower("text") == "maybe").groupBy(*SENTENCE).agg(F.min("i").alias("cue_i"))
-    cues = cues.join(copulas, SENTENCE, "left_anti")
-    around = (
-        named.join(cues, SENTENCE)
-        .filter(is_class & (F.col("i") != F.col("cue_i")))
-        .join(names, [*KEYS, "name_lower"], "left_semi")
-        .groupBy(*SENTENCE)
-        .agg(
-            F.max_by("text", F.when(F.col("i") < F.col("cue_i"), F.col("i"))).alias("subject"),
-            F.min_by("text", F.when(F.col("i") > F.col("cue_i"), F.col("i"))).alias("object"),
+
+    def usable(t: Column) -> Column:
+        return t["is_class"] & ~t["name_lower"].isin(*GENERALIZATION_RESERVED)
+
+    def first(found: Column, at: int = 1) -> Column:
+        return F.try_element_at(F.filter(found, usable), F.lit(at))["text"]
+
+    def linked(subject: Column, obj: Column, turned: Column) -> Column:
+        s, o = capitalize(subject), capitalize(obj)
+        none = F.lit(None).cast("string")
+        relation = F.struct(
+            F.lit("generalization").alias("rule"), F.when(turned, o).otherwise(s).alias("source"), none.alias("label"),
+            F.when(turned, s).otherwise(o).alias("target"), none.alias("source_card"), none.alias("target_card"),
         )
-        .filter("subject IS NOT NULL AND object IS NOT NULL")
-        .withColumn("_turned", F.lit(True))
-    )
-    both = copular.unionByName(around)
-    swap = F.coalesce("_turned", F.lit(False))
-    s, o = capitalize("subject"), capitalize("object")
-    none = F.lit(None).cast("string")
-    return both.select(
-        *SENTENCE, F.lit("generalization").alias("rule"),
-        F.when(swap, o).otherwise(s).alias("source"), none.alias("label"),
-        F.when(swap, s).otherwise(o).alias("target"), none.alias("source_card"), none.alias("target_card"),
-    )
+        return F.when(subject.isNotNull() & obj.isNotNull(), F.array(relation)).otherwise(F.array().cast(_RELATIONS))
+
+    def copular(be: Column) -> Column:
+        kids = F.get(tree.nodes, (be["i"] - tree.first).cast("int"))["kids"]
+        turned = F.exists(kids, lambda k: (k["name_lower"] == "maybe") | ((k["lemma"] == "can") & (k["dep"] == "aux")))
+        of = F.filter(tree.kids(be["i"], "prep"), lambda p: p["name_lower"] == "of")
+        obj = F.coalesce(
+            first(tree.kids(be["i"], "attr", "acomp")), first(F.flatten(F.transform(of, lambda p: tree.kids(p["i"], "pobj"))))
+        )
+        return linked(first(tree.kids(be["i"], "nsubj")), obj, turned)
+
+    def around(cue: Column) -> Column:
+        own = F.transform(tree.nodes, lambda n: n["own"])
+        return let(own, lambda ts: linked(
+            first(F.filter(ts, lambda t: t["i"] < cue["i"]), -1), first(F.filter(ts, lambda t: t["i"] > cue["i"])), F.lit(True)
+        ))
+
+    copula = F.try_element_at(F.filter(tree.nodes, lambda n: n["own"]["lemma"] == "be"), F.lit(1))["own"]
+    cue = F.try_element_at(F.filter(tree.nodes, lambda n: n["own"]["name_lower"] == "maybe"), F.lit(1))["own"]
+    return let(copula, lambda be: F.when(be.isNotNull(), copular(be)).otherwise(
+        let(cue, lambda c: F.when(c.isNotNull(), around(c)).otherwise(F.array().cast(_RELATIONS)))
+    ))
+
+
+_RELATIONS = (
+    "array<struct<rule:string,source:string,label:string,target:string,source_card:string,target_card:string>>"
+)
+RULES = ("association", "aggregation", "composition", "include", "generalization")
+
+
+def apply_rules(tokens: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
+    """dataset, id, sent_i, rule, source, label, target, source_card, target_card of the chosen rules.
+
+    All rules read the same sentence trees, in one pass and without joins.
+    """
+
+    def found(nodes: Column) -> Column:
+        tree = _Tree(nodes)
+        parts = []
+        for rule in rules:
+            if rule == "include":
+                parts.append(_include_rule(tree))
+            elif rule == "generalization":
+                parts.append(_generalization_rule(tree))
+            else:
+                parts.append(_verb_rule(tree, rule))
+        return F.concat(*[p.cast(_RELATIONS) for p in parts])
+
+    return sentence_trees(tokens).select(*SENTENCE, F.inline(let(F.col("nodes"), found)))
+
+
+def extract_association(tokens: DataFrame) -> DataFrame:
+    return apply_rules(tokens, ["association"])
+
+
+def extract_aggregation(tokens: DataFrame) -> DataFrame:
+    return apply_rules(tokens, ["aggregation"])
+
+
+def extract_composition(tokens: DataFrame) -> DataFrame:
+    return apply_rules(tokens, ["composition"])
+
+
+def extract_include(tokens: DataFrame) -> DataFrame:
+    return apply_rules(tokens, ["include"])
+
+
+def extract_generalization(tokens: DataFrame) -> DataFrame:
+    return apply_rules(tokens, ["generalization"])
 
 
 def extract_relations(tokens: DataFrame) -> DataFrame:
-    """All five rules as rows: dataset, id, sent_i, rule, source, label, target, source_card, target_card."""
-    verbs = extract_verb_relations(tokens).select(*_OUT)
-    return verbs.unionByName(extract_include(tokens).select(*_OUT)).unionByName(
-        extract_generalization(tokens).select(*_OUT)
-    )
+    """All five rules in one pass."""
+    return apply_rules(tokens)
 
 
 _KIND = {
