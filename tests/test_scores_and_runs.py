@@ -109,7 +109,7 @@ def test_resume(spark):
 
 def test_sources(spark, tmp_path):
     corpus = tmp_path / "c.json"
-    corpus.write_text(json.dumps([{"id": i, "nlt": "t", "puml": "p"} for i in "zyx"]))
+    corpus.write_text(json.dumps([{"id": i, "nlt": "t", "puml": "p"} for i in "zyx"], indent=1))
     df = S.read_corpus(spark, {"data-source-1": str(corpus)})
     assert [(r.dataset, r.id) for r in S.limit_per_dataset(df, 2).orderBy("pos").collect()] == [("kaiser_clean", "z"), ("kaiser_clean", "y")]
     with pytest.raises(ValueError):
@@ -129,7 +129,7 @@ def test_sources(spark, tmp_path):
     with pytest.raises(Exception):
         S.read_scored(spark, str(scored), "m2").collect()
     jobs = tmp_path / "jobs.json"
-    jobs.write_text(json.dumps({"jobs": {"a": {"candidate_id": "c", "status": "done", "run_index": 2}, "b": 5}}))
+    jobs.write_text(json.dumps({"jobs": {"a": {"candidate_id": "c", "status": "done", "run_index": 2}, "b": 5}}, indent=1))
     assert [(r.key, r.status, r.run_index) for r in S.read_joblist(spark, str(jobs)).collect()] == [("a", "done", 2)]
     assert S.read_joblist(spark, str(tmp_path / "missing.json")).count() == 0
     assert S.read_table_csv(spark, str(tmp_path / "missing.csv"), "a int").count() == 0
@@ -147,7 +147,7 @@ def test_sources(spark, tmp_path):
 
 def test_harness_and_prompts(spark, tmp_path):
     path = tmp_path / "h.json"
-    path.write_text(json.dumps({"models": {"A": {"reference_plantuml": "r", "generated_plantuml": {"0shot": "g", "1shot": ""}}}}))
+    path.write_text(json.dumps({"models": {"A": {"reference_plantuml": "r", "generated_plantuml": {"0shot": "g", "1shot": ""}}}}, indent=1))
     rows = S.explode_settings(S.read_harness(spark, str(path)))
     assert sorted((r.model, r.setting, r.is_reference) for r in rows.collect()) == [("A", "0shot", False), ("A", "reference", True)]
     examples = spark.createDataFrame([("s", 1, "two", "M2"), ("s", 0, "one", "M1")], "strategy string, pos int, nlt string, model string")
