@@ -159,9 +159,9 @@ def test_validate(spark):
 
 def test_cleaning_rules(spark):
     text = ("enum A <<enum>> {\n(A, B) . C\nX . (A, B)\nA .. (B, C)\n<> diamond\nA *-> B\nnote \"t\" as N1\n"
-            "A <--> B\nA 1*-B\nA -- B")
+            "A <--> B\nA 1*-B\nA \"1\" -* \"2\" B\nA -- B\nA *-- B")
     df = spark.createDataFrame([(text,)], "t string").select(V.clean_diagram_markup("t").alias("c"))
-    assert df.first().c.split("\n") == ["enum A {", "A -- B", "A 1-B", "A -- B"]
+    assert df.first().c.split("\n") == ["enum A {", "A -- B", "A 1-B", 'A "1" - "2" B', "A -- B", "A *-- B"]
 
 
 def test_compare_empty_sets_and_self_loops(spark):
