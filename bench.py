@@ -14,9 +14,8 @@ from diagtab.session import builder  # noqa: E402
 
 HEADLINE = (
     "text_features", "dataset_overview", "split_sentences", "diagram_counts", "extract_relationships", "jaccard",
-    "validate", "match_levels", "coverage_summary", "sentence_stats", "class_attr_bindings", "relationship_bindings",
-    "token_features", "mean_root_distance", "extract_association", "extract_generalization", "summarise", "run_stability",
-    "resume_status", "spearman_matrix", "flatten_chat",
+    "validate", "match_levels", "sentence_stats", "class_attr_bindings", "token_features", "mean_root_distance",
+    "extract_association", "summarise", "run_stability", "resume_status", "spearman_matrix", "flatten_chat",
 )
 
 
