@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diagtab.llm import chatformat, lines, mixing, tokencount
+from diagtab.llm import chatformat, lines, mixing, simhash, substrings, tokencount
 from diagtab.llm.common import table
 
 #: Name of the tokenizer file that op4 counts with; its folder comes from the installed package.
@@ -16,6 +16,16 @@ TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = substrings.drop_repeats(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+def op2_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_token_counts(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +60,8 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op2_simhash_dedup": op2_simhash_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_source_mix": op5_source_mix,
         "op8_line_dedup": op8_line_dedup,
