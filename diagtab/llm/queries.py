@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diagtab.llm import chatformat, lines, mixing, simhash, substrings, tokencount
+from diagtab.llm import bytecnn, chatformat, langid, lines, mixing, simhash, substrings, tokencount
 from diagtab.llm.common import table
 
 #: Name of the tokenizer file that op4 counts with; its folder comes from the installed package.
@@ -40,6 +40,18 @@ def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def fold(folds: int) -> Column:
+    """The fold of a document: crc32 of its id as text, modulo `folds`; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.where(fold(3) != 1))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "coverage")
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = lines.drop_spread_lines(table(spark, folder, "documents").select("doc_id", "text", "source"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "text")
@@ -58,12 +70,21 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_quality_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = bytecnn.fit(docs.where(fold(5) != 0), labels.where(fold(5) != 0))
+    found = bytecnn.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_simhash_dedup": op2_simhash_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_source_mix": op5_source_mix,
+        "op6_language_id": op6_language_id,
         "op8_line_dedup": op8_line_dedup,
         "op9_chat_format": op9_chat_format,
+        "op10_quality_score": op10_quality_score,
     }
