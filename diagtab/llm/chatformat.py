@@ -114,11 +114,12 @@ def _prefix_sum(rows: DataFrame, at: str, size: str, name: str, block: int = 409
     sums = written(rows.groupBy("__block").agg(F.sum(size).alias("__size")))
     inside = Window.partitionBy("__block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     own = written(rows.withColumn("__inside", F.coalesce(F.sum(size).over(inside), F.lit(0))))
+    sums = sums.select(F.col("__block").alias("number"), "__size")
     if sums.count() > 1:
-        sums = _prefix_sum(sums, "__block", "__size", "__before", block)
+        sums = _prefix_sum(sums, "number", "__size", "__before", block)
     else:
         sums = sums.withColumn("__before", F.lit(0).cast("long"))
-    joined = own.join(sums.select("__block", "__before"), "__block")
+    joined = own.join(sums.select(F.col("number").alias("__block"), "__before"), "__block")
     return joined.withColumn(name, F.col("__before") + F.col("__inside")).drop("__block", "__before", "__inside")
 
 
