@@ -116,11 +116,11 @@ def _prefix_sum(rows: DataFrame, at: str, size: str, name: str, block: int = 409
     own = written(rows.withColumn("__inside", F.coalesce(F.sum(size).over(inside), F.lit(0))))
     sums = sums.select(F.col("__block").alias("number"), "__size")
     if sums.count() > 1:
-        sums = _prefix_sum(sums, "number", "__size", "__before", block)
+        sums = _prefix_sum(sums, "number", "__size", "earlier", block)
     else:
-        sums = sums.withColumn("__before", F.lit(0).cast("long"))
-    joined = own.join(sums.select(F.col("number").alias("__block"), "__before"), "__block")
-    return joined.withColumn(name, F.col("__before") + F.col("__inside")).drop("__block", "__before", "__inside")
+        sums = sums.withColumn("earlier", F.lit(0).cast("long"))
+    joined = own.join(sums.select(F.col("number").alias("__block"), F.col("earlier").alias("__earlier")), "__block")
+    return joined.withColumn(name, F.col("__earlier") + F.col("__inside")).drop("__block", "__earlier", "__inside")
 
 
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
