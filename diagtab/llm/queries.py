@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diagtab.llm import bytecnn, chatformat, langid, lines, mixing, simhash, substrings, tokencount
+from diagtab.llm import bytecnn, chatformat, decontam, embeddup, langid, lines, mixing, simhash, substrings, tokencount
 from diagtab.llm.common import table
 
 #: Name of the tokenizer file that op4 counts with; its folder comes from the installed package.
@@ -26,6 +26,10 @@ def op2_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +53,11 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = langid.fit(docs.where(fold(3) != 1))
     found = langid.predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "coverage")
+    return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage")
+
+
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddup.near_vectors(table(spark, folder, "embeddings"))
 
 
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,16 +82,18 @@ def op10_quality_score(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = bytecnn.fit(docs.where(fold(5) != 0), labels.where(fold(5) != 0))
     found = bytecnn.score(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_simhash_dedup": op2_simhash_dedup,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_token_counts": op4_token_counts,
         "op5_source_mix": op5_source_mix,
         "op6_language_id": op6_language_id,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_line_dedup": op8_line_dedup,
         "op9_chat_format": op9_chat_format,
         "op10_quality_score": op10_quality_score,
