@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Bytes of an n-gram, taken from lower-cased text whose ASCII non-letters are spaces.
 GRAM = 4
@@ -142,17 +143,18 @@ def _hits(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     return total, found
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred, score and coverage (both 0 to 1) to every row.
+def predict(docs: DataFrame, model: Model, text_col: str = "text",
+            names: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:
+    """Adds the predicted language, a score and a coverage (both 0 to 1) to every row, under `names`.
 
     score is the winner's share of all languages' corrected counts, coverage the share of n-grams that the winner
     contains. Null texts and texts without a letter are `und` with score and coverage 0; so is every text if the model
     knows no language. Ties go to the first language by name. Input columns of the added names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets, whatever the data
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "coverage")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept),
-                        "lang_pred string, score double, coverage double"])
+    kept = [f for f in docs.schema.fields if f.name not in names]
+    schema = StructType([*kept, StructField(names[0], StringType()), *(StructField(n, DoubleType()) for n in names[1:])])
+    columns = [f.name for f in kept]
     lowered = F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(F.col(text_col)))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +173,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 score = np.where(letters, top / np.maximum(real.sum(axis=1), 1e-9), 0.0)
                 coverage = np.where(letters, np.clip(top / np.maximum(total, 1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(coverage)],
-                [*kept, "lang_pred", "score", "coverage"])
+                [*(batch.column(c) for c in columns), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(coverage)],
+                [*columns, *names])
 
-    return docs.select(*kept, lowered.alias("__t")).mapInArrow(judged, schema)
+    return docs.select(*columns, lowered.alias("__t")).mapInArrow(judged, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diagtab.llm.common import WORD, numbered, written
@@ -48,7 +48,7 @@ def offset(source, seed: str):
 
 
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", id_text: Column | None = None) -> DataFrame:
     """Copies of every document in the mix: rows (doc_id, source, size, source_size, target, copies).
 
     Within its source a document is expected `target / source_size` times, at most `most`. Documents are placed by
@@ -58,14 +58,15 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     ranges (`numbered`), so a source with a third of all rows is spread like any other.
 
     Null texts and texts without words have size 0 and are sampled alike; a source without words has target 0 and
-    expects no copies. Null sources are one source. Repeated rows are documents of their own. Empty in, empty out.
+    expects no copies. `id_text` is the text of the digest if it is not that of the id. Null sources are one source. Repeated rows are documents of their own. Empty in, empty out.
     """
+    placed_by = F.md5(F.col(id_col).cast("string") if id_text is None else id_text)
     rows = written(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), placed_by.alias("__digest"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     ))
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    ranked = numbered(rows, [F.col("source").isNull(), "source", "size", F.md5(F.col("doc_id").cast("string")), "doc_id"], "__i")
+    ranked = numbered(rows, [F.col("source").isNull(), "source", "size", "__digest", "doc_id"], "__i")
     firsts = ranked.groupBy("source").agg(F.min("__i").alias("__first"))
     plan = written(
         source_targets(totals.select("source", "source_size"), weights, most).alias("t")
