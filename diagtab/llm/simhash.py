@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from diagtab.llm.common import components, written
 
@@ -57,7 +58,7 @@ def fingerprint_of(text: str | None) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Fingerprints of whole texts."""
     for batch in batches:
