@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from diagtab.llm.chatformat import BODY, CONTROLS, END, TURN
+from diagtab.llm.decontam import NUMBER_WORDS, UNITS
+
 #: Targets: sources in order of size per weight; a source is bound if its share of what is left is at least 3 times its
 #: size. The mix: documents placed by size and digest, copies from whole numbers crossed.
 OP5 = r"""
@@ -50,8 +53,110 @@ SELECT doc_id, n_lines, n_removed, sha256(text) AS kept_sha256, text FROM a
 UNION ALL SELECT doc_id, 0, 0, NULL, NULL FROM documents WHERE text IS NULL
 """
 
+#: Words covered by a window of 50 words that also starts in a document with a smaller id go.
+OP1 = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM s),
+f AS (SELECT h, min(doc_id) AS first_id FROM x GROUP BY h),
+g AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+  FROM (SELECT x.doc_id, x.i FROM x JOIN f USING (h) WHERE x.doc_id > f.first_id)),
+a AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM a ANTI JOIN g USING (doc_id, p) GROUP BY a.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
 
+#: Templates of words, windows of five, aligned words with consistent placeholders, at least 0.8 of an item's words.
+_UNITS = ", ".join(f"'{u}'" for u in UNITS)
+_NUMBERS = ", ".join(f"'{n}'" for n in NUMBER_WORDS)
+OP3 = rf"""
+WITH dt AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '\p{{N}}+(?:[.,:/]\p{{N}}+)*|[\p{{L}}\p{{M}}]+')) AS raw,
+    generate_subscripts(regexp_extract_all(text, '\p{{N}}+(?:[.,:/]\p{{N}}+)*|[\p{{L}}\p{{M}}]+'), 1) AS p
+  FROM documents),
+it AS (
+  SELECT item_id, unnest(regexp_extract_all(text, '\p{{N}}+(?:[.,:/]\p{{N}}+)*|[\p{{L}}\p{{M}}]+')) AS raw,
+    generate_subscripts(regexp_extract_all(text, '\p{{N}}+(?:[.,:/]\p{{N}}+)*|[\p{{L}}\p{{M}}]+'), 1) AS p
+  FROM benchmark),
+tw AS (
+  SELECT raw, CASE WHEN lower(raw) <> raw THEN '<name>' WHEN regexp_matches(raw, '^\p{{N}}') OR raw IN ({_NUMBERS}) THEN '<num>'
+    WHEN raw IN ({_UNITS}) THEN '<unit>' ELSE raw END AS t
+  FROM (SELECT DISTINCT raw FROM (SELECT raw FROM dt UNION ALL SELECT raw FROM it))),
+d AS (SELECT doc_id, p, dt.raw, t FROM dt JOIN tw ON dt.raw = tw.raw),
+i AS (SELECT item_id, p, it.raw, t, count(*) OVER (PARTITION BY item_id) AS n FROM it JOIN tw ON it.raw = tw.raw),
+dw AS (
+  SELECT doc_id, p, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o || ' ' || lead(t, 3) OVER o || ' ' || lead(t, 4) OVER o AS g
+  FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+ia AS (
+  SELECT item_id, p, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o || ' ' || lead(t, 3) OVER o || ' ' || lead(t, 4) OVER o AS g,
+    sum((t = raw)::INT) OVER (PARTITION BY item_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS plain
+  FROM i WINDOW o AS (PARTITION BY item_id ORDER BY p)),
+iw AS (
+  SELECT * FROM (SELECT *, max(plain) OVER (PARTITION BY item_id) AS best FROM ia WHERE g IS NOT NULL) WHERE plain >= least(best, 2)),
+h AS (
+  SELECT DISTINCT doc_id, item_id, dw.p - iw.p AS shift, unnest(range(iw.p, iw.p + 5)) AS p
+  FROM dw JOIN iw USING (g)),
+a AS (
+  SELECT h.doc_id, h.item_id, h.shift, h.p, i.raw AS mine, d.raw AS theirs, i.t <> i.raw AS slot
+  FROM h JOIN i USING (item_id, p) JOIN d ON d.doc_id = h.doc_id AND d.p = h.p + h.shift),
+b AS (SELECT *, false AS together FROM a UNION ALL SELECT doc_id, item_id, 0, p, mine, theirs, slot, true FROM a),
+pr AS (SELECT DISTINCT doc_id, item_id, shift, together, mine, theirs FROM b WHERE slot),
+st AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift, together, mine) = 1
+    AND count(*) OVER (PARTITION BY doc_id, item_id, shift, together, theirs) = 1 AS steady FROM pr),
+c AS (
+  SELECT b.doc_id, b.item_id, b.shift, b.together, count(DISTINCT b.p) AS n_found
+  FROM b LEFT JOIN st USING (doc_id, item_id, shift, together, mine, theirs) WHERE NOT b.slot OR st.steady
+  GROUP BY ALL),
+m AS (SELECT doc_id, item_id, max(n_found) AS n_found FROM c GROUP BY ALL),
+z AS (SELECT item_id, any_value(n) AS n FROM i GROUP BY item_id)
+SELECT doc_id, item_id, n::BIGINT AS n_words, n_found::BIGINT AS n_found, n_found::DOUBLE / n AS coverage
+FROM m JOIN z USING (item_id) WHERE n_found::DOUBLE / n >= 0.8
+"""
+
+#: All pairs; components by the smallest id that is reached.
+OP7 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e,
+    embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.ok AND b.ok AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM v LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+#: Digests of what was told; lengths of the formatted turns from the number of control strings and backslashes in them.
+_CONTROLS = " + ".join(
+    f"(length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in CONTROLS)
+OP9 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (
+  SELECT *, (SELECT length(x) + length(x) - length(replace(x, chr(92), '')) + {_CONTROLS} FROM (SELECT role || text AS x)) AS n FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(n + {len(TURN + BODY + END)})::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
 
 
 def statements() -> dict[str, str]:
-    return {"op5_source_mix": OP5, "op8_line_dedup": OP8}
+    return {
+        "op1_substring_dedup": OP1,
+        "op3_benchmark_decontamination": OP3,
+        "op5_source_mix": OP5,
+        "op7_embedding_dedup": OP7,
+        "op8_line_dedup": OP8,
+        "op9_chat_format": OP9,
+    }
