@@ -16,6 +16,8 @@ HEADLINE = (
     "text_features", "dataset_overview", "split_sentences", "diagram_counts", "extract_relationships", "jaccard",
     "validate", "match_levels", "sentence_stats", "class_attr_bindings", "token_features", "mean_root_distance",
     "extract_association", "summarise", "run_stability", "resume_status", "spearman_matrix", "flatten_chat",
+    "coverage_summary", "relationship_bindings", "extract_generalization", "per_element_table", "match_relationships",
+    "score_pairs", "wide_record_table", "case_study_rows",
 )
 
 

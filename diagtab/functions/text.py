@@ -31,6 +31,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def place_of(numbers: Column, wanted: Column) -> Column:
+    """0-based place of a number in an ascending array of numbers; null if it is not there.
+
+    In an array without gaps the place follows from the first number; only otherwise is it searched.
+    """
+    guess = (wanted - F.get(numbers, F.lit(0))).cast("int")
+    searched = F.nullif(F.array_position(numbers, wanted), F.lit(0).cast("long")).cast("int") - 1
+    return F.when((guess >= 0) & (F.get(numbers, guess) == wanted), guess).otherwise(searched)
+
+
 def null_if_blank(c: Column) -> Column:
     return F.when(c != "", c)
 

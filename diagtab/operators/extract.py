@@ -18,7 +18,7 @@ from ..functions.lexicons import (
     COMPOSITION_VERBS,
     GENERALIZATION_RESERVED,
 )
-from ..functions.text import capitalize, is_valid_identifier, let, plural_cardinality
+from ..functions.text import capitalize, is_valid_identifier, let, place_of, plural_cardinality
 from .quality import render_diagram
 
 KEYS = ["dataset", "id"]
@@ -76,7 +76,8 @@ def sentence_trees(tokens: DataFrame) -> DataFrame:
 
     Every token goes to its own place and to its head's; one aggregation there
     and one per sentence build the tree in linear time. A sentence is never
-    larger than its text. Tokens are numbered consecutively inside a sentence.
+    larger than its text. Token numbers may have gaps; a head that is not among
+    the tokens has a place without a token of its own.
     """
     fields = [F.col(c) for c in ("i", "text", "name_lower", "lemma", "pos", "tag", "dep", "is_class")]
     me = F.struct(*fields)
@@ -101,13 +102,16 @@ _NODE = "struct<i:int,text:string,name_lower:string,lemma:string,pos:string,tag:
 class _Tree:
     """Lookups inside one sentence array."""
 
-    def __init__(self, nodes: Column):
-        self.nodes = nodes
-        self.first = F.element_at(nodes, 1)["at"]
+    def __init__(self, bound: Column):
+        """``bound`` holds the nodes and, computed once, their numbers."""
+        self.nodes = bound["nodes"]
+        self.numbers = bound["numbers"]
+
+    def all_kids(self, i: Column) -> Column:
+        return F.get(self.nodes, place_of(self.numbers, i))["kids"]
 
     def kids(self, i: Column, *deps: str) -> Column:
-        found = F.get(self.nodes, (i - self.first).cast("int"))["kids"]
-        return F.filter(found, lambda k: k["dep"].isin(*deps))
+        return F.filter(self.all_kids(i), lambda k: k["dep"].isin(*deps))
 
     def classes(self, i: Column, *deps: str) -> Column:
         return F.filter(self.kids(i, *deps), lambda k: k["is_class"])
@@ -239,8 +243,7 @@ def _generalization_rule(tree: _Tree) -> Column:
         return F.when(subject.isNotNull() & obj.isNotNull(), F.array(relation)).otherwise(F.array().cast(_RELATIONS))
 
     def copular(be: Column) -> Column:
-        kids = F.get(tree.nodes, (be["i"] - tree.first).cast("int"))["kids"]
-        turned = F.exists(kids, lambda k: (k["name_lower"] == "maybe") | ((k["lemma"] == "can") & (k["dep"] == "aux")))
+        turned = F.exists(tree.all_kids(be["i"]), lambda k: (k["name_lower"] == "maybe") | ((k["lemma"] == "can") & (k["dep"] == "aux")))
         of = F.filter(tree.kids(be["i"], "prep"), lambda p: p["name_lower"] == "of")
         obj = F.coalesce(
             first(tree.kids(be["i"], "attr", "acomp")), first(F.flatten(F.transform(of, lambda p: tree.kids(p["i"], "pobj"))))
@@ -272,8 +275,8 @@ def apply_rules(tokens: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
     All rules read the same sentence trees, in one pass and without joins.
     """
 
-    def found(nodes: Column) -> Column:
-        tree = _Tree(nodes)
+    def found(bound: Column) -> Column:
+        tree = _Tree(bound)
         parts = []
         for rule in rules:
             if rule == "include":
@@ -284,7 +287,8 @@ def apply_rules(tokens: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
                 parts.append(_verb_rule(tree, rule))
         return F.concat(*[p.cast(_RELATIONS) for p in parts])
 
-    return sentence_trees(tokens).select(*SENTENCE, F.inline(let(F.col("nodes"), found)))
+    bound = F.struct(F.col("nodes"), F.transform("nodes", lambda n: n["at"]).alias("numbers"))
+    return sentence_trees(tokens).select(*SENTENCE, F.inline(let(bound, found)))
 
 
 def extract_association(tokens: DataFrame) -> DataFrame:

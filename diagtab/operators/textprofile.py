@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import HEDGE_WORDS, MODAL_VERBS
-from ..functions.text import as_column, let, lower_words, sentences, split_identifier, strip, words
+from ..functions.text import as_column, let, lower_words, place_of, sentences, split_identifier, strip, words
 
 KEYS = ["dataset", "id"]
 
@@ -188,17 +188,17 @@ def mean_children(tokens: DataFrame) -> DataFrame:
 def mean_root_distance(tokens: DataFrame) -> DataFrame:
     """dataset, id, mean_root_distance: steps to the root of the sentence tree, capped at 32.
 
-    Heads stay inside their sentence, so one small array per sentence (never
-    larger than its text) holds the tree. Five rounds of pointer doubling in
-    that array reach exactly 32 steps; the tokens are shuffled once.
+    One small array per sentence (never larger than its text) holds the tree.
+    Five rounds of pointer doubling in that array reach exactly 32 steps; the
+    tokens are shuffled once. Token numbers may have gaps; a token whose head
+    is not among the tokens is a root.
     """
     ordered = F.array_sort(F.collect_list(F.struct("i", "head_i")))
     trees = tokens.groupBy(*KEYS, "sent_i").agg(ordered.alias("_t"))
 
     def depths(t: Column) -> Column:
-        first = F.element_at(t, 1)["i"]
-        heads = F.transform(t, lambda r: (r["head_i"] - first).cast("int"))
-        steps = F.transform(t, lambda r: F.when(r["head_i"] == r["i"], 0).otherwise(1))
+        numbers = F.transform(t, lambda r: r["i"])
+        heads = let(numbers, lambda ns: F.transform(t, lambda r, at: F.coalesce(place_of(ns, r["head_i"]), at)))
 
         def double(acc: Column, _: Column) -> Column:
             d, h = acc["d"], acc["h"]
@@ -207,8 +207,12 @@ def mean_root_distance(tokens: DataFrame) -> DataFrame:
                 F.transform(h, lambda x: F.get(h, x)).alias("h"),
             )
 
-        start = F.struct(steps.alias("d"), heads.alias("h"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(5)), start, double, lambda acc: acc["d"])
+        def climbed(hs: Column) -> Column:
+            steps = F.transform(hs, lambda h, at: F.when(h == at, 0).otherwise(1))
+            start = F.struct(steps.alias("d"), hs.alias("h"))
+            return F.aggregate(F.sequence(F.lit(1), F.lit(5)), start, double, lambda acc: acc["d"])
+
+        return let(heads, climbed)
 
     total = F.aggregate(let(F.col("_t"), depths), F.lit(0).cast("long"), lambda acc, x: acc + x)
     per_sentence = trees.select(*KEYS, total.alias("_sum"), F.size("_t").alias("_n"))

@@ -72,7 +72,7 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = L.build_lexicon(fx.lemmas(spark, sf_dir), fx.inflections(spark, sf_dir))
-    return L.build_text_index(fx.records(spark, sf_dir), lexicon)
+    return L.build_text_index(fx.placed_records(spark, sf_dir), lexicon)
 
 
 # --- text ------------------------------------------------------------------------
@@ -107,7 +107,7 @@ def split_identifier(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def text_tokens(spark: SparkSession, d: str) -> DataFrame:
-    t = L.text_tokens(fx.records(spark, d))
+    t = L.text_tokens(fx.placed_records(spark, d))
     return t.groupBy("dataset", "id", "sent_i").agg(
         F.count("*").alias("n"), F.count_distinct("token").alias("n_distinct"), F.max("token").alias("last_token")
     )
@@ -395,7 +395,7 @@ def element_prf(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sentence_stats(spark: SparkSession, d: str) -> DataFrame:
-    return P.sentence_stats(fx.records(spark, d), _names(spark, d), fx.tokens(spark, d))
+    return P.sentence_stats(fx.placed_records(spark, d), _names(spark, d), fx.tokens(spark, d))
 
 
 @query
@@ -410,12 +410,12 @@ def match_levels(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sentence_indices(spark: SparkSession, d: str) -> DataFrame:
-    return L.sentence_indices(fx.elements(spark, d), fx.records(spark, d))
+    return L.sentence_indices(fx.elements(spark, d), fx.placed_records(spark, d))
 
 
 @query
 def match_relationships(spark: SparkSession, d: str) -> DataFrame:
-    m = L.match_relationships(fx.element_relationships(spark, d), _index(spark, d), fx.records(spark, d), fx.synonyms(spark, d))
+    m = L.match_relationships(fx.element_relationships(spark, d), _index(spark, d), fx.placed_records(spark, d), fx.synonyms(spark, d))
     return m.select(
         "dataset", "id", "source", "target", "kind", "source_l1", "source_l2", "source_l4", "target_l1", "target_l2",
         "target_l4", "label_absent", "common_sentences",
@@ -425,7 +425,7 @@ def match_relationships(spark: SparkSession, d: str) -> DataFrame:
 @query
 def per_element_table(spark: SparkSession, d: str) -> DataFrame:
     return L.per_element_table(
-        fx.elements(spark, d), fx.element_relationships(spark, d), _index(spark, d), fx.records(spark, d), fx.synonyms(spark, d)
+        fx.elements(spark, d), fx.element_relationships(spark, d), _index(spark, d), fx.placed_records(spark, d), fx.synonyms(spark, d)
     )
 
 
@@ -683,7 +683,7 @@ def generate_constant(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def annotate(spark: SparkSession, d: str) -> DataFrame:
-    t = P.annotate(fx.records(spark, d))
+    t = P.annotate(fx.placed_records(spark, d))
     return t.groupBy("dataset", "id").agg(F.count("*").alias("n"), F.max("sent_i").alias("last_sentence"), F.max("i").alias("last_i"))
 
 
@@ -843,7 +843,7 @@ def style_by_dataset(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sentence_report(spark: SparkSession, d: str) -> DataFrame:
-    return A.sentence_report(P.sentence_stats(fx.records(spark, d), _names(spark, d)), rounded=False)
+    return A.sentence_report(P.sentence_stats(fx.placed_records(spark, d), _names(spark, d)), rounded=False)
 
 
 @query

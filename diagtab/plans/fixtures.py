@@ -31,18 +31,14 @@ def by_record(docs: DataFrame) -> DataFrame:
     return docs.repartition("source", "doc_id")
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Documents over all cores when the files have fewer splits than there are cores; else as they are."""
-    few = docs.rdd.getNumPartitions() < docs.sparkSession.sparkContext.defaultParallelism
-    return by_record(docs) if few else docs
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as they are stored."""
+    return _as_records(table(spark, sf_dir, "documents"))
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_records(documents(spark, sf_dir))
+def placed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts for operators that group words, sentences or tokens by record."""
+    return _as_records(by_record(table(spark, sf_dir, "documents")))
 
 
 def _as_records(docs: DataFrame) -> DataFrame:
@@ -55,8 +51,7 @@ def _item(values: tuple[str, ...], index: Column) -> Column:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotated tokens of every sentence of every document, by a clause grammar of six tokens."""
-    placed = _as_records(by_record(table(spark, sf_dir, "documents")))
-    sents = placed.select("dataset", "id", F.posexplode(sentences("nlt")).alias("sent_i", "_s"))
+    sents = placed_records(spark, sf_dir).select("dataset", "id", F.posexplode(sentences("nlt")).alias("sent_i", "_s"))
 
     def row(ws: Column, w: Column, r: Column) -> Column:
         verb_at = r - F.pmod(r, F.lit(6)) + 1
@@ -116,16 +111,16 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _from_names(spark: SparkSession, sf_dir: str, rows) -> DataFrame:
     """``rows(names)`` exploded, where names are the camel-joined word pairs of the next document.
 
-    The texts stay where they are: each document hands its names to its
-    predecessor, and only the short (id, source) side is joined.
+    Each document hands its names to its predecessor; the names travel to the
+    (id, source) rows unless those are few enough to be broadcast.
     """
-    docs = documents(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
     long_words = F.filter(
         F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z0-9]*)"), F.lit(1)), lambda w: F.length(w) >= 3
     )
 
     def cap(w: Column) -> Column:
-        return F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000000))
+        return F.concat(F.upper(F.left(w, F.lit(1))), F.right(w, F.length(w) - 1))
 
     def pairs(ws: Column) -> Column:
         firsts = F.filter(ws, lambda _, i: (F.pmod(i, F.lit(2)) == 0) & (i + 1 < F.size(ws)))
@@ -175,7 +170,7 @@ def element_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select(F.explode(lower_words("nlt")).alias("token")).distinct()
+    return records(spark, sf_dir).select(F.explode(F.array_distinct(lower_words("nlt"))).alias("token")).distinct()
 
 
 def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:

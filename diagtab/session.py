@@ -34,12 +34,3 @@ def builder(app_name: str = "diagtab", cores: str | int = "*", shuffle_partition
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     memory = os.environ.get("SPARK_DRIVER_MEMORY", "8g")
     return b.config("spark.driver.memory", memory)
-
-
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared checkpoint folder the cluster names; ``fallback`` only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and fallback is not None:
-        spark.sparkContext.setCheckpointDir(fallback)
-        return fallback
-    return configured
