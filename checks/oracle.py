@@ -691,6 +691,7 @@ def statements() -> dict[str, str]:
     flags = "l1, l2, l3, l4, absent"
     three = "kind IN ('class', 'attribute', 'enum_value')"
     out["match_levels"] = sql("matched", select=f"SELECT dataset, id, kind, owner, name, {flags}, matched_tokens FROM matched WHERE {three}")
+    out["match_levels_by_index"] = out["match_levels"]
     out["sentence_indices"] = sql("matched", select=f"SELECT dataset, id, kind, owner, name, array_to_string(sents, '|') AS sent_indices FROM matched WHERE {three}")
     out["match_relationships"] = sql("rels", "matched", select="""
         SELECT r.dataset, r.id, r.source, r.target, r.kind, s.l1 AS source_l1, s.l2 AS source_l2, s.l4 AS source_l4, t.l1 AS target_l1, t.l2 AS target_l2,
@@ -881,10 +882,8 @@ def statements() -> dict[str, str]:
         SELECT source AS dataset, doc_id AS id, s.strategy FROM documents CROSS JOIN (VALUES ('q0'), ('q1')) s(strategy)
         WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND 'q' || l.quality = s.strategy)"""
     nl = "chr(10)"
-    block = (f"'##############' || {nl} || {nl} || 'Here is an example of how should be done.' || {nl} || {nl} || 'The specificartion example text is:' || {nl} || {nl} || "
-             f"text || {nl} || {nl} || 'The corresponding uml is:' || {nl} || {nl} || '@startuml' || {nl} || '@enduml' || {nl}")
-    task = (f"'################' || {nl} || {nl} || 'The specification text is:' || {nl} || {nl} || d.text || {nl} || {nl} || '##############' || {nl} || {nl} || "
-            f"'Based on the example, the uml output is:' || {nl}")
+    block = f"'### Example' || {nl} || {nl} || 'Requirements:' || {nl} || text || {nl} || {nl} || 'Diagram:' || {nl} || '@startuml' || {nl} || '@enduml' || {nl}"
+    task = f"'### Task' || {nl} || {nl} || 'Requirements:' || {nl} || d.text || {nl} || {nl} || 'Diagram:' || {nl}"
     out["build_prompts"] = f"""
         WITH e AS (SELECT 's' || (item_id % 8) AS strategy, string_agg({block}, {nl} ORDER BY item_id) AS shots FROM benchmark GROUP BY ALL),
         p AS (SELECT d.source AS dataset, d.doc_id AS id, 's' || (d.doc_id % 10) AS strategy, CASE WHEN e.shots IS NULL THEN '' ELSE e.shots || {nl} END || {task} AS prompt

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import JOB_STATES
-from .lexmatch import salted_lookup
 from .ranking import join_null_safe
 
 JOB_KEY = ["candidate", "model", "dataset", "run_index"]
@@ -104,30 +103,26 @@ def exclude_listed(records: DataFrame, examples: Column | str, id_col: str = "id
     return records.filter(~F.array_contains(listed, F.col(id_col)))
 
 
-# The prompt texts around an example and around the new text.
-EXAMPLE_BLOCK = (
-    "##############\n\nHere is an example of how should be done.\n\n"
-    "The specificartion example text is:\n\n{nlt}\n\nThe corresponding uml is:\n\n{model}\n"
-)
-TASK_BLOCK = (
-    "################\n\nThe specification text is:\n\n{nlt}\n\n"
-    "##############\n\nBased on the example, the uml output is:\n"
-)
+#: Neutral wording around a worked example and around the text to answer.
+EXAMPLE_BLOCK = "### Example\n\nRequirements:\n{nlt}\n\nDiagram:\n{model}\n"
+TASK_BLOCK = "### Task\n\nRequirements:\n{nlt}\n\nDiagram:\n"
 
 
-def build_prompts(records: DataFrame, examples: DataFrame) -> DataFrame:
+def build_prompts(records: DataFrame, examples: DataFrame, example_block: str = EXAMPLE_BLOCK,
+                  task_block: str = TASK_BLOCK) -> DataFrame:
     """The records with ``prompt``: the examples of their strategy in order, then the new text.
 
-    ``examples`` holds strategy, pos, nlt, model. A strategy that many records
-    share is a hot key: the few example texts are copied per salt instead.
+    ``examples`` holds strategy, pos, nlt, model. The blocks name where texts go:
+    ``{nlt}`` and ``{model}`` in an example, ``{nlt}`` in the task. A strategy that
+    many records share is a skewed key of a plain join, which adaptive execution splits.
     """
-    before_nlt, rest = EXAMPLE_BLOCK.split("{nlt}")
+    before_nlt, rest = example_block.split("{nlt}")
     between, after = rest.split("{model}")
     block = F.concat(F.lit(before_nlt), F.col("nlt"), F.lit(between), F.col("model"), F.lit(after))
     ordered = F.array_sort(F.collect_list(F.struct("pos", block.alias("block"))))
     shots = examples.groupBy("strategy").agg(F.transform(ordered, lambda b: b["block"]).alias("_shots"))
-    joined = salted_lookup(records, shots, "strategy", ["id"])
-    head, tail = TASK_BLOCK.split("{nlt}")
+    joined = records.join(shots, "strategy", "left")
+    head, tail = task_block.split("{nlt}")
     task = F.concat(F.lit(head), F.col("nlt"), F.lit(tail))
     none = F.array().cast("array<string>")
     prompt = F.array_join(F.concat(F.coalesce("_shots", none), F.array(task)), "\n")

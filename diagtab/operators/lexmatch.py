@@ -1,8 +1,8 @@
 """Are the names of a diagram present in its text, at four levels?
 
-Names and texts meet in equi-joins on (dataset, id, word form). Lemma,
-inflection and synonym lists are tables; frequent words make hot keys in the
-joins with those lists, so that side is salted.
+Names and texts meet in equi-joins on (dataset, id, word). Lemma, inflection
+and synonym lists are tables; a frequent word makes a skewed key in the joins
+with those lists, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -18,14 +18,6 @@ from .textprofile import split_sentences
 KEYS = ["dataset", "id"]
 KINDS = ("class", "attribute", "enum_value", "rel_source", "rel_target")
 _ELEMENT = ["kind", "owner", "name"]
-SALTS = 8
-
-
-def salted_lookup(df: DataFrame, lexicon: DataFrame, on: str, spread_by: Sequence[str], salts: int = SALTS) -> DataFrame:
-    """Left join with a word list; rows of one frequent word go to ``salts`` tasks."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [on, "_salt"], "left").drop("_salt")
 
 
 def build_lexicon(lemmas: DataFrame | None = None, inflections: DataFrame | None = None) -> DataFrame:
@@ -68,7 +60,7 @@ def build_text_index(records: DataFrame, lexicon: DataFrame | None = None, col:
 
     if lexicon is None:
         return tokens.select(*KEYS, F.inline(F.array(form(F.col("token"), True, True))))
-    known = salted_lookup(tokens, lexicon, "token", KEYS)
+    known = tokens.join(lexicon, "token", "left")
     offered = F.concat(
         F.array(form(F.col("token"), True, False)),
         F.coalesce(
@@ -84,53 +76,96 @@ def build_text_index(records: DataFrame, lexicon: DataFrame | None = None, col:
     )
 
 
-def part_levels(parts: DataFrame, index: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
-    """dataset, id, part, l1, l2, l4 for the distinct name parts of each record."""
+def _probes(parts: DataFrame, synonyms: DataFrame | None) -> DataFrame:
+    """dataset, id, part, form, syn: each distinct part as itself and as its synonyms."""
     distinct = parts.select(*KEYS, "part").distinct()
     if synonyms is None:
-        wanted = distinct.select(*KEYS, "part", F.col("part").alias("form"), F.lit(False).alias("syn"))
+        return distinct.select(*KEYS, "part", F.col("part").alias("form"), F.lit(False).alias("syn"))
+    listed = distinct.join(synonym_lists(synonyms).withColumnRenamed("token", "part"), "part", "left")
+    probe = lambda f, syn: F.struct(f.alias("form"), F.lit(syn).alias("syn"))
+    probes = F.concat(
+        F.array(probe(F.col("part"), False)),
+        F.coalesce(F.transform("synonyms", lambda s: probe(s, True)), F.array().cast("array<struct<form:string,syn:boolean>>")),
+    )
+    return listed.select(*KEYS, "part", F.inline(probes))
+
+
+def _yes(c: Column) -> Column:
+    return F.coalesce(F.max(c), F.lit(False))
+
+
+def part_levels(parts: DataFrame, index: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """dataset, id, part, l1, l2, l4 for the distinct name parts of each record, from a text index."""
+    found = _probes(parts, synonyms).join(index, [*KEYS, "form"], "left")
+    own, syn = ~F.col("syn"), F.col("syn")
+    return found.groupBy(*KEYS, "part").agg(
+        _yes(own & F.col("is_token")).alias("l1"),
+        _yes(own & F.col("is_token").isNotNull()).alias("l2"),
+        _yes(syn & (F.col("is_token") | F.col("is_lemma"))).alias("l4"),
+    )
+
+
+def words_offering(lexicon: DataFrame) -> DataFrame:
+    """form, words: array of (token, is_lemma) that offer a form other than themselves, from ``build_lexicon``."""
+    each = lexicon.select("token", F.inline("forms")).where(F.col("token") != F.col("form"))
+    return each.groupBy("form").agg(F.collect_list(F.struct("token", "is_lemma")).alias("words"))
+
+
+def probed_levels(parts: DataFrame, records: DataFrame, lexicon: DataFrame | None = None,
+                  synonyms: DataFrame | None = None, col: str = "nlt") -> DataFrame:
+    """``part_levels`` without an index: what is asked for is turned into the words that would answer it.
+
+    A text gives its distinct words only, three times fewer rows than its forms, and no word list is joined to them.
+    """
+    probes = _probes(parts, synonyms)
+    itself = F.array(F.struct(F.col("form").alias("token"), F.lit(True).alias("plain")))
+    if lexicon is None:
+        asked = probes.select(*KEYS, "part", "syn", F.inline(itself))
     else:
-        listed = salted_lookup(
-            distinct, synonym_lists(synonyms).withColumnRenamed("token", "part"), "part", KEYS
-        )
-        probe = lambda f, syn: F.struct(f.alias("form"), F.lit(syn).alias("syn"))
-        probes = F.concat(
-            F.array(probe(F.col("part"), False)),
-            F.coalesce(F.transform("synonyms", lambda s: probe(s, True)), F.array().cast("array<struct<form:string,syn:boolean>>")),
+        others = F.coalesce(
+            F.transform("words", lambda w: F.struct(w["token"].alias("token"), F.when(w["is_lemma"], False).alias("plain"))),
+            F.array().cast("array<struct<token:string,plain:boolean>>"),
         )
-        wanted = listed.select(*KEYS, "part", F.inline(probes))
-    found = wanted.join(index, [*KEYS, "form"], "left")
-    own, syn = ~F.col("syn"), F.col("syn")
-    seen = F.col("is_token").isNotNull()
-    yes = lambda c: F.coalesce(F.max(c), F.lit(False))
+        listed = probes.join(words_offering(lexicon), "form", "left")
+        # plain: true for the word itself, false for a word whose lemma is asked for, null for other inflections
+        asked = listed.select(*KEYS, "part", "syn", F.inline(F.concat(itself, others)))
+    held = records.select(*KEYS, F.explode(F.array_distinct(lower_words(col))).alias("token")).withColumn("held", F.lit(True))
+    found = asked.join(held, [*KEYS, "token"], "left")
+    own, syn, there = ~F.col("syn"), F.col("syn"), F.col("held").isNotNull()
     return found.groupBy(*KEYS, "part").agg(
-        yes(own & F.col("is_token")).alias("l1"),
-        yes(own & seen).alias("l2"),
-        yes(syn & (F.col("is_token") | F.col("is_lemma"))).alias("l4"),
+        _yes(own & there & F.coalesce("plain", F.lit(False))).alias("l1"),
+        _yes(own & there).alias("l2"),
+        _yes(syn & there & F.col("plain").isNotNull()).alias("l4"),
     )
 
 
-def match_levels(elements: DataFrame, index: DataFrame, synonyms: DataFrame | None = None,
-                 records: DataFrame | None = None, col: str = "nlt") -> DataFrame:
+def match_levels(elements: DataFrame, index: DataFrame | None = None, synonyms: DataFrame | None = None,
+                 records: DataFrame | None = None, col: str = "nlt", lexicon: DataFrame | None = None,
+                 sentences: bool = True) -> DataFrame:
     """The elements with l1..l4, absent, matched_tokens and, with ``records``, sent_indices.
 
     ``elements`` holds dataset, id, kind, owner, name. Any part of a name may
-    match; a name without letters is absent.
+    match; a name without letters is absent. With an ``index`` of the texts the
+    parts are looked up there; without one, ``records`` and ``lexicon`` are asked
+    for just the words that would answer. ``sentences=False`` leaves sent_indices out.
     """
     parts = elements.select(
         *KEYS, *_ELEMENT, F.explode_outer(F.array_distinct(split_identifier("name"))).alias("part")
     )
-    levels = part_levels(parts.filter(F.col("part").isNotNull()), index, synonyms)
-    yes = lambda c: F.coalesce(F.max(c), F.lit(False))
+    asked = parts.filter(F.col("part").isNotNull())
+    if index is None:
+        levels = probed_levels(asked, records, lexicon, synonyms, col)
+    else:
+        levels = part_levels(asked, index, synonyms)
     joined = parts.join(levels, [*KEYS, "part"], "left")
     aggs = [
-        yes("l1").alias("l1"),
-        yes("l2").alias("l2"),
-        yes("l1").alias("l3"),
-        yes("l4").alias("l4"),
+        _yes("l1").alias("l1"),
+        _yes("l2").alias("l2"),
+        _yes("l1").alias("l3"),
+        _yes("l4").alias("l4"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("l4"), F.col("part")))), ",").alias("matched_tokens"),
     ]
-    if records is not None:
+    if records is not None and sentences:
         joined = joined.join(part_sentences(parts, records, col), [*KEYS, "part"], "left")
         aggs.append(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_sents")))).alias("sent_indices"))
     out = joined.groupBy(*KEYS, *_ELEMENT).agg(*aggs)
@@ -169,50 +204,73 @@ def endpoint_elements(relationships: DataFrame) -> DataFrame:
     return rows.select(*KEYS, "kind", F.lit(None).cast("string").alias("owner"), "name").distinct()
 
 
-def match_relationships(relationships: DataFrame, index: DataFrame, records: DataFrame,
-                        synonyms: DataFrame | None = None) -> DataFrame:
-    """The relationships with source_*, target_*, label_* levels and common_sentences."""
-    matched = match_levels(endpoint_elements(relationships), index, synonyms, records)
-    out = relationships
-    for role in ("source", "target", "label"):
-        fields = [F.col(f).alias(f"{role}_{f}") for f in ("l1", "l2", "l3", "l4", "absent", "sent_indices")]
-        side = matched.filter(F.col("kind") == f"rel_{role}").select(*KEYS, F.col("name").alias(role), *fields)
-        out = out.join(side, [*KEYS, role], "left")
+_SHOWN = ["l1", "l2", "l3", "l4", "absent", "sent_indices"]
+
+
+def match_relationships(relationships: DataFrame, index: DataFrame | None, records: DataFrame,
+                        synonyms: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """The relationships with source_*, target_*, label_* levels and common_sentences.
+
+    Every role of a relationship is a row that meets its matched name; one
+    aggregation per relationship brings the roles together. A relationship that
+    is there several times comes back as often.
+    """
+    columns = [c for c in relationships.columns if c not in KEYS]
+    matched = match_levels(endpoint_elements(relationships), index, synonyms, records, lexicon=lexicon)
+    rows = relationships.groupBy(*relationships.columns).agg(F.count("*").alias("_times"))
+    whole = F.struct(*columns, "_times").alias("_r")
+    roles = rows.select(*KEYS, whole, F.explode(F.array(*[
+        F.struct(F.lit(f"rel_{role}").alias("kind"), F.col(role).alias("name")) for role in ("source", "target", "label")
+    ])).alias("_e")).select(*KEYS, "_r", "_e.*")
+    found = roles.join(matched.select(*KEYS, "kind", "name", F.struct(*_SHOWN).alias("_m")), [*KEYS, "kind", "name"], "left")
+    wide = found.groupBy(*KEYS, "_r").agg(*[
+        F.max(F.when(F.col("kind") == f"rel_{role}", F.col("_m"))).alias(f"_{role}") for role in ("source", "target", "label")
+    ])
+    out = wide.select(
+        *[c if c in KEYS else F.col(f"_r.{c}").alias(c) for c in relationships.columns],
+        *[F.col(f"_{role}.{f}").alias(f"{role}_{f}") for role in ("source", "target", "label") for f in _SHOWN],
+        F.explode(F.array_repeat(F.lit(0), F.col("_r._times").cast("int"))).alias("_n"),
+    ).drop("_n")
     return out.withColumn(
         "common_sentences", F.sort_array(F.array_intersect("source_sent_indices", "target_sent_indices"))
     )
 
 
-def match_all(elements: DataFrame, relationships: DataFrame, index: DataFrame, records: DataFrame,
-              synonyms: DataFrame | None = None) -> DataFrame:
+def match_all(elements: DataFrame, relationships: DataFrame, index: DataFrame | None, records: DataFrame,
+              synonyms: DataFrame | None = None, lexicon: DataFrame | None = None, sentences: bool = True) -> DataFrame:
     """One long table over classes, attributes, enum values and relationship ends, in one matching pass."""
     ends = endpoint_elements(relationships).filter(F.col("kind") != "rel_label")
     names = elements.select(*KEYS, *_ELEMENT).unionByName(ends)
-    return match_levels(names, index, synonyms, records)
+    return match_levels(names, index, synonyms, records, lexicon=lexicon, sentences=sentences)
 
 
-def per_element_table(elements: DataFrame, relationships: DataFrame, index: DataFrame, records: DataFrame,
-                      synonyms: DataFrame | None = None) -> DataFrame:
+def per_element_table(elements: DataFrame, relationships: DataFrame, index: DataFrame | None, records: DataFrame,
+                      synonyms: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """dataset, id, kind, name, l1..l4, absent, sent_indices (``;``-joined).
 
     Attributes show as ``Class.attribute``, enum values as ``Enum.value``, each
-    relationship as two endpoint rows, the second marked ``(tgt)``.
+    relationship as two endpoint rows, the second marked ``(tgt)``. Matched names
+    and the names to show are one tagged table, brought together by one
+    aggregation per name.
     """
-    matched = match_all(elements, relationships, index, records, synonyms)
-    fields = ["l1", "l2", "l3", "l4", "absent", "sent_indices"]
-    plain = matched.filter(F.col("kind").isin("class", "attribute", "enum_value")).select(
-        *KEYS, "kind", F.concat_ws(".", "owner", "name").alias("name"), *fields
+    matched = match_all(elements, relationships, index, records, synonyms, lexicon)
+    shown = F.concat(F.col("source"), F.lit("-("), F.col("kind"), F.lit(")->"), F.col("target"))
+    ends = relationships.select(*KEYS, F.inline(F.array(
+        F.struct(F.lit("rel_source").alias("kind"), F.col("source").alias("name"), shown.alias("show")),
+        F.struct(F.lit("rel_target").alias("kind"), F.col("target").alias("name"), F.concat(shown, F.lit(" (tgt)")).alias("show")),
+    )))
+    is_end = F.col("kind").isin("rel_source", "rel_target")
+    rows = matched.select(*KEYS, "kind", "name", F.struct(*_SHOWN).alias("_m"), F.when(
+        ~is_end, F.concat_ws(".", "owner", "name")).alias("show")).unionByName(
+        ends.select(*KEYS, "kind", "name", F.lit(None).cast(matched.select(F.struct(*_SHOWN).alias("m")).schema["m"].dataType).alias("_m"), "show"))
+    # names of one kind differ only by owner, which the text to show carries; an end has one matched row
+    key = F.when(is_end, F.col("name")).otherwise(F.col("show"))
+    brought = rows.withColumn("_key", key).groupBy(*KEYS, "kind", "_key").agg(
+        F.max("_m").alias("_m"), F.collect_list("show").alias("_shows"))
+    return brought.select(
+        *KEYS, F.when(is_end, "rel_endpoint").otherwise(F.col("kind")).alias("kind"), F.explode("_shows").alias("name"),
+        *[F.col(f"_m.{c}").alias(c) for c in _SHOWN[:-1]], F.array_join("_m.sent_indices", ";").alias("sent_indices"),
     )
-    shown = F.concat(F.col("source"), F.lit("-("), F.col("rel_kind"), F.lit(")->"), F.col("target"))
-    rels = relationships.select(*KEYS, "source", "target", F.col("kind").alias("rel_kind"))
-    out = plain
-    for role, suffix in (("source", ""), ("target", " (tgt)")):
-        side = matched.filter(F.col("kind") == f"rel_{role}").select(*KEYS, F.col("name").alias(role), *fields)
-        ends = rels.join(side, [*KEYS, role]).select(
-            *KEYS, F.lit("rel_endpoint").alias("kind"), F.concat(shown, F.lit(suffix)).alias("name"), *fields
-        )
-        out = out.unionByName(ends)
-    return out.withColumn("sent_indices", F.array_join("sent_indices", ";"))
 
 
 def coverage_summary(matched: DataFrame, records: DataFrame | None = None, rounded: bool = True) -> DataFrame:
@@ -255,6 +313,6 @@ def normalise_names(df: DataFrame, col: str, lemmas: DataFrame, keys: Sequence[s
     """keys, normalised: lower-case words of the column, lemmatised and joined without blanks."""
     words = F.transform(F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(f"({WORD})"), F.lit(1)), F.lower)
     exploded = df.select(*keys, F.posexplode_outer(words).alias("pos", "token"))
-    joined = salted_lookup(exploded, lemmas.select("token", "lemma"), "token", [*keys, "pos"])
+    joined = exploded.join(lemmas.select("token", "lemma"), "token", "left")
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "token").alias("w"))))
     return joined.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda p: p["w"]), "").alias("normalised"))

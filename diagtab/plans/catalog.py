@@ -70,9 +70,14 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.unionByName(ends)
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexicon = L.build_lexicon(fx.lemmas(spark, sf_dir), fx.inflections(spark, sf_dir))
-    return L.build_text_index(fx.placed_records(spark, sf_dir), lexicon)
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.build_lexicon(fx.lemmas(spark, sf_dir), fx.inflections(spark, sf_dir))
+
+
+def _levels(spark: SparkSession, sf_dir: str, elements: DataFrame) -> DataFrame:
+    return L.match_levels(
+        elements, None, fx.synonyms(spark, sf_dir), fx.placed_records(spark, sf_dir), lexicon=_lexicon(spark, sf_dir), sentences=False
+    )
 
 
 # --- text ------------------------------------------------------------------------
@@ -400,12 +405,19 @@ def sentence_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def text_index(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d)
+    return L.build_text_index(fx.placed_records(spark, d), _lexicon(spark, d))
 
 
 @query
 def match_levels(spark: SparkSession, d: str) -> DataFrame:
-    return L.match_levels(fx.elements(spark, d), _index(spark, d), fx.synonyms(spark, d))
+    return _levels(spark, d, fx.elements(spark, d))
+
+
+@query
+def match_levels_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same levels from a built index of the texts."""
+    index = L.build_text_index(fx.placed_records(spark, d), _lexicon(spark, d))
+    return L.match_levels(fx.elements(spark, d), index, fx.synonyms(spark, d))
 
 
 @query
@@ -415,7 +427,9 @@ def sentence_indices(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def match_relationships(spark: SparkSession, d: str) -> DataFrame:
-    m = L.match_relationships(fx.element_relationships(spark, d), _index(spark, d), fx.placed_records(spark, d), fx.synonyms(spark, d))
+    m = L.match_relationships(
+        fx.element_relationships(spark, d), None, fx.placed_records(spark, d), fx.synonyms(spark, d), _lexicon(spark, d)
+    )
     return m.select(
         "dataset", "id", "source", "target", "kind", "source_l1", "source_l2", "source_l4", "target_l1", "target_l2",
         "target_l4", "label_absent", "common_sentences",
@@ -425,14 +439,17 @@ def match_relationships(spark: SparkSession, d: str) -> DataFrame:
 @query
 def per_element_table(spark: SparkSession, d: str) -> DataFrame:
     return L.per_element_table(
-        fx.elements(spark, d), fx.element_relationships(spark, d), _index(spark, d), fx.placed_records(spark, d), fx.synonyms(spark, d)
+        fx.elements(spark, d), fx.element_relationships(spark, d), None, fx.placed_records(spark, d), fx.synonyms(spark, d),
+        _lexicon(spark, d),
     )
 
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:
     """All names with their levels; sentence numbers are left out."""
-    ends = L.endpoint_elements(fx.element_relationships(spark, d)).filter("kind <> 'rel_label'")
-    return L.match_levels(fx.elements(spark, d).unionByName(ends), _index(spark, d), fx.synonyms(spark, d))
+    return L.match_all(
+        fx.elements(spark, d), fx.element_relationships(spark, d), None, fx.placed_records(spark, d), fx.synonyms(spark, d),
+        _lexicon(spark, d), sentences=False,
+    )
 
 
 @query
@@ -442,7 +459,7 @@ def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def absent_names(spark: SparkSession, d: str) -> DataFrame:
-    return L.absent_names(L.match_levels(fx.elements(spark, d), _index(spark, d), fx.synonyms(spark, d)))
+    return L.absent_names(_levels(spark, d, fx.elements(spark, d)))
 
 
 @query
