@@ -55,13 +55,6 @@ def promote_svo(tokens: DataFrame) -> DataFrame:
     return placed.withColumn("promoted", F.coalesce(chosen, F.lit(False))).drop("_verb", "_s", "_o", "_has")
 
 
-def marked_tokens(tokens: DataFrame) -> DataFrame:
-    """The tokens with ``name_lower`` and ``is_class``: is this word, in any case, a class name of the record?"""
-    named = promote_svo(tokens).withColumn("name_lower", F.lower("text"))
-    same_word = Window.partitionBy(*KEYS, "name_lower")
-    return named.withColumn("is_class", F.max(_is_candidate() | F.col("promoted")).over(same_word)).drop("promoted")
-
-
 def class_names(tokens: DataFrame) -> DataFrame:
     """dataset, id, name_lower: what the rules accept as a class in each record."""
     named = promote_svo(tokens).filter(_is_candidate() | F.col("promoted"))
@@ -72,17 +65,20 @@ _ROLES = ("nsubj", "dobj", "pobj", "conj", "prep", "attr", "acomp", "aux")
 
 
 def sentence_trees(tokens: DataFrame) -> DataFrame:
-    """dataset, id, sent_i, nodes: the tokens of a sentence in order, each with its children.
+    """dataset, id, sent_i, nodes, words: the tokens of a sentence in order, each with its children.
 
     Every token goes to its own place and to its head's; one aggregation there
     and one per sentence build the tree in linear time. A sentence is never
     larger than its text. Token numbers may have gaps; a head that is not among
-    the tokens has a place without a token of its own.
+    the tokens has a place without a token of its own. ``words`` are the names
+    that are classes of the record though some token of that name is no
+    candidate: they are found in the trees and shared by all its sentences.
     """
-    fields = [F.col(c) for c in ("i", "text", "name_lower", "lemma", "pos", "tag", "dep", "is_class")]
+    named = tokens.withColumns({"name_lower": F.lower("text"), "candidate": F.coalesce(_is_candidate(), F.lit(False))})
+    fields = [F.col(c) for c in ("i", "text", "name_lower", "lemma", "pos", "tag", "dep", "candidate")]
     me = F.struct(*fields)
     is_kid = (F.col("head_i") != F.col("i")) & (F.col("dep").isin(*_ROLES) | (F.col("name_lower") == "maybe"))
-    rows = marked_tokens(tokens).withColumn("me", me).select(
+    rows = named.withColumn("me", me).select(
         *SENTENCE,
         F.inline(F.array(
             F.struct(F.col("i").alias("at"), F.col("me").alias("own"), F.lit(None).cast(_NODE).alias("kid")),
@@ -93,19 +89,42 @@ def sentence_trees(tokens: DataFrame) -> DataFrame:
         F.max("own").alias("own"), F.sort_array(F.collect_list("kid")).alias("kids")
     )
     ordered = F.array_sort(F.collect_list(F.struct("at", "own", "kids")))
-    return nodes.groupBy(*SENTENCE).agg(ordered.alias("nodes"))
+    sents = nodes.groupBy(*SENTENCE).agg(ordered.alias("nodes"))
+    listed = F.array_distinct(F.flatten(F.collect_list(_class_words(F.col("nodes")))))
+    by_record = sents.groupBy(*KEYS).agg(F.collect_list(F.struct("sent_i", "nodes")).alias("_s"), listed.alias("words"))
+    return by_record.select(*KEYS, "words", F.inline("_s"))
+
+
+def _class_words(nodes: Column) -> Column:
+    """Names of a sentence's candidates and of what its verbs promote (see ``promote_svo``)."""
+    own = F.transform(F.filter(nodes, lambda n: n["own"]["candidate"]), lambda n: n["own"]["name_lower"])
 
+    def promoted(verb: Column) -> Column:
+        def last(dep: str) -> Column:
+            fresh = F.filter(verb["kids"], lambda k: (k["dep"] == dep) & k["pos"].isin("NOUN", "PROPN") & ~k["candidate"])
+            return F.try_element_at(fresh, F.lit(-1))["name_lower"]
 
-_NODE = "struct<i:int,text:string,name_lower:string,lemma:string,pos:string,tag:string,dep:string,is_class:boolean>"
+        both = F.array(last("nsubj"), last("dobj"))
+        return F.when(F.size(F.array_compact(both)) == 2, both).otherwise(F.array().cast("array<string>"))
+
+    verbs = F.filter(nodes, lambda n: n["own"]["pos"] == "VERB")
+    return F.array_distinct(F.concat(own, F.flatten(F.transform(verbs, promoted))))
+
+
+_NODE = "struct<i:int,text:string,name_lower:string,lemma:string,pos:string,tag:string,dep:string,candidate:boolean>"
 
 
 class _Tree:
     """Lookups inside one sentence array."""
 
     def __init__(self, bound: Column):
-        """``bound`` holds the nodes and, computed once, their numbers."""
+        """``bound`` holds the nodes, their numbers, computed once, and the class words of the record."""
         self.nodes = bound["nodes"]
         self.numbers = bound["numbers"]
+        self.words = bound["words"]
+
+    def is_class(self, t: Column) -> Column:
+        return t["candidate"] | F.array_contains(self.words, t["name_lower"])
 
     def all_kids(self, i: Column) -> Column:
         return F.get(self.nodes, place_of(self.numbers, i))["kids"]
@@ -114,7 +133,7 @@ class _Tree:
         return F.filter(self.all_kids(i), lambda k: k["dep"].isin(*deps))
 
     def classes(self, i: Column, *deps: str) -> Column:
-        return F.filter(self.kids(i, *deps), lambda k: k["is_class"])
+        return F.filter(self.kids(i, *deps), self.is_class)
 
     def with_conjuncts(self, found: Column) -> Column:
         """Role tokens and their ``conj`` children (one level), which share the role."""
@@ -228,7 +247,7 @@ def _generalization_rule(tree: _Tree) -> Column:
     """
 
     def usable(t: Column) -> Column:
-        return t["is_class"] & ~t["name_lower"].isin(*GENERALIZATION_RESERVED)
+        return tree.is_class(t) & ~t["name_lower"].isin(*GENERALIZATION_RESERVED)
 
     def first(found: Column, at: int = 1) -> Column:
         return F.try_element_at(F.filter(found, usable), F.lit(at))["text"]
@@ -287,7 +306,7 @@ def apply_rules(tokens: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
                 parts.append(_verb_rule(tree, rule))
         return F.concat(*[p.cast(_RELATIONS) for p in parts])
 
-    bound = F.struct(F.col("nodes"), F.transform("nodes", lambda n: n["at"]).alias("numbers"))
+    bound = F.struct("nodes", "words", F.transform("nodes", lambda n: n["at"]).alias("numbers"))
     return sentence_trees(tokens).select(*SENTENCE, F.inline(let(bound, found)))
 
 
