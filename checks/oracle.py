@@ -555,8 +555,23 @@ def statements() -> dict[str, str]:
           CASE WHEN o_orderkey % 2 = 0 THEN '[B' || o_orderkey || ']' ELSE '[]' END AS inheritance FROM orders"""
 
     # markup
-    out["classify_line"] = sql("cust", select="""
-        SELECT dataset, id, unnest(['enum','class','attribute','relationship']) AS kind, unnest([1, nc + 1, n + ns, nl])::BIGINT AS n FROM cust""")
+    starts = """
+        , c AS (SELECT q.dataset, q.id, cls, q.n, 5 + u.ns + coalesce(sum(q.n + 2) OVER (PARTITION BY q.id ORDER BY cls ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+          FROM cls q JOIN cust u ON u.id = q.id)"""
+    arrow = "CASE st WHEN 'F' THEN '*--' WHEN 'O' THEN '--' ELSE 'o--' END"
+    out["classify_line"] = sql("cls", "link", "cust", "ord", select=starts + f"""
+        SELECT dataset, id, line_no::BIGINT AS line_no, content, kind FROM (
+          SELECT dataset, id, 2 AS line_no, 'enum Status {{' AS content, 'enum' AS kind FROM cust
+          UNION ALL SELECT dataset, id, 2 + row_number() OVER (PARTITION BY id ORDER BY st), st, 'attribute' FROM (SELECT DISTINCT dataset, id, st FROM ord)
+          UNION ALL SELECT dataset, id, 4 + ns, 'class Customer {{ }}', 'class' FROM cust
+          UNION ALL SELECT dataset, id, s, 'class ' || cls || ' {{', 'class' FROM c
+          UNION ALL SELECT o.dataset, o.id, c.s + row_number() OVER (PARTITION BY o.id, o.cls ORDER BY k), 'order_' || k || ' : Double', 'attribute'
+            FROM ord o JOIN c ON c.id = o.id AND c.cls = o.cls
+          UNION ALL SELECT l.dataset, l.id, 4 + u.ns + u.n + 2 * u.nc + row_number() OVER (PARTITION BY l.id ORDER BY l.cls, l.o),
+            'Customer "1" ' || {arrow} || ' "' || l.n || '" ' || cls || ' : ' || st, 'relationship' FROM link l JOIN cust u ON u.id = l.id)""")
+    out["classify_loose_line"] = sql("loose_lines", select="""
+        SELECT dataset, id, line_no::BIGINT AS line_no, t AS content, CASE WHEN what IN ('linkF', 'linkP') THEN 'relationship' WHEN what = 'attribute' THEN 'attribute'
+          WHEN t LIKE 'note %' THEN 'note' ELSE 'unknown' END AS kind FROM loose_lines WHERE what NOT IN ('marker', 'comment') AND t <> 'end note'""")
     out["assign_constructs"] = sql("cls", "link", "cust", select="""
         , c AS (SELECT q.dataset, q.id, cls, q.n, 5 + u.ns + coalesce(sum(q.n + 2) OVER (PARTITION BY q.id ORDER BY cls ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
           FROM cls q JOIN cust u ON u.id = q.id)
@@ -571,8 +586,10 @@ def statements() -> dict[str, str]:
         SELECT dataset, id, cls AS name, false AS is_abstract FROM cls UNION ALL SELECT dataset, id, 'Customer', false FROM cust""")
     out["extract_attributes"] = sql("ord", select="""
         SELECT dataset, id, cls AS class, 'order_' || k AS name, 'Double' AS type, false AS is_constant FROM ord""")
-    out["standalone_attributes"] = sql("ord", select="""
+    out["loose_attributes"] = sql("ord", select="""
         SELECT dataset, id, cls AS class, 'order_' || k AS name, 2 + row_number() OVER (PARTITION BY id ORDER BY cls, k) AS line_no, false AS declared FROM ord""")
+    out["standalone_attributes"] = sql("ord", select="""
+        SELECT dataset, id, cls AS class, 'order_' || k AS name, 2 + row_number() OVER (PARTITION BY id ORDER BY cls, k) AS line_no FROM ord""")
     out["extract_enums"] = sql("link", select="""
         SELECT dataset, id, 'Status' AS name, string_agg(DISTINCT st, '|' ORDER BY st) AS values, false AS is_inline FROM link GROUP BY ALL""")
     out["extract_notes"] = sql("cust", select="""
@@ -592,16 +609,21 @@ def statements() -> dict[str, str]:
           p AS n_rels_aggregation, {zero}
         FROM cust c JOIN (SELECT id, count_if(st = 'O')::BIGINT AS a, count_if(st = 'F')::BIGINT AS f, count_if(st = 'P')::BIGINT AS p FROM link GROUP BY id) l ON l.id = c.id"""
     out["diagram_counts"] = sql("cust", "link", select=counts.format(enums=1, implicit=0, label="c.nl", zero=counts_zero))
-    out["render_diagram"] = out["diagram_counts"]
     out["loose_diagram_counts"] = sql("cust", "link", select="""
         SELECT c.dataset, c.id, c.nc AS n_classes, 0::BIGINT AS n_enums, 1::BIGINT AS n_implicit_classes, c.n AS n_attributes,
           c.nl AS n_relationships, c.nl AS n_rels_with_card, c.nl AS n_rels_with_label, a AS n_rels_association, f AS n_rels_directed,
           p AS n_rels_composition, 0::BIGINT AS n_rels_inheritance, 0::BIGINT AS n_rels_aggregation, 0::BIGINT AS n_rels_dependency,
           0::BIGINT AS n_rels_association_class
         FROM cust c JOIN (SELECT id, count_if(st = 'O')::BIGINT AS a, count_if(st = 'F')::BIGINT AS f, count_if(st = 'P')::BIGINT AS p FROM link GROUP BY id) l ON l.id = c.id""")
-    out["nest_diagram"] = sql("cls", "cust", select="""
-        SELECT c.dataset, c.id, 'Customer:0|' || string_agg(cls || ':' || q.n, '|' ORDER BY cls) AS classes, 1::BIGINT AS n_enums, any_value(c.nl) AS n_rels,
-          0::BIGINT AS n_implicit, 0::BIGINT AS n_notes FROM cust c JOIN cls q ON q.id = c.id GROUP BY c.dataset, c.id""")
+    out["nest_diagram"] = sql("ord", "link", "cust", select="""
+        , a AS (SELECT id, cls, '{"name":"' || cls || '","is_abstract":false,"attributes":[' || string_agg('{"name":"order_' || k || '","type":"Double","is_constant":false}', ','
+            ORDER BY k) || '],"nested_enum_names":[]}' AS t FROM ord GROUP BY id, cls),
+        b AS (SELECT id, '[{"name":"Customer","is_abstract":false,"attributes":[],"nested_enum_names":[]},' || string_agg(t, ',' ORDER BY cls) || ']' AS t FROM a GROUP BY id),
+        e AS (SELECT id, '[{"name":"Status","values":[' || string_agg(DISTINCT '"' || st || '"', ',' ORDER BY '"' || st || '"') || '],"is_inline":false}]' AS t FROM ord GROUP BY id),
+        r AS (SELECT id, '[' || string_agg('{"source":"Customer","target":"' || cls || '","kind":"' || CASE st WHEN 'F' THEN 'composition' WHEN 'O' THEN 'association'
+            ELSE 'aggregation' END || '","source_card":"1","target_card":"' || n || '","label":"' || st || '"}', ',' ORDER BY cls, o) || ']' AS t FROM link GROUP BY id)
+        SELECT c.dataset, c.id, b.t AS classes, e.t AS enums, r.t AS relationships, '[]' AS implicit_classes, '[]' AS notes
+        FROM cust c JOIN b ON b.id = c.id JOIN e ON e.id = c.id JOIN r ON r.id = c.id""")
     out["diagram_graph"] = sql("rel", select="""
         SELECT dataset, id, source, target, kind AS type, source_card AS card1, target_card AS card2, lower(label) AS label FROM rel
         UNION ALL SELECT dataset, id, target, source, kind, target_card, source_card, lower(label) FROM rel WHERE kind = 'association'""")
@@ -611,6 +633,12 @@ def statements() -> dict[str, str]:
     out["render_elements"] = sql("rel", select="""
         SELECT dataset, id, source || ' "1" ' || CASE kind WHEN 'composition' THEN '*--' WHEN 'aggregation' THEN 'o--' ELSE '--' END || ' "' || target_card
           || '" ' || target || ' : ' || label AS text FROM rel""")
+    out["render_members"] = sql("ord", "cls", "cust", select="""
+        SELECT dataset, id, 'attribute' AS kind, 'order_' || k || ' : Double' AS text FROM ord
+        UNION ALL SELECT dataset, id, 'enum', 'enum Status { ' || string_agg(DISTINCT st, ', ' ORDER BY st) || ' }' FROM ord GROUP BY dataset, id
+        UNION ALL SELECT dataset, id, 'class', 'class ' || cls FROM cls UNION ALL SELECT dataset, id, 'class', 'class Customer' FROM cust""")
+    out["lookups"] = sql("cls", "cust", select="""
+        SELECT dataset, id, cls AS name, 'class' AS kind FROM cls WHERE cls = 'P_1_URGENT' UNION ALL SELECT dataset, id, 'Status', 'enum' FROM cust""")
     out["parse_warnings"] = sql("loose_lines", select="""
         SELECT dataset, id, line_no::BIGINT AS line_no, 'Line ' || line_no || ': Skipped ''' || t || '''' AS warning FROM loose_lines WHERE what = 'unknown'""")
     out["error_context"] = sql("loose_lines", select="""
@@ -622,7 +650,7 @@ def statements() -> dict[str, str]:
     out["line_violations"] = sql("bad_lines", select="SELECT * FROM bad_lines")
     out["declare_missing"] = sql("cust", select="SELECT dataset, id, 'Customer' AS name, 'class Customer { }' AS line FROM cust")
     out["drop_malformed_relationships"] = sql("loose_lines", select="""
-        SELECT dataset, id, count(*) FILTER (what <> 'linkP')::BIGINT AS n_lines FROM loose_lines GROUP BY ALL""")
+        SELECT dataset, id, string_agg(t, chr(10) ORDER BY line_no) FILTER (what <> 'linkP') AS puml FROM loose_lines GROUP BY ALL""")
     out["record_checks"] = sql("cust", select=f"""
         SELECT source AS dataset, doc_id AS id, CASE WHEN {_strip('text')} = '' THEN 'empty input' WHEN lower(text) NOT LIKE '%@startuml%'
           THEN 'missing @startuml marker' WHEN lower(text) NOT LIKE '%@enduml%' THEN 'missing @enduml marker' ELSE '' END AS problems FROM documents
@@ -630,14 +658,20 @@ def statements() -> dict[str, str]:
     out["strict_checks"] = sql("cust", select="""
         SELECT dataset, id, 'Explicit class definitions are not allowed. Use implicit definitions via relationships.' AS problems FROM cust
         UNION ALL SELECT dataset, id, '' FROM cust""")
-    out["validate"] = sql("ord", "cust", "link", "cls", select="""
+    whole = """
         , body AS (SELECT id, string_agg(txt, chr(10) ORDER BY cls) AS t FROM (SELECT id, cls, 'class ' || cls || ' {' || chr(10) ||
             string_agg('  order_' || k || ' : Double', chr(10) ORDER BY k) || chr(10) || '}' AS txt FROM ord GROUP BY id, cls) GROUP BY id),
         lits AS (SELECT id, string_agg(DISTINCT '  ' || st || chr(10), '' ORDER BY '  ' || st || chr(10)) AS t FROM ord GROUP BY id),
         lk AS (SELECT id, string_agg('Customer "1" ' || CASE st WHEN 'F' THEN '*--' WHEN 'O' THEN '--' ELSE 'o--' END || ' "' || n || '" ' || cls || ' : ' || st,
             chr(10) ORDER BY cls, o) AS t FROM link GROUP BY id)
-        SELECT c.dataset, c.id, true AS ok, md5('@startuml' || chr(10) || 'enum Status {' || chr(10) || lits.t || '}' || chr(10) || 'class Customer { }' || chr(10)
-          || body.t || chr(10) || lk.t || chr(10) || '@enduml') AS digest, 0::BIGINT AS n_errors
+"""
+    text = """'@startuml' || chr(10) || 'enum Status {' || chr(10) || lits.t || '}' || chr(10) || 'class Customer { }' || chr(10)
+          || body.t || chr(10) || lk.t || chr(10) || '@enduml'"""
+    out["validate"] = sql("ord", "cust", "link", "cls", select=whole + f"""
+        SELECT c.dataset, c.id, true AS ok, md5({text}) AS digest, 0::BIGINT AS n_errors
+        FROM cust c JOIN body ON body.id = c.id JOIN lits ON lits.id = c.id JOIN lk ON lk.id = c.id""")
+    out["render_diagram"] = sql("ord", "cust", "link", "cls", select=whole + f"""
+        SELECT c.dataset, c.id, {text} AS puml
         FROM cust c JOIN body ON body.id = c.id JOIN lits ON lits.id = c.id JOIN lk ON lk.id = c.id""")
     out["validate_loose"] = sql("bad_lines", "link", "cust", select="""
         , good AS (SELECT id, string_agg('Customer "1" ' || CASE st WHEN 'F' THEN '<--' ELSE '-' END || ' "' || n || '" ' || cls || ' : ' || st, chr(10) ORDER BY cls, o) AS t,
@@ -647,9 +681,15 @@ def statements() -> dict[str, str]:
           e.n + CASE WHEN g.id IS NULL THEN 1 ELSE 0 END AS n_errors,
           left(e.t || CASE WHEN g.id IS NULL THEN ' | empty diagram: no class, enum, or relationship lines survived' ELSE '' END, 500) AS error_text
         FROM errs e LEFT JOIN good g ON g.id = e.id""")
-    out["dsl_sections"] = sql("cust", select="""
-        SELECT dataset, id, unnest(['enum', 'class', 'relationship']) AS section, unnest([1, nc + 1, nc])::BIGINT AS n,
-          unnest([3, 5, 7 + nc])::BIGINT AS first_line FROM cust""")
+    out["dsl_sections"] = sql("cust", "ord", select="""
+        , m AS (SELECT dataset, id, cls, count(*) AS n, string_agg('Double order_' || k, ', ' ORDER BY k) AS t, row_number() OVER (PARTITION BY id ORDER BY cls) AS p
+          FROM ord GROUP BY dataset, id, cls)
+        SELECT dataset, id, section, line_no::BIGINT AS line_no, content FROM (
+          SELECT dataset, id, 'enum' AS section, 3 AS line_no, 'Level(' || string_agg(cls, ', ' ORDER BY cls) || ')' AS content FROM m GROUP BY dataset, id
+          UNION ALL SELECT dataset, id, 'class', 5, 'abstract Customer()' FROM cust
+          UNION ALL SELECT dataset, id, 'class', 5 + p, cls || '(' || t || ')' FROM m
+          UNION ALL SELECT m.dataset, m.id, 'relationship', 6 + c.nc + p, CASE WHEN m.n > 1 THEN '1 Customer contain ' || m.n || ' ' || cls
+            ELSE cls || ' inherit Customer' END FROM m JOIN cust c ON c.id = m.id)""")
     out["dsl_elements"] = sql("ord", "cls", "cust", select="""
         SELECT dataset, id, 'enum' AS kind, 'Level' AS name, false AS is_abstract, cls AS member, NULL::VARCHAR AS type FROM cls
         UNION ALL SELECT dataset, id, 'class', 'Customer', true, NULL, NULL FROM cust
@@ -664,10 +704,13 @@ def statements() -> dict[str, str]:
           0::BIGINT AS n_rels_aggregation, 0::BIGINT AS n_rels_dependency, 0::BIGINT AS n_rels_association_class FROM cls GROUP BY ALL""")
     out["parse_failure_report"] = sql("cust", "loose_lines", select="""
         , first_bad AS (SELECT id, arg_min('Unrecognized line ' || line_no || ': ''' || t || '''', line_no) AS e FROM loose_lines WHERE what = 'unknown' GROUP BY id)
-        SELECT dataset, 'strict' AS setting, count(*) AS total, count(*) AS passed, 0::BIGINT AS failed, 100.0::DOUBLE AS success_pct, NULL::VARCHAR AS first_error
-          FROM cust GROUP BY dataset
-        UNION ALL SELECT dataset, 'loose', count(*), count(*) - count(b.id), count(b.id), round(100.0 * (count(*) - count(b.id)) / count(*), 6)::DOUBLE, arg_min(b.e, b.id)
+        SELECT dataset, 'strict' AS setting, count(*) AS total, count(*) AS passed, 0::BIGINT AS failed, 100.0::DOUBLE AS success_pct, NULL::VARCHAR AS first_model,
+          NULL::VARCHAR AS first_setting, NULL::VARCHAR AS first_error FROM cust GROUP BY dataset
+        UNION ALL SELECT dataset, 'loose', count(*), count(*) - count(b.id), count(b.id), round(100.0 * (count(*) - count(b.id)) / count(*), 6)::DOUBLE,
+          CASE WHEN count(b.id) > 0 THEN dataset END, CASE WHEN count(b.id) > 0 THEN 'loose' END, arg_min(b.e, b.id)
           FROM cust c LEFT JOIN first_bad b ON b.id = c.id GROUP BY dataset""")
+    out["failure_patterns"] = sql("loose_lines", select="""
+        SELECT '??' AS error_type, count(DISTINCT id) AS n FROM loose_lines WHERE what = 'unknown'""")
 
     # comparison
     out["element_sets"] = sql("side_a", select="SELECT * FROM side_a")
@@ -677,7 +720,23 @@ def statements() -> dict[str, str]:
         for n, c in (("only_in_first", "in_a AND NOT in_b"), ("only_in_second", "in_b AND NOT in_a"), ("intersection", "in_a AND in_b"))
     )
     out["set_diff"] = sql("both_sides", select=f"SELECT dataset, id, kind, {lists} FROM both_sides GROUP BY ALL")
-    out["cross_dataset_report"] = sql("cross_jaccard", select=f"""
+    three = ("classes", "attributes", "relationships")
+    sides = (("only_in_first", "in_a AND NOT in_b"), ("only_in_second", "in_b AND NOT in_a"), ("intersection", "in_a AND in_b"))
+    out["compare"] = sql("both_sides", select="""
+        SELECT dataset, id, """ + ", ".join(
+        _r(f"count_if(kind = '{k}' AND in_a AND in_b) / count_if(kind = '{k}')") + f" AS jaccard_{k}" for k in (*three, "enum_values")) + ", " + ", ".join(
+        f"coalesce(string_agg(key, '|' ORDER BY key) FILTER (kind = '{k}' AND {c}), '') AS {n}_{k}" for k in three for n, c in sides) + """
+        FROM both_sides GROUP BY dataset, id""")
+    out["set_members"] = sql("both_sides", select="""
+        SELECT dataset, id, kind, key, CASE WHEN in_a AND in_b THEN 'both' WHEN in_a THEN 'first' ELSE 'second' END AS side FROM both_sides""")
+    side_sizes = """
+        , na AS (SELECT id, count(DISTINCT cls) + 1 AS c, count(DISTINCT (cls, st)) AS r FROM ord GROUP BY id),
+        nb AS (SELECT id, count(DISTINCT cls) + 1 AS c, count(DISTINCT (cls, st)) AS r FROM ord WHERE k % 10 <> 0 GROUP BY id)"""
+    out["cross_dataset_report"] = sql("cross_jaccard", "ord", select=side_sizes + f"""
+        SELECT j.id, {_r('jaccard_classes')} AS jaccard_classes, {_r('jaccard_attributes')} AS jaccard_attributes, {_r('jaccard_rels')} AS jaccard_rels,
+          only_in_first_classes, only_in_second_classes, only_in_first_rels, only_in_second_rels, na.c AS first_n_classes, na.r AS first_n_rels,
+          nb.c AS second_n_classes, nb.r AS second_n_rels FROM cross_jaccard j JOIN na ON na.id = j.id JOIN nb ON nb.id = j.id""")
+    out["cross_report"] = sql("cross_jaccard", select=f"""
         SELECT id, {_r('jaccard_classes')} AS jaccard_classes, {_r('jaccard_attributes')} AS jaccard_attributes, {_r('jaccard_rels')} AS jaccard_rels,
           only_in_first_classes, only_in_second_classes, only_in_first_rels, only_in_second_rels FROM cross_jaccard""")
     out["element_prf"] = sql("set_counts", select=f"""
@@ -693,9 +752,10 @@ def statements() -> dict[str, str]:
     out["match_levels"] = sql("matched", select=f"SELECT dataset, id, kind, owner, name, {flags}, matched_tokens FROM matched WHERE {three}")
     out["match_levels_by_index"] = out["match_levels"]
     out["sentence_indices"] = sql("matched", select=f"SELECT dataset, id, kind, owner, name, array_to_string(sents, '|') AS sent_indices FROM matched WHERE {three}")
-    out["match_relationships"] = sql("rels", "matched", select="""
-        SELECT r.dataset, r.id, r.source, r.target, r.kind, s.l1 AS source_l1, s.l2 AS source_l2, s.l4 AS source_l4, t.l1 AS target_l1, t.l2 AS target_l2,
-          t.l4 AS target_l4, l.absent AS label_absent, array_to_string(list_sort(list_intersect(s.sents, t.sents)), '|') AS common_sentences
+    role = lambda t, n: ", ".join(f"{t}.{f} AS {n}_{f}" for f in ("l1", "l2", "l3", "l4", "absent")) + f", array_to_string({t}.sents, '|') AS {n}_sent_indices"
+    out["match_relationships"] = sql("rels", "matched", select=f"""
+        SELECT r.dataset, r.id, r.source, r.target, r.kind, r.label, {role('s', 'source')}, {role('t', 'target')}, {role('l', 'label')},
+          array_to_string(list_sort(list_intersect(s.sents, t.sents)), '|') AS common_sentences
         FROM rels r JOIN matched s ON s.id = r.id AND s.kind = 'rel_source' AND s.name = r.source
         JOIN matched t ON t.id = r.id AND t.kind = 'rel_target' AND t.name = r.target JOIN matched l ON l.id = r.id AND l.kind = 'rel_label' AND l.name = r.label""")
     out["per_element_table"] = sql("rels", "matched", select=f"""
@@ -706,6 +766,8 @@ def statements() -> dict[str, str]:
     pct = ", ".join(f"{_r('pct_' + c)}::DOUBLE AS pct_{c}" for c in ("l1", "l2", "l3", "l4", "absent"))
     out["coverage_summary"] = sql("coverage", select=f"SELECT dataset, id, kind, n, {pct} FROM coverage")
     out["absent_names"] = sql("matched", select="SELECT name, count(*) AS n FROM matched WHERE kind = 'class' AND absent GROUP BY name")
+    out["absent_totals"] = sql("matched", select="""
+        SELECT count(*) AS n_total, count(DISTINCT name) AS n_unique FROM matched WHERE kind = 'class' AND absent""")
     out["normalise_names"] = sql("elements", "vocabulary", select=r"""
         SELECT dataset, id, kind, owner, name, CASE WHEN lower(name) IN (SELECT token FROM vocabulary) THEN regexp_replace(lower(name), 's$', '') ELSE lower(name) END
           AS normalised FROM elements""")
@@ -721,16 +783,25 @@ def statements() -> dict[str, str]:
         QUALIFY row_number() OVER (PARTITION BY a.dataset, a.id, a.sent_i, b.i ORDER BY a.depth + b.depth) = 1""")
     out["class_attr_bindings"] = sql("attr_bound", select=f"""
         SELECT dataset, id, class, attribute, hop::BIGINT AS hop, sent_i, src_i, tgt_i, {path} FROM attr_bound""")
+    out["class_attr_bindings_gapped"] = sql("attr_bound", select="""
+        SELECT dataset, id, class, attribute, hop::BIGINT AS hop, sent_i, 3 * src_i + 17 * (sent_i % 11) AS src_i, 3 * tgt_i + 17 * (sent_i % 11) AS tgt_i,
+          array_to_string(list_transform(path, lambda x: 3 * x + 17 * (sent_i % 11)), '|') AS path, array_to_string(texts, ' ') AS path_text FROM attr_bound""")
     out["class_attr_bindings_cross"] = sql("hits", "closure", select="""
-        , best AS (SELECT a.dataset, a.id, c.name AS class, a.name AS attribute, a.sent_i, x.depth + y.depth AS hop
+        , best AS (SELECT a.dataset, a.id, c.name AS class, a.name AS attribute, a.sent_i, x.i AS src_i, y.i AS tgt_i, x.depth + y.depth AS hop,
+            list_concat(x.path, list_reverse(y.path[1:len(y.path) - 1])) AS path, list_concat(x.texts, list_reverse(y.texts[1:len(y.texts) - 1])) AS texts
           FROM hits a JOIN hits c ON c.dataset = a.dataset AND c.id = a.id AND c.kind = 'class' AND c.sent_i = a.sent_i
           JOIN closure x ON x.dataset = c.dataset AND x.id = c.id AND x.sent_i = c.sent_i AND x.i = c.i
           JOIN closure y ON y.dataset = a.dataset AND y.id = a.id AND y.sent_i = a.sent_i AND y.i = a.i AND y.anc = x.anc
           WHERE a.kind = 'attribute' AND x.depth + y.depth <= 4
-          QUALIFY row_number() OVER (PARTITION BY a.dataset, a.id, c.name, a.name ORDER BY x.depth + y.depth, a.sent_i) = 1)
-        SELECT dataset, id, count(*) AS n, sum(hop)::BIGINT AS hops, sum(sent_i)::BIGINT AS sents FROM best GROUP BY ALL""")
-    out["relationship_bindings"] = sql("rel_bound", select=f"""
-        SELECT dataset, id, source, target, n_sentences, hop::BIGINT AS hop, sent_i, src_i, tgt_i, {path} FROM rel_bound""")
+          QUALIFY row_number() OVER (PARTITION BY a.dataset, a.id, c.name, a.name ORDER BY x.depth + y.depth, a.sent_i, x.i, y.i) = 1),
+        t AS (SELECT dataset, id, class, attribute || ':' || hop || ':' || sent_i || ':' || src_i || ':' || tgt_i || ':' || array_to_string(path, '-') || ':'
+          || array_to_string(texts, ' ') AS shown FROM best)
+        SELECT dataset, id, class, count(*) AS n, md5(string_agg(shown, '|' ORDER BY shown)) AS digest FROM t GROUP BY ALL""")
+    out["relationship_bindings"] = sql("rel_paths", "rel_bound", select=f"""
+        , every AS (SELECT dataset, id, source, target, string_agg(sent_i || ':' || hop || ':' || src_i || ':' || tgt_i || ':' || array_to_string(texts, ' '), '|' ORDER BY sent_i)
+          AS all_sentences FROM rel_paths GROUP BY ALL)
+        SELECT dataset, id, source, target, n_sentences, hop::BIGINT AS hop, sent_i, src_i, tgt_i, {path}, all_sentences
+        FROM rel_bound JOIN every USING (dataset, id, source, target)""")
     out["kind_coverage"] = sql("kind_cov", select=f"SELECT dataset, id, rel_kind, n, n_bound, {_r('pct_bound')}::DOUBLE AS pct_bound FROM kind_cov")
     out["binding_summary"] = sql("bindings", select=f"""
         SELECT dataset, id, n_attrs_total, n_attrs_bound, {_r('pct_attrs_bound')}::DOUBLE AS pct_attrs_bound, n_rels_total, n_rels_bound,
@@ -752,13 +823,24 @@ def statements() -> dict[str, str]:
           UNION ALL SELECT d.dataset, d.id, d.sent_i, d.i, d.head_i, d.depth + 1, t.head_i, t.i FROM d JOIN tokens t
             ON t.dataset = d.dataset AND t.id = d.id AND t.sent_i = d.sent_i AND t.i = d.nxt WHERE d.nxt <> d.at AND d.depth < 32)
         SELECT dataset, id, {_r('avg(m)')} AS mean_root_distance FROM (SELECT dataset, id, sent_i, i, max(depth) AS m FROM d GROUP BY ALL) GROUP BY ALL""")
+    out["mean_root_distance_gapped"] = out["mean_root_distance"]
     out["token_graph"] = sql("tokens", select=f"""
         SELECT dataset, id, count(*) AS n_nodes, count_if(head_i <> i)::BIGINT AS n_edges, count_if(dep IN ('nsubj', 'dobj', 'pobj'))::BIGINT AS n_noun_chunks,
           {_r('count_if(head_i <> i) / count(*)')} AS mean_children FROM tokens GROUP BY ALL""")
     out["token_edges"] = sql("tokens", select="SELECT dataset, id, sent_i, head_i AS src, i AS tgt, dep FROM tokens WHERE head_i <> i")
 
     # extraction
-    out["candidate_nouns"] = sql("class_words", select="SELECT * FROM class_words")
+    out["class_names"] = sql("class_words", select="SELECT * FROM class_words")
+    out["candidate_nouns"] = sql("tokens", select="SELECT dataset, id, sent_i, i, text, lemma, tag, dep FROM tokens WHERE pos = 'NOUN' AND "
+        "text NOT IN ('i.e','e.g','etc','cf','vs','al','viz','approx','yes','no','true','false')")
+    out["promote_svo"] = sql("tokens", select="""
+        , f AS (SELECT *, CASE WHEN pos = 'VERB' THEN i ELSE head_i END AS v, pos = 'NOUN'
+            AND (text LIKE 't%' OR text IN ('i.e','e.g','etc','cf','vs','al','viz','approx','yes','no','true','false')) AS fresh FROM tokens),
+        w AS (SELECT dataset, id, sent_i, v, max(CASE WHEN fresh AND dep = 'nsubj' THEN i END) AS s, max(CASE WHEN fresh AND dep = 'dobj' THEN i END) AS o
+          FROM f GROUP BY ALL HAVING bool_or(pos = 'VERB'))
+        SELECT f.dataset, f.id, f.sent_i, f.i, CASE WHEN text LIKE 't%' THEN '-' || text ELSE text END AS text,
+          fresh AND coalesce(w.s IS NOT NULL AND w.o IS NOT NULL AND (f.i = w.s OR f.i = w.o), false) AS promoted
+        FROM f LEFT JOIN w ON w.dataset = f.dataset AND w.id = f.id AND w.sent_i = f.sent_i AND w.v = f.v""")
     cap = lambda x: f"upper(left({x}, 1)) || lower(substr({x}, 2))"
     card = lambda x: f"CASE WHEN {x} = 'NNS' THEN '1..*' ELSE '1' END"
     rules = {
@@ -799,8 +881,22 @@ def statements() -> dict[str, str]:
     }
     for rule, (views, final) in rules.items():
         out[f"extract_{rule}"] = sql("tokens", "roles", "objects", "class_words", select=views + final)
-    union = " UNION ALL ".join(f"SELECT '{rule}' AS rule, id, source, target FROM ({final})" for rule, (_, final) in rules.items())
+    kinds = {"association": "--", "aggregation": "o--", "composition": "*--", "include": "*--", "generalization": "<|--"}
+    shown = " UNION ALL ".join(
+        f"SELECT id, source, target, source || ' {arrow} ' || target AS line FROM ({final})" if rule == "generalization" else
+        f"""SELECT id, source, target, source || ' "' || source_card || '" {arrow} "' || target_card || '" ' || target{" || ' : ' || label" * (rule == "association")} AS line FROM ({final})"""
+        for (rule, (_, final)), arrow in zip(rules.items(), kinds.values()))
     out["relations_to_diagram"] = sql("tokens", "roles", "objects", "class_words", select="".join(v for v, _ in rules.values()) + f"""
+        , r AS MATERIALIZED ({shown}),
+        l AS (SELECT id, line FROM r UNION ALL SELECT id, 'class ' || name || ' {{ }}' FROM (SELECT DISTINCT id, name FROM
+            (SELECT id, source AS name FROM r UNION ALL SELECT id, target FROM r))
+          UNION ALL SELECT DISTINCT id, unnest(['@startuml', '@enduml']) FROM r),
+        g AS (SELECT id, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line)) AS h FROM l GROUP BY id)
+        SELECT d.source AS dataset, d.doc_id AS id, g.id IS NULL AS failed, CASE WHEN g.id IS NULL THEN 'no_relations' END AS error,
+          coalesce(n, 1)::BIGINT AS n_lines, coalesce(h, md5('')) AS digest FROM documents d LEFT JOIN g ON g.id = d.doc_id""")
+    out["extract_association_gapped"] = out["extract_association"]
+    union = " UNION ALL ".join(f"SELECT '{rule}' AS rule, id, source, target FROM ({final})" for rule, (_, final) in rules.items())
+    out["relations_read_back"] = sql("tokens", "roles", "objects", "class_words", select="".join(v for v, _ in rules.values()) + f"""
         , r AS MATERIALIZED ({union}),
         n AS (SELECT id, count(*) AS n_relationships, count_if(rule = 'association')::BIGINT AS a, count_if(rule = 'aggregation')::BIGINT AS g,
           count_if(rule IN ('composition', 'include'))::BIGINT AS c, count_if(rule = 'generalization')::BIGINT AS i FROM r GROUP BY id),
@@ -836,9 +932,10 @@ def statements() -> dict[str, str]:
         SELECT candidate, dataset, run_index::BIGINT AS run_index, count(*) AS n_records, count_if(id % 10 = 0)::BIGINT AS n_failed_generate,
           count_if(error IS NOT NULL AND id % 10 <> 0)::BIGINT AS n_failed_score, sum(id % 7)::DOUBLE AS elapsed_seconds FROM scores GROUP BY ALL""")
     bucket_of = lambda c: "CASE " + " ".join(f"WHEN {c} < {u} THEN {i}" for i, u in enumerate((0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9))) + " ELSE 9 END"
+    elements = ("class_score", "attribute_score", "association_score")
     out["build_run_records"] = sql("scores", select=f"""
-        SELECT candidate, dataset, run_index::BIGINT AS run_index, {label('(' + bucket_of('class_score') + ')')} AS class_bucket,
-          {label('(' + bucket_of('association_score') + ')')} AS association_bucket, count(*) AS n FROM scores GROUP BY ALL""")
+        SELECT candidate, dataset, model, run_index::BIGINT AS run_index, id::VARCHAR AS id, error AS s_error, {", ".join(f"{_r(e)} AS s_{e}" for e in elements)},
+          {", ".join(f"{label('(' + bucket_of(e) + ')')} AS b_{e}" for e in elements)} FROM scores""")
     out["per_run_table"] = sql("long_scores", select=f"""
         SELECT dataset, candidate, model, run_index::BIGINT AS run_index, element, count(score) AS n, count(error) AS failed, {_s('median(score)')} AS median,
           {_s('stddev_pop(score)')} AS std, {_s('avg(score)')} AS mean FROM long_scores GROUP BY dataset, candidate, model, run_index, element""")
@@ -856,7 +953,7 @@ def statements() -> dict[str, str]:
     f1 = lambda k: f"coalesce({_r(f'max(2 * n_both / (n_first + n_second)) FILTER (s.kind = {chr(39)}{k}{chr(39)})')}, 0.0)"
     out["score_pairs"] = sql("cust", "set_counts", select=f"""
         SELECT c.dataset, c.id, {f1('classes')} AS class_score, {f1('attributes')} AS attribute_score, {f1('relationships')} AS association_score,
-          CASE WHEN count(s.kind) = 0 THEN 'empty_generated_model' END AS error FROM cust c LEFT JOIN set_counts s ON s.id = c.id GROUP BY c.dataset, c.id""")
+          '' AS parse_warning_ref, '' AS parse_warning_gen, CASE WHEN count(s.kind) = 0 THEN 'empty_generated_model' END AS error FROM cust c LEFT JOIN set_counts s ON s.id = c.id GROUP BY c.dataset, c.id""")
     out["generate"] = r"""
         SELECT source AS dataset, doc_id AS id, text NOT LIKE '%.%' AS failed, CASE WHEN text NOT LIKE '%.%' THEN 'exception: ValueError: no sentence' END AS error,
           CASE WHEN text NOT LIKE '%.%' THEN 0 ELSE 25 + length(len(regexp_extract_all(text, '[^\p{Z}\t-\r\x{1C}-\x{1F}\x{85}]+'))::VARCHAR) END::BIGINT AS n_chars FROM documents"""
@@ -864,7 +961,7 @@ def statements() -> dict[str, str]:
         SELECT source AS dataset, doc_id AS id, '@startuml' || chr(10) || 'class A' || chr(10) || 'class B' || chr(10) || 'A -- B' || chr(10) || '@enduml' AS generated,
           false AS failed, NULL::VARCHAR AS error, '' AS raw_excerpt FROM documents"""
     out["annotate"] = sql("words", select="""
-        SELECT dataset, id, count(*) AS n, max(sent_i) AS last_sentence, max(r) AS last_i FROM words GROUP BY ALL""")
+        SELECT dataset, id, sent_i, r AS i, w AS text, w AS lemma, 'X' AS pos, '' AS tag, 'ROOT' AS dep, r AS head_i FROM words""")
 
     # runs
     out["expand_matrix"] = sql("plan", select="SELECT * FROM plan")
@@ -881,6 +978,7 @@ def statements() -> dict[str, str]:
     out["exclude_examples"] = """
         SELECT source AS dataset, doc_id AS id, s.strategy FROM documents CROSS JOIN (VALUES ('q0'), ('q1')) s(strategy)
         WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND 'q' || l.quality = s.strategy)"""
+    out["exclude_listed"] = "SELECT source AS dataset, doc_id AS id FROM documents WHERE doc_id NOT IN (0, 3, 50)"
     nl = "chr(10)"
     block = f"'### Example' || {nl} || {nl} || 'Requirements:' || {nl} || text || {nl} || {nl} || 'Diagram:' || {nl} || '@startuml' || {nl} || '@enduml' || {nl}"
     task = f"'### Task' || {nl} || {nl} || 'Requirements:' || {nl} || d.text || {nl} || {nl} || 'Diagram:' || {nl}"
@@ -936,12 +1034,17 @@ def statements() -> dict[str, str]:
           {_r('100.0 * count_if(n_attr_hits > 0) / count(*)')}::DOUBLE AS pct_sents_with_attr_hit,
           {_r('100.0 * count_if(n_rel_endpoint_hits > 0) / count(*)')}::DOUBLE AS pct_sents_with_rel_endpoint_hit FROM sent_hits GROUP BY dataset""")
     out["warning_totals"] = sql("link", select="SELECT dataset, count(*) AS n FROM link WHERE st = 'P' GROUP BY ROLLUP (dataset)")
+    out["warning_samples"] = sql("loose_lines", select="""
+        SELECT dataset, id, 'Line ' || line_no || ': Skipped ' || chr(39) || t || chr(39) AS warning FROM loose_lines WHERE what = 'unknown' ORDER BY dataset, id, line_no LIMIT 5""")
     out["warning_top_records"] = sql("link", select="SELECT id, count(*) AS n FROM link WHERE st = 'P' GROUP BY id ORDER BY n DESC, id LIMIT 10")
     out["jaccard_report"] = sql("cross_jaccard", select=f"""
         , l AS (SELECT unnest(['jaccard_classes', 'jaccard_attributes', 'jaccard_rels']) AS measure, unnest([jaccard_classes, jaccard_attributes, jaccard_rels]) AS x FROM cross_jaccard)
         SELECT measure, count(*) AS n, {_r('avg(x)')} AS mean, {_r('min(x)')} AS min, {_r('max(x)')} AS max, {_r('median(x)')} AS median,
           count_if(x = 1)::BIGINT AS n_perfect FROM l GROUP BY measure""")
-    out["lowest_records"] = sql("cross_jaccard", select=f"SELECT id, {_r('jaccard_rels')} AS jaccard_rels FROM cross_jaccard ORDER BY cross_jaccard.jaccard_rels, id LIMIT 5")
+    out["imperfect_records"] = sql("cross_jaccard", select="SELECT id, only_in_first_classes, only_in_second_classes FROM cross_jaccard WHERE jaccard_classes < 1")
+    out["lowest_records"] = sql("cross_jaccard", "ord", select=side_sizes + f"""
+        SELECT j.id, {_r('jaccard_rels')} AS jaccard_rels, na.r AS first_n_rels, nb.r AS second_n_rels FROM cross_jaccard j JOIN na ON na.id = j.id
+        JOIN nb ON nb.id = j.id ORDER BY j.jaccard_rels, j.id LIMIT 5""")
     ends = f"dataset, id, {_r('pct_rels_bound')}::DOUBLE AS pct_rels_bound, {_r('pct_attrs_bound')}::DOUBLE AS pct_attrs_bound"
     out["extreme_records"] = sql("bindings", select=f"""
         (SELECT {ends}, 'highest' AS end FROM bindings ORDER BY bindings.pct_rels_bound DESC, dataset, id LIMIT 5)
@@ -975,16 +1078,18 @@ def statements() -> dict[str, str]:
           b.n_attrs_bound, {_r('b.pct_rels_bound')}::DOUBLE AS pct_rels_bound, {_r('b.avg_hop_rel')} AS avg_hop_rel, 0::BIGINT AS n_parser_warnings
         FROM features f LEFT JOIN tk ON tk.id = f.id LEFT JOIN style st ON st.id = f.id LEFT JOIN el ON el.id = f.id LEFT JOIN cv ON cv.id = f.id
         LEFT JOIN bindings b ON b.id = f.id""")
-    out["case_study_rows"] = sql("matched", "rels", "attr_bound", "rel_bound", select="""
+    detail = "'{\"sent_i\":' || sent_i || ',\"hop\":' || hop || ',\"path_text\":\"' || array_to_string(texts, ' ') || '\"}'"
+    marks = " || ',' || ".join(f"'\"{f}\":' || {f}::VARCHAR" for f in ("l1", "l2", "l3", "l4", "absent"))
+    out["case_study_rows"] = sql("matched", "rels", "attr_bound", "rel_bound", select=f"""
         , rows AS (
-          SELECT source AS dataset, doc_id AS id, 'text' AS section, NULL AS name, 1 AS w FROM documents
-          UNION ALL SELECT dataset, id, 'class', name, 1 FROM matched WHERE kind = 'class'
-          UNION ALL SELECT dataset, id, 'relationship', source || ' -> ' || target, 1 FROM rels
-          UNION ALL SELECT dataset, id, 'absent_class', name, 1 FROM matched WHERE kind = 'class' AND absent
-          UNION ALL SELECT dataset, id, 'absent_attribute', owner || '.' || name, 1 FROM matched WHERE kind = 'attribute' AND absent
-          UNION ALL SELECT dataset, id, 'attribute_binding', class || '.' || attribute, row_number() OVER (PARTITION BY id ORDER BY class, attribute) FROM attr_bound
-          UNION ALL SELECT dataset, id, 'relationship_binding', source || ' -> ' || target, 1 FROM rel_bound)
-        SELECT dataset, id, section, count(*) AS n, min(name) AS first_name FROM rows WHERE id IN (SELECT doc_id FROM labels) AND w <= 8 GROUP BY ALL""")
+          SELECT source AS dataset, doc_id AS id, 'text' AS section, NULL AS name, CASE WHEN length(text) > 1200 THEN left(text, 1200) ELSE text END AS detail, 1 AS w FROM documents
+          UNION ALL SELECT dataset, id, 'class', name, '{{' || {marks} || '}}', 1 FROM matched WHERE kind = 'class'
+          UNION ALL SELECT dataset, id, 'relationship', source || ' -> ' || target, kind, 1 FROM rels
+          UNION ALL SELECT dataset, id, 'absent_class', name, NULL, 1 FROM matched WHERE kind = 'class' AND absent
+          UNION ALL SELECT dataset, id, 'absent_attribute', owner || '.' || name, NULL, 1 FROM matched WHERE kind = 'attribute' AND absent
+          UNION ALL SELECT dataset, id, 'attribute_binding', class || '.' || attribute, {detail}, row_number() OVER (PARTITION BY id ORDER BY class, attribute) FROM attr_bound
+          UNION ALL SELECT dataset, id, 'relationship_binding', source || ' -> ' || target, {detail}, 1 FROM rel_bound)
+        SELECT dataset, id, section, name, detail FROM rows WHERE id IN (SELECT doc_id FROM labels) AND w <= 8""")
     out["summary_document"] = sql("rel", "ord", select="""
         , k AS (SELECT 'relationship_type_counts' AS section, count(DISTINCT dataset) + 1 AS n FROM rel
           UNION ALL SELECT 'cardinality_patterns', (SELECT count(DISTINCT (dataset, target_card)) FROM rel) + (SELECT count(DISTINCT target_card) FROM rel)

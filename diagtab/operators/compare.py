@@ -153,7 +153,7 @@ def compare(first: DataFrame, second: DataFrame, on: Sequence[str] = M.KEYS, rou
     return sides.groupBy(*on).agg(*aggs).filter("_paired").drop("_paired")
 
 
-def cross_dataset_report(records: DataFrame, first: str, second: str, legacy: bool = False) -> DataFrame:
+def cross_dataset_report(records: DataFrame, first: str, second: str, legacy: bool = False, rounded: bool = True) -> DataFrame:
     """Records with the same id in two datasets: sizes, Jaccards, joined difference lists."""
 
     def of(dataset: str) -> DataFrame:
@@ -165,7 +165,7 @@ def cross_dataset_report(records: DataFrame, first: str, second: str, legacy: bo
             "id", F.col("n_classes").alias(f"{prefix}_n_classes"), F.col("n_relationships").alias(f"{prefix}_n_rels")
         )
 
-    return cross_report(of(first), of(second), legacy).join(sizes(first, "first"), "id", "left").join(
+    return cross_report(of(first), of(second), legacy, rounded).join(sizes(first, "first"), "id", "left").join(
         sizes(second, "second"), "id", "left"
     )
 

@@ -153,8 +153,12 @@ def parse_step_reply(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def classify_line(spark: SparkSession, d: str) -> DataFrame:
-    kinds = _lines(spark, d).select("dataset", "id", M.classify_line("content").alias("kind"))
-    return kinds.groupBy("dataset", "id", "kind").agg(F.count("*").alias("n"))
+    return _lines(spark, d).select("dataset", "id", "line_no", "content", M.classify_line("content").alias("kind"))
+
+
+@query
+def classify_loose_line(spark: SparkSession, d: str) -> DataFrame:
+    return _loose(spark, d).select("dataset", "id", "line_no", "content", M.classify_line("content").alias("kind"))
 
 
 @query
@@ -179,6 +183,12 @@ def extract_attributes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def standalone_attributes(spark: SparkSession, d: str) -> DataFrame:
+    return M.standalone_attributes(_loose(spark, d))
+
+
+@query
+def loose_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes outside of bodies with the classes they create."""
     lines = _loose(spark, d)
     attributes = M.extract_attributes(lines).select("dataset", "id", "class", "name", "line_no")
     return attributes.join(M.extract_classes(lines).select("dataset", "id", F.col("name").alias("class"), "declared"), ["dataset", "id", "class"])
@@ -238,11 +248,7 @@ def loose_diagram_counts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def nest_diagram(spark: SparkSession, d: str) -> DataFrame:
     n = M.nest_diagram(_lines(spark, d))
-    sizes = F.transform("classes", lambda c: F.concat(c["name"], F.lit(":"), F.size(c["attributes"]).cast("string")))
-    return n.select(
-        "dataset", "id", F.sort_array(sizes).alias("classes"), F.size("enums").alias("n_enums"),
-        F.size("relationships").alias("n_rels"), F.size("implicit_classes").alias("n_implicit"), F.size("notes").alias("n_notes"),
-    )
+    return n.select("dataset", "id", *[F.to_json(c).alias(c) for c in ("classes", "enums", "relationships", "implicit_classes", "notes")])
 
 
 @query
@@ -264,14 +270,35 @@ def render_elements(spark: SparkSession, d: str) -> DataFrame:
     return rels.select("dataset", "id", text.alias("text"))
 
 
+@query
+def render_members(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes, enums and classes as single lines."""
+    lines = _lines(spark, d)
+    attribute = M.render_attribute(*[F.col(c) for c in ("name", "type", "default_value", "is_constant")])
+    parts = [
+        M.extract_attributes(lines).select("dataset", "id", F.lit("attribute").alias("kind"), attribute.alias("text")),
+        M.extract_enums(lines).select("dataset", "id", F.lit("enum").alias("kind"), M.render_enum(F.col("name"), F.col("values")).alias("text")),
+        M.extract_classes(lines).select("dataset", "id", F.lit("class").alias("kind"), M.render_class(F.col("name"), F.col("is_abstract")).alias("text")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def lookups(spark: SparkSession, d: str) -> DataFrame:
+    """One class and one enum of every record by name."""
+    lines = _lines(spark, d)
+    classes = M.get_class(M.extract_classes(lines), "P_1_URGENT").select("dataset", "id", "name", F.lit("class").alias("kind"))
+    enums = M.get_enum(M.extract_enums(lines), "Status").select("dataset", "id", "name", F.lit("enum").alias("kind"))
+    return classes.unionByName(enums)
+
+
 @query
 def render_diagram(spark: SparkSession, d: str) -> DataFrame:
-    """Markup to tables to markup to tables."""
+    """Markup to tables to markup."""
     lines = _lines(spark, d)
-    rendered = V.render_diagram(
+    return V.render_diagram(
         M.extract_classes(lines), M.extract_attributes(lines), M.extract_enums(lines), M.extract_relationships(lines)
     )
-    return M.diagram_counts(M.explode_lines(rendered))
 
 
 @query
@@ -300,8 +327,7 @@ def declare_missing(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def drop_malformed_relationships(spark: SparkSession, d: str) -> DataFrame:
-    kept = V.drop_malformed_relationships(fx.loose_diagrams(spark, d))
-    return kept.select("dataset", "id", F.size(F.split("puml", "\n")).alias("n_lines"))
+    return V.drop_malformed_relationships(fx.loose_diagrams(spark, d))
 
 
 @query
@@ -329,9 +355,7 @@ def validate_loose(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dsl_sections(spark: SparkSession, d: str) -> DataFrame:
-    return V.dsl_sections(fx.replies(spark, d)).groupBy("dataset", "id", "section").agg(
-        F.count("*").alias("n"), F.min("line_no").alias("first_line")
-    )
+    return V.dsl_sections(fx.replies(spark, d))
 
 
 @query
@@ -358,7 +382,14 @@ def parse_failure_report(spark: SparkSession, d: str) -> DataFrame:
     status = M.parse_status(texts, keys=["dataset", "id", "setting"])
     results = status.withColumns({"model": F.col("dataset"), "pos": F.col("id")})
     report = V.parse_failure_report(results, ["dataset", "setting"])
-    return report.select("dataset", "setting", "total", "passed", "failed", "success_pct", F.col("first_failure.error").alias("first_error"))
+    first = [F.col(f"first_failure.{c}").alias(f"first_{c}") for c in ("model", "setting", "error")]
+    return report.select("dataset", "setting", "total", "passed", "failed", "success_pct", *first)
+
+
+@query
+def failure_patterns(spark: SparkSession, d: str) -> DataFrame:
+    status = M.parse_status(fx.loose_diagrams(spark, d), keys=["dataset", "id"])
+    return V.failure_patterns(status.withColumn("error_type", F.regexp_extract("error", r"'(\S+)", 1)))
 
 
 # --- comparison ------------------------------------------------------------------------
@@ -386,10 +417,26 @@ def set_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def cross_dataset_report(spark: SparkSession, d: str) -> DataFrame:
+def compare(spark: SparkSession, d: str) -> DataFrame:
+    return X.compare(*_sets(spark, d), rounded=False)
+
+
+@query
+def set_members(spark: SparkSession, d: str) -> DataFrame:
+    return X.set_members(*_sets(spark, d))
+
+
+@query
+def cross_report(spark: SparkSession, d: str) -> DataFrame:
     return X.cross_report(fx.diagrams(spark, d), fx.diagrams(spark, d, "b"), rounded=False)
 
 
+@query
+def cross_dataset_report(spark: SparkSession, d: str) -> DataFrame:
+    both = fx.diagrams(spark, d).withColumn("dataset", F.lit("a")).unionByName(fx.diagrams(spark, d, "b").withColumn("dataset", F.lit("b")))
+    return X.cross_dataset_report(both, "a", "b", rounded=False)
+
+
 @query
 def element_prf(spark: SparkSession, d: str) -> DataFrame:
     return X.element_prf(fx.diagrams(spark, d, "b"), fx.diagrams(spark, d))
@@ -430,10 +477,7 @@ def match_relationships(spark: SparkSession, d: str) -> DataFrame:
     m = L.match_relationships(
         fx.element_relationships(spark, d), None, fx.placed_records(spark, d), fx.synonyms(spark, d), _lexicon(spark, d)
     )
-    return m.select(
-        "dataset", "id", "source", "target", "kind", "source_l1", "source_l2", "source_l4", "target_l1", "target_l2",
-        "target_l4", "label_absent", "common_sentences",
-    )
+    return m
 
 
 @query
@@ -462,6 +506,11 @@ def absent_names(spark: SparkSession, d: str) -> DataFrame:
     return L.absent_names(_levels(spark, d, fx.elements(spark, d)))
 
 
+@query
+def absent_totals(spark: SparkSession, d: str) -> DataFrame:
+    return L.absent_totals(_levels(spark, d, fx.elements(spark, d)))
+
+
 @query
 def normalise_names(spark: SparkSession, d: str) -> DataFrame:
     return L.normalise_names(fx.elements(spark, d), "name", fx.lemmas(spark, d), ["dataset", "id", "kind", "owner", "name"])
@@ -485,13 +534,18 @@ def class_attr_bindings(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def class_attr_bindings_cross(spark: SparkSession, d: str) -> DataFrame:
+    """One digest of all bindings per class, in order of the attributes."""
     b = D.class_attr_bindings(fx.elements(spark, d), fx.tokens(spark, d), cross=True)
-    return b.groupBy("dataset", "id").agg(F.count("*").alias("n"), F.sum("hop").alias("hops"), F.sum("sent_i").alias("sents"))
+    shown = F.concat_ws(":", "attribute", "hop", "sent_i", "src_i", "tgt_i", F.array_join(F.transform("path", lambda x: x.cast("string")), "-"), "path_text")
+    listed = F.array_join(F.sort_array(F.collect_list(shown)), "|")
+    return b.groupBy("dataset", "id", "class").agg(F.count("*").alias("n"), F.md5(listed).alias("digest"))
 
 
 @query
 def relationship_bindings(spark: SparkSession, d: str) -> DataFrame:
-    return D.relationship_bindings(fx.element_relationships(spark, d), fx.tokens(spark, d)).drop("all_sentences")
+    b = D.relationship_bindings(fx.element_relationships(spark, d), fx.tokens(spark, d))
+    each = F.transform("all_sentences", lambda s: F.concat_ws(":", s["sent_i"], s["hop"], s["src_i"], s["tgt_i"], s["path_text"]))
+    return b.withColumn("all_sentences", each)
 
 
 @query
@@ -538,14 +592,48 @@ def token_edges(spark: SparkSession, d: str) -> DataFrame:
     return P.token_edges(fx.tokens(spark, d))
 
 
+def _gapped(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens with numbers that ascend with gaps and start anew at another number in every sentence."""
+    t = fx.tokens(spark, d)
+    return t.withColumns({c: (3 * F.col(c) + 17 * F.pmod("sent_i", F.lit(11))).cast("int") for c in ("i", "head_i")})
+
+
+@query
+def mean_root_distance_gapped(spark: SparkSession, d: str) -> DataFrame:
+    return P.mean_root_distance(_gapped(spark, d))
+
+
+@query
+def class_attr_bindings_gapped(spark: SparkSession, d: str) -> DataFrame:
+    return D.class_attr_bindings(fx.elements(spark, d), _gapped(spark, d))
+
+
+@query
+def extract_association_gapped(spark: SparkSession, d: str) -> DataFrame:
+    return R.extract_association(_gapped(spark, d)).select("dataset", "id", "sent_i", "source", "label", "target", "source_card", "target_card")
+
+
 # --- extraction ----------------------------------------------------------------------------
 
 
 @query
 def candidate_nouns(spark: SparkSession, d: str) -> DataFrame:
+    return R.candidate_nouns(fx.tokens(spark, d)).select("dataset", "id", "sent_i", "i", "text", "lemma", "tag", "dep")
+
+
+@query
+def class_names(spark: SparkSession, d: str) -> DataFrame:
     return R.class_names(fx.tokens(spark, d))
 
 
+@query
+def promote_svo(spark: SparkSession, d: str) -> DataFrame:
+    """Promotion where words that begin with t are no valid names."""
+    t = fx.tokens(spark, d)
+    marked = t.withColumn("text", F.when(t["text"].startswith("t"), F.concat(F.lit("-"), "text")).otherwise(t["text"]))
+    return R.promote_svo(marked).select("dataset", "id", "sent_i", "i", "text", "promoted")
+
+
 _RELATION = ["dataset", "id", "sent_i", "source", "label", "target", "source_card", "target_card"]
 
 
@@ -576,6 +664,14 @@ def extract_generalization(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def relations_to_diagram(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the markup in order of the alphabet, as one digest."""
+    out = R.relations_to_diagram(fx.records(spark, d), fx.tokens(spark, d))
+    lines = F.sort_array(F.split("generated", "\n"))
+    return out.select("dataset", "id", "failed", "error", F.size(lines).alias("n_lines"), F.md5(F.array_join(lines, "\n")).alias("digest"))
+
+
+@query
+def relations_read_back(spark: SparkSession, d: str) -> DataFrame:
     """Rules to markup, read back by the parser."""
     out = R.relations_to_diagram(fx.records(spark, d), fx.tokens(spark, d))
     made = out.filter(~F.col("failed")).select("dataset", "id", F.col("generated").alias("puml"))
@@ -642,8 +738,9 @@ def run_totals(spark: SparkSession, d: str) -> DataFrame:
 @query
 def build_run_records(spark: SparkSession, d: str) -> DataFrame:
     r = G.build_run_records(fx.scores(spark, d))
-    return r.groupBy("candidate", "dataset", "run_index", F.col("buckets.class_score").alias("class_bucket"),
-                     F.col("buckets.association_score").alias("association_bucket")).agg(F.count("*").alias("n"))
+    nested = [F.col(f"{group}.{c}").alias(f"{name}_{c}") for group, name in (("scores", "s"), ("buckets", "b"))
+              for c in (*G.SCORE_ELEMENTS, *(["error"] if group == "scores" else []))]
+    return r.select("candidate", "dataset", "model", "run_index", "id", *nested)
 
 
 @score_query
@@ -676,7 +773,7 @@ def score_pairs(spark: SparkSession, d: str) -> DataFrame:
     a = fx.diagrams(spark, d).select("dataset", "id", F.col("puml").alias("reference"))
     b = fx.diagrams(spark, d, "b").select("dataset", "id", F.col("puml").alias("generated"))
     s = G.score_pairs(a.join(b, ["dataset", "id"], "left"))
-    return s.drop("parse_warning_ref", "parse_warning_gen")
+    return s
 
 
 @query
@@ -700,8 +797,7 @@ def generate_constant(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def annotate(spark: SparkSession, d: str) -> DataFrame:
-    t = P.annotate(fx.placed_records(spark, d))
-    return t.groupBy("dataset", "id").agg(F.count("*").alias("n"), F.max("sent_i").alias("last_sentence"), F.max("i").alias("last_i"))
+    return P.annotate(fx.placed_records(spark, d))
 
 
 # --- runs ------------------------------------------------------------------------------------
@@ -756,6 +852,11 @@ def exclude_examples(spark: SparkSession, d: str) -> DataFrame:
     return B.exclude_examples(records, examples)
 
 
+@query
+def exclude_listed(spark: SparkSession, d: str) -> DataFrame:
+    return B.exclude_listed(fx.records(spark, d).select("dataset", "id"), F.array(*[F.lit(i).cast("long") for i in (0, 3, 50)]))
+
+
 @query
 def build_prompts(spark: SparkSession, d: str) -> DataFrame:
     examples = fx.table(spark, d, "benchmark").select(
@@ -868,6 +969,11 @@ def warning_totals(spark: SparkSession, d: str) -> DataFrame:
     return A.warning_totals(M.parse_warnings(_loose(spark, d)))
 
 
+@query
+def warning_samples(spark: SparkSession, d: str) -> DataFrame:
+    return A.warning_samples(M.parse_warnings(_loose(spark, d)))
+
+
 @query
 def warning_top_records(spark: SparkSession, d: str) -> DataFrame:
     return A.warning_top_records(M.parse_warnings(_loose(spark, d)))
@@ -879,9 +985,15 @@ def jaccard_report(spark: SparkSession, d: str) -> DataFrame:
     return A.jaccard_report(cross, rounded=False)
 
 
+@query
+def imperfect_records(spark: SparkSession, d: str) -> DataFrame:
+    return A.imperfect_records(X.cross_report(fx.diagrams(spark, d), fx.diagrams(spark, d, "b"), rounded=False))
+
+
 @query
 def lowest_records(spark: SparkSession, d: str) -> DataFrame:
-    return A.lowest_records(X.cross_report(fx.diagrams(spark, d), fx.diagrams(spark, d, "b"), rounded=False))
+    both = fx.diagrams(spark, d).withColumn("dataset", F.lit("a")).unionByName(fx.diagrams(spark, d, "b").withColumn("dataset", F.lit("b")))
+    return A.lowest_records(X.cross_dataset_report(both, "a", "b", rounded=False))
 
 
 @query
@@ -937,7 +1049,7 @@ def case_study_rows(spark: SparkSession, d: str) -> DataFrame:
     labelled = fx.table(spark, d, "labels").select(F.col("doc_id").alias("id"))
     selected = r.select("dataset", "id").join(labelled, "id", "left_semi")
     rows = A.case_study_rows(selected, r, _matched(spark, d), rel, D.class_attr_bindings(e, t), D.relationship_bindings(rel, t))
-    return rows.groupBy("dataset", "id", "section").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
+    return rows
 
 
 @query

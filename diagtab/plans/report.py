@@ -155,11 +155,13 @@ def imperfect_records(cross: DataFrame) -> DataFrame:
 
 
 def lowest_records(cross: DataFrame, n: int = 5) -> DataFrame:
-    return cross.orderBy("jaccard_rels", "id").limit(n).select("id", "jaccard_rels")
+    """id, jaccard_rels and, where the report has them, the numbers of relationships of the lowest records."""
+    sizes = [c for c in ("first_n_rels", "second_n_rels") if c in cross.columns]
+    return cross.orderBy("jaccard_rels", "id").limit(n).select("id", "jaccard_rels", *sizes)
 
 
 def extreme_records(wide: DataFrame, n: int = 5, by: str = "pct_rels_bound") -> DataFrame:
-    """end (highest / lowest), place, dataset, id, the measure and pct_attrs_bound; ties by dataset and id.
+    """end (highest / lowest), dataset, id, the measure and pct_attrs_bound; ties by dataset and id.
 
     Two top-n selections; each task keeps n rows.
     """
