@@ -242,13 +242,15 @@ TOKEN_SCHEMA = (
 )
 
 
-def annotate(records: DataFrame, annotator: Callable[[str], list[dict]] | None = None, col: str = "nlt") -> DataFrame:
+def annotate(records: DataFrame, annotator: Callable[[str], list[dict]] | None = None, col: str = "nlt",
+             errors: bool = False) -> DataFrame:
     """dataset, id and token rows of each text.
 
     ``annotator`` is any function from a text to a list of dicts with the token
     fields; it runs per record inside the tasks. Without one, a plain word
     splitter gives text, lower-case lemma and position, and every token is its
-    own root.
+    own root. With ``errors`` a text on which the function fails gives one row
+    without a token whose ``error`` says why; otherwise it fails the job.
     """
     if annotator is None:
         sents = split_sentences(records, col)
@@ -259,19 +261,28 @@ def annotate(records: DataFrame, annotator: Callable[[str], list[dict]] | None =
                 F.lit("ROOT").alias("dep"), i.alias("head_i"),
             ),
         )
-        return sents.select(*KEYS, "sent_i", F.inline(rows))
+        plain = sents.select(*KEYS, "sent_i", F.inline(rows))
+        return plain.withColumn("error", F.lit(None).cast("string")) if errors else plain
     key_fields = [f for f in records.schema.fields if f.name in KEYS]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields) + ", " + TOKEN_SCHEMA
     names = [part.split()[0] for part in TOKEN_SCHEMA.split(", ")]
+    if errors:
+        schema, names = schema + ", error string", [*names, "error"]
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            for dataset, record_id, text in zip(batch["dataset"], batch["id"], batch[col]):
-                found = pd.DataFrame(annotator(text), columns=names)
-                found.insert(0, "id", record_id)
-                found.insert(0, "dataset", dataset)
-                yield found
+            found = []
+            for dataset, record_id, text in zip(batch["dataset"], batch["id"], batch[col], strict=True):
+                try:
+                    tokens = [t | {"dataset": dataset, "id": record_id} for t in annotator(text)]
+                except Exception as exc:
+                    if not errors:
+                        raise
+                    tokens = [{"dataset": dataset, "id": record_id, "error": f"exception: {type(exc).__name__}: {exc}"}]
+                found += tokens
+            frame = pd.DataFrame(found, columns=["dataset", "id", *names])
+            yield frame.astype({c: "Int32" for c in ("sent_i", "i", "head_i")})
 
     return records.select(*KEYS, col).mapInPandas(run, schema.replace("bigint", "long"))

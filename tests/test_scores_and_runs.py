@@ -163,3 +163,24 @@ def test_summary_document_and_histograms(spark):
     doc = S.summary_document({"h": A.histogram_percent(df, "v")})
     assert doc.count() == 2 and json.loads(doc.first().row)["dataset"] == "a"
     assert doc.filter(F.col("section") != "h").count() == 0
+
+
+def test_damaged_empty_and_several_corpora(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps([{"id": "1", "nlt": "t"}, {"id": "2", "nlt": "u", "more": 5}]))
+    (folder / "b.json").write_text("[]")
+    (folder / "c.json").write_text(json.dumps([{"id": "3", "puml": "p"}]))
+    got = S.read_corpus(spark, {"mine": str(folder)}, names={"mine": "own"}).collect()
+    assert sorted((r.dataset, r.id, r.nlt, r.puml) for r in got) == [("own", "1", "t", None), ("own", "2", "u", None), ("own", "3", None, "p")]
+    assert len({r.pos for r in got}) == 3
+    damaged = tmp_path / "damaged.json"
+    damaged.write_text('[{"id": "1", "nlt": "t"}, {"id": "2", "nl')
+    with pytest.raises(Exception, match="damaged.json"):
+        S.read_corpus(spark, {"mine": str(damaged)}, names={"mine": "own"}).collect()
+    broken = tmp_path / "jobs.json"
+    broken.write_text('{"jobs": {"a": ')
+    assert S.read_joblist(spark, str(broken)).count() == 0
+    examples = tmp_path / "examples.json"
+    examples.write_text(json.dumps({"examples": [{"id": "7", "nlt": "n", "model": "m"}, {"id": "8"}]}, indent=1))
+    assert [tuple(r) for r in S.read_examples(spark, str(examples), "s").collect()] == [("s", 0, "7", "n", "m"), ("s", 1, "8", None, None)]

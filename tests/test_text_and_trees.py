@@ -114,3 +114,47 @@ def test_annotate_with_a_user_function(spark):
 
     assert [r.text for r in P.annotate(df, words).orderBy("i").collect()] == ["b", "a"]
     assert P.annotate(df).agg(F.count("*")).first()[0] == 2
+
+
+def test_annotate_keeps_failures_as_rows(spark):
+    df = spark.createDataFrame([("d", i, t) for i, t in enumerate(["b a", "bad", "", "c"])], "dataset string, id long, nlt string").repartition(1)
+
+    def words(text):
+        if text == "bad":
+            raise ValueError("no")
+        return [{"sent_i": 0, "i": i, "text": w, "lemma": w, "pos": "X", "tag": "", "dep": "ROOT", "head_i": i} for i, w in enumerate(text.split())]
+
+    got = sorted((r.id, r.text, r.i, r.error) for r in P.annotate(df, words, errors=True).collect() if r.text) + [
+        (r.id, r.error) for r in P.annotate(df, words, errors=True).collect() if not r.text]
+    assert got == [(0, "a", 1, None), (0, "b", 0, None), (3, "c", 0, None), (1, "exception: ValueError: no")]
+    with pytest.raises(Exception):
+        P.annotate(df, words).collect()
+
+
+def test_token_numbers_with_gaps_and_missing_heads(spark, tokens):
+    """Without punctuation and determiners, numbers have gaps; a token whose head is gone is a root."""
+    rows = [("d", "g", 0, i, w, w, "NOUN", "NN", "conj", h) for i, w, h in ((1, "x", 3), (3, "y", 5), (5, "z", 5), (9, "q", 7))]
+    t = spark.createDataFrame(rows, tokens.schema)
+    chains = {r.i: [n.i for n in r.chain] for r in D.ancestor_chains(t, 4).collect()}
+    assert chains == {1: [1, 3, 5], 3: [3, 5], 5: [5], 9: [9]}
+    assert P.mean_root_distance(t).first().mean_root_distance == pytest.approx(3 / 4)
+    pairs = spark.createDataFrame([("d", "g", 0, 1, 5), ("d", "g", 0, 1, 9)], "dataset string, id string, sent_i int, src_i int, tgt_i int")
+    assert [(r.hop, list(r.path)) for r in D.bounded_tree_paths(t, pairs, 4).collect()] == [(2, [1, 3, 5])]
+    fewer = tokens.where("pos not in ('PUNCT', 'DET', 'ADJ')")
+    shifted = fewer.withColumns({c: F.col(c) * 5 + 40 for c in ("i", "head_i")})
+    shown = lambda df: {tuple(r)[3:] for r in R.extract_relations(df).collect()}
+    assert shown(fewer) == shown(shifted) and len(shown(fewer)) > 8
+
+
+def test_levels_with_and_without_an_index(spark):
+    records = spark.createDataFrame([("d", "1", "Cars stop. A bicycle stops"), ("d", "2", None), ("d", "3", "")], "dataset string, id string, nlt string")
+    names = [("d", i, "class", None, n) for i in "123" for n in ("Car", "stopSign", "Bike", "cars", "42", "")]
+    elements = spark.createDataFrame(names, "dataset string, id string, kind string, owner string, name string")
+    lemmas = spark.createDataFrame([("cars", "car"), ("stops", "stop")], "token string, lemma string")
+    inflections = spark.createDataFrame([("cars", "car", "cars"), ("stop", "stop", "stops")], "token string, singular string, plural string")
+    synonyms = spark.createDataFrame([("bike", "bicycle"), ("car", "stop")], "token string, synonym string")
+    for lexicon in (None, L.build_lexicon(lemmas, inflections)):
+        for words in (None, synonyms):
+            by_index = L.match_levels(elements, L.build_text_index(records, lexicon), words)
+            probed = L.match_levels(elements, None, words, records, lexicon=lexicon, sentences=False)
+            assert sorted(map(str, by_index.collect())) == sorted(map(str, probed.collect()))
