@@ -1067,17 +1067,19 @@ def statements() -> dict[str, str]:
         WITH l AS (SELECT l_returnflag AS dataset, unnest(['l_extendedprice', 'l_quantity']) AS measure, unnest([l_extendedprice, l_quantity])::DOUBLE AS x FROM lineitem)
         SELECT dataset, measure, count(*) AS n, {_r('avg(x)')} AS mean, {_r('stddev_samp(x)')} AS std, {_r('min(x)')} AS min, {_r('quantile_cont(x, 0.25)')} AS q1,
           {_r('median(x)')} AS median, {_r('quantile_cont(x, 0.75)')} AS q3, {_r('max(x)')} AS max FROM l GROUP BY ALL"""
-    out["wide_record_table"] = sql("features", "tokens", "style", "elements", "coverage", "bindings", select=f"""
-        , tk AS (SELECT id, count(*) AS n, count_if(dep = 'nsubj')::BIGINT AS s FROM tokens GROUP BY id),
-        el AS (SELECT id, count_if(kind = 'class')::BIGINT AS c, count_if(kind = 'attribute')::BIGINT AS a FROM elements GROUP BY id),
-        cv AS (SELECT id, max(n) FILTER (kind = 'class') AS cn, max(pct_l1) FILTER (kind = 'class') AS c1, max(pct_absent) FILTER (kind = 'attribute') AS aa,
-          max(pct_l2) FILTER (kind = 'rel_target') AS t2 FROM coverage GROUP BY id)
-        SELECT f.dataset, f.id, f.n_words, f.n_sentences, tk.n AS tok_n_tokens, tk.s AS tok_n_nsubj, st.named_entities AS style_named_entities, el.c AS n_classes,
-          el.a AS n_attributes, cv.cn AS cov_classes_n, {_r('cv.c1')}::DOUBLE AS cov_classes_l1,
-          {_r('cv.aa')}::DOUBLE AS cov_attrs_absent, {_r('cv.t2')}::DOUBLE AS cov_rel_tgt_l2,
-          b.n_attrs_bound, {_r('b.pct_rels_bound')}::DOUBLE AS pct_rels_bound, {_r('b.avg_hop_rel')} AS avg_hop_rel, 0::BIGINT AS n_parser_warnings
-        FROM features f LEFT JOIN tk ON tk.id = f.id LEFT JOIN style st ON st.id = f.id LEFT JOIN el ON el.id = f.id LEFT JOIN cv ON cv.id = f.id
-        LEFT JOIN bindings b ON b.id = f.id""")
+    tok = ("n_tokens", "n_sents", "n_nsubj", "n_nsubjpass", "n_dobj", "n_verbs", "n_nouns", "n_adjectives", "n_noun_chunks", "n_entities", "entity_types",
+           "passive_ratio", "mean_children", "n_unique_lemmas")
+    sty = ("passive_nsubjpass", "active_nsubj", "modal_count", "hedge_count", "named_entities", "passive_ratio", "hedge_density", "modal_density", "entity_density")
+    cov = ", ".join(f"max({c}) FILTER (kind = '{k}') AS cov_{n}_{c.removeprefix('pct_')}" for k, n in (
+        ("class", "classes"), ("attribute", "attrs"), ("enum_value", "enum"), ("rel_source", "rel_src"), ("rel_target", "rel_tgt"))
+        for c in ("n", "pct_l1", "pct_l2", "pct_l3", "pct_l4", "pct_absent"))
+    out["wide_record_table"] = sql("elements", select=f"""
+        , el AS (SELECT id, count_if(kind = 'class')::BIGINT AS n_classes, count_if(kind = 'attribute')::BIGINT AS n_attributes FROM elements GROUP BY id),
+        cv AS (SELECT id, {cov} FROM ({out['coverage_summary']}) GROUP BY id)
+        SELECT f.*, {", ".join(f"t.{c} AS tok_{c}" for c in tok)}, {", ".join(f"s.{c} AS style_{c}" for c in sty)}, el.n_classes, el.n_attributes,
+          cv.* EXCLUDE (id), b.* EXCLUDE (dataset, id), 0::BIGINT AS n_parser_warnings
+        FROM ({out['text_features']}) f LEFT JOIN ({out['token_features']}) t ON t.id = f.id LEFT JOIN ({out['style_features']}) s ON s.id = f.id
+        LEFT JOIN el ON el.id = f.id LEFT JOIN cv ON cv.id = f.id LEFT JOIN ({out['binding_summary']}) b ON b.id = f.id""")
     detail = "'{\"sent_i\":' || sent_i || ',\"hop\":' || hop || ',\"path_text\":\"' || array_to_string(texts, ' ') || '\"}'"
     marks = " || ',' || ".join(f"'\"{f}\":' || {f}::VARCHAR" for f in ("l1", "l2", "l3", "l4", "absent"))
     out["case_study_rows"] = sql("matched", "rels", "attr_bound", "rel_bound", select=f"""

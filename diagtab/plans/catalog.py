@@ -1032,15 +1032,10 @@ def wide_record_table(spark: SparkSession, d: str) -> DataFrame:
     counts = e.groupBy("dataset", "id").agg(
         F.count_if(F.col("kind") == "class").alias("n_classes"), F.count_if(F.col("kind") == "attribute").alias("n_attributes")
     )
-    wide = A.wide_record_table(
+    return A.wide_record_table(
         r, t, e, rel, _matched(spark, d), D.class_attr_bindings(e, t), D.relationship_bindings(rel, t), counts,
         fx.entities(spark, d), fx.chunks(spark, d), rounded=False,
     )
-    return wide.select(
-        "dataset", "id", "n_words", "n_sentences", "tok_n_tokens", "tok_n_nsubj", "style_named_entities", "n_classes",
-        "n_attributes", "cov_classes_n", "cov_classes_l1", "cov_attrs_absent", "cov_rel_tgt_l2", "n_attrs_bound",
-        "pct_rels_bound", "avg_hop_rel", "n_parser_warnings",
-    )
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import RELATIONSHIP_KINDS
 from ..functions.text import excerpt
 from ..operators import lexmatch, textprofile, treepath
-from ..operators.ranking import exact_quantiles, value_positions
+from ..operators.ranking import exact_quantiles, join_null_safe, value_positions
 
 KEYS = ["dataset", "id"]
 
@@ -73,18 +73,16 @@ def attribute_type_counts(attributes: DataFrame) -> DataFrame:
 
 
 def coverage_by_dataset(wide: DataFrame, rounded: bool = True) -> DataFrame:
-    """dataset, measure, mean, median of every ``cov_`` column; all-null ones are left out.
-
-    Coverage columns hold percentages of two decimals, so medians see few values.
-    """
+    """dataset, measure, mean, median of every ``cov_`` column; all-null ones are left out."""
     columns = [c for c in wide.columns if c.startswith("cov_")]
     long = wide.select("dataset", *[F.col(c).cast("double").alias(c.removeprefix("cov_")) for c in columns]).unpivot(
         ["dataset"], [c.removeprefix("cov_") for c in columns], "measure", "value"
     )
-    mean, median = F.avg("value"), F.median("value")
-    if rounded:
-        mean, median = F.bround(mean, 2), F.bround(median, 2)
-    return long.groupBy("dataset", "measure").agg(mean.alias("mean"), median.alias("median")).filter("mean IS NOT NULL")
+    keys = ["dataset", "measure"]
+    means = long.groupBy(*keys).agg(F.avg("value").alias("mean")).filter("mean IS NOT NULL")
+    medians = exact_quantiles(long, keys, "value", {"median": 0.5})
+    shown = lambda c: F.bround(c, 2) if rounded else F.col(c)
+    return join_null_safe(means, medians, keys).select(*keys, shown("mean").alias("mean"), shown("median").alias("median"))
 
 
 def binding_by_dataset(wide: DataFrame, rounded: bool = True) -> DataFrame:
@@ -141,13 +139,15 @@ def warning_samples(warnings: DataFrame, n: int = 5) -> DataFrame:
 
 def jaccard_report(cross: DataFrame, columns: Sequence[str] = ("jaccard_classes", "jaccard_attributes", "jaccard_rels"),
                    rounded: bool = True) -> DataFrame:
-    """measure, n, mean, min, max, median, n_perfect. Jaccards have four decimals, so medians see few values."""
+    """measure, n, mean, min, max, median, n_perfect."""
     long = cross.unpivot([], list(columns), "measure", "value").filter(F.col("value").isNotNull())
     mean = F.bround(F.avg("value"), 4) if rounded else F.avg("value")
-    return long.groupBy("measure").agg(
+    basic = long.groupBy("measure").agg(
         F.count("*").alias("n"), mean.alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.median("value").alias("median"), F.count_if(F.col("value") == 1.0).alias("n_perfect"),
+        F.count_if(F.col("value") == 1.0).alias("n_perfect"),
     )
+    medians = exact_quantiles(long, ["measure"], "value", {"median": 0.5})
+    return basic.join(medians, "measure").select("measure", "n", "mean", "min", "max", "median", "n_perfect")
 
 
 def imperfect_records(cross: DataFrame) -> DataFrame:
@@ -176,8 +176,9 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], rounded: bool = True)
     """a, b, n, rho for every pair of columns (both orders and the diagonal); rows with a null in the pair are left out.
 
     Equal value pairs are counted first and carry their count, so ties cost
-    nothing and no value of a column is a hot join key; ranks come from spread
-    ranges of the distinct values.
+    nothing; ranks come from spread ranges of the distinct values. A value that
+    many rows share is a skewed key of the joins with the ranks, whose inputs are
+    plain exchanges, so adaptive execution splits it.
     """
     pairs = list(combinations(columns, 2))
     cell = [
