@@ -646,6 +646,31 @@ def statements() -> dict[str, str]:
         SELECT dataset, id, line_no::BIGINT AS line_no, '    ' || (line_no - 1) || ': ' || a || chr(10) || '>>> ' || line_no || ': ' || t || chr(10)
           || '    ' || (line_no + 1) || ': ' || b AS context FROM n WHERE what = 'unknown'""")
 
+    # the dressed texts line by line: (SQL of the line, what the fence, comment and cleaning rules make of it); None: the line goes
+    same = object()
+    key = "o_orderkey"
+    dressed = (
+        (f"'Intro ' || {key}", same, None, same), ("'  ```plantuml'", "'plantuml'", None, same), ("'@STARTUML'", same, same, same),
+        ("'enum E <<enum>>'", same, same, "'enum E'"), ("'class A /'' block ' || o_orderstatus", same, "'class A '", same),
+        (f"'still ' || {key} || ' ''/ {{'", same, "' {'", same), (f"'n' || {key} || ' : Int // tail'", same, f"'n' || {key} || ' : Int'", same),
+        ("'}'", same, same, same), ("'// gone'", same, "''", same), (f"chr(39) || ' note ' || {key}", same, "''", same),
+        ("'A <--> B'", same, same, "'A -- B'"), ("'A \"1\"*- B'", same, same, "'A \"1\"- B'"), ("'(A, B) . C'", same, same, None),
+        ("'<> dia'", same, same, None), ("'note \"x\" as N1'", same, same, None), ("'X *-> Y'", same, same, None), ("'@EndUml'", same, same, same),
+        ("'```'", "''", None, same), ("'@startuml'", same, None, same), (f"'class Z' || {key}", same, None, same), ("'@enduml'", same, None, same),
+    )
+
+    def joined(rule: int | None, between: str = "chr(10)", part: slice = slice(None)) -> str:
+        texts = [line[0] if rule is None or line[rule] is same else line[rule] for line in dressed[part]]
+        return f" || {between} || ".join(t for t in texts if t is not None)
+
+    out["strip_code_fences"] = f"SELECT o_orderkey, {joined(1)} AS text FROM orders"
+    out["clean_diagram_markup"] = f"SELECT o_orderkey, {joined(3)} AS text FROM orders"
+    bar = "'|'"
+    out["remove_comments"] = f"SELECT o_orderkey, {joined(2, bar)} AS lines FROM orders"
+    plain_block = joined(None, part=slice(18, 21))
+    out["extract_markup_blocks"] = f"""
+        SELECT o_orderkey, {plain_block} AS parser, {joined(None, part=slice(2, 17))} AS generator, {plain_block} AS blocks FROM orders"""
+
     # quality
     out["line_violations"] = sql("bad_lines", select="SELECT * FROM bad_lines")
     out["declare_missing"] = sql("cust", select="SELECT dataset, id, 'Customer' AS name, 'class Customer { }' AS line FROM cust")

@@ -311,6 +311,29 @@ def error_context(spark: SparkSession, d: str) -> DataFrame:
     return M.error_context(fx.loose_diagrams(spark, d), 1)
 
 
+@query
+def strip_code_fences(spark: SparkSession, d: str) -> DataFrame:
+    return fx.dressed_markup(spark, d).select("o_orderkey", T.strip_code_fences("reply").alias("text"))
+
+
+@query
+def extract_markup_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return fx.dressed_markup(spark, d).select(
+        "o_orderkey", T.extract_markup_block("reply").alias("parser"), T.extract_markup_block("reply", "generator").alias("generator"),
+        T.extract_markup_blocks("reply").alias("blocks"),
+    )
+
+
+@query
+def remove_comments(spark: SparkSession, d: str) -> DataFrame:
+    return fx.dressed_markup(spark, d).select("o_orderkey", M.remove_comments(T.extract_markup_block("reply", "generator")).alias("lines"))
+
+
+@query
+def clean_diagram_markup(spark: SparkSession, d: str) -> DataFrame:
+    return fx.dressed_markup(spark, d).select("o_orderkey", V.clean_diagram_markup("reply").alias("text"))
+
+
 # --- quality -------------------------------------------------------------------------
 
 

@@ -270,6 +270,20 @@ def loose_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_customer.join(customers, "id").select("dataset", "id", puml.alias("puml"))
 
 
+def dressed_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, reply: a fenced block with markers in capitals, all comment forms and odd lines, then a plain block."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    lines = [
+        F.concat(F.lit("Intro "), key), F.lit("  ```plantuml"), F.lit("@STARTUML"), F.lit("enum E <<enum>>"),
+        F.concat(F.lit("class A /' block "), F.col("o_orderstatus")), F.concat(F.lit("still "), key, F.lit(" '/ {")),
+        F.concat(F.lit("n"), key, F.lit(" : Int // tail")), F.lit("}"), F.lit("// gone"), F.concat(F.lit("' note "), key), F.lit("A <--> B"),
+        F.lit('A "1"*- B'), F.lit("(A, B) . C"), F.lit("<> dia"), F.lit('note "x" as N1'), F.lit("X *-> Y"), F.lit("@EndUml"), F.lit("```"),
+        F.lit("@startuml"), F.concat(F.lit("class Z"), key), F.lit("@enduml"),
+    ]
+    return o.select("o_orderkey", F.concat_ws("\n", *lines).alias("reply"))
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dataset, id, reply: the diagrams in the sectioned text form."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
