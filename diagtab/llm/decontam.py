@@ -54,7 +54,7 @@ def _quick_template(word: Column) -> Column:
 
 
 def windows(rows: DataFrame, column: str) -> DataFrame:
-    """Adds `at` and `key`, one row per window of five template words of the array of words `column`, which goes.
+    """Adds `at` and `key`, one row per window of five template words of the array of words `column`.
 
     Window digests are joined from those of one, two and four words, so each word is looked at once.
     """
@@ -63,7 +63,7 @@ def windows(rows: DataFrame, column: str) -> DataFrame:
         left, right = F.slice(shorter, F.lit(1), F.least(n, F.size(other))), F.slice(other, F.lit(apart + 1), n)
         return F.zip_with(left, right, lambda a, b: F.xxhash64(a, b))
 
-    kept = [c for c in rows.columns if c != column]
+    kept = rows.columns
     one = rows.select(*kept, F.transform(column, lambda w: F.xxhash64(_quick_template(w))).alias("__1"))
     two = one.select(*kept, "__1", pairs("__1", "__1", 1).alias("__2"))
     four = two.select(*kept, "__1", pairs("__2", "__2", 2).alias("__4"))
@@ -80,7 +80,7 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     plain = F.transform("w", lambda w: (template(w) == w).cast("int"))
     counted = items.withColumn("__plain", plain)
     each = windows(counted, "w").withColumn("literals", F.aggregate(
-        F.slice("__plain", F.col("at") + 1, F.lit(WINDOW)), F.lit(0), lambda n, x: n + x)).drop("__plain")
+        F.slice("__plain", F.col("at") + 1, F.lit(WINDOW)), F.lit(0), lambda n, x: n + x)).drop("__plain", "w")
     best = each.groupBy("item").agg(F.max("literals").alias("best"))
     return each.join(best, "item").where(F.col("literals") >= F.least("best", F.lit(LITERALS))).select("item", "at", "key")
 
@@ -115,21 +115,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("__text")).where(
         "doc is not null and __text is not null")
     texts = texts.withColumn("row", F.xxhash64("__text"))
-    split = texts.select("doc", "row", words(F.col("__text")).alias("w"))
-    looked = windows(split, "w")
-    looked = looked.withColumnRenamed("at", "place").join(F.broadcast(keys) if fits else keys, "key")
-    hits = written(looked.select("doc", "row", "item", (F.col("place") - F.col("at")).alias("shift"), "at").distinct())
-    shifts = hits.groupBy("doc", "row", "item", "shift").agg(F.sort_array(F.collect_set("at")).alias("ats"))
-    spots = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + WINDOW - 1))))
-    shifts = shifts.select("doc", "row", "item", F.struct("shift", spots.alias("spots")).alias("s"))
-    pairs = shifts.groupBy("doc", "row", "item").agg(F.collect_list("s").alias("shifts"))
-    reach = F.size(F.array_distinct(F.flatten(F.transform("shifts", lambda s: s.spots))))
-    sized = items.select("item", "w").withColumnRenamed("w", "iw")
-    likely = written(pairs.join(F.broadcast(sized) if fits else sized, "item").where(reach >= COVERAGE * F.size("iw")))
-    both = split.join(likely, ["doc", "row"])
-    places = F.transform("shifts", lambda s: F.transform(s.spots, lambda i: F.struct(
-        i.alias("i"), F.get("iw", i).alias("mine"), F.get("w", i + s.shift).alias("theirs"),
-        (template(F.get("iw", i)) != F.get("iw", i)).alias("slot"))))
+    looked = windows(texts.select("doc", "row", words(F.col("__text")).alias("w")), "w").withColumnRenamed("at", "place")
+    own = F.slice("w", F.col("place") + 1, F.lit(WINDOW)).alias("theirs")
+    if fits:
+        # inside one stage the array of words is only referred to, and read where a window is found
+        met = looked.join(F.broadcast(keys), "key").select("doc", "row", "item", "place", "at", own)
+    else:
+        met = looked.select("doc", "row", "place", "key", own).join(keys, "key")
+    hits = written(met.select("doc", "row", "item", (F.col("place") - F.col("at")).alias("shift"), "at", "theirs").distinct())
+    shifts = hits.groupBy("doc", "row", "item", "shift").agg(F.collect_list(F.struct("at", "theirs")).alias("hits"))
+    spots = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(
+        h.theirs, lambda w, k: F.struct((h.at + k).alias("i"), w.alias("theirs"))))))
+    pairs = shifts.select("doc", "row", "item", spots.alias("spots")).groupBy("doc", "row", "item").agg(
+        F.collect_list("spots").alias("shifts"))
+    sized = items.select("item", F.col("w").alias("iw"))
+    both = pairs.join(F.broadcast(sized) if fits else sized, "item")
+    places = F.transform("shifts", lambda s: F.transform(s, lambda p: F.struct(
+        p.i.alias("i"), F.get("iw", p.i).alias("mine"), p.theirs.alias("theirs"),
+        (template(F.get("iw", p.i)) != F.get("iw", p.i)).alias("slot"))))
     judged = both.select("doc", "item", F.size("iw").cast("long").alias("n_words"), places.alias("p"))
     n_found = F.greatest(F.array_max(F.transform("p", _found)), _found(F.flatten("p"))).cast("long")
     return judged.select(
