@@ -1117,8 +1117,20 @@ def statements() -> dict[str, str]:
           UNION ALL SELECT dataset, id, 'attribute_binding', class || '.' || attribute, {detail}, row_number() OVER (PARTITION BY id ORDER BY class, attribute) FROM attr_bound
           UNION ALL SELECT dataset, id, 'relationship_binding', source || ' -> ' || target, {detail}, 1 FROM rel_bound)
         SELECT dataset, id, section, name, detail FROM rows WHERE id IN (SELECT doc_id FROM labels) AND w <= 8""")
-    out["summary_document"] = sql("rel", "ord", select="""
-        , k AS (SELECT 'relationship_type_counts' AS section, count(DISTINCT dataset) + 1 AS n FROM rel
-          UNION ALL SELECT 'cardinality_patterns', (SELECT count(DISTINCT (dataset, target_card)) FROM rel) + (SELECT count(DISTINCT target_card) FROM rel)
-          UNION ALL SELECT 'attribute_type_counts', 1) SELECT section, n FROM k""")
+    def as_json(statement: str, *columns: tuple[str, bool]) -> str:
+        """Rows of a statement as JSON text; a null field is left out. Columns come as (name, is it text)."""
+        fields = [f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || " + (f"'\"' || {c} || '\"'" if text else f"{c}::VARCHAR") + " END" for c, text in columns]
+        return f"SELECT '{{' || concat_ws(',', {', '.join(fields)}) || '}}' AS row FROM ({statement})"
+
+    kinds_of = [(k, False) for k in ("association", "directed", "inheritance", "composition", "aggregation", "dependency", "association_class")]
+    out["summary_document"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS section, row FROM ({text})" for name, text in (
+            ("metadata", """SELECT '{"corpus":"orders","version":"1"}' AS row"""),
+            ("relationship_type_counts", as_json(out["kind_counts"], ("dataset", True), *kinds_of)),
+            ("cardinality_patterns", as_json(out["cardinality_patterns"], ("dataset", True), ("src_card", True), ("tgt_card", True), ("n", False))),
+            ("attribute_type_counts", as_json("SELECT 'Double' AS type, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey", ("type", True), ("n", False))),
+            ("warning_totals", as_json(out["warning_totals"], ("dataset", True), ("n", False))),
+            ("failure_rate", as_json(out["failure_rate"], ("dataset", True), ("candidate", True), ("n", False), ("n_errors", False))),
+            ("status_counts", as_json(out["status_counts"], ("status", True), ("n", False))),
+        ))
     return out

@@ -1077,5 +1077,8 @@ def summary_document(spark: SparkSession, d: str) -> DataFrame:
         "relationship_type_counts": A.kind_counts(M.diagram_counts(lines)),
         "cardinality_patterns": A.cardinality_patterns(M.extract_relationships(lines)),
         "attribute_type_counts": A.attribute_type_counts(M.extract_attributes(lines)),
+        "warning_totals": A.warning_totals(M.parse_warnings(_loose(spark, d))),
+        "failure_rate": G.failure_rate(fx.scores(spark, d)).drop("failure_pct"),
+        "status_counts": B.status_counts(fx.previous_jobs(spark, d)),
     }
-    return S.summary_document(sections).groupBy("section").agg(F.count("*").alias("n"))
+    return S.summary_document(sections, {"corpus": "orders", "version": "1"})
