@@ -31,10 +31,16 @@ BROADCAST_ROWS = 100_000
 _FINE, _COARSE = 2.0 ** 20, 2.0 ** 10
 
 
+_MADE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _projections(size: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240229)
-    axes = np.rint(rng.normal(size=(size, TABLES * PROJECTIONS)) * _COARSE)
-    return axes, np.rint(rng.uniform(0, BUCKET, TABLES * PROJECTIONS) * _FINE * _COARSE)
+    """Axes and shifts for vectors of a length; made once per worker."""
+    if size not in _MADE:
+        rng = np.random.default_rng(20240229)
+        axes = np.rint(rng.normal(size=(size, TABLES * PROJECTIONS)) * _COARSE)
+        _MADE[size] = axes, np.rint(rng.uniform(0, BUCKET, TABLES * PROJECTIONS) * _FINE * _COARSE)
+    return _MADE[size]
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -78,10 +84,6 @@ def _hashed(payload: bool):
     return hashed
 
 
-def _linked(matrix: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return matrix[left] @ matrix[right].T >= COSINE
-
-
 def _block(t: int, same: bool, reps: np.ndarray, copies: np.ndarray, side: np.ndarray, vectors: np.ndarray) -> tuple[list, list]:
     """Links of one block: (rep, links) counted in the first table that pairs both, and edges that connect the linked."""
     n = len(reps)
