@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import HEDGE_WORDS, MODAL_VERBS
-from ..functions.text import as_column, let, lower_words, place_of, sentences, split_identifier, strip, words
+from ..functions.text import let, lower_words, place_of, sentences, split_identifier, strip, words
 
 KEYS = ["dataset", "id"]
 
