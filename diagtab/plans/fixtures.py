@@ -26,9 +26,10 @@ def by_record(docs: DataFrame) -> DataFrame:
     """Documents hash-partitioned by record.
 
     A text is a tenth of its token rows, so it is the text that travels, once;
-    every later grouping or join on (dataset, id, ...) finds its rows in place.
+    every later grouping or join on (dataset, id, ...) finds its rows in place,
+    since the id alone decides where a record is.
     """
-    return docs.repartition("source", "doc_id")
+    return docs.repartition("doc_id")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,10 +112,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _from_names(spark: SparkSession, sf_dir: str, rows) -> DataFrame:
     """``rows(names)`` exploded, where names are the camel-joined word pairs of the next document.
 
-    Each document hands its names to its predecessor; the names travel to the
-    (id, source) rows unless those are few enough to be broadcast.
+    Each document hands its text to its predecessor, where its names are made;
+    the names, more bytes than the text, do not travel.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") - 1).alias("id"), "text").repartition("id")
     long_words = F.filter(
         F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z0-9]*)"), F.lit(1)), lambda w: F.length(w) >= 3
     )
@@ -128,9 +129,8 @@ def _from_names(spark: SparkSession, sf_dir: str, rows) -> DataFrame:
         return F.zip_with(firsts, seconds, lambda a, b: F.concat(cap(a), cap(b)))
 
     names = let(long_words, pairs)
-    donors = docs.select((F.col("doc_id") - 1).alias("id"), F.inline(let(names, rows)))
     owners = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("dataset"))
-    return donors.join(owners, "id")
+    return docs.join(owners, "id").select("dataset", "id", F.inline(let(names, rows)))
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
