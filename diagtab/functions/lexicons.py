@@ -62,15 +62,5 @@ BUCKET_LABELS = (
 # The three scored elements.
 SCORE_ELEMENTS = ("class_score", "attribute_score", "association_score")
 
-# Corpus names accepted by the corpus reader, alias -> dataset.
-CORPUS_NAMES = {
-    "kaiser_clean": "kaiser_clean",
-    "data-source-1": "kaiser_clean",
-    "reference_clean": "reference_clean",
-    "data-source-2": "reference_clean",
-    "data_source_3_clean": "data_source_3_clean",
-    "data-source-3": "data_source_3_clean",
-}
-
 # Job states in report order.
 JOB_STATES = ("done", "in_progress", "pending", "failed", "cancelled")

@@ -110,10 +110,12 @@ def test_resume(spark):
 def test_sources(spark, tmp_path):
     corpus = tmp_path / "c.json"
     corpus.write_text(json.dumps([{"id": i, "nlt": "t", "puml": "p"} for i in "zyx"], indent=1))
-    df = S.read_corpus(spark, {"data-source-1": str(corpus)})
-    assert [(r.dataset, r.id) for r in S.limit_per_dataset(df, 2).orderBy("pos").collect()] == [("kaiser_clean", "z"), ("kaiser_clean", "y")]
+    names = {"first": "one", "one": "one"}
+    df = S.read_corpus(spark, {"first": str(corpus)}, names)
+    assert [(r.dataset, r.id) for r in S.limit_per_dataset(df, 2).orderBy("pos").collect()] == [("one", "z"), ("one", "y")]
+    assert S.read_corpus(spark, {"plain": str(corpus)}).first().dataset == "plain"
     with pytest.raises(ValueError):
-        S.read_corpus(spark, {"other": "x"})
+        S.read_corpus(spark, {"other": "x"}, names)
     for name in ("M 1", "M2"):
         folder = tmp_path / "models" / name
         folder.mkdir(parents=True)
