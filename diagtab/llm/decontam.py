@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Words become templates: numbers, names (words with a capital) and units turn into typed placeholders. Windows of five
-template words of benchmark items are hash-joined with those of documents. Where enough of an item is covered, the
-words behind the placeholders are compared: a question that was filled in anew replaces each number, name or unit by the
+template words of benchmark items are hash-joined with those of documents, which gives alignments; along each, all words
+of the item are compared. Where enough of an item is covered, the words behind the placeholders are compared: a question that was filled in anew replaces each number, name or unit by the
 same one everywhere, and no two by the same.
 """
 
@@ -102,7 +102,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     An item counts as contained if at least 0.8 of its words stand in windows of five template words of the document
     and agree. A placeholder agrees if, within one alignment (documents shifted against the item by one number of
     words) or within all together, what stands for it in the item always has the same counterpart and the other way
-    round; the better of the two counts. Exact copies agree in all words.
+    round; the better of the two counts. Exact copies agree in all words: benchmark_windows only find alignments, along
+    which all words are then compared.
 
     Items of fewer than five words are too short to tell and are not looked for; null texts and null ids take no
     part. Rows that repeat an id with one text give one row per item. Repeated items are found like any other. Empty in,
@@ -110,30 +111,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = written(benchmark.select(F.col(item_col).cast("long").alias("item"), words(F.col(item_text_col)).alias("w"))
                     .where((F.size("w") >= WINDOW) & F.col("item").isNotNull()).distinct())
-    keys = written(benchmark_windows(items).distinct())
+    keys = written(benchmark_windows(items).join(items.select("item", F.size("w").alias("n")), "item").distinct())
     fits = keys.count() <= BROADCAST_WINDOWS
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("__text")).where(
         "doc is not null and __text is not null")
-    texts = texts.withColumn("row", F.xxhash64("__text"))
-    looked = windows(texts.select("doc", "row", words(F.col("__text")).alias("w")), "w").withColumnRenamed("at", "place")
-    own = F.slice("w", F.col("place") + 1, F.lit(WINDOW)).alias("theirs")
+    texts = texts.withColumn("row", F.xxhash64("__text")).select("doc", "row", words(F.col("__text")).alias("w"))
+    looked = windows(texts, "w").withColumnRenamed("at", "place")
+    shift = (F.col("place") - F.col("at")).alias("shift")
+    # the words that stand opposite the item; those from the first one that is in the text
+    own = F.slice("w", F.greatest("shift", F.lit(0)) + 1, F.col("n") + F.least("shift", F.lit(0))).alias("theirs")
     if fits:
         # inside one stage the array of words is only referred to, and read where a window is found
-        met = looked.join(F.broadcast(keys), "key").select("doc", "row", "item", "place", "at", own)
+        met = looked.join(F.broadcast(keys), "key").select("doc", "row", "item", shift, "n", "w")
     else:
-        met = looked.select("doc", "row", "place", "key", own).join(keys, "key")
-    hits = written(met.select("doc", "row", "item", (F.col("place") - F.col("at")).alias("shift"), "at", "theirs").distinct())
-    shifts = hits.groupBy("doc", "row", "item", "shift").agg(F.collect_list(F.struct("at", "theirs")).alias("hits"))
-    spots = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(
-        h.theirs, lambda w, k: F.struct((h.at + k).alias("i"), w.alias("theirs"))))))
-    pairs = shifts.select("doc", "row", "item", spots.alias("spots")).groupBy("doc", "row", "item").agg(
-        F.collect_list("spots").alias("shifts"))
+        met = written(looked.select("doc", "row", "place", "key").join(keys, "key").select("doc", "row", "item", shift, "n").distinct())
+        met = met.join(texts, ["doc", "row"])
+    hits = written(met.select("doc", "row", "item", "shift", own).distinct())
     sized = items.select("item", F.col("w").alias("iw"))
-    both = pairs.join(F.broadcast(sized) if fits else sized, "item")
-    places = F.transform("shifts", lambda s: F.transform(s, lambda p: F.struct(
-        p.i.alias("i"), F.get("iw", p.i).alias("mine"), p.theirs.alias("theirs"),
-        (template(F.get("iw", p.i)) != F.get("iw", p.i)).alias("slot"))))
-    judged = both.select("doc", "item", F.size("iw").cast("long").alias("n_words"), places.alias("p"))
+    both = hits.join(F.broadcast(sized) if fits else sized, "item")
+    first = F.greatest(-F.col("shift"), F.lit(0))
+    places = F.transform("theirs", lambda w, k: F.struct(
+        (first + k).alias("i"), F.get("iw", first + k).alias("mine"), w.alias("theirs"),
+        (template(F.get("iw", first + k)) == template(w)).alias("same"), (template(F.get("iw", first + k)) != F.get("iw", first + k)).alias("slot")))
+    aligned = written(both.select("doc", "row", "item", F.size("iw").cast("long").alias("n_words"), places.alias("p")))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("p") - WINDOW + 1, F.lit(1))), lambda k: (
+        F.size(F.filter(F.slice("p", k, F.lit(WINDOW)), lambda q: q.same)) == WINDOW))
+    covered = F.array_distinct(F.flatten(F.transform(starts, lambda k: F.sequence(k, k + WINDOW - 1))))
+    spots = F.transform(covered, lambda k: F.get("p", k - 1))
+    judged = aligned.select("doc", "row", "item", "n_words", spots.alias("spots")).groupBy("doc", "row", "item", "n_words").agg(
+        F.collect_list("spots").alias("p"))
     n_found = F.greatest(F.array_max(F.transform("p", _found)), _found(F.flatten("p"))).cast("long")
     return judged.select(
         F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words", n_found.alias("n_found"),

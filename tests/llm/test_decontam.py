@@ -54,3 +54,22 @@ def test_empty(found, no_docs):
 def test_no_python_in_the_plan(found):
     plan = D.contaminated(*found)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+LISTS = {
+    1: "Find the median of the following data set: 12, 15, 11, 20, 19, 14, 13, 18, 17, 16, 21, 22, 25",
+    2: "Ana Ruiz, Ben Ott, Carl Moss, Dora Lee, Eva Kern, Finn Hale and Gus Ward sit in a row",
+}
+
+
+def copies_found(spark, texts, items):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    listed = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    return {(r.doc_id, r.item_id): (r.n_found, r.n_words) for r in D.contaminated(docs, listed).collect()}
+
+
+@pytest.mark.parametrize("most", [0, D.BROADCAST_WINDOWS])
+def test_runs_of_numbers_and_names_count(spark, monkeypatch, most):
+    monkeypatch.setattr(D, "BROADCAST_WINDOWS", most)
+    texts = LISTS | {3: f"first some words. {LISTS[1]}; {LISTS[2]} and more", 4: LISTS[1][:60]}
+    assert copies_found(spark, texts, LISTS) == {(1, 1): (21, 21), (2, 2): (19, 19), (3, 1): (21, 21), (3, 2): (19, 19)}
