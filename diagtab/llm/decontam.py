@@ -1,13 +1,15 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Words become templates: numbers, names (words with a capital) and units turn into typed placeholders. Windows of five
-template words of benchmark items are hash-joined with those of documents, which gives alignments; along each, all words
-of the item are compared. Where enough of an item is covered, the words behind the placeholders are compared: a question that was filled in anew replaces each number, name or unit by the
+template words of benchmark items, and of five words in lower case, are hash-joined with those of documents, which gives
+alignments; along each, all words of the item are compared, whatever their case. Where enough of an item is covered, the words behind the placeholders are compared: a question that was filled in anew replaces each number, name or unit by the
 same one everywhere, and no two by the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,35 +56,46 @@ def _quick_template(word: Column) -> Column:
 
 
 def windows(rows: DataFrame, column: str) -> DataFrame:
-    """Adds `at` and `key`, one row per window of five template words of the array of words `column`.
+    """Adds `at`, `key` and `plain`, one row per window of five words of the array of words `column` and key.
 
-    Window digests are joined from those of one, two and four words, so each word is looked at once.
+    A window has the key of its template words (`plain` false) and, if another, that of its words in lower case. Window
+    digests are joined from those of one, two and four words, so each word is looked at once.
     """
     def pairs(shorter: str, other: str, apart: int) -> Column:
         n = F.greatest(F.size(shorter) - apart, F.lit(0))
         left, right = F.slice(shorter, F.lit(1), F.least(n, F.size(other))), F.slice(other, F.lit(apart + 1), n)
         return F.zip_with(left, right, lambda a, b: F.xxhash64(a, b))
 
+    def digests(each: DataFrame, name: str, word: Callable[[Column], Column]) -> DataFrame:
+        held = each.columns
+        one = each.select(*held, F.transform(column, lambda w: F.xxhash64(word(w))).alias("__1"))
+        two = one.select(*held, "__1", pairs("__1", "__1", 1).alias("__2"))
+        four = two.select(*held, "__1", pairs("__2", "__2", 2).alias("__4"))
+        tail = F.slice("__1", F.lit(5), F.greatest(F.size("__1") - 4, F.lit(0)))
+        five = F.zip_with(F.slice("__4", F.lit(1), F.size(tail)), tail, lambda a, b: F.xxhash64(a, b))
+        return four.select(*held, five.alias(name))
+
     kept = rows.columns
-    one = rows.select(*kept, F.transform(column, lambda w: F.xxhash64(_quick_template(w))).alias("__1"))
-    two = one.select(*kept, "__1", pairs("__1", "__1", 1).alias("__2"))
-    four = two.select(*kept, "__1", pairs("__2", "__2", 2).alias("__4"))
-    tail = F.slice("__1", F.lit(5), F.greatest(F.size("__1") - 4, F.lit(0)))
-    five = F.zip_with(F.slice("__4", F.lit(1), F.size(tail)), tail, lambda a, b: F.xxhash64(a, b))
-    return four.select(*kept, F.posexplode(five).alias("at", "key"))
+    out = digests(digests(rows, "__t", _quick_template), "__p", F.lower)
+    both = F.zip_with("__t", "__p", lambda t, p: F.struct(t.alias("t"), p.alias("p")))
+    each = out.select(*kept, F.posexplode(both).alias("at", "__k"))
+    keys = F.when(F.col("__k.t") == F.col("__k.p"), F.array("__k.t")).otherwise(F.array("__k.t", "__k.p"))
+    return each.select(*kept, "at", F.posexplode(keys).alias("__n", "key")).withColumn("plain", F.col("__n") == 1).drop("__n")
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """(item, at, key) of the windows that are looked for, from items (item, w).
 
-    Windows with under LITERALS plain words say little; they are used only for items without others.
+    Templates of windows with under LITERALS plain words say little; they are used only for items without others. Words
+    in lower case are looked for in all windows.
     """
     plain = F.transform("w", lambda w: (template(w) == w).cast("int"))
     counted = items.withColumn("__plain", plain)
     each = windows(counted, "w").withColumn("literals", F.aggregate(
         F.slice("__plain", F.col("at") + 1, F.lit(WINDOW)), F.lit(0), lambda n, x: n + x)).drop("__plain", "w")
     best = each.groupBy("item").agg(F.max("literals").alias("best"))
-    return each.join(best, "item").where(F.col("literals") >= F.least("best", F.lit(LITERALS))).select("item", "at", "key")
+    return each.join(best, "item").where(
+        F.col("plain") | (F.col("literals") >= F.least("best", F.lit(LITERALS)))).select("item", "at", "key")
 
 
 def _found(places: Column) -> Column:
@@ -99,10 +112,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Rows (doc_id, item_id, n_words, n_found, coverage): the items that documents contain, one row for each pair.
 
-    An item counts as contained if at least 0.8 of its words stand in windows of five template words of the document
-    and agree. A placeholder agrees if, within one alignment (documents shifted against the item by one number of
-    words) or within all together, what stands for it in the item always has the same counterpart and the other way
-    round; the better of the two counts. Exact copies agree in all words: benchmark_windows only find alignments, along
+    An item counts as contained if at least 0.8 of its words stand in windows of five words of the document that are the
+    same but for case or as templates, and agree. A placeholder agrees if, within one alignment (documents shifted
+    against the item by one number of words) or within all together, what stands for it in the item always has the same
+    counterpart but for case, and the other way round; the better of the two counts. Exact copies agree in all words: benchmark_windows only find alignments, along
     which all words are then compared.
 
     Items of fewer than five words are too short to tell and are not looked for; null texts and null ids take no
@@ -116,7 +129,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("__text")).where(
         "doc is not null and __text is not null")
     texts = texts.withColumn("row", F.xxhash64("__text")).select("doc", "row", words(F.col("__text")).alias("w"))
-    looked = windows(texts, "w").withColumnRenamed("at", "place")
+    looked = windows(texts, "w").drop("plain").withColumnRenamed("at", "place")
     shift = (F.col("place") - F.col("at")).alias("shift")
     # the words that stand opposite the item; those from the first one that is in the text
     own = F.slice("w", F.greatest("shift", F.lit(0)) + 1, F.col("n") + F.least("shift", F.lit(0))).alias("theirs")
@@ -130,9 +143,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sized = items.select("item", F.col("w").alias("iw"))
     both = hits.join(F.broadcast(sized) if fits else sized, "item")
     first = F.greatest(-F.col("shift"), F.lit(0))
-    places = F.transform("theirs", lambda w, k: F.struct(
-        (first + k).alias("i"), F.get("iw", first + k).alias("mine"), w.alias("theirs"),
-        (template(F.get("iw", first + k)) == template(w)).alias("same"), (template(F.get("iw", first + k)) != F.get("iw", first + k)).alias("slot")))
+
+    def place(theirs: Column, i: Column) -> Column:
+        mine = F.get("iw", i)
+        same = (F.lower(mine) == F.lower(theirs)) | (template(mine) == template(theirs))
+        return F.struct(i.alias("i"), F.lower(mine).alias("mine"), F.lower(theirs).alias("theirs"), same.alias("same"),
+                        (template(mine) != mine).alias("slot"))
+
+    places = F.transform("theirs", lambda w, k: place(w, first + k))
     aligned = written(both.select("doc", "row", "item", F.size("iw").cast("long").alias("n_words"), places.alias("p")))
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("p") - WINDOW + 1, F.lit(1))), lambda k: (
         F.size(F.filter(F.slice("p", k, F.lit(WINDOW)), lambda q: q.same)) == WINDOW))

@@ -73,3 +73,13 @@ def test_runs_of_numbers_and_names_count(spark, monkeypatch, most):
     monkeypatch.setattr(D, "BROADCAST_WINDOWS", most)
     texts = LISTS | {3: f"first some words. {LISTS[1]}; {LISTS[2]} and more", 4: LISTS[1][:60]}
     assert copies_found(spark, texts, LISTS) == {(1, 1): (21, 21), (2, 2): (19, 19), (3, 1): (21, 21), (3, 2): (19, 19)}
+
+
+@pytest.mark.parametrize("most", [0, D.BROADCAST_WINDOWS])
+def test_copies_in_another_case(spark, monkeypatch, most):
+    monkeypatch.setattr(D, "BROADCAST_WINDOWS", most)
+    items = LISTS | {3: ITEM, 4: "Élan vital means what to Henri Bergson in the year 1907"}
+    texts = {10 * i + k: f"Some words. {change(x)} And more." for i, x in items.items() for k, change in enumerate((str.lower, str.upper, str.title))}
+    got = copies_found(spark, texts, items)
+    assert set(got) == {(doc, doc // 10) for doc in texts}
+    assert all(found == n for found, n in got.values())
