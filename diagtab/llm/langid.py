@@ -14,9 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 #: Bytes of an n-gram, taken from lower-cased text whose ASCII non-letters are spaces.
 GRAM = 4
@@ -37,6 +37,11 @@ _PLAIN[97:123] = np.arange(97, 123)
 _PLAIN[128:] = np.arange(128, 256)
 
 
+def padded(text: Column) -> Column:
+    """A text in lower case between blanks, so that a single letter has an n-gram."""
+    return F.concat(F.lit(" "), F.lower(text), F.lit(" " * (GRAM - 2)))
+
+
 @dataclass
 class Model:
     """Languages in order of their bit, the buckets (one byte column per eight languages), false positive rates."""
@@ -88,7 +93,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     Of each language about `sample` documents are used, picked by a digest of the id; that bounds what is grouped and
     what the driver gets: at most PROFILE n-grams per language. No labelled rows: a model without languages.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("t"), F.col(lang_col).alias("lang")).where(
+    rows = docs.select(F.col(id_col).alias("id"), padded(F.col(text_col)).alias("t"), F.col(lang_col).alias("lang")).where(
         F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
@@ -144,18 +149,21 @@ def _hits(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text",
-            names: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:
-    """Adds the predicted language, a score and a coverage (both 0 to 1) to every row, under `names`.
+            names: tuple[str, str, str] = ("lang_pred", "score", "coverage"), n_grams: str | None = None) -> DataFrame:
+    """Adds the predicted language, a score and a coverage (both 0 to 1) to every row, under `names`,
+    and the number of n-grams that were looked up under `n_grams` if given.
 
     score is the winner's share of all languages' corrected counts, coverage the share of n-grams that the winner
     contains. Null texts and texts without a letter are `und` with score and coverage 0; so is every text if the model
     knows no language. Ties go to the first language by name. Input columns of the added names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets, whatever the data
-    kept = [f for f in docs.schema.fields if f.name not in names]
-    schema = StructType([*kept, StructField(names[0], StringType()), *(StructField(n, DoubleType()) for n in names[1:])])
+    added = [*names, n_grams] if n_grams else list(names)
+    kept = [f for f in docs.schema.fields if f.name not in added]
+    counts = [StructField(n, LongType()) for n in added[3:]]
+    schema = StructType([*kept, StructField(names[0], StringType()), *(StructField(n, DoubleType()) for n in names[1:]), *counts])
     columns = [f.name for f in kept]
-    lowered = F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(F.col(text_col)))
+    lowered = F.when(F.col(text_col).rlike(r"\p{L}"), padded(F.col(text_col)))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -163,6 +171,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text",
             n = batch.num_rows
             plain = pa.RecordBatch.from_arrays([batch.column("__t")], ["t"])
             lang, score, coverage = np.full(n, "und", object), np.zeros(n), np.zeros(n)
+            total = np.zeros(n, np.int64)
             letters = ~np.array(batch.column("__t").is_null())
             if known.languages and n:
                 total, found = _hits(known, *_bytes(plain))
@@ -173,7 +182,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text",
                 score = np.where(letters, top / np.maximum(real.sum(axis=1), 1e-9), 0.0)
                 coverage = np.where(letters, np.clip(top / np.maximum(total, 1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(coverage)],
-                [*columns, *names])
+                [*(batch.column(c) for c in columns), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(coverage),
+                 *([pa.array(total)] if n_grams else [])],
+                [*columns, *added])
 
     return docs.select(*columns, lowered.alias("__t")).mapInArrow(judged, schema)
