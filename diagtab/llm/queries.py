@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diagtab.llm import bytecnn, chatformat, decontam, embeddup, langid, lines, mixing, simhash, substrings, tokencount
-from diagtab.llm.common import table
+from diagtab.llm import bytecnn, chatformat, decontam, embeddup, langid, lines, mixing, periodic, simhash, substrings, tokencount
+from diagtab.llm.common import WORD, table
 
 #: Name of the tokenizer file that op4 counts with; its folder comes from the installed package.
 TOKENIZER = "piece_bpe_32k.model"
@@ -85,6 +85,33 @@ def op10_quality_score(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def _replayed(text: Column, h: Column) -> Column:
+    """The words of a text, those from word a on replaced by the first p of them over and over."""
+    def of(v: Column) -> Column:
+        n, g = F.size(v.words).cast("long"), F.floor(v.h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        again = F.transform(F.sequence(a, n - 1), lambda i: F.get(v.words, (a + (i - a) % p).cast("int")))
+        return F.array_join(F.when(n > 0, F.concat(F.slice(v.words, F.lit(1), a.cast("int")), again)).otherwise(v.words), " ")
+
+    bound = F.array(F.struct(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1).alias("words"), h.alias("h")))
+    return F.get(F.transform(bound, of), F.lit(0))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    text = F.when(h % 10 == 0, _replayed(F.col("text"), h)).otherwise(F.col("text"))
+    found = periodic.collapse_runs(table(spark, folder, "documents").select("doc_id", text.alias("text")))
+    better = lambda best, r: F.when(best.isNull() | (r.length * best.period > best.length * r.period), r).otherwise(best)
+    strongest = F.aggregate("runs", F.lit(None).cast("struct<start: long, length: long, period: long>"), better)
+    told = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))))
+    rows = found.withColumn("best", strongest)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"), F.sha2(F.col("kept"), 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -97,4 +124,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_chat_format": op9_chat_format,
         "op10_quality_score": op10_quality_score,
+        "op12_periodic_runs": op12_periodic_runs,
     }
