@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diagtab.llm import bytecnn, chatformat, decontam, embeddup, langid, lines, mixing, periodic, simhash, substrings, tokencount
+from diagtab.llm import bytecnn, chatformat, decontam, embeddup, langid, lines, mixing, mtree, periodic, simhash, substrings, tokencount
 from diagtab.llm.common import WORD, table
 
 #: Name of the tokenizer file that op4 counts with; its folder comes from the installed package.
@@ -112,6 +112,10 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(told, 256).alias("runs_sha256"), F.sha2(F.col("kept"), 256).alias("collapsed_sha256"))
 
 
+def op13_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return mtree.top_products(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -125,4 +129,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_format": op9_chat_format,
         "op10_quality_score": op10_quality_score,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_exact_top_k": op13_exact_top_k,
     }
