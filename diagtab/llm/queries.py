@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diagtab.llm import bytecnn, chatformat, decontam, embeddup, langid, lines, mixing, mtree, periodic, simhash, substrings, tokencount
+from diagtab.llm import bytecnn, chatformat, collocations, decontam, embeddup, langid, lines, mixing, mtree, periodic, simhash, substrings, tokencount
 from diagtab.llm.common import WORD, table
 
 #: Name of the tokenizer file that op4 counts with; its folder comes from the installed package.
@@ -85,6 +85,10 @@ def op10_quality_score(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def _replayed(text: Column, h: Column) -> Column:
     """The words of a text, those from word a on replaced by the first p of them over and over."""
     def of(v: Column) -> Column:
@@ -128,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_chat_format": op9_chat_format,
         "op10_quality_score": op10_quality_score,
+        "op11_collocations": op11_collocations,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_exact_top_k": op13_exact_top_k,
     }

@@ -150,6 +150,34 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+#: Stretches of 1 to 5 words by list slices; wide whole numbers for the score.
+OP11 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, phrase, count(*)::BIGINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m >= 2),
+x AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, n.n,
+    ((1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ') JOIN n ON n.lang = c.lang),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT DISTINCT lang, a, array_to_string(w[b:e], ' ') AS phrase
+  FROM (SELECT lang, m, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS b FROM f WHERE m >= 3),
+    (SELECT unnest([2, 3, 4, 5]) AS e) WHERE b < e AND e <= m AND e - b + 1 < m),
+z AS (SELECT * FROM y ANTI JOIN i ON i.lang = y.lang AND i.phrase = y.phrase AND 100 * i.a >= 100 * y.a),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z)
+SELECT * FROM r WHERE rank <= 2000
+"""
+
 #: All queries against all rows, as whole numbers.
 OP13 = """
 WITH v AS (
@@ -171,5 +199,6 @@ def statements() -> dict[str, str]:
         "op7_embedding_dedup": OP7,
         "op8_line_dedup": OP8,
         "op9_chat_format": OP9,
+        "op11_collocations": OP11,
         "op13_exact_top_k": OP13,
     }
