@@ -6,11 +6,12 @@ prime 2^61 - 1, from which numpy takes the fingerprint of any stretch at once. T
 1. All words and pairs are counted by fingerprint. A phrase can be frequent only if all its words and pairs are, so what
    reaches the threshold is noted in a bitmap of bounded size, which goes to all workers.
 2. Stretches of which every pair is noted are grouped per chunk of text, compared word by word within a fingerprint, and
-   shuffled as (fingerprint, count, pointer to an occurrence). Sums below the threshold go. The pointers of the others are
-   resolved in the texts, and counts are added up by the phrase found there: fingerprints that collide come apart, and only
-   frequent phrases ever become text.
+   aggregated as (fingerprint, count, pointer to a text that holds it, check value). Sums below the threshold go, and the
+   pointers of the others are resolved: only frequent phrases ever become text. Where check values differ, fingerprints
+   collide: those stretches are read again and counted by the phrase in the text.
 
-Fingerprints and bitmap can only let too much through; the counts of phrases are those of texts.
+Fingerprints and bitmap can only let too much through. Check values are 64 bits of the words themselves, so phrases of one
+language would have to agree in 125 bits to be taken for one.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from diagtab.llm.common import written
 #: Least occurrences of a phrase, its most words, and the phrases kept per language.
 LEAST, LONGEST, KEEP = 100, 5, 2000
 #: Bytes of text that are hashed at a time; a longer document is hashed alone.
-CHUNK = 1 << 23
+CHUNK = 1 << 22
 #: Most entries that a task of the first pass adds up before it passes them on.
-HELD = 1 << 22
+HELD = 1 << 21
 #: Bits of the bitmap per noted fingerprint, and its least and greatest size as powers of two: 16 MB at most.
 BITS_EACH, BITMAP = 64, (15, 27)
 #: Shares into which the phrases of a language are dealt before they are ranked.
@@ -95,6 +96,12 @@ def value_of(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42) % PRIME
 
 
+def check_of(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word, 43)
+
+
 class Words:
     """The words of a chunk of documents: numbers and values, place in the document, document, language."""
 
@@ -123,10 +130,25 @@ class Words:
         self.joined = np.zeros(self.n, bool)  # the next word stands in the same piece
         self.joined[:-1] = (piece[1:] == piece[:-1]) & (self.doc[1:] == self.doc[:-1])
         self.prefix = Prefix(self.values)
+        self.second: np.ndarray | None = None
 
     def fingerprints(self, at: np.ndarray, n: int) -> np.ndarray:
         return self.prefix.fingerprints(at, n, self.salt[at])
 
+    def checks(self, at: np.ndarray, n: int) -> np.ndarray:
+        """A second value of stretches, from their words and independent of the fingerprint."""
+        if self.second is None:
+            self.second = np.array([check_of(w) for w in self.words.to_pylist()], _U)
+        found = self.salt[at]
+        for k in range(n):
+            found = (found ^ self.second[self.ids[at + k]]) * _U(0x9E3779B97F4A7C15)
+            found ^= found >> _U(29)
+        return found
+
+    def phrases(self, at: np.ndarray, n: int) -> list[str]:
+        parts = [self.words.take(pa.array(self.ids[at + k])).to_pylist() for k in range(n)]
+        return [b" ".join(p).decode() for p in zip(*parts, strict=True)] if n else [""] * len(at)
+
     def grouped(self, at: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(fingerprint, count, first place) of the distinct stretches of n words at `at`, compared word by word."""
         prints = self.fingerprints(at, n)
@@ -179,68 +201,89 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(counts)], ["fp", "c"])
 
 
-def _phrases(noted, longest: int):
-    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Second pass: (n, fp, c, k, at) of stretches that may be frequent; n is 0 for all words of a language."""
-        bitmap = noted.value
-        bits = _U(len(bitmap) * 8 - 1)
+def _may(bitmap: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    bit = prints & _U(len(bitmap) * 8 - 1)
+    return (bitmap[bit >> _U(3)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
+
 
-        def may(prints: np.ndarray) -> np.ndarray:
-            bit = prints & bits
-            return (bitmap[bit >> _U(3)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
+def _stretches(words: Words, bitmap: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of stretches of n words of which every pair and word is noted, for n from 1."""
+    every = np.arange(words.n)
+    frequent = _may(bitmap, words.fingerprints(every, 1))
+    pair = np.zeros(words.n, bool)
+    both = every[:-1][words.joined[:-1] & frequent[:-1] & frequent[1:]]
+    pair[both] = _may(bitmap, words.fingerprints(both, 2))
+    at = every[frequent]
+    yield 1, at
+    at = every[pair]
+    for n in range(2, longest + 1):
+        at = at[at + n - 2 < words.n]
+        at = at[pair[at + n - 2]]
+        yield n, at
 
-        def rows(batch, row, words, n, prints, counts, at):
-            keys = batch.column("k").take(pa.array(words.doc[at] + row))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), n, np.int32)), pa.array(prints.view(np.int64)), pa.array(counts), keys, pa.array(words.at[at].astype(np.int64))],
-                ["n", "fp", "c", "k", "at"])
 
+def _phrases(noted, longest: int):
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Second pass: (fp, c, k, f2) of stretches that may be frequent; the salt of a language stands for all its words."""
+        names = ["fp", "c", "k", "f2"]
         for batch in batches:
             for row, _, words, _ in _chunks(batch):
                 if not words.n:
                     continue
                 _, first, counts = np.unique(words.lang, return_index=True, return_counts=True)
-                yield rows(batch, row, words, 0, words.salt[first], counts.astype(np.int64), first)
-                every = np.arange(words.n)
-                frequent = may(words.fingerprints(every, 1))
-                pair = np.zeros(words.n, bool)
-                both = every[:-1][words.joined[:-1] & frequent[:-1] & frequent[1:]]
-                pair[both] = may(words.fingerprints(both, 2))
-                at = every[frequent]
-                for n in range(1, longest + 1):
-                    if n > 1:
-                        at = at[pair[at]] if n == 2 else at[at + n - 2 < words.n]
-                        at = at[pair[at + n - 2]]
-                    for prints, counts, places in words.grouped(at, n):
-                        yield rows(batch, row, words, n, prints, counts, places)
+                found = [(0, words.salt[first], counts.astype(np.int64), first)]
+                found += [(n, *group) for n, at in _stretches(words, noted.value, longest) for group in words.grouped(at, n)]
+                for n, prints, c, at in found:
+                    keys = batch.column("k").take(pa.array(words.doc[at] + row))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(prints.view(np.int64)), pa.array(c), keys, pa.array(words.checks(at, n).view(np.int64))], names)
     return phrases
 
 
-def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases that pointers of a document name: (k, at, n, fp, lang, phrase, c)."""
-    names = ["k", "at", "n", "fp", "lang", "phrase", "c"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    for batch in batches:
-        pointers = batch.column("pointers")
-        for row, end, words, _ in _chunks(batch):
-            first = np.searchsorted(words.doc, np.arange(end - row + 1))
-            out: list[list] = [[] for _ in names]
-            for number in range(end - row):
-                told = pointers[row + number].values
-                n, fp, at, c = (told.field(x).to_numpy() for x in ("n", "fp", "at", "c"))
-                place = at + first[number]
-                inside = place + n <= first[number + 1]
-                lang = batch.column("lang")[row + number].as_py()
-                for size in np.unique(n[inside]).tolist():
-                    which = np.flatnonzero(inside & (n == size))
-                    if size:  # a key that two texts share by chance is told apart by the fingerprint
-                        which = which[words.fingerprints(place[which], size) == fp[which].view(_U)]
-                    parts = [words.words.take(pa.array(words.ids[place[which] + k])).to_pylist() for k in range(size)]
-                    text = [b" ".join(p).decode() for p in zip(*parts, strict=True)] if size else [""] * len(which)
-                    for column, some in zip(out, ([batch.column("k")[row + number].as_py()] * len(which), at[which].tolist(), [size] * len(which),
-                                                  fp[which].tolist(), [lang] * len(which), text, c[which].tolist()), strict=True):
-                        column += some
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names)
+def _spelled(noted, colliding, longest: int):
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(fp, lang, phrase, n, c) of stretches whose fingerprint may be one of those that collide."""
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+        for batch in batches:
+            for row, _, words, _ in _chunks(batch):
+                for n, at in _stretches(words, noted.value, longest):
+                    at = at[_may(colliding.value, words.fingerprints(at, n))]
+                    for prints, c, places in words.grouped(at, n):
+                        langs = batch.column("lang").take(pa.array(words.doc[places] + row))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(prints.view(np.int64), kinds[0]), langs, pa.array(words.phrases(places, n), kinds[2]),
+                             pa.array(np.full(len(places), n, np.int32)), pa.array(c)], ["fp", "lang", "phrase", "n", "c"])
+    return spelled
+
+
+def _resolver(longest: int):
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The phrases of the fingerprints that point to a text: (fp, lang, phrase, n)."""
+        for batch in batches:
+            pointers = batch.column("prints")
+            for row, end, words, _ in _chunks(batch):
+                own = pointers.slice(row, end - row)
+                offsets = own.offsets.to_numpy()
+                wanted = own.values.to_numpy()[offsets[0]:offsets[-1]].view(_U)
+                doc = np.repeat(np.arange(end - row), np.diff(offsets))
+                pairs = set(zip(doc.tolist(), wanted.tolist(), strict=True))
+                every, out = np.sort(wanted), []
+                at = np.arange(words.n)
+                for n in range(longest + 1):
+                    if n > 1:
+                        at = at[words.joined[at + n - 2]]
+                    prints = words.fingerprints(at, n) if n else words.salt
+                    spot = np.minimum(np.searchsorted(every, prints), max(0, len(every) - 1))
+                    hits = np.flatnonzero(every[spot] == prints) if len(every) else np.zeros(0, np.int64)
+                    _, first = np.unique(np.stack((words.doc[at[hits]].astype(_U), prints[hits])), axis=1, return_index=True)
+                    hits = hits[first]
+                    kept = [h for h in hits.tolist() if (int(words.doc[at[h]]), int(prints[h])) in pairs]
+                    places = at[kept]
+                    langs = [batch.column("lang")[row + int(d)].as_py() for d in words.doc[places]]
+                    out += zip(prints[kept].view(np.int64).tolist(), langs, words.phrases(places, n), [n] * len(kept), strict=True)
+                kinds = {"fp": pa.int64(), "lang": pa.string(), "phrase": pa.string(), "n": pa.int32()}
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+    return resolved
 
 
 def _bitmap(frequent: DataFrame) -> np.ndarray:
@@ -267,14 +310,20 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     enough = F.col("c") >= least
     pairs = written(texts.mapInArrow(_pairs, "fp long, c long").groupBy("fp").agg(F.sum("c").alias("c")).where(enough).select("fp"))
     noted = spark.sparkContext.broadcast(_bitmap(pairs))
-    found = written(texts.mapInArrow(_phrases(noted, longest), "n int, fp long, c long, k long, at long"))
-    frequent = written(found.groupBy("n", "fp").agg(F.sum("c").alias("c")).where(enough).select("n", "fp"))
-    kept = found.join(frequent, ["n", "fp"], "left_semi").groupBy("n", "fp", "k", "at").agg(F.sum("c").alias("c"))
-    pointers = kept.groupBy("k").agg(F.collect_list(F.struct("n", "fp", "at", "c")).alias("pointers"))
-    spelled = texts.join(written(pointers), "k").mapInArrow(_resolved, "k long, at long, n int, fp long, lang string, phrase string, c long")
+    found = texts.mapInArrow(_phrases(noted, longest), "fp long, c long, k long, f2 long").groupBy("fp").agg(
+        F.sum("c").alias("c"), F.min("k").alias("k"), F.min("f2").alias("low"), F.max("f2").alias("high"))
+    frequent = written(found.where(enough))
+    single, several = frequent.where("low = high"), frequent.where("low != high").select("fp")
+    pointers = written(single.groupBy("k").agg(F.collect_list("fp").alias("prints")))
     # rows that repeat an id and a text resolve the same pointers
-    spelled = written(spelled).dropDuplicates(["k", "at", "n", "fp"])
-    return written(spelled.groupBy("lang", "phrase", "n").agg(F.sum("c").alias("f")).where(F.col("f") >= least))
+    named = written(texts.join(pointers, "k").mapInArrow(_resolver(longest), "fp long, lang string, phrase string, n int")).dropDuplicates(["fp"])
+    known = named.join(single.select("fp", "c"), "fp").select("lang", "phrase", "n", F.col("c").alias("f"))
+    if several.limit(1).count():
+        colliding = spark.sparkContext.broadcast(_bitmap(several))
+        read = texts.mapInArrow(_spelled(noted, colliding, longest), "fp long, lang string, phrase string, n int, c long")
+        counted = written(read.join(several, "fp", "left_semi").groupBy("lang", "phrase", "n").agg(F.sum("c").alias("f")))
+        known = known.union(counted.where(F.col("f") >= least).select("lang", "phrase", "n", "f"))
+    return written(known)
 
 
 #: floor(1000 * a * n / (l * r)) in whole numbers of 38 digits.
