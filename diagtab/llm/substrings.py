@@ -12,11 +12,15 @@ windows have equal anchors, and a window can repeat only if its anchor does. Win
 their anchor are a block.
 
 Spark then groups blocks by anchor: anchors of one document go. Blocks that equal a block of an earlier document are
-repeats as a whole. For the rest, one document per distinct block verifies its single windows by 128-bit digests.
+repeats as a whole. For the rest, one document per distinct block verifies its single windows.
+
+Names and anchors only select. What equals what is decided on the words themselves: blocks and single windows are equal if
+the BLAKE2b digests (128 bits) of their words, joined by one space, are.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +38,8 @@ ROUNDS, CHAIN = 3, 4
 CHUNK = 1 << 21
 
 _U = np.uint64
-_K1, _K2, _K3, _BYTE, _WORD1, _WORD2 = (_U(x) for x in (
-    0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+_K1, _K2, _K3, _BYTE, _WORD1 = (_U(x) for x in (
+    0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,7 +79,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndarr
 
 
 class Sequence:
-    """Prefix sums by which the digest of any stretch of word names is found at once."""
+    """Prefix sums by which a digest of any stretch of word names is found at once; it selects, and decides nothing."""
 
     def __init__(self, names: np.ndarray, base: np.uint64):
         n = len(names) + 1
@@ -87,6 +91,21 @@ class Sequence:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(_U) * _K3)
 
 
+class Spelled:
+    """The words of one text, joined by one space, to digest any stretch of them."""
+
+    def __init__(self, words: list[bytes]):
+        self.joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        self.ends, self.starts = ends, np.concatenate(([0], ends[:-1] + 1))
+
+    def digests(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """128 bits of every stretch of words first to end - 1, as two numbers."""
+        joined, made = memoryview(self.joined), hashlib.blake2b
+        found = [made(joined[a:b], digest_size=16).digest() for a, b in zip(self.starts[first].tolist(), self.ends[end - 1].tolist(), strict=True)]
+        return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+
+
 def interiors(names: np.ndarray, before: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The top symbols, and for windows beginning at `starts` the first and the end of their interior among them."""
     owner = np.repeat(np.arange(len(before) - 1), np.diff(before))
@@ -152,11 +171,11 @@ def anchors(names: np.ndarray, before: np.ndarray, starts: np.ndarray, digests:
 
 
 def blocks(names: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, first window, number of windows, anchor, digest) of every block of all documents."""
+    """(document, first window, number of windows, anchor) of every block of all documents."""
     count = np.maximum(np.diff(before) - WINDOW + 1, 0)
     doc = np.repeat(np.arange(len(count)), count)
     if not len(doc):
-        return doc, doc, doc, np.zeros(0, _U), np.zeros(0, _U)
+        return doc, doc, doc, np.zeros(0, _U)
     starts = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(before[:-1], count)
     sequence = Sequence(names, _WORD1)
     windows = sequence.digest(starts, starts + WINDOW)
@@ -167,7 +186,7 @@ def blocks(names: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
     head = np.flatnonzero(new)
     n = np.diff(np.append(head, len(doc)))
     start = starts[head]
-    return doc[head], start - before[doc[head]], n, anchor[head], sequence.digest(start, start + n + WINDOW - 1)
+    return doc[head], start - before[doc[head]], n, anchor[head]
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -184,15 +203,22 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the documents (doc, row, t): (anchor, block, doc, row, at, n)."""
+    """Blocks of the documents (doc, row, t): (anchor, b1, b2, doc, row, at, n)."""
     for batch in batches:
         for row, end, data, offsets in _parts(batch):
-            doc, at, n, anchor, block = blocks(*words_of(data, offsets, 0))
+            doc, at, n, anchor = blocks(*words_of(data, offsets, 0))
             ids = batch.slice(row, end - row).select(["doc", "row"]).take(pa.array(doc))
+            digests = [np.zeros((0, 2), np.int64)]
+            whole, first = data.tobytes(), np.searchsorted(doc, np.arange(end - row + 1))
+            for number in np.flatnonzero(np.diff(first)).tolist():
+                own = slice(first[number], first[number + 1])
+                words = whole[offsets[number]:offsets[number + 1]].split()
+                digests.append(Spelled(words).digests(at[own], at[own] + n[own] + WINDOW - 1))
+            block = np.concatenate(digests)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), *ids.columns,
+                [pa.array(anchor.view(np.int64)), pa.array(block[:, 0]), pa.array(block[:, 1]), *ids.columns,
                  pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["anchor", "block", "doc", "row", "at", "n"])
+                ["anchor", "b1", "b2", "doc", "row", "at", "n"])
 
 
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,16 +244,13 @@ def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Digests of the windows that `firsts` and `counts` name: (w1, w2, doc, row, at)."""
     for batch in batches:
         for i in range(batch.num_rows):
-            data = np.frombuffer(_unpacked(batch.column("packed")[i].as_py()), np.uint8)
+            words = _unpacked(batch.column("packed")[i].as_py()).split()
             firsts, counts = (np.array(batch.column(c)[i].as_py(), np.int64) for c in ("firsts", "counts"))
             at = np.unique(np.repeat(firsts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-            found = []
-            for seed, base in ((0, _WORD1), (1, _WORD2)):
-                names, _ = words_of(data, np.array([0, len(data)]), seed)
-                found.append(Sequence(names, base).digest(at, at + WINDOW).view(np.int64))
+            found = Spelled(words).digests(at, at + WINDOW).T
             same = [pa.array(np.full(len(at), batch.column(c)[i].as_py())).cast(batch.column(c).type) for c in ("doc", "row")]
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, found), *same, pa.array(at.astype(np.int32))], ["w1", "w2", "doc", "row", "at"])
+                [*(pa.array(x.copy()) for x in found), *same, pa.array(at.astype(np.int32))], ["w1", "w2", "doc", "row", "at"])
 
 
 def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,23 +282,23 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and empty texts have no words and `kept` is empty; documents under 50 words lose nothing. Rows with a null id are
     neither compared nor changed. Rows that repeat an id are each compared with smaller ids only. Empty in, empty out.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(F.col(text_col)).alias("row"), F.col(text_col).alias("t"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("t"))
     found = written(texts.where("doc is not null and t is not null").mapInArrow(
-        parsed, "anchor long, block long, doc long, row int, at int, n int"))
+        parsed, "anchor long, b1 long, b2 long, doc long, row long, at int, n int"))
     shared = written(
-        found.groupBy("anchor").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("doc", "block") for f in (F.min, F.max)])
-        .where("doc_min < doc_max").select("anchor", (F.col("block_min") != F.col("block_max")).alias("several"))
+        found.groupBy("anchor").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("doc", "b1", "b2") for f in (F.min, F.max)])
+        .where("doc_min < doc_max").select("anchor", ((F.col("b1_min") != F.col("b1_max")) | (F.col("b2_min") != F.col("b2_max"))).alias("several"))
     )
     hits = written(found.join(shared, "anchor"))
-    firsts = written(hits.groupBy("anchor", "block").agg(F.min("doc").alias("first")))
-    judged = written(hits.join(firsts, ["anchor", "block"]).where("doc > first or several").select(
+    firsts = written(hits.groupBy("anchor", "b1", "b2").agg(F.min("doc").alias("first")))
+    judged = written(hits.join(firsts, ["anchor", "b1", "b2"]).where("doc > first or several").select(
         "doc", "row", "at", "n", (F.col("doc") > F.col("first")).alias("whole")))
     repeats = judged.where("whole").select("doc", "row", F.col("at").alias("start"), (F.col("at") + F.col("n") + WINDOW - 1).alias("end"))
-    pack = "doc long, row int, packed binary"
+    pack = "doc long, row long, packed binary"
     unsure = judged.where("not whole").groupBy("doc", "row").agg(
         F.collect_list(F.struct("at", "n")).alias("b")).select("doc", "row", F.col("b.at").alias("firsts"), F.col("b.n").alias("counts"))
     compared = texts.where("doc is not null and t is not null").mapInArrow(packed, pack).dropDuplicates(["doc", "row"])
-    windows = written(compared.join(unsure, ["doc", "row"]).mapInArrow(single_windows, "w1 long, w2 long, doc long, row int, at int"))
+    windows = written(compared.join(unsure, ["doc", "row"]).mapInArrow(single_windows, "w1 long, w2 long, doc long, row long, at int"))
     lows = written(windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"))
     later = windows.join(lows, ["w1", "w2"]).where("doc > first").select(
         "doc", "row", F.col("at").alias("start"), (F.col("at") + WINDOW).alias("end"))

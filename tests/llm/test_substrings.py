@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -33,6 +34,30 @@ def test_whole_table_against_windows(docs, rows):
     assert sum(r[2] for r in want) > 1000
 
 
+@pytest.mark.parametrize("letters", [1024, 4096])
+def test_words_that_collide_under_polynomials(spark, letters):
+    """Words and word patterns whose sums modulo 2^64 are equal for every base are told apart."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(letters))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rnd = random.Random(6)
+    first, last = ([f"w{rnd.random()}" for _ in range(n)] for n in (30, 29))
+    pattern, inverse = ([x[(bin(i).count("1") & 1) ^ k] for i in range(letters)] for k in (0, 1) for x in [("yes", "no")])
+    rows = [(1, " ".join([*first, word, *last])), (2, " ".join([*first, other, *last])), (3, " ".join(["x", *pattern, "y"])),
+            (4, " ".join(["z", *inverse, "y"])), (5, " ".join([*first, other, *last]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in S.drop_repeats(docs).collect()), key=repr)
+    assert got == expected(rows) and [r[2] for r in got[:2]] == [0, 0] and got[4][2] == 60
+
+
+def test_rows_of_one_id_with_equal_32_bit_digests(spark):
+    """Rows of one id are told apart by 64 bits of their texts."""
+    rnd = random.Random(7)
+    passage = " ".join(f"p{rnd.random()}" for _ in range(60))
+    rows = [(1, passage), *[(2, f"n{i} {passage} {i}" if i % 2 else f"own{i} " * 60) for i in range(40)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in S.drop_repeats(docs).collect()), key=repr) == expected(rows)
+
+
 def test_empty(no_docs):
     assert S.drop_repeats(no_docs).collect() == []
 
