@@ -2,7 +2,8 @@
 
 Words become templates: numbers, names (words with a capital) and units turn into typed placeholders. Windows of five
 template words of benchmark items, and of five words in lower case, are hash-joined with those of documents, which gives
-alignments; along each, all words of the item are compared, whatever their case. Where enough of an item is covered, the words behind the placeholders are compared: a question that was filled in anew replaces each number, name or unit by the
+alignments; along each, all words of the item are compared, whatever their case. Where enough of an item is covered, the
+words behind the placeholders are compared: a question that was filled in anew replaces each number, name or unit by the
 same one everywhere, and no two by the same.
 """
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from diagtab.llm.common import written
 
-#: Words of a window, and the least share of an item's words that must be found.
-WINDOW, COVERAGE = 5, 0.8
+#: Words of a window, the least share of an item's words that must be found, and the fewest words of an item.
+WINDOW, COVERAGE, LEAST = 5, 0.8, 3
 #: Fewest words of a window that are no placeholder, for windows of items that have such.
 LITERALS = 2
 #: Most benchmark windows (three numbers each) that are broadcast; above, both sides are shuffled.
@@ -27,8 +28,9 @@ TOKEN = r"\p{N}+(?:[.,:/]\p{N}+)*|[\p{L}\p{M}]+"
 NUMBER_WORDS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen",
                 "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty",
                 "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion")
-UNITS = ("mm", "cm", "km", "meter", "meters", "metre", "metres", "mile", "miles", "inch", "inches", "foot", "feet", "yard",
-         "yards", "mg", "kg", "gram", "grams", "ton", "tons", "pound", "pounds", "ounce", "ounces", "ml", "liter", "liters",
+UNITS = ("mm", "cm", "km", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres",
+         "centimeter", "centimeters", "kilogram", "kilograms", "milligram", "milligrams", "degree", "degrees", "celsius", "mile", "miles", "inch", "inches", "foot", "feet",
+         "yard", "yards", "mg", "kg", "gram", "grams", "ton", "tons", "pound", "pounds", "ounce", "ounces", "ml", "liter", "liters",
          "litre", "litres", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks",
          "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent")
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
@@ -108,6 +110,23 @@ def _found(places: Column) -> Column:
     return F.size(F.array_distinct(F.transform(F.filter(places, lambda p: ~p.slot | steady(p)), lambda p: p.i)))
 
 
+def _short(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """Exact copies but for case of items of fewer than WINDOW words: (doc, item, n_words).
+
+    Documents are looked at once for each length that such items have, at most WINDOW - LEAST of them.
+    """
+    digest = lambda w: F.xxhash64(F.array_join(F.transform(w, F.lower), " "))
+    wanted = written(items.select("item", F.size("w").alias("n"), digest("w").alias("key"), F.transform("w", F.lower).alias("iw")))
+    sizes = sorted(r.n for r in wanted.select("n").distinct().collect())
+    hits = wanted.limit(0).select(F.lit(None).cast(texts.schema["doc"].dataType).alias("doc"), "item", F.col("n").alias("n_words"))
+    for n in sizes:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
+        stretches = texts.select("doc", F.explode(F.transform(starts, lambda k: F.transform(F.slice("w", k, F.lit(n)), F.lower))).alias("dw"))
+        met = stretches.withColumn("key", digest("dw")).join(wanted.where(F.col("n") == n), "key").where("dw = iw")
+        hits = hits.union(met.select("doc", "item", F.col("n").alias("n_words")))
+    return hits.distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Rows (doc_id, item_id, n_words, n_found, coverage): the items that documents contain, one row for each pair.
@@ -115,20 +134,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     An item counts as contained if at least 0.8 of its words stand in windows of five words of the document that are the
     same but for case or as templates, and agree. A placeholder agrees if, within one alignment (documents shifted
     against the item by one number of words) or within all together, what stands for it in the item always has the same
-    counterpart but for case, and the other way round; the better of the two counts. Exact copies agree in all words: benchmark_windows only find alignments, along
-    which all words are then compared.
+    counterpart but for case, and the other way round; the better of the two counts. Exact copies agree in all words:
+    benchmark_windows only find alignments, along which all words are then compared. Ids of documents may be of any type.
 
-    Items of fewer than five words are too short to tell and are not looked for; null texts and null ids take no
-    part. Rows that repeat an id with one text give one row per item. Repeated items are found like any other. Empty in,
-    empty out. Benchmark windows are broadcast if there are at most BROADCAST_WINDOWS, else shuffled.
+    Items of three and four words are found as a whole, exact but for case; shorter ones are too short to tell and are not
+    looked for. Null texts and null ids take no part. Rows that repeat an id with one text give one row per item. Repeated
+    items are found like any other. Empty in, empty out. Benchmark windows are broadcast if there are at most
+    BROADCAST_WINDOWS; above, all is shuffled, and of the texts only those that met a window go on.
     """
-    items = written(benchmark.select(F.col(item_col).cast("long").alias("item"), words(F.col(item_text_col)).alias("w"))
-                    .where((F.size("w") >= WINDOW) & F.col("item").isNotNull()).distinct())
+    known = written(benchmark.select(F.col(item_col).cast("long").alias("item"), words(F.col(item_text_col)).alias("w"))
+                    .where((F.size("w") >= LEAST) & F.col("item").isNotNull()).distinct())
+    items, small = known.where(F.size("w") >= WINDOW), known.where(F.size("w") < WINDOW)
     keys = written(benchmark_windows(items).join(items.select("item", F.size("w").alias("n")), "item").distinct())
     fits = keys.count() <= BROADCAST_WINDOWS
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("__text")).where(
-        "doc is not null and __text is not null")
-    texts = texts.withColumn("row", F.xxhash64("__text")).select("doc", "row", words(F.col("__text")).alias("w"))
+    plain = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("__text")).where(
+        "doc is not null and __text is not null").withColumn("row", F.xxhash64("__text"))
+    texts = plain.select("doc", "row", words(F.col("__text")).alias("w"))
     looked = windows(texts, "w").drop("plain").withColumnRenamed("at", "place")
     shift = (F.col("place") - F.col("at")).alias("shift")
     # the words that stand opposite the item; those from the first one that is in the text
@@ -138,7 +159,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         met = looked.join(F.broadcast(keys), "key").select("doc", "row", "item", shift, "n", "w")
     else:
         met = written(looked.select("doc", "row", "place", "key").join(keys, "key").select("doc", "row", "item", shift, "n").distinct())
-        met = met.join(texts, ["doc", "row"])
+        held = plain.join(met.select("doc", "row").distinct(), ["doc", "row"], "left_semi")
+        met = met.join(written(held).select("doc", "row", words(F.col("__text")).alias("w")), ["doc", "row"])
     hits = written(met.select("doc", "row", "item", "shift", own).distinct())
     sized = items.select("item", F.col("w").alias("iw"))
     both = hits.join(F.broadcast(sized) if fits else sized, "item")
@@ -155,11 +177,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("p") - WINDOW + 1, F.lit(1))), lambda k: (
         F.size(F.filter(F.slice("p", k, F.lit(WINDOW)), lambda q: q.same)) == WINDOW))
     covered = F.array_distinct(F.flatten(F.transform(starts, lambda k: F.sequence(k, k + WINDOW - 1))))
-    spots = F.transform(covered, lambda k: F.get("p", k - 1))
-    judged = aligned.select("doc", "row", "item", "n_words", spots.alias("spots")).groupBy("doc", "row", "item", "n_words").agg(
-        F.collect_list("spots").alias("p"))
-    n_found = F.greatest(F.array_max(F.transform("p", _found)), _found(F.flatten("p"))).cast("long")
-    return judged.select(
-        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words", n_found.alias("n_found"),
+    spots = written(aligned.select("doc", "row", "item", "n_words", F.transform(covered, lambda k: F.get("p", k - 1)).alias("p")))
+    # the best alignment, and all together: of the latter every word with a counterpart only once, however often it stands there
+    group = ["doc", "row", "item", "n_words"]
+    alone = spots.select(*group, _found(F.col("p")).alias("n"))
+    told = spots.select(*group, F.explode("p").alias("q")).select(*group, "q.i", "q.mine", "q.theirs", "q.slot").distinct()
+    joint = told.groupBy(*group).agg(F.collect_list(F.struct("i", "mine", "theirs", "slot")).alias("p")).select(*group, _found(F.col("p")).alias("n"))
+    judged = alone.union(joint).select("doc", "item", "n_words", F.col("n").cast("long").alias("n_found"))
+    whole = _short(texts, small).select("doc", "item", F.col("n_words").cast("long").alias("n_words"), F.col("n_words").cast("long").alias("n_found"))
+    return judged.union(whole).select(
+        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words", "n_found",
     ).withColumn("coverage", F.col("n_found") / F.col("n_words")).where(F.col("coverage") >= COVERAGE).groupBy("doc_id", "item_id").agg(
         F.max(F.struct("coverage", "n_words", "n_found")).alias("m")).select("doc_id", "item_id", "m.n_words", "m.n_found", "m.coverage")

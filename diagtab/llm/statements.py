@@ -68,40 +68,45 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-#: Templates of words, windows of five, aligned words with consistent placeholders, at least 0.8 of an item's words.
+#: Windows of five as templates and in lower case give alignments; all words along each, with consistent placeholders, at
+#: least 0.8 of an item's words. Items of three and four words as a whole.
 _UNITS = ", ".join(f"'{u}'" for u in UNITS)
 _NUMBERS = ", ".join(f"'{n}'" for n in NUMBER_WORDS)
+_TOKEN = r"\p{N}+(?:[.,:/]\p{N}+)*|[\p{L}\p{M}]+"
+_FIVE = " || ' ' || ".join(["{0}", *(f"lead({{0}}, {k}) OVER o" for k in range(1, 5))])
 OP3 = rf"""
 WITH dt AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '\p{{N}}+(?:[.,:/]\p{{N}}+)*|[\p{{L}}\p{{M}}]+')) AS raw,
-    generate_subscripts(regexp_extract_all(text, '\p{{N}}+(?:[.,:/]\p{{N}}+)*|[\p{{L}}\p{{M}}]+'), 1) AS p
+  SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKEN}')) AS raw, generate_subscripts(regexp_extract_all(text, '{_TOKEN}'), 1) AS p
   FROM documents),
 it AS (
-  SELECT item_id, unnest(regexp_extract_all(text, '\p{{N}}+(?:[.,:/]\p{{N}}+)*|[\p{{L}}\p{{M}}]+')) AS raw,
-    generate_subscripts(regexp_extract_all(text, '\p{{N}}+(?:[.,:/]\p{{N}}+)*|[\p{{L}}\p{{M}}]+'), 1) AS p
+  SELECT item_id, unnest(regexp_extract_all(text, '{_TOKEN}')) AS raw, generate_subscripts(regexp_extract_all(text, '{_TOKEN}'), 1) AS p
   FROM benchmark),
 tw AS (
-  SELECT raw, CASE WHEN lower(raw) <> raw THEN '<name>' WHEN regexp_matches(raw, '^\p{{N}}') OR raw IN ({_NUMBERS}) THEN '<num>'
-    WHEN raw IN ({_UNITS}) THEN '<unit>' ELSE raw END AS t
+  SELECT raw, lower(raw) AS low, CASE WHEN lower(raw) <> raw THEN '<name>'
+    WHEN regexp_matches(raw, '^\p{{N}}') OR raw IN ({_NUMBERS}) THEN '<num>' WHEN raw IN ({_UNITS}) THEN '<unit>' ELSE raw END AS t
   FROM (SELECT DISTINCT raw FROM (SELECT raw FROM dt UNION ALL SELECT raw FROM it))),
-d AS (SELECT doc_id, p, dt.raw, t FROM dt JOIN tw ON dt.raw = tw.raw),
-i AS (SELECT item_id, p, it.raw, t, count(*) OVER (PARTITION BY item_id) AS n FROM it JOIN tw ON it.raw = tw.raw),
+d AS MATERIALIZED (SELECT doc_id, p, dt.raw, t, low FROM dt JOIN tw ON dt.raw = tw.raw),
+i AS MATERIALIZED (SELECT item_id, p, it.raw, t, low, count(*) OVER (PARTITION BY item_id) AS n FROM it JOIN tw ON it.raw = tw.raw),
 dw AS (
-  SELECT doc_id, p, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o || ' ' || lead(t, 3) OVER o || ' ' || lead(t, 4) OVER o AS g
-  FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+  SELECT doc_id, p, {_FIVE.format("t")} AS g, {_FIVE.format("low")} AS h FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
 ia AS (
-  SELECT item_id, p, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o || ' ' || lead(t, 3) OVER o || ' ' || lead(t, 4) OVER o AS g,
+  SELECT item_id, p, {_FIVE.format("t")} AS g, {_FIVE.format("low")} AS h,
     sum((t = raw)::INT) OVER (PARTITION BY item_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS plain
   FROM i WINDOW o AS (PARTITION BY item_id ORDER BY p)),
 iw AS (
-  SELECT * FROM (SELECT *, max(plain) OVER (PARTITION BY item_id) AS best FROM ia WHERE g IS NOT NULL) WHERE plain >= least(best, 2)),
-h AS (
-  SELECT DISTINCT doc_id, item_id, dw.p - iw.p AS shift, unnest(range(iw.p, iw.p + 5)) AS p
-  FROM dw JOIN iw USING (g)),
+  SELECT * FROM (SELECT *, max(plain) OVER (PARTITION BY item_id) AS best FROM ia WHERE g IS NOT NULL)),
+x AS (
+  SELECT dw.doc_id, iw.item_id, dw.p - iw.p AS shift FROM dw JOIN iw USING (g) WHERE iw.plain >= least(iw.best, 2)
+  UNION SELECT dw.doc_id, iw.item_id, dw.p - iw.p FROM dw JOIN iw USING (h)),
 a AS (
-  SELECT h.doc_id, h.item_id, h.shift, h.p, i.raw AS mine, d.raw AS theirs, i.t <> i.raw AS slot
-  FROM h JOIN i USING (item_id, p) JOIN d ON d.doc_id = h.doc_id AND d.p = h.p + h.shift),
-b AS (SELECT *, false AS together FROM a UNION ALL SELECT doc_id, item_id, 0, p, mine, theirs, slot, true FROM a),
+  SELECT x.doc_id, x.item_id, x.shift, i.p, i.low AS mine, d.low AS theirs, i.low = d.low OR i.t = d.t AS same, i.t <> i.raw AS slot
+  FROM x JOIN i USING (item_id) JOIN d ON d.doc_id = x.doc_id AND d.p = i.p + x.shift),
+e AS (
+  SELECT *, sum(same::INT) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) = 5 AS begins FROM a),
+v AS (
+  SELECT * FROM (SELECT *, max(begins::INT) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM e)
+  WHERE covered = 1),
+b AS (SELECT *, false AS together FROM v UNION ALL SELECT doc_id, item_id, 0, p, mine, theirs, same, slot, begins, covered, true FROM v),
 pr AS (SELECT DISTINCT doc_id, item_id, shift, together, mine, theirs FROM b WHERE slot),
 st AS (
   SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift, together, mine) = 1
@@ -111,9 +116,16 @@ c AS (
   FROM b LEFT JOIN st USING (doc_id, item_id, shift, together, mine, theirs) WHERE NOT b.slot OR st.steady
   GROUP BY ALL),
 m AS (SELECT doc_id, item_id, max(n_found) AS n_found FROM c GROUP BY ALL),
-z AS (SELECT item_id, any_value(n) AS n FROM i GROUP BY item_id)
+z AS (SELECT item_id, any_value(n) AS n FROM i GROUP BY item_id),
+sh AS (SELECT item_id, n, string_agg(low, ' ' ORDER BY p) AS w FROM i WHERE n BETWEEN 3 AND 4 GROUP BY ALL),
+sd AS (
+  SELECT doc_id, p, low || ' ' || lead(low, 1) OVER o || ' ' || lead(low, 2) OVER o AS w3,
+    low || ' ' || lead(low, 1) OVER o || ' ' || lead(low, 2) OVER o || ' ' || lead(low, 3) OVER o AS w4
+  FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+s AS (SELECT DISTINCT doc_id, item_id, n FROM sd JOIN sh ON (n = 3 AND w3 = w) OR (n = 4 AND w4 = w))
 SELECT doc_id, item_id, n::BIGINT AS n_words, n_found::BIGINT AS n_found, n_found::DOUBLE / n AS coverage
 FROM m JOIN z USING (item_id) WHERE n_found::DOUBLE / n >= 0.8
+UNION ALL SELECT doc_id, item_id, n::BIGINT, n::BIGINT, 1.0::DOUBLE FROM s
 """
 
 #: All pairs; components by the smallest id that is reached.

@@ -25,7 +25,7 @@ def found(spark):
     }
     rows = [(k, v, 1, 2, "x") for k, v in texts.items()] + [(0, texts[0], 1, 2, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item long, at int, w string")
-    items = spark.createDataFrame([(7, ITEM, 0), (8, "Too short item here", 0), (9, None, 0), (7, ITEM, 1), (None, ITEM, 0),
+    items = spark.createDataFrame([(7, ITEM, 0), (8, "Too short", 0), (9, None, 0), (7, ITEM, 1), (None, ITEM, 0),
                                    (11, "ONE TWO THREE FOUR FIVE SIX", 0)], "item_id long, text string, key long")
     return docs, items
 
@@ -83,3 +83,17 @@ def test_copies_in_another_case(spark, monkeypatch, most):
     got = copies_found(spark, texts, items)
     assert set(got) == {(doc, doc // 10) for doc in texts}
     assert all(found == n for found, n in got.values())
+
+
+def test_short_items_as_a_whole(spark):
+    items = {1: "What is 17 * 23?", 2: "Two words", 3: "Name three rivers", 4: ITEM}
+    texts = {1: "He asked: what IS 17, 23 now", 2: "What is 17 times 23", 3: "two words", 4: "first NAME three, rivers", 5: f"{ITEM} What is 17 * 23?", 6: "is"}
+    n = len(ITEM.split())
+    assert copies_found(spark, texts, items) == {(1, 1): (4, 4), (4, 3): (3, 3), (5, 4): (n, n), (5, 1): (4, 4)}
+
+
+def test_an_item_many_times_in_one_text(spark):
+    """What is kept per text and item does not grow with the times it stands there."""
+    texts = {1: " and ".join([LISTS[1]] * 500), 2: " and ".join(LISTS[1].replace("12", str(k)) for k in range(100, 400))}
+    got = copies_found(spark, texts, LISTS)
+    assert got == {(1, 1): (21, 21), (2, 1): (21, 21)}
