@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 FILTERS, WIDTH, STRIDE = 16, 6, 2
 #: Bytes of a chunk and bytes between the starts of chunks.
 CHUNK, STEP = 256, 192
-#: Training: documents per label, chunks per document (evenly spread over it), passes, documents per step.
-SAMPLE, TRAIN_CHUNKS, EPOCHS, BATCH = 1500, 32, 12, 32
+#: Training: documents per label, all of whose chunks are read; passes, documents per step.
+SAMPLE, EPOCHS, BATCH = 1500, 12, 32
 #: Chunks that are scored at a time.
 GROUP = 1 << 12
 
@@ -111,18 +111,30 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 7) -> Network:
-    """Fits the network with Adam on the log loss; `prior` is the share of label 1 among all labelled rows."""
+def chunks_of(text: bytes) -> np.ndarray:
+    """All chunks of a text, one row each."""
+    data = _padded(text)
+    return _chunk_bytes(data, chunk_starts(len(data)))
+
+
+def _strongest(net: Network, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the largest answer of every filter in every chunk, and that answer; GROUP chunks at a time."""
+    where, raw = [], []
+    for at in range(0, len(rows), GROUP):
+        answers = _answers(net, rows[at:at + GROUP])
+        where.append(answers.argmax(axis=1))
+        raw.append(np.take_along_axis(answers, where[-1][:, None, :], axis=1)[:, 0] + net.bias)
+    return np.concatenate(where), np.concatenate(raw)
+
+
+def train(docs: list[np.ndarray], labels: np.ndarray, prior: float, seed: int = 7) -> Network:
+    """Fits the network with Adam on the log loss, from the chunks of every document.
+
+    `prior` is the share of label 1 among all labelled rows.
+    """
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.25, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32),
                   rng.normal(0, 0.2, FILTERS), np.zeros(FILTERS), 0.0)
-    docs = []
-    for text in texts:
-        data = _padded(text)
-        starts = chunk_starts(len(data))
-        if len(starts) > TRAIN_CHUNKS:
-            starts = starts[np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).round().astype(int)]
-        docs.append(_chunk_bytes(data, starts))
     params = [net.table, net.bias, net.mean, net.most, np.zeros(1)]
     moments = [(np.zeros(p.shape), np.zeros(p.shape)) for p in params]
     step = 0
@@ -134,9 +146,7 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 7) -
             counts = np.array([len(docs[i]) for i in pick])
             first = np.cumsum(counts) - counts
             own = np.repeat(np.arange(len(pick)), counts)
-            answers = _answers(net, rows)
-            where = answers.argmax(axis=1)
-            raw = np.take_along_axis(answers, where[:, None, :], axis=1)[:, 0] + net.bias
+            where, raw = _strongest(net, rows)
             found = np.maximum(raw, 0)
             mean = np.add.reduceat(found, first, axis=0) / counts[:, None]
             most = np.maximum.reduceat(found, first, axis=0)
@@ -165,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         label_col: str = "quality") -> Network | float:
     """Trains on at most `sample` documents per label, picked by a digest of the id, in one task.
 
-    Labels other than 0 and 1 and rows without text are left out; of several labels of an id the smallest counts.
+    All chunks of these documents are used; they are cut where the texts are read, so no whole text is sent. Of several
+    texts of an id the least counts. Labels other than 0 and 1 and rows without text are left out; of several labels of an id the smallest counts.
     Without rows of both labels the share of label 1 is returned instead of a network (0.5 without any).
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(
@@ -180,19 +191,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     # at most 2 * sample rows of two numbers
     chosen = texts.join(F.broadcast(picked[0].union(picked[1])), "id").select("id", "y", "t")
 
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for id_, y, text in zip(batch["id"], batch["y"], batch["t"], strict=True):
+                rows = chunks_of(bytes(text))
+                for at in range(0, len(rows), GROUP):
+                    part = rows[at:at + GROUP]
+                    yield pd.DataFrame({"id": id_, "y": y, "at": np.arange(at, at + len(part)), "chunk": [r.tobytes() for r in part]})
+
     def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(batches)
-        if not frames:
-            return
-        rows = pd.concat(frames).drop_duplicates("id").sort_values("id")
-        y = rows["y"].to_numpy(np.float64)
+        docs: list[list[np.ndarray]] = []
+        y, last = [], None
+        for batch in batches:  # sorted by document and place
+            rows = np.frombuffer(b"".join(batch["chunk"]), np.uint8).reshape(-1, CHUNK)
+            ids = batch["id"].to_numpy()
+            heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])).tolist()
+            for a, b in zip(heads, [*heads[1:], len(ids)], strict=True):
+                if not docs or ids[a] != last:
+                    docs.append([])
+                    y.append(float(batch["y"].iloc[a]))
+                docs[-1].append(rows[a:b])
+                last = ids[a]
         if len(set(y)) == 2:
-            net = train([bytes(t) for t in rows["t"]], y, prior)
+            net = train([np.concatenate(d) for d in docs], np.array(y), prior)
             parts = (net.table, net.bias, net.mean, net.most, np.array([net.base]))
             yield pd.DataFrame({"part": range(len(parts)), "numbers": [p.astype(np.float64).ravel().tolist() for p in parts]})
 
+    kind = chosen.schema["id"].dataType.simpleString()
+    single = chosen.groupBy("id", "y").agg(F.min("t").alias("t"))
+    pieces = single.mapInPandas(cut, f"id {kind}, y int, at long, chunk binary")
     # about 25,000 numbers, whatever the data
-    found = chosen.repartition(1).sortWithinPartitions("id").mapInPandas(trained, "part int, numbers array<double>").collect()
+    found = pieces.repartition(1).sortWithinPartitions("id", "at").mapInPandas(trained, "part int, numbers array<double>").collect()
     if not found:
         return prior
     table, bias, mean, most, base = (np.array(r.numbers) for r in sorted(found))

@@ -10,11 +10,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diagtab.llm.common import numbered, written
+from diagtab.functions.text import let
+from diagtab.llm.common import numbered, prefix_sum, written
 
+#: Turns whose digests are chained at a time; all of a conversation are then joined once.
+STRETCH = 64
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 #: Strings that stand for control tokens in this or other common templates; they never appear whole in a formatted text.
 CONTROLS = (TURN, BODY, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>",
@@ -61,16 +64,28 @@ def prefix_tree(rows: DataFrame, controls: tuple[str, ...] = CONTROLS) -> tuple[
     Places are counted in characters. Conversations with equal turns share all nodes. Empty in, empty out.
     """
     def chained(turns: Column) -> Column:
+        """A digest for every turn that stands for it and all before it."""
+        def next_digest(path: Column, before: Column, digest: Column) -> Column:
+            last = F.coalesce(F.try_element_at(path, F.lit(-1)), before)
+            return F.array_append(path, F.substring(F.sha2(F.concat(last, digest), 256), 1, 32))
+
+        def stretch(own: Column, state: Column, first: Column) -> Column:
+            path = F.aggregate(F.slice(own, first, F.lit(STRETCH)), F.array().cast("array<string>"),
+                               lambda path, digest: next_digest(path, state.last, digest))
+            return let(path, lambda p: F.struct(F.element_at(p, -1).alias("last"), F.array_append(state.paths, p).alias("paths")))
+
         own = F.transform(turns, lambda t: F.sha2(F.concat(F.length(t.role).cast("string"), F.lit(":"), t.role, t.text), 256))
-        return F.aggregate(own, F.array().cast("array<string>"), lambda path, digest: F.concat(path, F.array(F.substring(
-            F.sha2(F.concat(F.coalesce(F.try_element_at(path, F.lit(-1)), F.lit("")), digest), 256), 1, 32))))
+        start = F.struct(F.lit("").alias("last"), F.array().cast("array<array<string>>").alias("paths"))
+        return let(own, lambda digests: F.flatten(F.aggregate(
+            F.sequence(F.lit(1), F.size(digests), F.lit(STRETCH)), start, lambda state, first: stretch(digests, state, first)).paths))
 
     whole = turns_in_order(rows).withColumn("path", chained(F.col("turns")))
     ranked = numbered(whole, ["path", "conv_id"], "rank")
-    each = ranked.select("rank", "conv_id", "path", F.posexplode("turns").alias("depth", "t")).select(
-        "rank", "conv_id", "depth", F.col("path")[F.col("depth")].alias("node_id"),
-        F.when(F.col("depth") > 0, F.col("path")[F.greatest(F.col("depth") - 1, F.lit(0))]).alias("parent_id"),
-        F.col("t.role").alias("role"), F.col("t.text").alias("text"))
+    parents = F.concat(F.array(F.lit(None).cast("string")), F.col("path"))  # one longer; the last has no turn
+    steps = F.arrays_zip(F.col("turns").alias("t"), F.col("path").alias("node_id"), F.slice(parents, F.lit(1), F.size("path")).alias("parent_id"))
+    each = ranked.select("rank", "conv_id", F.posexplode(steps).alias("depth", "s")).select(
+        "rank", "conv_id", "depth", F.col("s.node_id").alias("node_id"), F.col("s.parent_id").alias("parent_id"),
+        F.col("s.t.role").alias("role"), F.col("s.t.text").alias("text"))
     distinct = each.groupBy("node_id").agg(
         F.min("rank").alias("owner"), *[F.first(c).alias(c) for c in ("parent_id", "depth", "role", "text")])
     head = F.concat(F.lit(TURN), escaped(F.col("role"), controls), F.lit(BODY))
@@ -81,7 +96,7 @@ def prefix_tree(rows: DataFrame, controls: tuple[str, ...] = CONTROLS) -> tuple[
         F.length(head).cast("long").alias("loss_start"), F.when(loss, F.length(body)).otherwise(0).cast("long").alias("loss_n"),
     ).withColumn("n", F.length("formatted").cast("long")))
     ordered = numbered(texts.select("node_id", "owner", "depth", "n"), ["owner", "depth"], "at")
-    placed = written(_prefix_sum(ordered, "at", "n", "start").select("node_id", "owner", "start", "n"))
+    placed = written(prefix_sum(ordered, "at", "n", "start").select("node_id", "owner", "start", "n"))
     members = written(each.select("rank", "conv_id", "node_id", "depth"))
     lines = written(members.join(placed, "node_id"))
     step = F.struct("depth", "node_id", "start", "n", (F.col("owner") == F.col("rank")).alias("own"))
@@ -108,21 +123,6 @@ def _attended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["node_id", "start", "position", "attends"])
 
 
-def _prefix_sum(rows: DataFrame, at: str, size: str, name: str, block: int = 4096) -> DataFrame:
-    """Adds the sum of `size` over all rows with a smaller `at`, 0-based and without gaps."""
-    rows = rows.withColumn("__block", F.floor(F.col(at) / block).cast("long"))
-    sums = written(rows.groupBy("__block").agg(F.sum(size).alias("__size")))
-    inside = Window.partitionBy("__block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    own = written(rows.withColumn("__inside", F.coalesce(F.sum(size).over(inside), F.lit(0))))
-    sums = sums.select(F.col("__block").alias("number"), "__size")
-    if sums.count() > 1:
-        sums = _prefix_sum(sums, "number", "__size", "earlier", block)
-    else:
-        sums = sums.withColumn("earlier", F.lit(0).cast("long"))
-    joined = own.join(sums.select(F.col("number").alias("__block"), F.col("earlier").alias("__earlier")), "__block")
-    return joined.withColumn(name, F.col("__earlier") + F.col("__inside")).drop("__block", "__earlier", "__inside")
-
-
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Conversations from the packed form: (conv_id, formatted, turns array of (role, text), loss_text).
 

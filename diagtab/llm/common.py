@@ -1,11 +1,11 @@
-"""Helpers that several operators share: the folder all executors see, written tables, components, ranks."""
+"""Helpers that several operators share: the folder all executors see, written tables, components, ranks, prefix sums."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of a text: runs of anything but the ASCII white space characters.
@@ -58,6 +58,29 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     )
 
 
+def prefix_sum(rows: DataFrame, at: str, size: str, name: str, block: int = 4096) -> DataFrame:
+    """Adds the sum of `size` over all rows with a smaller `at`, 0-based and without gaps."""
+    rows = rows.withColumn("__block", F.floor(F.col(at) / block).cast("long"))
+    sums = written(rows.groupBy("__block").agg(F.sum(size).alias("__size")))
+    inside = Window.partitionBy("__block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    own = written(rows.withColumn("__inside", F.coalesce(F.sum(size).over(inside), F.lit(0))))
+    sums = sums.select(F.col("__block").alias("number"), "__size")
+    if sums.count() > 1:
+        sums = prefix_sum(sums, "number", "__size", "earlier", block)
+    else:
+        sums = sums.withColumn("earlier", F.lit(0).cast("long"))
+    joined = own.join(sums.select(F.col("number").alias("__block"), F.col("earlier").alias("__earlier")), "__block")
+    return joined.withColumn(name, F.col("__earlier") + F.col("__inside")).drop("__block", "__earlier", "__inside")
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, with underscores in front until no column has it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (u long, v long): rows (id, component), component the smallest id reachable.
 

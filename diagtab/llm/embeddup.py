@@ -26,8 +26,6 @@ COSINE = 0.95
 TABLES, PROJECTIONS, BUCKET = 48, 8, 0.9
 #: Most rows of a block; larger buckets are cut into blocks, which are paired.
 BLOCK = 1024
-#: Most rows of the table of large buckets that is broadcast; above, it is joined by a shuffle.
-BROADCAST_ROWS = 100_000
 _FINE, _COARSE = 2.0 ** 20, 2.0 ** 10
 
 
@@ -69,19 +67,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return unit(flat.astype(np.float64).reshape(len(column), -1))
 
 
-def _hashed(payload: bool):
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sizes in sorted(set(batch.column("size").to_pylist())):
-                part = batch.filter(pa.array(np.array(batch.column("size")) == sizes))
-                keys = buckets(_matrix(part.column("v")))
-                n = len(keys)
-                which = pa.array(np.repeat(np.arange(n), TABLES))
-                number = pa.array(np.tile(np.arange(TABLES, dtype=np.int32), n))
-                names = ["rep", "copies", "size", "v"] if payload else []
-                yield pa.RecordBatch.from_arrays(
-                    [number, pa.array(keys.ravel()), *(part.column(c).take(which) for c in names)], ["t", "bucket", *names])
-    return hashed
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bucket of every class in every table: (t, bucket, rep, size)."""
+    for batch in batches:
+        for size in sorted(set(batch.column("size").to_pylist())):
+            part = batch.filter(pa.array(np.array(batch.column("size")) == size))
+            keys = buckets(_matrix(part.column("v")))
+            n = len(keys)
+            number = pa.array(np.tile(np.arange(TABLES, dtype=np.int32), n))
+            reps = pa.array(np.repeat(part.column("rep").to_numpy(), TABLES))
+            yield pa.RecordBatch.from_arrays(
+                [number, pa.array(keys.ravel()), reps, pa.array(np.full(n * TABLES, size, np.int32))], ["t", "bucket", "rep", "size"])
 
 
 def _block(t: int, same: bool, reps: np.ndarray, copies: np.ndarray, side: np.ndarray, vectors: np.ndarray) -> tuple[list, list]:
@@ -166,18 +162,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             F.xxhash64(x))), ""), 256))))
     classes = written(rows.where("v is not null").groupBy("class").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")).withColumn("size", F.size("v")))
-    counts = classes.select("size", "v").mapInArrow(_hashed(False), "t int, bucket long").groupBy("t", "bucket").count()
-    large = written(counts.where(F.col("count") > BLOCK).select("t", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("cut")))
-    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
-    kind = classes.schema["v"].dataType.simpleString()
-    spread = classes.mapInArrow(_hashed(True), f"t int, bucket long, rep long, copies long, size int, v {kind}")
-    cut = F.coalesce("cut", F.lit(1))
-    side = F.pmod(F.xxhash64("rep"), cut).cast("int")
-    blocks = spread.join(large, ["t", "bucket"], "left").withColumn("side", side).withColumn(
-        "with", F.explode(F.sequence(F.lit(0), cut - 1))).select(
-        "size", "t", "bucket", F.least("side", "with").alias("x"), F.greatest("side", "with").alias("y"), "side", "rep", "copies", "v")
+    keyed = written(classes.select("size", "rep", "v").mapInArrow(_hashed, "t int, bucket long, rep long, size int"))
+    # numbers only, until a bucket is known to hold several classes; most hold one
+    counts = keyed.groupBy("size", "t", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    several = written(counts.select("size", "t", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("cut")))
+    side = F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int")
+    members = keyed.join(several, ["size", "t", "bucket"]).withColumn("side", side).withColumn(
+        "with", F.explode(F.sequence(F.lit(0), F.col("cut") - 1))).select(
+        "size", "t", "bucket", F.least("side", "with").alias("x"), F.greatest("side", "with").alias("y"), "side", "rep")
+    blocks = written(members).join(classes.select("rep", "copies", "v"), "rep")
     keys = ["size", "t", "bucket", "x", "y"]
-    found = written(blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_checked, "rep long, links long, other long"))
+    found = written(blocks.select(*keys, "side", "rep", "copies", "v").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_checked, "rep long, links long, other long"))
     links = found.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v")))
     named = written(

@@ -14,16 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from diagtab.llm.common import written
+
 #: Bytes of an n-gram, taken from lower-cased text whose ASCII non-letters are spaces.
 GRAM = 4
 #: Documents per language that a model learns from, at most about so many.
 SAMPLE = 3000
-#: N-grams per language in the filter, the most frequent ones.
-PROFILE = 40000
+#: N-grams per language in the filter, the most frequent ones, and parts in which they are ranked first.
+PROFILE, PARTS = 40000, 32
 #: An n-gram belongs to a language if its share there is at least this part of its largest share in any language.
 RATIO = 0.3
 #: Buckets as a power of two, and buckets per n-gram.
@@ -103,15 +105,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample / sizes[lang]))])
     at = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)
     counted = rows.where(at < share[F.col("lang")]).select("t", "lang").mapInArrow(_counted, "lang string, gram long, n long")
-    counts = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = written(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     part = F.create_map(*[F.lit(x) for lang in languages for x in (lang, 1.0 / max(1, totals.get(lang, 1)))])
     shares = counts.where("n > 1").withColumn("share", F.col("n") * part[F.col("lang")])
     each = shares.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share")).alias("l"))
     held = each.select("gram", "most", F.explode("l").alias("l")).where(F.col("l.share") >= RATIO * F.col("most"))
+    # all languages at once: ranked in shares first, so that no window holds all n-grams of a language
+    best = [F.desc("share"), "gram"]
+    shares = held.select(F.col("l.lang").alias("lang"), F.col("l.share").alias("share"), "gram").withColumn("part", F.pmod("gram", F.lit(PARTS)))
+    shares = shares.withColumn("at", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("at") <= PROFILE)
+    top = shares.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("at") <= PROFILE)
+    profiles = top.select("lang", "gram").toPandas().groupby("lang")["gram"]
     for number, lang in enumerate(languages):
-        top = held.where(F.col("l.lang") == lang).orderBy(F.desc("l.share"), "gram").limit(PROFILE).select("gram").collect()
-        keys = np.array([r.gram for r in top], np.int64).astype(np.uint32)
+        keys = (profiles.get_group(lang).to_numpy() if lang in profiles.groups else np.zeros(0)).astype(np.int64).astype(np.uint32)
         for k in range(HASHES):
             buckets[places(keys, k), number // 8] |= np.uint8(1 << (number % 8))
     bits = np.unpackbits(buckets, axis=1, bitorder="little")[:, :len(languages)]

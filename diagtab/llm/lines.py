@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diagtab.llm.common import written
+from diagtab.functions.text import let
+from diagtab.llm.common import free_name, written
 
 #: Least number of distinct sites that make a line boilerplate.
 MIN_SITES = 10
@@ -26,6 +27,16 @@ def site_key(site: Column) -> Column:
     return F.when(site.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), site))
 
 
+def without(lines: Column, gone: Column) -> Column:
+    """The lines whose places are not in the sorted `gone`, joined again: the stretches between, each copied once."""
+    def kept(v: Column) -> Column:
+        ends = F.concat(v.gone, F.array(F.size(v.lines)))
+        starts = F.concat(F.array(F.lit(0)), F.transform(v.gone, lambda i: i + 1))
+        return F.array_join(F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(v.lines, a + 1, b - a))), "\n")
+
+    return let(F.struct(lines.alias("lines"), gone.alias("gone")), kept)
+
+
 def spread_lines(occurrences: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Lines on at least `min_sites` sites, from (line, site, id, at): rows (line, first_id, first_at).
 
@@ -70,14 +81,14 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
         .where((F.col("id") != F.col("first_id")) | (F.col("at") != F.col("first_at")))
         .select("id", "row", "at").distinct()
     ).groupBy("id", "row").agg(F.sort_array(F.collect_set("at")).alias("__gone"))
-    gone = F.coalesce(F.col("__gone"), F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    id_name, row_name, gone_name = (free_name(docs.columns, n) for n in ("__id", "__row", "__gone"))
+    gone = F.coalesce(F.col(gone_name), F.array().cast("array<int>"))
     named = docs.drop("n_lines", "n_removed").withColumns({
-        "__id": F.coalesce(row_key[0], F.lit((1 << 63) - 1)), "__row": row_key[1]})
-    hits = hits.select(F.col("id").alias("__id"), F.col("row").alias("__row"), "__gone")
-    cleaned = named.join(hits, ["__id", "__row"], "left")
+        id_name: F.coalesce(row_key[0], F.lit((1 << 63) - 1)), row_name: row_key[1]})
+    hits = hits.select(F.col("id").alias(id_name), F.col("row").alias(row_name), F.col("__gone").alias(gone_name))
+    cleaned = named.join(hits, [id_name, row_name], "left")
     return cleaned.withColumns({
-        text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept),
+        text_col: F.when(F.col(gone_name).isNull(), F.col(text_col)).otherwise(without(lines, gone)),
         "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
         "n_removed": F.size(gone).cast("long"),
     }).select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")

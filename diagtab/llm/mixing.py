@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diagtab.llm.common import WORD, numbered, written
+from diagtab.llm.common import WORD, numbered, prefix_sum, written
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -18,27 +18,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     Sources in code point order, null last, weigh `weights` in turn and share the sum of all sizes. A source whose
     share is above `most` times its size gets just that; its excess goes to the others by weight until none is above.
-    Sources that reach their bound are those with the least size per weight, so one ordered pass over the sources (a
-    row of three numbers each, not over documents) finds them: a source is bound if its share of what those before it
-    leave is no less than its bound. Whole numbers until the last step keep reruns and engines equal.
+    Sources that reach their bound are those with the least size per weight: in that order a source is bound if its share
+    of what those before it leave is no less than its bound. Order and sums are spread over ranges like those of documents,
+    so sources may be as many as hosts; only totals and the first source that is not bound go to the driver. Whole
+    numbers until the last step keep reruns and engines equal.
     """
-    placed = sizes.withColumn("__place", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1)
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("__place") % len(weights) + 1).cast("int"))
-    weighed = placed.select("source", F.col("source_size").cast("decimal(38,0)").alias("n"), weight.alias("w"), "__place")
-    order = Window.orderBy(F.col("n").cast("double") / F.col("w"), "__place")
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    seen = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = (F.sum("n").over(whole) - most * F.coalesce(F.sum("n").over(seen), F.lit(0))).cast("decimal(38,0)")
-    shared = weighed.select("*", left.alias("left"), F.sum("w").over(rest).alias("weights"))
-    bound = shared.withColumn("bound", most * F.col("n").cast("double") * F.col("weights") <= F.col("left").cast("double") * F.col("w"))
-    final = bound.select(
-        "*", F.first(F.when(~F.col("bound"), F.col("left")), True).over(whole).alias("pool"),
-        F.first(F.when(~F.col("bound"), F.col("weights")), True).over(whole).alias("pool_weights"),
-    )
-    share = F.col("pool").cast("double") * F.col("w") / F.col("pool_weights")
-    target = F.when(F.col("bound"), (most * F.col("n")).cast("double")).otherwise(share)
-    return final.select("source", F.col("n").cast("long").alias("source_size"), target.alias("target"))
+    placed = numbered(sizes.select("source", "source_size"), [F.col("source").isNull(), "source"], "__place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("__place") % len(weights) + 1).cast("int")).cast("long")
+    weighed = placed.select("source", F.col("source_size").alias("n"), weight.alias("w"), "__place")
+    ordered = numbered(weighed, [F.col("n").cast("double") / F.col("w"), "__place"], "__pos").select("source", "n", "w", "__pos")
+    seen = prefix_sum(prefix_sum(ordered, "__pos", "n", "n_before"), "__pos", "w", "w_before")
+    all_n, all_w = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    left, rest = F.lit(all_n) - most * F.col("n_before"), F.lit(all_w) - F.col("w_before")
+    bound = most * F.col("n").cast("double") * rest <= left.cast("double") * F.col("w")
+    judged = written(seen.select("source", "n", "w", "__pos", left.alias("left"), rest.alias("rest"), bound.alias("bound")))
+    pool = judged.where(~F.col("bound")).agg(F.min(F.struct("__pos", "left", "rest")).alias("p")).first().p
+    target = (most * F.col("n")).cast("double")
+    if pool is not None:
+        target = F.when(F.col("bound"), target).otherwise(F.lit(float(pool.left)) * F.col("w") / pool.rest)
+    return judged.select("source", F.col("n").alias("source_size"), target.alias("target"))
 
 
 def offset(source, seed: str):

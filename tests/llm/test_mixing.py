@@ -13,9 +13,10 @@ def poured(sizes, weights=(1, 2, 3), most=3):
     while True:
         free = [s for s in order if s not in bound]
         left = total - sum(bound.values())
-        over = [s for s in free if left * w[s] > most * sizes[s] * sum(w[f] for f in free)]
+        weight = sum(w[f] for f in free)
+        over = [s for s in free if left * w[s] > most * sizes[s] * weight]
         if not over:
-            return bound | {s: left * w[s] / sum(w[f] for f in free) for s in free}
+            return bound | {s: left * w[s] / weight for s in free}
         bound |= {s: most * sizes[s] for s in over}
 
 
@@ -30,6 +31,16 @@ def test_targets_against_pouring(spark):
             assert {s: r.target for s, r in got.items()} == pytest.approx(poured(sizes))
 
 
+def test_as_many_sources_as_hosts(spark):
+    """A hundred thousand sources: targets as by pouring, no window over all of them."""
+    df = spark.range(100_000).selectExpr("concat('host', lpad(id, 6, '0')) AS source", "pmod(id * 7919, 1013) AS source_size")
+    got = M.source_targets(df)
+    sizes = {r.source: r.source_size for r in df.collect()}
+    want = poured(sizes)
+    assert {r.source: r.target for r in got.collect()} == pytest.approx(want)
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mix_of_whole_table(docs, rows):
     got = M.mix(docs).collect()
     assert sorted(((r.doc_id, r.source) for r in got), key=repr) == sorted(((r[0], r[3]) for r in rows), key=repr)

@@ -10,6 +10,7 @@ import pytest
 from diagtab.llm import chatformat as C
 from diagtab.llm import embeddup as E
 from diagtab.llm import lines as N
+from diagtab.llm.common import prefix_sum
 
 
 def made_vectors():
@@ -61,6 +62,15 @@ def test_no_vectors(spark):
     assert E.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_long_vectors(spark):
+    """Vectors of 1,024 components; most share no bucket, and only those that do are sent."""
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=(40, 1024))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(100 + i, (base[i] + 0.05 * rnd.normal(size=1024)).tolist()) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, E.near_vectors(df).collect())) == brute(rows)
+
+
 def test_recall_at_the_threshold():
     rnd = np.random.default_rng(1)
     a = E.unit(rnd.normal(size=(3000, 64)))
@@ -104,6 +114,24 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     assert {r.line for r in N.spread_lines(df).collect()} == {f"line {n}" for n in range(10, 15)} | {"many"}
 
 
+def test_lines_under_clashing_names(spark):
+    """Columns named like the operator's own, in any case, come through."""
+    rows = [(i, "shared line\nown " + str(i), f"site {i}", 1, "r", 2, 3, 4) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __gone int, __row string, __ID int, N_lines int, line int")
+    got = N.drop_spread_lines(df).collect()
+    assert {(r["__gone"], r["__row"], r["__ID"], r["line"]) for r in got} == {(1, "r", 2, 4)}
+    assert sorted(r.text for r in got) == sorted(["shared line\nown 0"] + [f"own {i}" for i in range(1, 12)])
+
+
+def test_a_document_of_very_many_shared_lines(spark):
+    """Work on one document grows with its lines, not with lines times removed lines."""
+    page = "\n".join(f"boilerplate {i % 50}" for i in range(100_000))
+    rows = [(1, page, "s0"), *[(2 + i, "\n".join(f"boilerplate {k}" for k in range(50)), f"s{1 + i}") for i in range(12)]]
+    got = {r.doc_id: r for r in N.drop_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1].n_removed == 100_000 - 50 and got[1].text == "\n".join(f"boilerplate {k}" for k in range(50))
+    assert all(got[i].text == "" for i in range(2, 14))
+
+
 def test_no_lines(no_docs):
     assert N.drop_spread_lines(no_docs).collect() == []
 
@@ -171,10 +199,22 @@ def test_tree_is_packed_once_depth_first(spark, chats):
 def test_sums_over_many_blocks(spark, monkeypatch):
     rows = [(i, (i * 7919) % 13) for i in range(500)]
     df = spark.createDataFrame(rows, "at long, n long").repartition(3)
-    got = {r.at: r.start for r in C._prefix_sum(df, "at", "n", "start", block=4).collect()}
+    got = {r.at: r.start for r in prefix_sum(df, "at", "n", "start", block=4).collect()}
     assert got == {i: sum(n for _, n in rows[:i]) for i in range(500)}
 
 
+def test_a_very_long_conversation(spark):
+    """Ten thousand turns, of which another conversation shares half: one linear pass, exact round trip."""
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(10_000)]
+    rows += [(2, t, r, x if t < 5000 else x + "!") for _, t, r, x in rows]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    nodes, members = C.prefix_tree(df)
+    assert nodes.count() == 15_000
+    got = {r.conv_id: r for r in C.read_back(nodes, members).collect()}
+    for c in (1, 2):
+        assert [t.text for t in got[c].turns] == [x for i, _, _, x in rows if i == c]
+
+
 def test_no_chats(spark):
     nodes, members = C.prefix_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert nodes.collect() == [] and C.read_back(nodes, members).collect() == []
