@@ -346,7 +346,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("loose_lines",),
         """
         SELECT dataset, id, line_no::BIGINT AS line_no,
-          'line ' || line_no || ': unrecognised line ' || CASE WHEN what = 'comment' THEN '"' || t || '"' ELSE '''' || t || '''' END AS error
+          'L' || line_no || ' unknown: ' || t AS error
         FROM loose_lines WHERE what NOT IN ('marker', 'linkF', 'linkO')""",
     ),
     # diagram sets of both sides
@@ -677,11 +677,11 @@ def statements() -> dict[str, str]:
     out["drop_malformed_relationships"] = sql("loose_lines", select="""
         SELECT dataset, id, string_agg(t, chr(10) ORDER BY line_no) FILTER (what <> 'linkP') AS puml FROM loose_lines GROUP BY ALL""")
     out["record_checks"] = sql("cust", select=f"""
-        SELECT source AS dataset, doc_id AS id, CASE WHEN {_strip('text')} = '' THEN 'empty input' WHEN lower(text) NOT LIKE '%@startuml%'
-          THEN 'missing @startuml marker' WHEN lower(text) NOT LIKE '%@enduml%' THEN 'missing @enduml marker' ELSE '' END AS problems FROM documents
+        SELECT source AS dataset, doc_id AS id, CASE WHEN {_strip('text')} = '' THEN 'no_text' WHEN lower(text) NOT LIKE '%@startuml%'
+          THEN 'no_start' WHEN lower(text) NOT LIKE '%@enduml%' THEN 'no_end' ELSE '' END AS problems FROM documents
         UNION ALL SELECT dataset, id, '' FROM cust""")
     out["strict_checks"] = sql("cust", select="""
-        SELECT dataset, id, 'Explicit class definitions are not allowed. Use implicit definitions via relationships.' AS problems FROM cust
+        SELECT dataset, id, 'explicit_class' AS problems FROM cust
         UNION ALL SELECT dataset, id, '' FROM cust""")
     whole = """
         , body AS (SELECT id, string_agg(txt, chr(10) ORDER BY cls) AS t FROM (SELECT id, cls, 'class ' || cls || ' {' || chr(10) ||
@@ -693,7 +693,7 @@ def statements() -> dict[str, str]:
     text = """'@startuml' || chr(10) || 'enum Status {' || chr(10) || lits.t || '}' || chr(10) || 'class Customer { }' || chr(10)
           || body.t || chr(10) || lk.t || chr(10) || '@enduml'"""
     out["validate"] = sql("ord", "cust", "link", "cls", select=whole + f"""
-        SELECT c.dataset, c.id, true AS ok, md5({text}) AS digest, 0::BIGINT AS n_errors
+        SELECT c.dataset, c.id, true AS ok, {text} AS repaired, '' AS errors
         FROM cust c JOIN body ON body.id = c.id JOIN lits ON lits.id = c.id JOIN lk ON lk.id = c.id""")
     out["render_diagram"] = sql("ord", "cust", "link", "cls", select=whole + f"""
         SELECT c.dataset, c.id, {text} AS puml
@@ -701,10 +701,9 @@ def statements() -> dict[str, str]:
     out["validate_loose"] = sql("bad_lines", "link", "cust", select="""
         , good AS (SELECT id, string_agg('Customer "1" ' || CASE st WHEN 'F' THEN '<--' ELSE '-' END || ' "' || n || '" ' || cls || ' : ' || st, chr(10) ORDER BY cls, o) AS t,
             string_agg(DISTINCT 'class ' || cls || ' { }', chr(10) ORDER BY 'class ' || cls || ' { }') AS m FROM link WHERE st <> 'P' GROUP BY id),
-        errs AS (SELECT dataset, id, string_agg(error, ' | ' ORDER BY line_no) AS t, count(*) AS n FROM bad_lines GROUP BY ALL)
+        errs AS (SELECT dataset, id, string_agg(error, '|' ORDER BY line_no) AS t, string_agg(error, ' | ' ORDER BY line_no) AS u FROM bad_lines GROUP BY ALL)
         SELECT e.dataset, e.id, false AS ok, '@startuml' || chr(10) || 'class Customer { }' || chr(10) || g.m || chr(10) || g.t || chr(10) || '@enduml' AS repaired,
-          e.n + CASE WHEN g.id IS NULL THEN 1 ELSE 0 END AS n_errors,
-          left(e.t || CASE WHEN g.id IS NULL THEN ' | empty diagram: no class, enum, or relationship lines survived' ELSE '' END, 500) AS error_text
+          e.t || CASE WHEN g.id IS NULL THEN '|nothing_left' ELSE '' END AS errors, e.u || CASE WHEN g.id IS NULL THEN ' | nothing_left' ELSE '' END AS error_text
         FROM errs e LEFT JOIN good g ON g.id = e.id""")
     out["dsl_sections"] = sql("cust", "ord", select="""
         , m AS (SELECT dataset, id, cls, count(*) AS n, string_agg('Double order_' || k, ', ' ORDER BY k) AS t, row_number() OVER (PARTITION BY id ORDER BY cls) AS p

@@ -131,9 +131,17 @@ def set_diff(first: DataFrame, second: DataFrame, on: Sequence[str] = M.KEYS) ->
 
 
 def set_members(first: DataFrame, second: DataFrame, on: Sequence[str] = M.KEYS) -> DataFrame:
-    """on, kind, key, side (first / second / both): the difference as rows instead of arrays."""
-    side = F.when(F.col("in_first") & F.col("in_second"), "both").when(F.col("in_first"), "first").otherwise("second")
-    return _sides(first, second, on).filter(F.col("key").isNotNull()).select(*on, "kind", "key", side.alias("side"))
+    """on, kind, key, side (first / second / both): the difference as rows instead of arrays.
+
+    Only records that both sides have, as in `set_diff`; the sets of one record are held together.
+    """
+    a, b = F.col("in_first"), F.col("in_second")
+    side = F.when(a & b, "both").when(a, "first").otherwise("second")
+    grouped = _sides(first, second, on).groupBy(*on, "kind").agg(
+        F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", side.alias("side")))).alias("_members"),
+        F.max(F.col("key").isNull() & a & b).alias("_paired"),
+    )
+    return grouped.filter("_paired").select(*on, "kind", F.inline("_members"))
 
 
 def compare(first: DataFrame, second: DataFrame, on: Sequence[str] = M.KEYS, rounded: bool = True) -> DataFrame:

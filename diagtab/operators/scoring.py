@@ -231,10 +231,10 @@ constant_candidate.is_expression = True
 register_candidate("constant", constant_candidate)
 
 
-def generate(records: DataFrame, candidate: str | Callable) -> DataFrame:
+def generate(records: DataFrame, candidate: str | Callable, excerpt_length: int | None = 2000) -> DataFrame:
     """Run a candidate over every record; an exception becomes a failed row, never a failed task.
 
-    Adds generated, failed, error, raw_excerpt, elapsed_seconds.
+    Adds generated, failed, error, raw_excerpt (the first `excerpt_length` characters, all if None), elapsed_seconds.
     """
     fn = _CANDIDATES[candidate] if isinstance(candidate, str) else candidate
     if getattr(fn, "is_expression", False):
@@ -259,7 +259,7 @@ def generate(records: DataFrame, candidate: str | Callable) -> DataFrame:
                     if not isinstance(out, dict):
                         out = {"generated": out}
                     row = (out.get("generated") or "", bool(out.get("failed", False)), out.get("error"),
-                           (out.get("raw_excerpt") or "")[:2000])
+                           (out.get("raw_excerpt") or "")[:excerpt_length])
                 except Exception as exc:  # noqa: BLE001 - a record may fail, the job may not
                     row = ("", True, f"exception: {type(exc).__name__}: {exc}", "")
                 rows.append((*row, round(time.time() - started, 3)))

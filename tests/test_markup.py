@@ -150,11 +150,11 @@ def test_validate(spark):
             ("d", "open", "@startuml\nclass A {\n x\n@enduml")]
     got = {r.id: r for r in V.validate(spark.createDataFrame(rows, "dataset string, id string, puml string")).collect()}
     assert got["ok"].ok and got["ok"].repaired == '@startuml\nclass A { }\nclass B { }\nA "1" -- "" B : x\n@enduml'
-    assert got["bad"].errors == ["line 2: class name 'yes' is not a valid identifier", "line 3: unrecognised line '}'"]
+    assert got["bad"].errors == ["L2 bad class: yes", "L3 unknown: }"]
     assert got["bad"].repaired is not None
-    assert got["none"].errors == ["empty input"] and got["nomark"].errors == ["missing @startuml marker"]
-    assert got["empty"].errors == ["empty diagram: no class, enum, or relationship lines survived"]
-    assert got["open"].errors == ["line 2: class 'A' opened but never closed"]
+    assert got["none"].errors == ["no_text"] and got["nomark"].errors == ["no_start"]
+    assert got["empty"].errors == ["nothing_left"]
+    assert got["open"].errors == ["L2 open class: A"]
 
 
 def test_cleaning_rules(spark):
