@@ -1,11 +1,11 @@
 """Collocations: frequent phrases whose parts stand together more often than chance, per language.
 
 Every stretch of one to five words is hashed by Rabin-Karp fingerprints: prefix polynomials of the words' values modulo the
-prime 2^61 - 1, from which numpy takes the fingerprint of any stretch at once. Two passes read the texts.
+prime 2^61 - 1, from which numpy takes the fingerprint of any stretch at once. The texts are read in passes.
 
-1. All words and pairs are counted by fingerprint. A phrase can be frequent only if all its words and pairs are, so what
-   reaches the threshold is noted in a bitmap of bounded size, which goes to all workers.
-2. Stretches of which every pair is noted are grouped per chunk of text, compared word by word within a fingerprint, and
+1. All words and pairs are counted by fingerprint, then triples of frequent pairs. A phrase can be frequent only if all its
+   words, pairs and triples are, so what reaches the threshold is noted in a bitmap of bounded size, which goes to all workers.
+2. Stretches of which every triple is noted are grouped per chunk of text, compared word by word within a fingerprint, and
    aggregated as (fingerprint, count, pointer to a text that holds it, check value). Sums below the threshold go, and the
    pointers of the others are resolved: only frequent phrases ever become text. Where check values differ, fingerprints
    collide: those stretches are read again and counted by the phrase in the text.
@@ -187,18 +187,25 @@ def _added(prints: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return every[heads], np.add.reduceat(np.concatenate(counts)[order], heads) if len(heads) else np.zeros(0, np.int64)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First pass: (fp, c) of words and pairs, added up as far as memory allows."""
-    prints, counts = np.zeros(0, _U), np.zeros(0, np.int64)
-    for batch in batches:
-        for _, _, words, _ in _chunks(batch):
-            every = np.arange(words.n)
-            found = np.concatenate((words.fingerprints(every, 1), words.fingerprints(every[words.joined], 2)))
-            prints, counts = _added([prints, found], [counts, np.ones(len(found), np.int64)])
-            if len(prints) > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(counts)], ["fp", "c"])
-                prints, counts = prints[:0], counts[:0]
-    yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(counts)], ["fp", "c"])
+def _counted(noted=None):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First pass: (fp, c) of words and pairs, or of triples of noted pairs, added up as far as memory allows."""
+        prints, counts = np.zeros(0, _U), np.zeros(0, np.int64)
+        for batch in batches:
+            for _, _, words, _ in _chunks(batch):
+                every = np.arange(words.n)
+                if noted is None:
+                    found = np.concatenate((words.fingerprints(every, 1), words.fingerprints(every[words.joined], 2)))
+                else:
+                    pair = words.joined.copy()
+                    pair[pair] = _may(noted.value, words.fingerprints(every[pair], 2))
+                    found = words.fingerprints(_triples(pair), 3)
+                prints, counts = _added([prints, found], [counts, np.ones(len(found), np.int64)])
+                if len(prints) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(counts)], ["fp", "c"])
+                    prints, counts = prints[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(counts)], ["fp", "c"])
+    return counted
 
 
 def _may(bitmap: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -207,7 +214,7 @@ def _may(bitmap: np.ndarray, prints: np.ndarray) -> np.ndarray:
 
 
 def _stretches(words: Words, bitmap: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of stretches of n words of which every pair and word is noted, for n from 1."""
+    """Places of stretches of n words of which every word, pair and triple is noted, for n from 1."""
     every = np.arange(words.n)
     frequent = _may(bitmap, words.fingerprints(every, 1))
     pair = np.zeros(words.n, bool)
@@ -215,13 +222,22 @@ def _stretches(words: Words, bitmap: np.ndarray, longest: int) -> Iterator[tuple
     pair[both] = _may(bitmap, words.fingerprints(both, 2))
     at = every[frequent]
     yield 1, at
-    at = every[pair]
-    for n in range(2, longest + 1):
-        at = at[at + n - 2 < words.n]
-        at = at[pair[at + n - 2]]
+    yield 2, every[pair]
+    triple = np.zeros(words.n, bool)
+    at = _triples(pair) if longest > 2 else every[:0]
+    triple[at[_may(bitmap, words.fingerprints(at, 3))]] = True
+    at = every[triple]
+    for n in range(3, longest + 1):
+        at = at[at + n - 3 < words.n]
+        at = at[triple[at + n - 3]]
         yield n, at
 
 
+def _triples(pair: np.ndarray) -> np.ndarray:
+    """Places at which two noted pairs overlap."""
+    return np.flatnonzero(pair[:-1] & pair[1:])
+
+
 def _phrases(noted, longest: int):
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Second pass: (fp, c, k, f2) of stretches that may be frequent; the salt of a language stands for all its words."""
@@ -308,7 +324,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("t")).where("t is not null")
     texts = texts.select(F.xxhash64("id", "t").alias("k"), "lang", "t")
     enough = F.col("c") >= least
-    pairs = written(texts.mapInArrow(_pairs, "fp long, c long").groupBy("fp").agg(F.sum("c").alias("c")).where(enough).select("fp"))
+    reached = lambda rows: written(rows.groupBy("fp").agg(F.sum("c").alias("c")).where(enough).select("fp"))
+    pairs = reached(texts.mapInArrow(_counted(), "fp long, c long"))
+    if longest > 2:
+        triples = reached(texts.mapInArrow(_counted(spark.sparkContext.broadcast(_bitmap(pairs))), "fp long, c long"))
+        pairs = pairs.union(triples)
     noted = spark.sparkContext.broadcast(_bitmap(pairs))
     found = texts.mapInArrow(_phrases(noted, longest), "fp long, c long, k long, f2 long").groupBy("fp").agg(
         F.sum("c").alias("c"), F.min("k").alias("k"), F.min("f2").alias("low"), F.max("f2").alias("high"))
