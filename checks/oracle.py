@@ -778,10 +778,12 @@ def statements() -> dict[str, str]:
     out["sentence_indices"] = sql("matched", select=f"SELECT dataset, id, kind, owner, name, array_to_string(sents, '|') AS sent_indices FROM matched WHERE {three}")
     role = lambda t, n: ", ".join(f"{t}.{f} AS {n}_{f}" for f in ("l1", "l2", "l3", "l4", "absent")) + f", array_to_string({t}.sents, '|') AS {n}_sent_indices"
     out["match_relationships"] = sql("rels", "matched", select=f"""
+        , ends AS MATERIALIZED (SELECT * FROM matched WHERE kind IN ('rel_source', 'rel_target', 'rel_label'))
         SELECT r.dataset, r.id, r.source, r.target, r.kind, r.label, {role('s', 'source')}, {role('t', 'target')}, {role('l', 'label')},
           array_to_string(list_sort(list_intersect(s.sents, t.sents)), '|') AS common_sentences
-        FROM rels r JOIN matched s ON s.id = r.id AND s.kind = 'rel_source' AND s.name = r.source
-        JOIN matched t ON t.id = r.id AND t.kind = 'rel_target' AND t.name = r.target JOIN matched l ON l.id = r.id AND l.kind = 'rel_label' AND l.name = r.label""")
+        FROM rels r JOIN ends s ON s.dataset = r.dataset AND s.id = r.id AND s.kind = 'rel_source' AND s.name = r.source
+        JOIN ends t ON t.dataset = r.dataset AND t.id = r.id AND t.kind = 'rel_target' AND t.name = r.target
+        JOIN ends l ON l.dataset = r.dataset AND l.id = r.id AND l.kind = 'rel_label' AND l.name = r.label""")
     out["per_element_table"] = sql("rels", "matched", select=f"""
         SELECT dataset, id, kind, CASE WHEN owner IS NULL THEN name ELSE owner || '.' || name END AS name, {flags}, array_to_string(sents, ';') AS sent_indices
         FROM matched WHERE {three}
@@ -860,11 +862,11 @@ def statements() -> dict[str, str]:
     out["promote_svo"] = sql("tokens", select="""
         , f AS (SELECT *, CASE WHEN pos = 'VERB' THEN i ELSE head_i END AS v, pos = 'NOUN'
             AND (text LIKE 't%' OR text IN ('i.e','e.g','etc','cf','vs','al','viz','approx','yes','no','true','false')) AS fresh FROM tokens),
-        w AS (SELECT dataset, id, sent_i, v, max(CASE WHEN fresh AND dep = 'nsubj' THEN i END) AS s, max(CASE WHEN fresh AND dep = 'dobj' THEN i END) AS o
-          FROM f GROUP BY ALL HAVING bool_or(pos = 'VERB'))
-        SELECT f.dataset, f.id, f.sent_i, f.i, CASE WHEN text LIKE 't%' THEN '-' || text ELSE text END AS text,
-          fresh AND coalesce(w.s IS NOT NULL AND w.o IS NOT NULL AND (f.i = w.s OR f.i = w.o), false) AS promoted
-        FROM f LEFT JOIN w ON w.dataset = f.dataset AND w.id = f.id AND w.sent_i = f.sent_i AND w.v = f.v""")
+        w AS (SELECT dataset, id, sent_i, i, text, fresh, max(CASE WHEN fresh AND dep = 'nsubj' THEN i END) OVER v AS s,
+            max(CASE WHEN fresh AND dep = 'dobj' THEN i END) OVER v AS o, bool_or(pos = 'VERB') OVER v AS verb
+          FROM f WINDOW v AS (PARTITION BY id, sent_i, v))
+        SELECT dataset, id, sent_i, i, CASE WHEN text LIKE 't%' THEN '-' || text ELSE text END AS text,
+          fresh AND coalesce(verb AND s IS NOT NULL AND o IS NOT NULL AND (i = s OR i = o), false) AS promoted FROM w""")
     cap = lambda x: f"upper(left({x}, 1)) || lower(substr({x}, 2))"
     card = lambda x: f"CASE WHEN {x} = 'NNS' THEN '1..*' ELSE '1' END"
     rules = {
@@ -1020,6 +1022,37 @@ def statements() -> dict[str, str]:
     out["settings_with_defaults"] = """
         SELECT o_orderkey, false AS uses_llm, CASE WHEN o_orderstatus = 'F' THEN 'm' || (o_custkey % 3) END AS model,
           CASE WHEN o_orderstatus = 'F' THEN o_orderkey END AS seed, NULL::DOUBLE AS temperature, o_orderkey % 5 AS limit FROM orders"""
+    # sources and sinks
+    out["read_corpus"] = "SELECT source AS dataset, doc_id::VARCHAR AS id, text AS nlt, upper(lang) AS puml FROM documents"
+    out["read_model_tree"] = """
+        SELECT s_suppkey::VARCHAR AS id, s_name || chr(10) || n_name AS description,
+          CASE WHEN s_suppkey % 3 > 0 THEN '@startuml' || chr(10) || 'class ' || regexp_replace(n_name, '[^A-Za-z0-9_]', '_', 'g') || chr(10) || '@enduml' END AS plantuml,
+          s_name AS name, 'http://x:' || s_nationkey AS source FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+    out["read_scored"] = sql("scores", select=f"""
+        SELECT candidate, dataset, id::VARCHAR AS id, error IS NOT NULL AS failed, {_r('class_score')} AS class_score, {_r('attribute_score')} AS attribute_score,
+          {_r('association_score')} AS association_score, error, id % 8 = 0 AS metric_mismatch FROM scores""")
+    out["read_joblist"] = """
+        SELECT o_orderkey::VARCHAR AS key, o_orderpriority AS candidate_id, o_orderstatus AS status, o_orderkey % 3 AS run_index,
+          round(o_totalprice, 6) AS wall_seconds, NULL::VARCHAR AS llm FROM orders WHERE o_orderkey % 50 <> 0"""
+    out["read_examples"] = """
+        SELECT 'shots' AS strategy, c_custkey::VARCHAR AS id, c_name AS nlt, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) END AS model FROM customer"""
+    out["write_run"] = sql("scores", select=f"""
+        SELECT candidate, dataset, run_index::BIGINT AS run_index, id, {_r('class_score')} AS class_score, error FROM scores""")
+    out["read_sidecar"] = sql("sentences", select="""
+        SELECT d.source || '::' || d.doc_id AS key, d.source AS dataset, d.doc_id AS id, coalesce(s.t, '') AS sentences, length(d.text) AS n
+        FROM documents d LEFT JOIN (SELECT id, string_agg(sentence, '|' ORDER BY sent_i) AS t FROM sentences WHERE sent_i < 3 GROUP BY id) s ON s.id = d.doc_id""")
+    out["read_table_csv"] = f"SELECT doc_id, source, text, {_r('n_chars / 7')} AS share FROM documents"
+    out["generate_with_settings"] = rf"""
+        SELECT source AS dataset, doc_id AS id, array_to_string(regexp_extract_all(text, '[^\p{{Z}}\t-\r\x{{1C}}-\x{{1F}}\x{{85}}]+')[1:3], ' ') || '?' AS generated,
+          false AS failed, NULL::VARCHAR AS error, text AS raw_excerpt FROM documents"""
+    out["score_with_metric"] = """
+        SELECT dataset, id, CASE WHEN blank THEN 0.0 WHEN a = b THEN 1.0 ELSE 0.0 END::DOUBLE AS class_score,
+          CASE WHEN blank THEN 0.0 ELSE round(least(a, b) / greatest(a, b), 6) END::DOUBLE AS attribute_score,
+          CASE WHEN blank THEN 0.0 ELSE 0.5 END::DOUBLE AS association_score, CASE WHEN blank THEN 'empty_generated_model' END AS error
+        FROM (SELECT c_mktsegment AS dataset, c_custkey AS id, c_custkey % 5 = 0 AS blank, length(c_mktsegment) + 24 AS a, length(c_custkey::VARCHAR) + 25 AS b FROM customer)"""
+    out["explode_settings_filtered"] = """
+        SELECT c_name AS model, '1shot' AS setting, upper(c_name) AS text, false AS is_reference FROM customer WHERE c_custkey % 2 = 0
+        UNION ALL SELECT c_name, 'reference', c_mktsegment, true FROM customer"""
     out["run_identity"] = """
         SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H-%M-%SZ') AS run_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp_utc,
           'element_f1' AS name, '1' AS version FROM orders"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -821,6 +821,152 @@ def annotate(spark: SparkSession, d: str) -> DataFrame:
     return P.annotate(fx.placed_records(spark, d))
 
 
+# --- sources and sinks: what is written comes back --------------------------------------------
+
+
+def _blocks(rows: DataFrame, group: list, order: str, text: Column, head: str, tail: str, size: int = 1000) -> DataFrame:
+    """group, _block, value: JSON texts of at most `size` numbers of `order`, comma-joined between head and tail."""
+    block = F.floor(F.col(order) / size).cast("long").alias("_block")
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))
+    return rows.groupBy(*group, block).agg(F.concat(
+        F.lit(head), F.array_join(F.transform(listed, lambda x: x["t"]), ",\n"), F.lit(tail)).alias("value"))
+
+
+@query
+def read_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Every source as a folder of JSON array files, read back by name."""
+    root = fx.scratch(spark, "corpora")
+    docs = fx.table(spark, d, "documents")
+    record = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("nlt"), F.upper("lang").alias("puml")))
+    files = _blocks(docs, ["source"], "doc_id", record, "[", "]")
+    files.write.partitionBy("source", "_block").text(root)
+    names = sorted(r.source for r in docs.select("source").distinct().collect())
+    out = S.read_corpus(spark, {n: f"{root}/source={n}" for n in names})
+    return out.select("dataset", "id", "nlt", "puml")
+
+
+@query
+def read_model_tree(spark: SparkSession, d: str) -> DataFrame:
+    """A folder per supplier, written and read back with its metadata."""
+    s, n = fx.table(spark, d, "supplier"), fx.table(spark, d, "nation")
+    models = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").cast("string").alias("id"), F.concat("s_name", F.lit("\n"), "n_name").alias("description"),
+        F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("@startuml\nclass "), F.regexp_replace("n_name", r"\W", "_"), F.lit("\n@enduml"))).alias("plantuml"),
+        F.concat(F.lit("name: "), "s_name", F.lit("\nsource: http://x:"), F.col("s_nationkey").cast("string"), F.lit("\nname: second")).alias("metadata"))
+    root = fx.scratch(spark, "models")
+    S.write_model_tree(models, root)
+    out = S.read_model_tree(spark, root, folders=True)
+    return out.select("id", "description", "plantuml", *[F.col("metadata")[k].alias(k) for k in ("name", "source")])
+
+
+@query
+def read_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Scored runs as nested files, many records each; files of another metric are marked."""
+    root = fx.scratch(spark, "scored")
+    s = fx.scores(spark, d).withColumn("file", F.col("id") % 8)
+    scores = F.struct("class_score", "attribute_score", "association_score", "error")
+    record = F.struct(F.col("id").cast("string").alias("id"), F.col("error").isNotNull().alias("failed"), scores.alias("scores"))
+    runs = s.groupBy("candidate", "dataset", "file").agg(F.collect_list(record).alias("records")).select(
+        "candidate", "dataset", F.when(F.col("file") > 0, "element_f1").otherwise("other").alias("metric_name"), "records",
+        F.concat_ws("-", "candidate", "dataset", "file").alias("run"))
+    runs.write.partitionBy("run").json(root)
+    out = S.read_scored(spark, f"{root}/*/*.json", "element_f1", strict=False)
+    return out.select("candidate", "dataset", "id", "failed", "class_score", "attribute_score", "association_score", "error", "metric_mismatch")
+
+
+@query
+def read_joblist(spark: SparkSession, d: str) -> DataFrame:
+    """Job states as maps in several files with entries that are no jobs."""
+    root = fx.scratch(spark, "jobs")
+    o = fx.table(spark, d, "orders")
+    state = F.to_json(F.struct(
+        F.col("o_orderpriority").alias("candidate_id"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 3).alias("run_index"),
+        F.col("o_totalprice").alias("wall_seconds")))
+    entry = F.concat(F.lit('"'), F.col("o_orderkey").cast("string"), F.lit('": '), F.when(F.col("o_orderkey") % 50 == 0, F.lit("5")).otherwise(state))
+    _blocks(o, [], "o_orderkey", entry, '{"jobs": {', "}}").write.partitionBy("_block").text(root)
+    out = S.read_joblist(spark, f"{root}/*/*.txt")
+    return out.select("key", "candidate_id", "status", "run_index", "wall_seconds", "llm")
+
+
+@query
+def read_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Worked examples of one file per customer segment."""
+    root = fx.scratch(spark, "examples")
+    c = fx.table(spark, d, "customer")
+    example = F.to_json(F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("nlt"), F.when(F.col("c_custkey") % 2 == 0, F.lower("c_name")).alias("model")))
+    _blocks(c, ["c_mktsegment"], "c_custkey", example, '{"examples": [', "]}").write.partitionBy("c_mktsegment", "_block").text(root)
+    out = S.read_examples(spark, f"{root}/*/*/*.txt", "shots")
+    return out.select("strategy", "id", "nlt", "model")
+
+
+@query
+def write_run(spark: SparkSession, d: str) -> DataFrame:
+    """Run artefacts with null fields in one folder per candidate, dataset and run."""
+    root = fx.scratch(spark, "runs")
+    s = fx.scores(spark, d).select("candidate", "dataset", "run_index", "id", "class_score", "error")
+    S.write_run(s, root)
+    schema = "id long, class_score double, error string, candidate string, dataset string, run_index long"
+    return spark.read.schema(schema).json(root).select("candidate", "dataset", "run_index", "id", "class_score", "error")
+
+
+@query
+def read_sidecar(spark: SparkSession, d: str) -> DataFrame:
+    """Nested results per record under their key."""
+    root = fx.scratch(spark, "sidecar")
+    r = fx.records(spark, d).select("dataset", "id", F.slice(T.sentences("nlt"), 1, 3).alias("sentences"), F.struct(F.length("nlt").alias("n")).alias("sizes"))
+    S.write_sidecar(r, root)
+    out = S.read_sidecar(spark, root, "key string, dataset string, id long, sentences array<string>, sizes struct<n: long>")
+    return out.select("key", "dataset", "id", "sentences", "sizes.n")
+
+
+@query
+def read_table_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts with quotes, commas and line breaks through a CSV table."""
+    root = fx.scratch(spark, "table")
+    docs = fx.table(spark, d, "documents").select("doc_id", "source", "text", (F.col("n_chars") / 7).alias("share"))
+    S.write_table_csv(docs, root)
+    return S.read_table_csv(spark, root, docs.schema)
+
+
+@query
+def generate_with_settings(spark: SparkSession, d: str) -> DataFrame:
+    """A registered candidate: settings it does not know and null ones are left out; the whole output is compared."""
+
+    def first_words(text, n=1, mark="?"):
+        return {"generated": " ".join(text.split()[:n]) + mark, "raw_excerpt": text}
+
+    G.register_candidate("first_words", first_words, n=3, mark=None, temperature=0.5)
+    out = G.generate(fx.records(spark, d), "first_words", excerpt_length=None)
+    return out.select("dataset", "id", "generated", "failed", "error", "raw_excerpt")
+
+
+@query
+def score_with_metric(spark: SparkSession, d: str) -> DataFrame:
+    """A second metric by name: equal lengths of texts and diagrams."""
+    def lengths(pairs: DataFrame) -> DataFrame:
+        same = (F.length("reference") == F.length("generated")).cast("double")
+        share = F.least(F.length("reference"), F.length("generated")) / F.greatest(F.length("reference"), F.length("generated"))
+        return pairs.select("dataset", "id", same.alias("class_score"), share.alias("attribute_score"), F.lit(0.5).alias("association_score"))
+
+    G.register_metric("lengths", lengths)
+    c = fx.table(spark, d, "customer")
+    diagram = lambda name: F.concat(F.lit("@startuml\nclass "), name, F.lit("\n@enduml"))
+    pairs = c.select(
+        F.col("c_mktsegment").alias("dataset"), F.col("c_custkey").alias("id"), diagram(F.col("c_mktsegment")).alias("reference"),
+        F.when(F.col("c_custkey") % 5 > 0, diagram(F.concat(F.lit("N"), F.col("c_custkey").cast("string")))).alias("generated"))
+    s = G.score_pairs(pairs, "lengths")
+    return s.select("dataset", "id", "class_score", "attribute_score", "association_score", "error")
+
+
+@query
+def explode_settings_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """One setting of all models, and the references alone."""
+    c = fx.table(spark, d, "customer")
+    models = c.select(F.col("c_name").alias("model"), F.col("c_mktsegment").alias("reference"), F.create_map(
+        F.lit("0shot"), F.lower("c_name"), F.lit("1shot"), F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise("")).alias("generated"))
+    return S.explode_settings(models, setting="1shot").union(S.explode_settings(models, references_only=True))
+
+
 # --- runs ------------------------------------------------------------------------------------
 
 

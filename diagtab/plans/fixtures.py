@@ -7,6 +7,9 @@ definitions are written in SQL in ``checks/oracle.py``.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +20,28 @@ VERB_LEMMAS = ("take", "send", "include", "consist", "belong", "have", "contain"
 PREPOSITIONS = ("of", "to", "in", "with")
 ENTITY_LABELS = ("ORG", "PERSON", "GPE")
 
+#: Temporary folders of this process, where no shared folder is set.
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for files that a query writes and reads back, in the folder that all executors share.
+
+    Without spark.checkpoint.dir a local session uses a temporary folder, which goes when Python ends; a cluster has none.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="diagtab-"))
+        folder = f"file://{_LOCAL[-1].name}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def by_record(docs: DataFrame) -> DataFrame:
     """Documents hash-partitioned by record.
 
