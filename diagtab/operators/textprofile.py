@@ -90,52 +90,48 @@ def sentence_stats(records: DataFrame, names: DataFrame, tokens: DataFrame | Non
     )
 
 
-def _entity_counts(entities: DataFrame | None, tokens: DataFrame) -> DataFrame:
+def _entity_profile(entities: DataFrame | None, tokens: DataFrame) -> DataFrame:
+    """dataset, id, n_entities, entity_types: entities are read once for both."""
     if entities is None:
-        return tokens.select(*KEYS).limit(0).withColumn("n_entities", F.lit(0).cast("long"))
-    return entities.groupBy(*KEYS).agg(F.count("*").alias("n_entities"))
-
+        none = tokens.select(*KEYS).limit(0)
+        return none.select(*KEYS, F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entity_types"))
+    counted = entities.groupBy(*KEYS, "label").agg(F.count("*").alias("_n"))
+    pairs = F.sort_array(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "_n"))))
+    shown = F.transform(pairs, lambda p: F.concat(p["label"], F.lit(":"), p["_n"].cast("string")))
+    return counted.groupBy(*KEYS).agg(F.sum("_n").alias("n_entities"), F.array_join(shown, ";").alias("entity_types"))
 
-def style_features(tokens: DataFrame, entities: DataFrame | None = None, rounded: bool = True) -> DataFrame:
-    """Passive, modal, hedge and entity counts and densities per record.
 
-    ``passive_ratio`` is passive / (passive + active).
-    """
+def _style_counts() -> list[Column]:
     lemma = F.lower("lemma")
-    counts = tokens.groupBy(*KEYS).agg(
-        F.count("*").alias("_n"),
+    return [
         F.count_if(F.col("dep") == "nsubjpass").alias("passive_nsubjpass"),
         F.count_if(F.col("dep") == "nsubj").alias("active_nsubj"),
         F.count_if(lemma.isin(*MODAL_VERBS) & F.col("pos").isin("VERB", "AUX")).alias("modal_count"),
         F.count_if(lemma.isin(*HEDGE_WORDS)).alias("hedge_count"),
-    )
-    joined = counts.join(_entity_counts(entities, tokens), KEYS, "left")
-    named = F.coalesce("n_entities", F.lit(0))
+    ]
+
+
+def _style_columns(rounded: bool) -> list[Column]:
+    """Style columns of a row with the style counts, n_tokens and n_entities."""
+    named, n = F.coalesce("n_entities", F.lit(0)), F.col("n_tokens")
 
     def shown(c: Column) -> Column:
         return F.bround(c, 4) if rounded else c
 
     subjects = F.greatest(F.col("passive_nsubjpass") + F.col("active_nsubj"), F.lit(1))
-    return joined.select(
-        *KEYS, "passive_nsubjpass", "active_nsubj", "modal_count", "hedge_count", named.alias("named_entities"),
+    return [
+        *[F.col(c).alias(c) for c in ("passive_nsubjpass", "active_nsubj", "modal_count", "hedge_count")], named.alias("named_entities"),
         shown(F.col("passive_nsubjpass") / subjects).alias("passive_ratio"),
-        shown(F.col("hedge_count") / F.col("_n")).alias("hedge_density"),
-        shown(F.col("modal_count") / F.col("_n")).alias("modal_density"),
-        shown(named / F.col("_n")).alias("entity_density"),
-    )
+        shown(F.col("hedge_count") / n).alias("hedge_density"),
+        shown(F.col("modal_count") / n).alias("modal_density"),
+        shown(named / n).alias("entity_density"),
+    ]
 
 
-def token_features(tokens: DataFrame, entities: DataFrame | None = None, chunks: DataFrame | None = None,
-                   rounded: bool = True) -> DataFrame:
-    """Token, sentence, role and part-of-speech counts per record; ``passive_ratio`` is nsubjpass / nsubj here.
-
-    The distinct counts use per-record sets (bounded by the text), which keeps
-    one aggregation without row expansion.
-    """
+def _token_counts() -> list[Column]:
     dep, pos = F.col("dep"), F.col("pos")
     alpha = F.col("text").rlike(r"^\p{L}+\z")
-    counts = tokens.groupBy(*KEYS).agg(
-        F.count("*").alias("n_tokens"),
+    return [
         F.size(F.collect_set("sent_i")).cast("long").alias("n_sents"),
         F.count_if(dep == "nsubj").alias("n_nsubj"),
         F.count_if(dep == "nsubjpass").alias("n_nsubjpass"),
@@ -145,30 +141,58 @@ def token_features(tokens: DataFrame, entities: DataFrame | None = None, chunks:
         F.count_if(pos == "ADJ").alias("n_adjectives"),
         F.size(F.collect_set(F.when(alpha, F.lower("lemma")))).cast("long").alias("n_unique_lemmas"),
         F.count_if(F.col("head_i") != F.col("i")).alias("_edges"),
-    )
-    if chunks is None:
-        counts = counts.withColumn("n_noun_chunks", F.lit(0).cast("long"))
-    else:
-        n_chunks = chunks.groupBy(*KEYS).agg(F.count("*").alias("n_noun_chunks"))
-        counts = counts.join(n_chunks, KEYS, "left")
-    joined = counts.join(_entity_counts(entities, tokens), KEYS, "left")
-    if entities is not None:
-        joined = joined.join(entity_type_string(entities), KEYS, "left")
-    else:
-        joined = joined.withColumn("entity_types", F.lit(""))
+    ]
 
+
+def _token_columns(rounded: bool) -> list[Column]:
+    """Token columns of a row with the token counts, n_tokens, n_noun_chunks, n_entities and entity_types."""
     def shown(c: Column, digits: int) -> Column:
         return F.bround(c, digits) if rounded else c
 
-    return joined.select(
-        *KEYS, "n_tokens", "n_sents", "n_nsubj", "n_nsubjpass", "n_dobj", "n_verbs", "n_nouns", "n_adjectives",
+    return [
+        *[F.col(c).alias(c) for c in ("n_tokens", "n_sents", "n_nsubj", "n_nsubjpass", "n_dobj", "n_verbs", "n_nouns", "n_adjectives")],
         F.coalesce("n_noun_chunks", F.lit(0)).alias("n_noun_chunks"),
         F.coalesce("n_entities", F.lit(0)).alias("n_entities"),
         F.coalesce("entity_types", F.lit("")).alias("entity_types"),
         shown(F.col("n_nsubjpass") / F.greatest("n_nsubj", F.lit(1)), 4).alias("passive_ratio"),
         shown(F.col("_edges") / F.col("n_tokens"), 3).alias("mean_children"),
-        "n_unique_lemmas",
-    )
+        F.col("n_unique_lemmas"),
+    ]
+
+
+def _profiled(tokens: DataFrame, entities: DataFrame | None, chunks: DataFrame | None, counts: list[Column]) -> DataFrame:
+    """One aggregation over the tokens, with the entities and chunks of each record."""
+    counted = tokens.groupBy(*KEYS).agg(F.count("*").alias("n_tokens"), *counts)
+    joined = counted.join(_entity_profile(entities, tokens), KEYS, "left")
+    if chunks is None:
+        return joined.withColumn("n_noun_chunks", F.lit(0).cast("long"))
+    return joined.join(chunks.groupBy(*KEYS).agg(F.count("*").alias("n_noun_chunks")), KEYS, "left")
+
+
+def style_features(tokens: DataFrame, entities: DataFrame | None = None, rounded: bool = True) -> DataFrame:
+    """Passive, modal, hedge and entity counts and densities per record.
+
+    ``passive_ratio`` is passive / (passive + active).
+    """
+    return _profiled(tokens, entities, None, _style_counts()).select(*KEYS, *_style_columns(rounded))
+
+
+def token_features(tokens: DataFrame, entities: DataFrame | None = None, chunks: DataFrame | None = None,
+                   rounded: bool = True) -> DataFrame:
+    """Token, sentence, role and part-of-speech counts per record; ``passive_ratio`` is nsubjpass / nsubj here.
+
+    The distinct counts use per-record sets (bounded by the text), which keeps
+    one aggregation without row expansion.
+    """
+    return _profiled(tokens, entities, chunks, _token_counts()).select(*KEYS, *_token_columns(rounded))
+
+
+def token_profile(tokens: DataFrame, entities: DataFrame | None = None, chunks: DataFrame | None = None,
+                  rounded: bool = True) -> DataFrame:
+    """``token_features`` as tok_ and ``style_features`` as style_ columns, from one aggregation over the tokens."""
+    both = _profiled(tokens, entities, chunks, [*_token_counts(), *_style_counts()])
+    return both.select(*KEYS, F.struct(*_token_columns(rounded)).alias("tok"), F.struct(*_style_columns(rounded)).alias("style")).select(
+        *KEYS, "tok", "style")
 
 
 def entity_type_string(entities: DataFrame) -> DataFrame:

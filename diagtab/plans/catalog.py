@@ -1200,18 +1200,17 @@ def wide_record_table(spark: SparkSession, d: str) -> DataFrame:
         F.count_if(F.col("kind") == "class").alias("n_classes"), F.count_if(F.col("kind") == "attribute").alias("n_attributes")
     )
     return A.wide_record_table(
-        r, t, e, rel, _matched(spark, d), D.class_attr_bindings(e, t), D.relationship_bindings(rel, t), counts,
-        fx.entities(spark, d), fx.chunks(spark, d), rounded=False,
-    )
+        r, t, _matched(spark, d), D.record_bindings(e, rel, t), counts, fx.entities(spark, d), fx.chunks(spark, d), rounded=False)
 
 
 @query
 def case_study_rows(spark: SparkSession, d: str) -> DataFrame:
-    r, t, e, rel = fx.records(spark, d), fx.tokens(spark, d), fx.elements(spark, d), fx.element_relationships(spark, d)
-    labelled = fx.table(spark, d, "labels").select(F.col("doc_id").alias("id"))
-    selected = r.select("dataset", "id").join(labelled, "id", "left_semi")
-    rows = A.case_study_rows(selected, r, _matched(spark, d), rel, D.class_attr_bindings(e, t), D.relationship_bindings(rel, t))
-    return rows
+    """The labelled records: all views are made for their documents alone."""
+    only = fx.table(spark, d, "labels").select("doc_id")
+    r, t = fx.placed_records(spark, d, only), fx.tokens(spark, d, only)
+    e, rel = fx.elements(spark, d, only), fx.element_relationships(spark, d, only)
+    matched = L.match_all(e, rel, None, r, fx.synonyms(spark, d), _lexicon(spark, d), sentences=False)
+    return A.case_study_rows(r, matched, rel, D.record_bindings(e, rel, t))
 
 
 @query

@@ -57,9 +57,15 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_records(table(spark, sf_dir, "documents"))
 
 
-def placed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """The documents, or those whose doc_id is in ``only``."""
+    docs = table(spark, sf_dir, "documents")
+    return docs if only is None else docs.join(only, "doc_id", "left_semi")
+
+
+def placed_records(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """Texts for operators that group words, sentences or tokens by record."""
-    return _as_records(by_record(table(spark, sf_dir, "documents")))
+    return _as_records(by_record(documents(spark, sf_dir, only)))
 
 
 def _as_records(docs: DataFrame) -> DataFrame:
@@ -70,9 +76,9 @@ def _item(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokens(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """Annotated tokens of every sentence of every document, by a clause grammar of six tokens."""
-    sents = placed_records(spark, sf_dir).select("dataset", "id", F.posexplode(sentences("nlt")).alias("sent_i", "_s"))
+    sents = placed_records(spark, sf_dir, only).select("dataset", "id", F.posexplode(sentences("nlt")).alias("sent_i", "_s"))
 
     def row(ws: Column, w: Column, r: Column) -> Column:
         verb_at = r - F.pmod(r, F.lit(6)) + 1
@@ -129,7 +135,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("dataset", "id", "sent_i", F.col("i").alias("root_i"), F.col("text"))
 
 
-def _from_names(spark: SparkSession, sf_dir: str, rows) -> DataFrame:
+def _from_names(spark: SparkSession, sf_dir: str, rows, only: DataFrame | None = None) -> DataFrame:
     """``rows(names)`` exploded, where names are the camel-joined word pairs of the next document.
 
     Each document hands its text to its predecessor, where its names are made;
@@ -149,11 +155,11 @@ def _from_names(spark: SparkSession, sf_dir: str, rows) -> DataFrame:
         return F.zip_with(firsts, seconds, lambda a, b: F.concat(cap(a), cap(b)))
 
     names = let(long_words, pairs)
-    owners = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("dataset"))
+    owners = documents(spark, sf_dir, only).select(F.col("doc_id").alias("id"), F.col("source").alias("dataset"))
     return docs.join(owners, "id").select("dataset", "id", F.inline(let(names, rows)))
 
 
-def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def elements(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """dataset, id, kind, owner, name: classes, attributes and enum values in turn, distinct."""
 
     def rows(names: Column) -> Column:
@@ -168,10 +174,10 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return F.transform(names, row)
 
-    return _from_names(spark, sf_dir, rows).select("dataset", "id", "kind", "owner", "name").distinct()
+    return _from_names(spark, sf_dir, rows, only).select("dataset", "id", "kind", "owner", "name").distinct()
 
 
-def element_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+def element_relationships(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """dataset, id, source, target, kind, label: each class tied to the next one of its document."""
 
     def rows(names: Column) -> Column:
@@ -186,7 +192,7 @@ def element_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
         later = F.filter(names, lambda _, i: (F.pmod(i, F.lit(3)) == 0) & (i > 0))
         return F.filter(F.zip_with(classes, later, link), lambda r: r["target"].isNotNull())
 
-    return _from_names(spark, sf_dir, rows).select("dataset", "id", "source", "target", "kind", "label").distinct()
+    return _from_names(spark, sf_dir, rows, only).select("dataset", "id", "source", "target", "kind", "label").distinct()
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import RELATIONSHIP_KINDS
 from ..functions.text import excerpt
-from ..operators import lexmatch, textprofile, treepath
+from ..operators import textprofile, treepath
 from ..operators.ranking import exact_quantiles, join_null_safe, value_positions
 
 KEYS = ["dataset", "id"]
@@ -248,74 +248,76 @@ def box_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
     return basic.join(quartiles, keys).select(*keys, "n", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
-def wide_record_table(records: DataFrame, tokens: DataFrame, elements: DataFrame, relationships: DataFrame,
-                      matched: DataFrame, attribute_bindings: DataFrame, relationship_bindings: DataFrame,
-                      counts: DataFrame, entities: DataFrame | None = None, chunks: DataFrame | None = None,
-                      warnings: DataFrame | None = None, rounded: bool = True) -> DataFrame:
-    """One row per record with all features; every part is keyed by (dataset, id)."""
-
-    def prefixed(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*KEYS, *[F.col(c).alias(prefix + c) for c in df.columns if c not in KEYS])
+def wide_record_table(records: DataFrame, tokens: DataFrame, matched: DataFrame, bound: DataFrame, counts: DataFrame,
+                      entities: DataFrame | None = None, chunks: DataFrame | None = None, warnings: DataFrame | None = None,
+                      rounded: bool = True) -> DataFrame:
+    """One row per record with all features; every part is keyed by (dataset, id).
 
+    ``bound`` comes from ``treepath.record_bindings``. Tokens are aggregated once for both profiles.
+    """
     short = {"class": "classes", "attribute": "attrs", "enum_value": "enum", "rel_source": "rel_src", "rel_target": "rel_tgt"}
-    cov = lexmatch.coverage_summary(matched, records, rounded=rounded)
-    coverage = cov.groupBy(*KEYS).agg(
-        *[
-            F.max(F.when(F.col("kind") == kind, F.col(src))).alias(f"cov_{name}_{dst}")
-            for kind, name in short.items()
-            for src, dst in (("n", "n"), *((f"pct_{x}", x) for x in ("l1", "l2", "l3", "l4", "absent")))
-        ]
-    )
-    parts = [
-        prefixed(textprofile.token_features(tokens, entities, chunks, rounded), "tok_"),
-        prefixed(textprofile.style_features(tokens, entities, rounded), "style_"),
-        counts,
-        coverage,
-        treepath.binding_summary(records, elements, relationships, attribute_bindings, relationship_bindings, rounded),
-    ]
+    levels = ("l1", "l2", "l3", "l4", "absent")
+
+    def coverage(kind: str, name: str) -> list[Column]:
+        """Of one kind the number of names and the percentage on each level, zeros where there is none."""
+        n = F.count_if(F.col("kind") == kind)
+        shares = [100 * F.count_if((F.col("kind") == kind) & F.col(c)) / F.greatest(n, F.lit(1)) for c in levels]
+        return [n.alias(f"cov_{name}_n"), *[(F.bround(x, 2) if rounded else x).alias(f"cov_{name}_{c}") for x, c in zip(shares, levels, strict=True)]]
+
+    covered = matched.groupBy(*KEYS).agg(*[c for kind, name in short.items() for c in coverage(kind, name)])
+    profile = textprofile.token_profile(tokens, entities, chunks, rounded)
+    flat = [F.col(f"{group}.{f.name}").alias(f"{group}_{f.name}") for group in ("tok", "style") for f in profile.schema[group].dataType.fields]
     base = textprofile.text_features(records.select(*KEYS, "nlt"), rounded=rounded)
-    for part in parts:
+    for part in (profile.select(*KEYS, *flat), counts, covered, treepath.record_binding_summary(records, bound, rounded)):
         base = base.join(part, KEYS, "left")
+    zeros = {f"cov_{name}_{c}": F.coalesce(f"cov_{name}_{c}", F.lit(0 if c == "n" else 0.0)) for name in short.values() for c in ("n", *levels)}
+    base = base.withColumns(zeros)
     if warnings is None:
         return base.withColumn("n_parser_warnings", F.lit(0).cast("long"))
     per_record = warnings.groupBy(*KEYS).agg(F.count("*").alias("n_parser_warnings"))
     return base.join(per_record, KEYS, "left").withColumn("n_parser_warnings", F.coalesce("n_parser_warnings", F.lit(0)))
 
 
-def case_study_rows(selected: DataFrame, records: DataFrame, matched: DataFrame, relationships: DataFrame,
-                    attribute_bindings: DataFrame, relationship_bindings: DataFrame, n_bindings: int = 8) -> DataFrame:
-    """dataset, id, section, pos, name, detail of the selected records.
+def case_study_rows(records: DataFrame, matched: DataFrame, relationships: DataFrame, bound: DataFrame, n_bindings: int = 8,
+                    text_length: int = 1200) -> DataFrame:
+    """dataset, id, section, name, detail of the records of a case study.
 
-    Sections: text (first 1,200 characters), class, relationship, absent_class,
-    absent_attribute, attribute_binding (the first ones by name) and
-    relationship_binding (best path).
+    All inputs hold the records of the study only: select them first, so that
+    nothing is computed for others. Sections: text (its first characters),
+    class, relationship, absent_class, absent_attribute, attribute_binding (the
+    first ones by name) and relationship_binding (best path). Every input is
+    read once and gives all its sections.
     """
-    picked = selected.select(*KEYS).distinct()
+    row = "array<struct<section: string, name: string, detail: string>>"
     none = F.lit(None).cast("string")
 
-    def of(df: DataFrame, section: str, name: Column, detail: Column) -> DataFrame:
-        return df.join(picked, KEYS, "left_semi").select(*KEYS, F.lit(section).alias("section"), name.alias("name"), detail.alias("detail"))
+    def section(title: str, name: Column, detail: Column) -> Column:
+        return F.struct(F.lit(title).alias("section"), name.alias("name"), detail.alias("detail"))
 
     flags = F.to_json(F.struct("l1", "l2", "l3", "l4", "absent"))
-    classes = matched.filter("kind = 'class'")
-    attributes = matched.filter("kind = 'attribute'")
-    shown = F.concat_ws(".", "owner", "name")
-    link = F.concat(F.col("source"), F.lit(" -> "), F.col("target"))
-    path = F.to_json(F.struct("sent_i", "hop", "path_text"))
-    ranked = attribute_bindings.join(picked, KEYS, "left_semi").groupBy(*KEYS).agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("class", "attribute", "sent_i", "hop", "path_text"))), 1, n_bindings).alias("_b")
+    is_class, is_attribute = F.col("kind") == "class", F.col("kind") == "attribute"
+    names = F.array_compact(F.array(
+        F.when(is_class, section("class", F.col("name"), flags)),
+        F.when(is_class & F.col("absent"), section("absent_class", F.col("name"), none)),
+        F.when(is_attribute & F.col("absent"), section("absent_attribute", F.concat_ws(".", "owner", "name"), none)),
+    ))
+
+    def path(p: Column) -> Column:
+        return F.to_json(F.struct(p["sent_i"].alias("sent_i"), p["hop"].alias("hop"), p["path_text"].alias("path_text")))
+
+    by_name = F.array_sort(F.transform(F.filter("found", lambda p: p["sort"] == 0), lambda p: F.struct(
+        p["first"].alias("first"), p["second"].alias("second"), p["sent_i"].alias("sent_i"), p["hop"].alias("hop"), p["path_text"].alias("path_text"))))
+    bindings = F.concat(
+        F.transform(F.slice(by_name, 1, n_bindings), lambda p: section("attribute_binding", F.concat_ws(".", p["first"], p["second"]), path(p))),
+        F.transform(F.filter("found", lambda p: p["sort"] == 1), lambda p: section("relationship_binding", F.concat(p["first"], F.lit(" -> "), p["second"]), path(p))),
     )
-    first = ranked.select(*KEYS, F.inline("_b"))
-    parts = [
-        of(records, "text", none, excerpt("nlt", 1200)),
-        of(classes, "class", F.col("name"), flags),
-        of(relationships, "relationship", link, F.col("kind")),
-        of(classes.filter("absent"), "absent_class", F.col("name"), none),
-        of(attributes.filter("absent"), "absent_attribute", shown, none),
-        first.select(*KEYS, F.lit("attribute_binding").alias("section"), F.concat_ws(".", "class", "attribute").alias("name"), path.alias("detail")),
-        of(relationship_bindings, "relationship_binding", link, path),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    link = section("relationship", F.concat(F.col("source"), F.lit(" -> "), F.col("target")), F.col("kind"))
+    parts = (
+        (records, F.array(section("text", none, excerpt("nlt", text_length)))),
+        (matched, names), (relationships, F.array(link)), (bound, bindings),
+    )
+    rows = [df.select(*KEYS, F.inline(listed.cast(row))) for df, listed in parts]
+    out = rows[0]
+    for extra in rows[1:]:
+        out = out.unionByName(extra)
     return out
