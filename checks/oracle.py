@@ -542,7 +542,7 @@ def statements() -> dict[str, str]:
     out["split_identifier"] = sql("elements", select=f"""
         SELECT dataset, id, kind, owner, name, array_to_string({_parts('name')}, '|') AS parts FROM elements""")
     out["text_tokens"] = sql("words", select="""
-        SELECT dataset, id, sent_i, count(*) AS n, count(DISTINCT w) AS n_distinct, max(w) AS last_token FROM words GROUP BY ALL""")
+        SELECT dataset, id, sent_i, r AS tok_i, w AS token FROM words""")
     out["name_cleaning"] = r"""
         SELECT c_custkey, nullif(trim(regexp_replace(c_name, '[^\p{L}\p{N}_.-]', '_', 'g'), '_'), '') AS safe,
           upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS camel, '"' || c_nationkey || '"' AS quoted, left(c_name, 10) AS short,
@@ -721,11 +721,14 @@ def statements() -> dict[str, str]:
     out["dsl_relationships"] = sql("cls", select="""
         SELECT dataset, id, 'Customer' AS source, cls AS target, CASE WHEN n > 1 THEN 'composition' ELSE 'inheritance' END AS kind,
           CASE WHEN n > 1 THEN '1' END AS source_card, CASE WHEN n > 1 THEN n::VARCHAR END AS target_card FROM cls""")
-    out["dsl_to_diagram"] = sql("cls", select="""
-        SELECT dataset, id, count(*) + 1 AS n_classes, 1::BIGINT AS n_enums, 0::BIGINT AS n_implicit_classes, sum(n)::BIGINT AS n_attributes,
-          count(*) AS n_relationships, count_if(n > 1)::BIGINT AS n_rels_with_card, 0::BIGINT AS n_rels_with_label, 0::BIGINT AS n_rels_association,
-          0::BIGINT AS n_rels_directed, count_if(n = 1)::BIGINT AS n_rels_inheritance, count_if(n > 1)::BIGINT AS n_rels_composition,
-          0::BIGINT AS n_rels_aggregation, 0::BIGINT AS n_rels_dependency, 0::BIGINT AS n_rels_association_class FROM cls GROUP BY ALL""")
+    out["dsl_to_diagram"] = sql("ord", "cls", "cust", select="""
+        , body AS (SELECT id, string_agg(txt, chr(10) ORDER BY cls) AS t FROM (SELECT id, cls, 'class ' || cls || ' {' || chr(10) ||
+            string_agg('  order_' || k || ' : Double', chr(10) ORDER BY k) || chr(10) || '}' AS txt FROM ord GROUP BY id, cls) GROUP BY id),
+        lits AS (SELECT id, string_agg('  ' || cls || chr(10), '' ORDER BY cls) AS t FROM cls GROUP BY id),
+        lk AS (SELECT id, string_agg(CASE WHEN n > 1 THEN 'Customer "1" *-- "' || n || '" ' || cls ELSE 'Customer <|-- ' || cls END, chr(10) ORDER BY cls) AS t FROM cls GROUP BY id)
+        SELECT c.dataset, c.id, '@startuml' || chr(10) || 'enum Level {' || chr(10) || lits.t || '}' || chr(10) || 'abstract class Customer { }' || chr(10)
+          || body.t || chr(10) || lk.t || chr(10) || '@enduml' AS puml
+        FROM cust c JOIN body ON body.id = c.id JOIN lits ON lits.id = c.id JOIN lk ON lk.id = c.id""")
     out["parse_failure_report"] = sql("cust", "loose_lines", select="""
         , first_bad AS (SELECT id, arg_min('Unrecognized line ' || line_no || ': ''' || t || '''', line_no) AS e FROM loose_lines WHERE what = 'unknown' GROUP BY id)
         SELECT dataset, 'strict' AS setting, count(*) AS total, count(*) AS passed, 0::BIGINT AS failed, 100.0::DOUBLE AS success_pct, NULL::VARCHAR AS first_model,
@@ -1137,6 +1140,14 @@ def statements() -> dict[str, str]:
           cv.* EXCLUDE (id), b.* EXCLUDE (dataset, id), 0::BIGINT AS n_parser_warnings
         FROM ({out['text_features']}) f LEFT JOIN ({out['token_features']}) t ON t.id = f.id LEFT JOIN ({out['style_features']}) s ON s.id = f.id
         LEFT JOIN el ON el.id = f.id LEFT JOIN cv ON cv.id = f.id LEFT JOIN ({out['binding_summary']}) b ON b.id = f.id""")
+    nine = ("n_words", "n_sentences", "n_classes", "n_attributes", "n_relationships", "cov_classes_absent", "cov_attrs_absent", "pct_attrs_bound", "pct_rels_bound")
+    cells = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {a}::DOUBLE AS x, {b}::DOUBLE AS y FROM w" for a in nine for b in nine)
+    out["spearman_report"] = f"""
+        WITH w AS MATERIALIZED (SELECT {', '.join(f"round({'n_rels_total' if c == 'n_relationships' else c}, 4) AS {c}" for c in nine)} FROM ({out['wide_record_table']})),
+        p AS (SELECT * FROM ({cells}) WHERE x IS NOT NULL AND y IS NOT NULL),
+        r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2 AS rx,
+          rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2 AS ry FROM p)
+        SELECT a, b, count(*) AS n, {_r('corr(rx, ry)')} AS rho FROM r GROUP BY ALL"""
     detail = "'{\"sent_i\":' || sent_i || ',\"hop\":' || hop || ',\"path_text\":\"' || array_to_string(texts, ' ') || '\"}'"
     marks = " || ',' || ".join(f"'\"{f}\":' || {f}::VARCHAR" for f in ("l1", "l2", "l3", "l4", "absent"))
     out["case_study_rows"] = sql("matched", "rels", "attr_bound", "rel_bound", select=f"""

@@ -112,10 +112,7 @@ def split_identifier(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def text_tokens(spark: SparkSession, d: str) -> DataFrame:
-    t = L.text_tokens(fx.placed_records(spark, d))
-    return t.groupBy("dataset", "id", "sent_i").agg(
-        F.count("*").alias("n"), F.count_distinct("token").alias("n_distinct"), F.max("token").alias("last_token")
-    )
+    return L.text_tokens(fx.records(spark, d))
 
 
 @query
@@ -392,7 +389,7 @@ def dsl_relationships(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dsl_to_diagram(spark: SparkSession, d: str) -> DataFrame:
-    return M.diagram_counts(M.explode_lines(V.dsl_to_diagram(fx.replies(spark, d))))
+    return V.dsl_to_diagram(fx.replies(spark, d))
 
 
 @query
@@ -1176,6 +1173,15 @@ def spearman_matrix(spark: SparkSession, d: str) -> DataFrame:
     return A.spearman_matrix(f.join(labels, "id", "left"), columns, rounded=False)
 
 
+@query
+def spearman_report(spark: SparkSession, d: str) -> DataFrame:
+    """The nine columns of the report, ranked over a written copy of the wide table."""
+    root = fx.scratch(spark, "wide")
+    wide = wide_record_table_of(spark, d).withColumn("n_relationships", F.col("n_rels_total"))
+    wide.select("dataset", "id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in A.CORRELATED]).write.parquet(root)
+    return A.spearman_matrix(spark.read.parquet(root), A.CORRELATED, rounded=False)
+
+
 @query
 def histogram_percent(spark: SparkSession, d: str) -> DataFrame:
     return A.histogram_percent(_coverage_wide(spark, d), "cov_attribute_l1")
@@ -1193,8 +1199,7 @@ def box_stats(spark: SparkSession, d: str) -> DataFrame:
     return A.box_stats(o, ["l_extendedprice", "l_quantity"], ["dataset"])
 
 
-@query
-def wide_record_table(spark: SparkSession, d: str) -> DataFrame:
+def wide_record_table_of(spark: SparkSession, d: str) -> DataFrame:
     r, t, e, rel = fx.records(spark, d), fx.tokens(spark, d), fx.elements(spark, d), fx.element_relationships(spark, d)
     counts = e.groupBy("dataset", "id").agg(
         F.count_if(F.col("kind") == "class").alias("n_classes"), F.count_if(F.col("kind") == "attribute").alias("n_attributes")
@@ -1203,6 +1208,11 @@ def wide_record_table(spark: SparkSession, d: str) -> DataFrame:
         r, t, _matched(spark, d), D.record_bindings(e, rel, t), counts, fx.entities(spark, d), fx.chunks(spark, d), rounded=False)
 
 
+@query
+def wide_record_table(spark: SparkSession, d: str) -> DataFrame:
+    return wide_record_table_of(spark, d)
+
+
 @query
 def case_study_rows(spark: SparkSession, d: str) -> DataFrame:
     """The labelled records: all views are made for their documents alone."""
