@@ -88,8 +88,12 @@ def _sides(first: DataFrame, second: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def set_counts(first: DataFrame, second: DataFrame, on: Sequence[str] = M.KEYS) -> DataFrame:
     """on, kind, n_first, n_second, n_both for records present on both sides (inputs from ``element_sets``)."""
+    return _counted(_sides(first, second, on), on)
+
+
+def _counted(sides: DataFrame, on: Sequence[str]) -> DataFrame:
     real = F.col("key").isNotNull()
-    counted = _sides(first, second, on).groupBy(*on, "kind").agg(
+    counted = sides.groupBy(*on, "kind").agg(
         F.count_if(real & F.col("in_first")).alias("n_first"),
         F.count_if(real & F.col("in_second")).alias("n_second"),
         F.count_if(real & F.col("in_first") & F.col("in_second")).alias("n_both"),
@@ -190,9 +194,22 @@ def cross_report(first: DataFrame, second: DataFrame, legacy: bool = False, roun
     )
 
 
+def pair_prf(pairs: DataFrame, legacy: bool = False, keys: Sequence[str] = M.KEYS) -> DataFrame:
+    """``element_prf`` of texts that stand side by side, (keys, generated, reference): both go through one parse."""
+    tagged = pairs.select(*keys, F.inline(F.array(
+        F.struct(F.lit(True).alias("_first"), F.col("generated").alias("puml")),
+        F.struct(F.lit(False).alias("_first"), F.col("reference").alias("puml")))))
+    sets = element_sets(tagged, legacy, [*keys, "_first"])
+    sides = sets.groupBy(*keys, "kind", "key").agg(F.max("_first").alias("in_first"), F.max(~F.col("_first")).alias("in_second"))
+    return _prf(_counted(sides, keys), keys)
+
+
 def element_prf(generated: DataFrame, reference: DataFrame, legacy: bool = False, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """keys, kind, precision, recall, f1 of generated against reference records; two empty sets score 1."""
-    counts = set_counts(element_sets(generated, legacy, keys), element_sets(reference, legacy, keys), keys)
+    return _prf(set_counts(element_sets(generated, legacy, keys), element_sets(reference, legacy, keys), keys), keys)
+
+
+def _prf(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     g, r, both = F.col("n_first"), F.col("n_second"), F.col("n_both")
     empty = (g == 0) & (r == 0)
     precision = F.when(empty, 1.0).when(g == 0, 0.0).otherwise(both / g)

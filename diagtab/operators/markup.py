@@ -788,6 +788,11 @@ def parse_warnings(lines: DataFrame, legacy: bool = False, keys: Sequence[str] =
     return unknown.select(*keys, "line_no", "content", text.alias("warning"))
 
 
+def no_block_error(col: str = "puml") -> Column:
+    """The error of a text without a block, null for one with a block."""
+    return F.when(extract_markup_block(col).isNull(), F.lit("No UML blocks found in input (missing @startuml/@enduml markers)"))
+
+
 def parse_status(records: DataFrame, strict: bool = True, legacy: bool = False, col: str = "puml",
                  keys: Sequence[str] = KEYS) -> DataFrame:
     """keys, failed, error, n_warnings per record; never aborts the job.
@@ -821,12 +826,8 @@ def parse_status(records: DataFrame, strict: bool = True, legacy: bool = False,
             F.count_if("_u").alias("n_warnings"),
         )
     )
-    no_block = extract_markup_block(col).isNull()
-    base = records.select(*keys, no_block.alias("_no_block"))
-    missing = F.lit("No UML blocks found in input (missing @startuml/@enduml markers)")
-    error = F.when(F.col("_no_block"), missing)
-    if strict:
-        error = error.otherwise(F.col("_first"))
+    base = records.select(*keys, no_block_error(col).alias("_no_block"))
+    error = F.coalesce("_no_block", "_first") if strict else F.col("_no_block")
     return (
         base.join(problems, keys, "left")
         .select(*keys, error.alias("error"), F.coalesce("n_warnings", F.lit(0)).alias("n_warnings"))

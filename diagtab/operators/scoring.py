@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions.lexicons import BUCKET_LABELS, BUCKET_UPPER_BOUNDS, SCORE_ELEMENTS
 from ..functions.text import as_column, excerpt, strip
-from .compare import element_prf
-from .markup import KEYS, explode_lines, parse_status, parse_warnings
+from .compare import pair_prf
+from .markup import KEYS, explode_lines, no_block_error, parse_warnings
 from .ranking import join_null_safe, quantile_columns, value_positions
 
 N_BUCKETS = len(BUCKET_LABELS)
@@ -278,9 +278,7 @@ def register_metric(name: str, metric: Callable[[DataFrame], DataFrame]) -> None
 
 def element_f1(pairs: DataFrame) -> DataFrame:
     """F1 of the element sets per record for class, attribute and association."""
-    reference = pairs.select("dataset", "id", F.col("reference").alias("puml"))
-    generated = pairs.select("dataset", "id", F.col("generated").alias("puml"))
-    prf = element_prf(generated, reference)
+    prf = pair_prf(pairs)
     wanted = {"classes": "class_score", "attributes": "attribute_score", "relationships": "association_score"}
     return prf.groupBy("dataset", "id").agg(
         *[F.max(F.when(F.col("kind") == kind, F.col("f1"))).alias(name) for kind, name in wanted.items()]
@@ -301,21 +299,18 @@ def score_pairs(pairs: DataFrame, metric: str = "element_f1") -> DataFrame:
     alive = base.filter(~F.col("_blank"))
     scored = _METRICS[metric](alive)
 
-    def side(col: str, suffix: str) -> DataFrame:
-        texts = alive.select("dataset", "id", F.col(col).alias("puml"))
-        status = parse_status(texts, strict=False).select("dataset", "id", F.col("error").alias(f"_error_{suffix}"))
-        listed = F.array_sort(F.collect_list(F.struct("line_no", "warning")))
-        warnings = parse_warnings(explode_lines(texts)).groupBy("dataset", "id").agg(
-            F.transform(listed, lambda w: w["warning"]).alias(f"parse_warning_{suffix}")
-        )
-        return status.join(warnings, KEYS, "left")
-
-    joined = (
-        base.select("dataset", "id", "_blank")
-        .join(scored, KEYS, "left")
-        .join(side("reference", "ref"), KEYS, "left")
-        .join(side("generated", "gen"), KEYS, "left")
-    )
+    def listed(side: str) -> Column:
+        ordered = F.array_sort(F.collect_list(F.when(F.col("_side") == side, F.struct("line_no", "warning"))))
+        return F.transform(ordered, lambda w: w["warning"]).alias(f"parse_warning_{side}")
+
+    # both texts through one parse
+    tagged = alive.select("dataset", "id", F.inline(F.array(
+        F.struct(F.lit("ref").alias("_side"), F.col("reference").alias("puml")),
+        F.struct(F.lit("gen").alias("_side"), F.col("generated").alias("puml")))))
+    sides = [*KEYS, "_side"]
+    warnings = parse_warnings(explode_lines(tagged, keys=sides), keys=sides).groupBy(*KEYS).agg(listed("ref"), listed("gen"))
+    errors = [F.when(~F.col("_blank"), no_block_error(c)).alias(name) for c, name in (("reference", "_error_ref"), ("generated", "_error_gen"))]
+    joined = base.select("dataset", "id", "_blank", *errors).join(scored, KEYS, "left").join(warnings, KEYS, "left")
     none = F.array().cast("array<string>")
     error = F.when(F.col("_blank"), "empty_generated_model").otherwise(F.coalesce("_error_ref", "_error_gen"))
     return joined.select(
