@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Words of a text: runs of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Temporary folders of this process, where no shared folder is set.
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -24,16 +27,21 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='diagtab-')}"
+    _LOCAL.append(tempfile.TemporaryDirectory(prefix="diagtab-"))  # goes when Python ends
+    folder = f"file://{_LOCAL[-1].name}"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows of `df` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """The rows of `df` as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    All tables of an application are in one folder that has its id, to be removed when its results are written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
