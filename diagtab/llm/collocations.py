@@ -33,6 +33,8 @@ CHUNK = 1 << 22
 HELD = 1 << 21
 #: Bits of the bitmap per noted fingerprint, and its least and greatest size as powers of two: 16 MB at most.
 BITS_EACH, BITMAP = 64, (15, 27)
+#: Bytes of text per range of fingerprints in which entries of the second pass are packed, and the least number of ranges.
+BUCKET, LEAST_BUCKETS = 1 << 23, 64
 #: Shares into which the phrases of a language are dealt before they are ranked.
 SHARES = 64
 
@@ -238,24 +240,65 @@ def _triples(pair: np.ndarray) -> np.ndarray:
     return np.flatnonzero(pair[:-1] & pair[1:])
 
 
-def _phrases(noted, longest: int):
+#: An entry of the second pass: fingerprint, count, key of a text, check value.
+_ENTRY = np.dtype([("fp", "<u8"), ("c", "<i8"), ("k", "<i8"), ("f2", "<u8")])
+
+
+def _phrases(noted, longest: int, buckets: int):
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Second pass: (fp, c, k, f2) of stretches that may be frequent; the salt of a language stands for all its words."""
-        names = ["fp", "c", "k", "f2"]
+        """Second pass: (bucket, entries) of stretches that may be frequent; the salt of a language stands for all its words.
+
+        The entries of a chunk are packed by ranges of fingerprints, which keeps a shuffled row from being larger than its entry.
+        """
         for batch in batches:
+            keys = batch.column("k").to_numpy()
             for row, _, words, _ in _chunks(batch):
                 if not words.n:
                     continue
                 _, first, counts = np.unique(words.lang, return_index=True, return_counts=True)
                 found = [(0, words.salt[first], counts.astype(np.int64), first)]
                 found += [(n, *group) for n, at in _stretches(words, noted.value, longest) for group in words.grouped(at, n)]
+                entries = np.zeros(sum(len(at) for *_, at in found), _ENTRY)
+                done = 0
                 for n, prints, c, at in found:
-                    keys = batch.column("k").take(pa.array(words.doc[at] + row))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(prints.view(np.int64)), pa.array(c), keys, pa.array(words.checks(at, n).view(np.int64))], names)
+                    part = entries[done:done + len(at)]
+                    part["fp"], part["c"], part["k"], part["f2"] = prints, c, keys[words.doc[at] + row], words.checks(at, n)
+                    done += len(at)
+                entries = entries[np.argsort(entries["fp"], kind="stable")]
+                bucket = (entries["fp"] // _U(PRIME // buckets + 1)).astype(np.int64)
+                heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+                data = [entries[i:j].tobytes() for i, j in zip(heads, [*heads[1:], len(entries)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[heads]), pa.array(data, pa.binary())], ["bucket", "entries"])
     return phrases
 
 
+def _merged(least: int):
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(fp, c, k, low, high) of the entries of each bucket that reach the threshold; rows come sorted by bucket."""
+        now, held = None, []
+
+        def total() -> pa.RecordBatch:
+            every = np.concatenate([np.frombuffer(data, _ENTRY) for data in held])
+            every = every[np.argsort(every["fp"], kind="stable")]
+            heads = np.flatnonzero(np.append(True, every["fp"][1:] != every["fp"][:-1]))
+            c = np.add.reduceat(every["c"], heads)
+            kept = c >= least
+            columns = [every["fp"][heads].view(np.int64), c, np.minimum.reduceat(every["k"], heads),
+                       np.minimum.reduceat(every["f2"], heads).view(np.int64), np.maximum.reduceat(every["f2"], heads).view(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in columns], ["fp", "c", "k", "low", "high"])
+
+        for batch in batches:
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield total()
+                    held = []
+                now = bucket
+                held.append(data)
+        if held:
+            yield total()
+    return merged
+
+
 def _spelled(noted, colliding, longest: int):
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(fp, lang, phrase, n, c) of stretches whose fingerprint may be one of those that collide."""
@@ -330,9 +373,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         triples = reached(texts.mapInArrow(_counted(spark.sparkContext.broadcast(_bitmap(pairs))), "fp long, c long"))
         pairs = pairs.union(triples)
     noted = spark.sparkContext.broadcast(_bitmap(pairs))
-    found = texts.mapInArrow(_phrases(noted, longest), "fp long, c long, k long, f2 long").groupBy("fp").agg(
-        F.sum("c").alias("c"), F.min("k").alias("k"), F.min("f2").alias("low"), F.max("f2").alias("high"))
-    frequent = written(found.where(enough))
+    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, size // BUCKET)
+    found = texts.mapInArrow(_phrases(noted, longest, buckets), "bucket long, entries binary")
+    dealt = found.repartition("bucket").sortWithinPartitions("bucket")
+    frequent = written(dealt.mapInArrow(_merged(least), "fp long, c long, k long, low long, high long"))
     single, several = frequent.where("low = high"), frequent.where("low != high").select("fp")
     pointers = written(single.groupBy("k").agg(F.collect_list("fp").alias("prints")))
     # rows that repeat an id and a text resolve the same pointers
