@@ -6,8 +6,12 @@ expression over that tree. Tokens already placed by record need no exchange.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +25,9 @@ from ..functions.lexicons import (
 from ..functions.text import capitalize, is_valid_identifier, let, place_of, plural_cardinality
 from .quality import render_diagram
 
+# the trees are built where the job runs, so executors need no copy of the package
+register_pickle_by_value(sys.modules[__name__])
+
 KEYS = ["dataset", "id"]
 SENTENCE = [*KEYS, "sent_i"]
 
@@ -67,32 +74,77 @@ _ROLES = ("nsubj", "dobj", "pobj", "conj", "prep", "attr", "acomp", "aux")
 def sentence_trees(tokens: DataFrame) -> DataFrame:
     """dataset, id, sent_i, nodes, words: the tokens of a sentence in order, each with its children.
 
-    Every token goes to its own place and to its head's; one aggregation there
-    and one per sentence build the tree in linear time. A sentence is never
-    larger than its text. Token numbers may have gaps; a head that is not among
-    the tokens has a place without a token of its own. ``words`` are the names
-    that are classes of the record though some token of that name is no
+    A record's tokens come together in one sorted row; numpy gives every token its children for many records at once. A
+    sentence is never larger than its text. Token numbers may have gaps; a head that is not among the tokens has a place
+    without a token of its own. ``words`` are the names that are classes of the record though some token of that name is no
     candidate: they are found in the trees and shared by all its sentences.
     """
     named = tokens.withColumns({"name_lower": F.lower("text"), "candidate": F.coalesce(_is_candidate(), F.lit(False))})
-    fields = [F.col(c) for c in ("i", "text", "name_lower", "lemma", "pos", "tag", "dep", "candidate")]
-    me = F.struct(*fields)
     is_kid = (F.col("head_i") != F.col("i")) & (F.col("dep").isin(*_ROLES) | (F.col("name_lower") == "maybe"))
-    rows = named.withColumn("me", me).select(
-        *SENTENCE,
-        F.inline(F.array(
-            F.struct(F.col("i").alias("at"), F.col("me").alias("own"), F.lit(None).cast(_NODE).alias("kid")),
-            F.struct(F.col("head_i").alias("at"), F.lit(None).cast(_NODE).alias("own"), F.when(is_kid, F.col("me")).alias("kid")),
-        )),
-    )
-    nodes = rows.groupBy(*SENTENCE, "at").agg(
-        F.max("own").alias("own"), F.sort_array(F.collect_list("kid")).alias("kids")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("at", "own", "kids")))
-    sents = nodes.groupBy(*SENTENCE).agg(ordered.alias("nodes"))
-    listed = F.array_distinct(F.flatten(F.collect_list(_class_words(F.col("nodes")))))
-    by_record = sents.groupBy(*KEYS).agg(F.collect_list(F.struct("sent_i", "nodes")).alias("_s"), listed.alias("words"))
-    return by_record.select(*KEYS, "words", F.inline("_s"))
+    token = F.struct(*[F.col(c).cast(t).alias(c) for c, t in (("sent_i", "int"), *_FIELDS, ("head_i", "int"))], F.coalesce(is_kid, F.lit(False)).alias("is_kid"))
+    by_record = named.select(*KEYS, token.alias("_t")).groupBy(*KEYS).agg(F.sort_array(F.collect_list("_t")).alias("tokens"))
+    key_types = ", ".join(f"{c} {by_record.schema[c].dataType.simpleString()}" for c in KEYS)
+    sentence = f"array<struct<sent_i:int,nodes:array<struct<at:int,own:{_NODE},kids:array<{_NODE}>>>>>"
+    trees = by_record.mapInArrow(_planted, f"{key_types}, sents {sentence}")
+    listed = F.array_distinct(F.flatten(F.transform("sents", lambda s: _class_words(s["nodes"]))))
+    return trees.select(*KEYS, listed.alias("words"), "sents").select(*KEYS, "words", F.inline("sents"))
+
+
+_FIELDS = (
+    ("i", "int"), ("text", "string"), ("name_lower", "string"), ("lemma", "string"), ("pos", "string"), ("tag", "string"),
+    ("dep", "string"), ("candidate", "boolean"),
+)
+_NODE = f"struct<{','.join(f'{c}:{t}' for c, t in _FIELDS)}>"
+
+#: Tokens of the records whose trees are built together; a longer record is built alone.
+_AT_ONCE = 1 << 16
+
+
+def _starts(of: np.ndarray, n: int) -> pa.Array:
+    """List offsets from the ascending places that the elements belong to."""
+    return pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32))
+
+
+def _plant(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The sorted tokens of some records as trees: sents, array of (sent_i, nodes), nodes in order with their children."""
+    lists = batch.column("tokens")
+    offsets = lists.offsets.to_numpy()
+    tokens = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+    n = len(tokens)
+    number = lambda f: tokens.field(f).fill_null(-(1 << 31)).to_numpy(zero_copy_only=False).astype(np.int64)
+    record, sent_i, i, head = np.repeat(np.arange(len(lists)), np.diff(offsets)), number("sent_i"), number("i"), number("head_i")
+    kid = tokens.field("is_kid").to_numpy(zero_copy_only=False).astype(bool)
+    new = np.ones(n, bool)
+    new[1:] = (record[1:] != record[:-1]) | (sent_i[1:] != sent_i[:-1])
+    first, sentence = np.flatnonzero(new), np.cumsum(new) - 1
+    base = sentence << 33
+    places, place = np.unique(np.concatenate([base + (1 << 32) + i, base + (1 << 32) + head]), return_inverse=True)
+    own = np.full(len(places), -1)
+    own[place[:n]] = np.arange(n)  # of tokens with one number the greatest, which is the last
+    kids = np.flatnonzero(kid)
+    kids = kids[np.argsort(place[n:][kids], kind="stable")]
+    values = pa.StructArray.from_arrays([tokens.field(c) for c, _ in _FIELDS], [c for c, _ in _FIELDS])
+    of_place = places >> 33
+    at = places - (of_place << 33) - (1 << 32)
+    nodes = pa.StructArray.from_arrays(
+        [pa.array(at.astype(np.int32), mask=at == -(1 << 31)), values.take(pa.array(own, mask=own < 0)),
+         pa.ListArray.from_arrays(_starts(place[n:][kids], len(places)), values.take(pa.array(kids)))], ["at", "own", "kids"])
+    sents = pa.StructArray.from_arrays(
+        [tokens.field("sent_i").take(pa.array(first)), pa.ListArray.from_arrays(_starts(of_place, len(first)), nodes)], ["sent_i", "nodes"])
+    grown = pa.ListArray.from_arrays(_starts(record[first], len(lists)), sents)
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEYS], grown], [*KEYS, "sents"])
+
+
+def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        total, at = np.cumsum(np.diff(batch.column("tokens").offsets.to_numpy())), 0
+        while at < batch.num_rows:
+            done = total[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(total, done + _AT_ONCE, "right")))
+            yield _plant(batch.slice(at, end - at))
+            at = end
 
 
 def _class_words(nodes: Column) -> Column:
@@ -111,9 +163,6 @@ def _class_words(nodes: Column) -> Column:
     return F.array_distinct(F.concat(own, F.flatten(F.transform(verbs, promoted))))
 
 
-_NODE = "struct<i:int,text:string,name_lower:string,lemma:string,pos:string,tag:string,dep:string,candidate:boolean>"
-
-
 class _Tree:
     """Lookups inside one sentence array."""
 
