@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import HEDGE_WORDS, MODAL_VERBS
 from ..functions.text import let, lower_words, place_of, sentences, split_identifier, strip, words
+from .packs import flat
+
+# the lookups travel with the job, so executors need no copy of the package
+register_pickle_by_value(sys.modules[__name__])
 
 KEYS = ["dataset", "id"]
 
@@ -57,31 +65,73 @@ def split_sentences(df: DataFrame, col: str = "nlt", keys: Sequence[str] = KEYS)
     return df.select(*keys, F.posexplode(sentences(col)).alias("sent_i", "sentence"))
 
 
+_HIT_KINDS = ("class", "attribute", "endpoint")
+_HITS = ("n_class_hits", "n_attr_hits", "n_rel_endpoint_hits")
+#: Words and parts of the records that are looked up together; a longer record is looked up alone.
+_AT_ONCE = 1 << 18
+
+
+def _count_hits(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The sentences of some records with their words and the distinct ones among them that are parts of the record's names."""
+    sents, record = flat(batch.column("_s"))
+    ws, sent = flat(sents)
+    names, name_record = flat(batch.column("_names"))
+    kind = names.field("code").to_numpy(zero_copy_only=False).astype(np.int64)
+    parts, name = flat(names.field("parts"))
+    codes = pa.concat_arrays([ws.cast(pa.string()), parts.cast(pa.string())]).dictionary_encode().indices
+    codes = codes.to_numpy(zero_copy_only=False).astype(np.int64)
+    asked = (name_record[name] << 32) | codes[len(ws):]
+    distinct = np.unique((sent << 32) | codes[:len(ws)])  # the words of a sentence, each once
+    sent_of = distinct >> 32
+    wanted = (record[sent_of] << 32) | (distinct & 0xFFFFFFFF)
+    found = []
+    for k in range(len(_HITS)):
+        keys = np.unique(asked[kind[name] == k])
+        held = keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted if len(keys) else np.zeros(len(wanted), bool)
+        found.append(pa.array(np.bincount(sent_of[held], minlength=len(sents))))
+    first = np.searchsorted(record, np.arange(batch.num_rows))
+    number = np.arange(len(sents)) - first[record]
+    n_words = np.bincount(sent, minlength=len(sents))
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(c).take(pa.array(record)) for c in KEYS), pa.array(number.astype(np.int32)), pa.array(n_words.astype(np.int32)), *found],
+        [*KEYS, "sent_i", "n_words", *_HITS])
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sents, names = batch.column("_s"), batch.column("_names")
+        n_words = sents.values.offsets.to_numpy()[sents.offsets.to_numpy()]
+        n_parts = names.values.field("parts").offsets.to_numpy()[names.offsets.to_numpy()]
+        sizes = (n_words + n_parts)[1:] - (n_words + n_parts)[0]
+        at = 0
+        while at < batch.num_rows:
+            done = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, done + _AT_ONCE, "right")))
+            yield _count_hits(batch.slice(at, end - at))
+            at = end
+
+
 def sentence_stats(records: DataFrame, names: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """dataset, id, sent_i, n_words, n_class_hits, n_attr_hits, n_rel_endpoint_hits, n_tokens.
 
     ``names`` holds dataset, id, kind (class / attribute / endpoint), name. A hit
-    is a distinct word of the sentence that is a part of such a name.
+    is a distinct word of the sentence that is a part of such a name. Sentences
+    and names of a record meet in one row; words are never rows of their own.
     """
-    sents = split_sentences(records)
-    word_rows = sents.select(
-        "dataset", "id", "sent_i",
-        let(
-            words("sentence"),
-            lambda ws: F.struct(F.size(ws).alias("n"), F.array_distinct(F.transform(ws, F.lower)).alias("w")),
-        ).alias("_m"),
-    ).select("dataset", "id", "sent_i", F.col("_m.n").alias("n_words"), F.explode_outer("_m.w").alias("part"))
-    is_kind = {"class": "n_class_hits", "attribute": "n_attr_hits", "endpoint": "n_rel_endpoint_hits"}
-    parts = (
-        names.select("dataset", "id", "kind", F.explode(F.array_distinct(split_identifier("name"))).alias("part"))
-        .groupBy("dataset", "id", "part")
-        .agg(*[F.max(F.col("kind") == kind).alias(col) for kind, col in is_kind.items()])
-    )
-    hits = (
-        word_rows.join(parts, ["dataset", "id", "part"], "left")
-        .groupBy("dataset", "id", "sent_i", "n_words")
-        .agg(*[F.count_if(F.coalesce(F.col(col), F.lit(False))).alias(col) for col in is_kind.values()])
-    )
+    def lowered(s: Column) -> Column:
+        return F.transform(words(s), F.lower)
+
+    sents = records.where(F.col("nlt").isNotNull()).select(*KEYS, F.transform(sentences("nlt"), lowered).alias("_s"))
+    code = F.when(F.col("kind") == _HIT_KINDS[0], 0).when(F.col("kind") == _HIT_KINDS[1], 1).when(F.col("kind") == _HIT_KINDS[2], 2)
+    parts = names.where(F.col("kind").isin(*_HIT_KINDS) & F.col("name").isNotNull()).select(
+        *KEYS, F.struct(code.alias("code"), split_identifier("name").alias("parts")).alias("_n")
+    ).groupBy(*KEYS).agg(F.collect_list("_n").alias("_names"))
+    none = F.array().cast(parts.schema["_names"].dataType)
+    rows = sents.join(parts, KEYS, "left").withColumn("_names", F.coalesce("_names", none))
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*KEYS).schema.fields)
+    counted = rows.mapInArrow(_searched, f"{keys}, sent_i int, n_words int, {', '.join(f'{c} bigint' for c in _HITS)}")
+    # sentences of one number and length count together where a record comes twice
+    hits = counted.groupBy(*KEYS, "sent_i", "n_words").agg(*[F.sum(c).alias(c) for c in _HITS])
     if tokens is None:
         return hits
     n_tokens = tokens.groupBy("dataset", "id", "sent_i").agg(F.count("*").alias("n_tokens"))
