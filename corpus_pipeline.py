@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diagtab.llm import decontam, langid, lines, mixing, nearcopies
-from diagtab.llm.common import table, written
+from diagtab.llm import decontam, langid, lines, mixing, nearcopies, simhash
+from diagtab.llm.common import components, table, written
 
 #: Columns with a meaning for the stages; all others are carried along.
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
@@ -66,16 +66,27 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _restored(cleaned, docs)
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """Rows (__hash, group) for every text digest of `rows`: texts that links of either method connect have one group."""
+    by_print = simhash.near_duplicates(rows, id_col="__hash").select(F.col("doc_id").alias("__hash"), F.col("component_id").alias("u")).distinct()
+    by_words = nearcopies.near_copies(rows, id_col="__hash").select(F.col("doc_id").alias("__hash"), F.col("component_id").alias("v")).distinct()
+    # a group is named by the digest of one of its texts, so the two names of a text are linked texts
+    both = written(by_print.join(by_words, "__hash"))
+    found = components(both.select("u", "v").distinct())
+    return both.join(found, F.col("u") == F.col("id"), "left").select("__hash", F.coalesce("component", "u").alias("group"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies, the one with the smallest id, of equal ids the least digest.
 
-    Documents are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. SimHash
-    fingerprints of such texts are about 10 of 64 bits apart, which no pigeonring filter selects, so the stage has
-    MinHash bands instead and op2 its own contract. Different texts under one id are different documents.
+    Documents are near copies if their SimHash fingerprints differ in at most 2 bits, found by pigeonring chains as in
+    op2, or if their sets of five-word shingles have a Jaccard similarity of 0.8 or more: fingerprints of many such texts
+    are about 10 of 64 bits apart, which no chain selects, so MinHash bands add what the fingerprints leave apart.
+    Links of both connect. Different texts under one id are different documents.
     """
     rows = _keyed(docs)
-    found = nearcopies.near_copies(rows, id_col="__key")
-    kept = written(found.where("doc_id = component_id").select("doc_id.*").distinct())
+    placed = rows.select("__id", "__hash").join(written(_groups(rows)), "__hash")
+    kept = written(placed.groupBy("group").agg(F.min(F.struct("__id", "__hash")).alias("__key")).select("__key.*"))
     rest = [c for c in rows.columns if c not in ("__id", "__hash", "__key")]
     chosen = rows.join(kept, ["__id", "__hash"], "left_semi").groupBy("__id", "__hash").agg(
         F.min_by(F.struct(*rest), F.struct("source", "lang")).alias("row"))

@@ -74,6 +74,32 @@ def test_one_of_each_group_stays(stages):
     assert all((r.doc_id if r.doc_id is not None else 1 << 62) == min(ids[of[r.text]]) for r in after)
 
 
+def test_links_of_fingerprints_and_of_shingles_connect(spark, monkeypatch, vocabularies):
+    """The pigeonring filter gives links of its own; with those of the shingle sets they make one group."""
+    rnd = random.Random(3)
+    base = prose(rnd, 120, vocabularies["en"]).split()
+    every = [base]
+    for _ in range(400):  # one word after another changed: fingerprints drift, shingle sets fall apart
+        own = list(every[-1])
+        own[rnd.randrange(120)] = f"own{rnd.random()}"
+        every.append(own)
+    texts = [" ".join(w) for w in every]
+    prints = [P.simhash.fingerprint_of(t) for t in texts]
+    close = [b for b in range(len(texts)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    assert close
+    picked = [t for b in sorted(set(close))[:3] for t in texts[max(0, b - 2):b + 1]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(dict.fromkeys(picked))], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = [r.text for r in docs.sort("doc_id").collect()]
+    prints, sets = [P.simhash.fingerprint_of(t) for t in texts], [shingles(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    by_print = [(a, b) for a, b in pairs if ((prints[a] ^ prints[b]) & ((1 << 64) - 1)).bit_count() <= 2]
+    both = by_print + [(a, b) for a, b in pairs if similar(sets[a], sets[b])]
+    assert {r.doc_id for r in P.drop_near_duplicates(spark, docs, "").collect()} == set(groups(range(len(texts)), both).values())
+    # without links of shingles, those of the fingerprints are still there
+    monkeypatch.setattr(P.nearcopies, "near_copies", lambda rows, id_col: rows.selectExpr(f"{id_col} doc_id", f"{id_col} component_id"))
+    assert {r.doc_id for r in P.drop_near_duplicates(spark, docs, "").collect()} == set(groups(range(len(texts)), by_print).values())
+
+
 def test_texts_under_one_id_are_all_kept(spark, tmp_path, vocabularies):
     """Unrelated texts with one id: none is lost, and only the contaminated one is dropped."""
     rnd = random.Random(2)
