@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import HEDGE_WORDS, MODAL_VERBS
-from ..functions.text import let, lower_words, place_of, sentences, split_identifier, strip, words
-from .packs import flat
+from ..functions.text import let, lower_words, sentences, split_identifier, strip, words
+from .packs import NULL, flat, packed, rows_until, tallied, unpacked
 
 # the lookups travel with the job, so executors need no copy of the package
 register_pickle_by_value(sys.modules[__name__])
@@ -151,14 +151,14 @@ def _entity_profile(entities: DataFrame | None, tokens: DataFrame) -> DataFrame:
     return counted.groupBy(*KEYS).agg(F.sum("_n").alias("n_entities"), F.array_join(shown, ";").alias("entity_types"))
 
 
-def _style_counts() -> list[Column]:
+def _style_counts() -> dict[str, Column]:
     lemma = F.lower("lemma")
-    return [
-        F.count_if(F.col("dep") == "nsubjpass").alias("passive_nsubjpass"),
-        F.count_if(F.col("dep") == "nsubj").alias("active_nsubj"),
-        F.count_if(lemma.isin(*MODAL_VERBS) & F.col("pos").isin("VERB", "AUX")).alias("modal_count"),
-        F.count_if(lemma.isin(*HEDGE_WORDS)).alias("hedge_count"),
-    ]
+    return {
+        "passive_nsubjpass": F.col("dep") == "nsubjpass",
+        "active_nsubj": F.col("dep") == "nsubj",
+        "modal_count": lemma.isin(*MODAL_VERBS) & F.col("pos").isin("VERB", "AUX"),
+        "hedge_count": lemma.isin(*HEDGE_WORDS),
+    }
 
 
 def _style_columns(rounded: bool) -> list[Column]:
@@ -178,20 +178,21 @@ def _style_columns(rounded: bool) -> list[Column]:
     ]
 
 
-def _token_counts() -> list[Column]:
+def _token_counts() -> dict[str, Column]:
     dep, pos = F.col("dep"), F.col("pos")
-    alpha = F.col("text").rlike(r"^\p{L}+\z")
-    return [
-        F.size(F.collect_set("sent_i")).cast("long").alias("n_sents"),
-        F.count_if(dep == "nsubj").alias("n_nsubj"),
-        F.count_if(dep == "nsubjpass").alias("n_nsubjpass"),
-        F.count_if(dep == "dobj").alias("n_dobj"),
-        F.count_if(pos == "VERB").alias("n_verbs"),
-        F.count_if(pos.isin("NOUN", "PROPN")).alias("n_nouns"),
-        F.count_if(pos == "ADJ").alias("n_adjectives"),
-        F.size(F.collect_set(F.when(alpha, F.lower("lemma")))).cast("long").alias("n_unique_lemmas"),
-        F.count_if(F.col("head_i") != F.col("i")).alias("_edges"),
-    ]
+    return {
+        "n_nsubj": dep == "nsubj",
+        "n_nsubjpass": dep == "nsubjpass",
+        "n_dobj": dep == "dobj",
+        "n_verbs": pos == "VERB",
+        "n_nouns": pos.isin("NOUN", "PROPN"),
+        "n_adjectives": pos == "ADJ",
+        "_edges": F.col("head_i") != F.col("i"),
+    }
+
+
+def _token_sets() -> dict[str, Column]:
+    return {"n_sents": F.col("sent_i"), "n_unique_lemmas": F.when(F.col("text").rlike(r"^\p{L}+\z"), F.lower("lemma"))}
 
 
 def _token_columns(rounded: bool) -> list[Column]:
@@ -210,9 +211,10 @@ def _token_columns(rounded: bool) -> list[Column]:
     ]
 
 
-def _profiled(tokens: DataFrame, entities: DataFrame | None, chunks: DataFrame | None, counts: list[Column]) -> DataFrame:
-    """One aggregation over the tokens, with the entities and chunks of each record."""
-    counted = tokens.groupBy(*KEYS).agg(F.count("*").alias("n_tokens"), *counts)
+def _profiled(tokens: DataFrame, entities: DataFrame | None, chunks: DataFrame | None, counts: dict[str, Column],
+              distinct: dict[str, Column] | None = None) -> DataFrame:
+    """One count over the tokens, with the entities and chunks of each record."""
+    counted = tallied(tokens, counts, distinct).withColumnRenamed("n", "n_tokens")
     joined = counted.join(_entity_profile(entities, tokens), KEYS, "left")
     if chunks is None:
         return joined.withColumn("n_noun_chunks", F.lit(0).cast("long"))
@@ -231,16 +233,16 @@ def token_features(tokens: DataFrame, entities: DataFrame | None = None, chunks:
                    rounded: bool = True) -> DataFrame:
     """Token, sentence, role and part-of-speech counts per record; ``passive_ratio`` is nsubjpass / nsubj here.
 
-    The distinct counts use per-record sets (bounded by the text), which keeps
-    one aggregation without row expansion.
+    Runs of a record's tokens are counted inside the task; per run one row of
+    counts, sentences and distinct lemmas (bounded by the text) is exchanged.
     """
-    return _profiled(tokens, entities, chunks, _token_counts()).select(*KEYS, *_token_columns(rounded))
+    return _profiled(tokens, entities, chunks, _token_counts(), _token_sets()).select(*KEYS, *_token_columns(rounded))
 
 
 def token_profile(tokens: DataFrame, entities: DataFrame | None = None, chunks: DataFrame | None = None,
                   rounded: bool = True) -> DataFrame:
     """``token_features`` as tok_ and ``style_features`` as style_ columns, from one aggregation over the tokens."""
-    both = _profiled(tokens, entities, chunks, [*_token_counts(), *_style_counts()])
+    both = _profiled(tokens, entities, chunks, _token_counts() | _style_counts(), _token_sets())
     return both.select(*KEYS, F.struct(*_token_columns(rounded)).alias("tok"), F.struct(*_style_columns(rounded)).alias("style")).select(
         *KEYS, "tok", "style")
 
@@ -259,38 +261,51 @@ def mean_children(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy(*KEYS).agg((F.sum(edge) / F.count("*")).alias("mean_children"))
 
 
+def _root_distances(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Steps to the root, at most 32, summed over the tokens of each record."""
+    record, of, _ = unpacked(batch.column("tokens"), ("sent_i", "i", "head_i"))
+    order = np.lexsort((of["head_i"], of["i"], of["sent_i"], record))
+    record, sent_i, i, head = record[order], *(of[c][order] for c in ("sent_i", "i", "head_i"))
+    n, every = len(order), np.arange(len(order))
+    new = np.ones(n, bool)
+    new[1:] = (record[1:] != record[:-1]) | (sent_i[1:] != sent_i[:-1])
+    start = np.maximum.accumulate(np.where(new, every, 0)) if n else every
+    key, wanted = (start << 33) + i, (start << 33) + head
+    at = np.minimum(np.searchsorted(key, wanted), max(0, n - 1))
+    # where numbers have no gaps the place follows from the first number
+    guess = np.clip(start + head - i[start], start, max(0, n - 1))
+    at = np.where((i[start] != NULL) & (key[guess] == wanted), guess, at)
+    up = np.where((key[at] == wanted) & (head != NULL), at, every)
+    steps = (up != every).astype(np.int64)
+    for _ in range(5):
+        steps, up = steps + steps[up], up[up]
+    total = np.bincount(record, weights=steps, minlength=batch.num_rows).astype(np.int64)
+    counted = np.bincount(record, minlength=batch.num_rows)
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), pa.array(total), pa.array(counted)], [*KEYS, "_sum", "_n"])
+
+
 def mean_root_distance(tokens: DataFrame) -> DataFrame:
     """dataset, id, mean_root_distance: steps to the root of the sentence tree, capped at 32.
 
-    One small array per sentence (never larger than its text) holds the tree.
-    Five rounds of pointer doubling in that array reach exactly 32 steps; the
-    tokens are shuffled once. Token numbers may have gaps; a token whose head
-    is not among the tokens is a root.
+    The tokens of a record, packed, meet in one row. Heads are found by sorted
+    lookups and five rounds of pointer doubling reach exactly 32 steps. Token
+    numbers may have gaps; a token whose head is not among the tokens is a root.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("i", "head_i")))
-    trees = tokens.groupBy(*KEYS, "sent_i").agg(ordered.alias("_t"))
-
-    def depths(t: Column) -> Column:
-        numbers = F.transform(t, lambda r: r["i"])
-        heads = let(numbers, lambda ns: F.transform(t, lambda r, at: F.coalesce(place_of(ns, r["head_i"]), at)))
-
-        def double(acc: Column, _: Column) -> Column:
-            d, h = acc["d"], acc["h"]
-            return F.struct(
-                F.transform(d, lambda x, i: x + F.get(d, F.get(h, i))).alias("d"),
-                F.transform(h, lambda x: F.get(h, x)).alias("h"),
-            )
-
-        def climbed(hs: Column) -> Column:
-            steps = F.transform(hs, lambda h, at: F.when(h == at, 0).otherwise(1))
-            start = F.struct(steps.alias("d"), hs.alias("h"))
-            return F.aggregate(F.sequence(F.lit(1), F.lit(5)), start, double, lambda acc: acc["d"])
-
-        return let(heads, climbed)
-
-    total = F.aggregate(let(F.col("_t"), depths), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    per_sentence = trees.select(*KEYS, total.alias("_sum"), F.size("_t").alias("_n"))
-    return per_sentence.groupBy(*KEYS).agg((F.sum("_sum") / F.sum("_n")).alias("mean_root_distance"))
+    rows = packed(tokens, ("sent_i", "i", "head_i"), name="tokens")
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*KEYS).schema.fields)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = rows_until(batch.column("tokens"))
+            at = 0
+            while at < batch.num_rows:
+                done = sizes[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(sizes, done + _AT_ONCE, "right")))
+                yield _root_distances(batch.slice(at, end - at))
+                at = end
+
+    per_record = rows.mapInArrow(measured, f"{keys}, _sum bigint, _n bigint")
+    return per_record.select(*KEYS, (F.col("_sum") / F.col("_n")).alias("mean_root_distance"))
 
 
 def token_edges(tokens: DataFrame) -> DataFrame:
