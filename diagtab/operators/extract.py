@@ -1,7 +1,7 @@
 """Rule-based relation extraction over dependency-annotated tokens.
 
-Tokens are gathered into one small tree per sentence; every rule is an array
-expression over that tree. Tokens already placed by record need no exchange.
+Tokens are packed and gathered by record once; the rules run on the sentence
+trees of many records at a time (``ruletrees``).
 """
 
 from __future__ import annotations
@@ -15,15 +15,10 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import (
-    AGGREGATION_PREPOSITIONS,
-    AGGREGATION_VERBS,
-    ASSOCIATION_VERBS,
-    COMPOSITION_VERBS,
-    GENERALIZATION_RESERVED,
-)
-from ..functions.text import capitalize, is_valid_identifier, let, place_of, plural_cardinality
-from .quality import render_diagram
+from ..functions.text import capitalize, is_valid_identifier
+from .packs import packed, rows_until
+from .quality import render_linked
+from .ruletrees import CANDIDATE, KID, NUMBERS, WORDS, places_of, relations
 
 # the trees are built where the job runs, so executors need no copy of the package
 register_pickle_by_value(sys.modules[__name__])
@@ -68,6 +63,10 @@ def class_names(tokens: DataFrame) -> DataFrame:
     return named.select(*KEYS, F.lower("text").alias("name_lower")).distinct()
 
 
+def _is_kid() -> Column:
+    return (F.col("head_i") != F.col("i")) & (F.col("dep").isin(*_ROLES) | (F.lower("text") == "maybe"))
+
+
 _ROLES = ("nsubj", "dobj", "pobj", "conj", "prep", "attr", "acomp", "aux")
 
 
@@ -80,8 +79,7 @@ def sentence_trees(tokens: DataFrame) -> DataFrame:
     candidate: they are found in the trees and shared by all its sentences.
     """
     named = tokens.withColumns({"name_lower": F.lower("text"), "candidate": F.coalesce(_is_candidate(), F.lit(False))})
-    is_kid = (F.col("head_i") != F.col("i")) & (F.col("dep").isin(*_ROLES) | (F.col("name_lower") == "maybe"))
-    token = F.struct(*[F.col(c).cast(t).alias(c) for c, t in (("sent_i", "int"), *_FIELDS, ("head_i", "int"))], F.coalesce(is_kid, F.lit(False)).alias("is_kid"))
+    token = F.struct(*[F.col(c).cast(t).alias(c) for c, t in (("sent_i", "int"), *_FIELDS, ("head_i", "int"))], F.coalesce(_is_kid(), F.lit(False)).alias("is_kid"))
     by_record = named.select(*KEYS, token.alias("_t")).groupBy(*KEYS).agg(F.sort_array(F.collect_list("_t")).alias("tokens"))
     key_types = ", ".join(f"{c} {by_record.schema[c].dataType.simpleString()}" for c in KEYS)
     sentence = f"array<struct<sent_i:int,nodes:array<struct<at:int,own:{_NODE},kids:array<{_NODE}>>>>>"
@@ -98,6 +96,8 @@ _NODE = f"struct<{','.join(f'{c}:{t}' for c, t in _FIELDS)}>"
 
 #: Tokens of the records whose trees are built together; a longer record is built alone.
 _AT_ONCE = 1 << 16
+#: The same for records that the rules read together.
+_RULED_AT_ONCE = 1 << 18
 
 
 def _starts(of: np.ndarray, n: int) -> pa.Array:
@@ -117,18 +117,13 @@ def _plant(batch: pa.RecordBatch) -> pa.RecordBatch:
     new = np.ones(n, bool)
     new[1:] = (record[1:] != record[:-1]) | (sent_i[1:] != sent_i[:-1])
     first, sentence = np.flatnonzero(new), np.cumsum(new) - 1
-    base = sentence << 33
-    places, place = np.unique(np.concatenate([base + (1 << 32) + i, base + (1 << 32) + head]), return_inverse=True)
-    own = np.full(len(places), -1)
-    own[place[:n]] = np.arange(n)  # of tokens with one number the greatest, which is the last
-    kids = np.flatnonzero(kid)
-    kids = kids[np.argsort(place[n:][kids], kind="stable")]
+    _, heads, own, kids, places = places_of(sentence, i, head, kid)
     values = pa.StructArray.from_arrays([tokens.field(c) for c, _ in _FIELDS], [c for c, _ in _FIELDS])
     of_place = places >> 33
     at = places - (of_place << 33) - (1 << 32)
     nodes = pa.StructArray.from_arrays(
         [pa.array(at.astype(np.int32), mask=at == -(1 << 31)), values.take(pa.array(own, mask=own < 0)),
-         pa.ListArray.from_arrays(_starts(place[n:][kids], len(places)), values.take(pa.array(kids)))], ["at", "own", "kids"])
+         pa.ListArray.from_arrays(_starts(heads[kids], len(places)), values.take(pa.array(kids)))], ["at", "own", "kids"])
     sents = pa.StructArray.from_arrays(
         [tokens.field("sent_i").take(pa.array(first)), pa.ListArray.from_arrays(_starts(of_place, len(first)), nodes)], ["sent_i", "nodes"])
     grown = pa.ListArray.from_arrays(_starts(record[first], len(lists)), sents)
@@ -163,200 +158,34 @@ def _class_words(nodes: Column) -> Column:
     return F.array_distinct(F.concat(own, F.flatten(F.transform(verbs, promoted))))
 
 
-class _Tree:
-    """Lookups inside one sentence array."""
-
-    def __init__(self, bound: Column):
-        """``bound`` holds the nodes, their numbers, computed once, and the class words of the record."""
-        self.nodes = bound["nodes"]
-        self.numbers = bound["numbers"]
-        self.words = bound["words"]
-
-    def is_class(self, t: Column) -> Column:
-        return t["candidate"] | F.array_contains(self.words, t["name_lower"])
-
-    def all_kids(self, i: Column) -> Column:
-        return F.get(self.nodes, place_of(self.numbers, i))["kids"]
-
-    def kids(self, i: Column, *deps: str) -> Column:
-        return F.filter(self.all_kids(i), lambda k: k["dep"].isin(*deps))
-
-    def classes(self, i: Column, *deps: str) -> Column:
-        return F.filter(self.kids(i, *deps), self.is_class)
-
-    def with_conjuncts(self, found: Column) -> Column:
-        """Role tokens and their ``conj`` children (one level), which share the role."""
-        return let(
-            found, lambda xs: F.concat(xs, F.flatten(F.transform(xs, lambda x: self.classes(x["i"], "conj"))))
-        )
-
-    def preps(self, i: Column) -> Column:
-        return F.filter(self.kids(i, "prep"), lambda k: k["pos"] == "ADP")
-
-
-def _distinct_names(found: Column) -> Column:
-    """``array<struct<name, tag>>`` without repeated names; a name that is ever plural stays plural."""
-
-    def names(xs: Column) -> Column:
-        texts = F.array_distinct(F.transform(xs, lambda x: x["text"]))
-
-        def named(t: Column) -> Column:
-            tags = F.transform(F.filter(xs, lambda x: x["text"] == t), lambda x: x["tag"])
-            return F.struct(t.alias("name"), F.array_max(tags).alias("tag"))
-
-        return F.transform(texts, named)
-
-    return let(found, names)
-
-
-_VERBS = {"association": ASSOCIATION_VERBS, "aggregation": AGGREGATION_VERBS, "composition": COMPOSITION_VERBS}
-
-
-def _relation(rule: str, source: Column, label: Column, target: Column) -> Column:
-    return F.struct(
-        F.lit(rule).alias("rule"),
-        capitalize(source["name"]).alias("source"),
-        label.cast("string").alias("label"),
-        capitalize(target["name"]).alias("target"),
-        plural_cardinality(source["tag"]).alias("source_card"),
-        plural_cardinality(target["tag"]).alias("target_card"),
-    )
-
-
-def _verb_rule(tree: _Tree, rule: str) -> Column:
-    """Subjects of each listed verb with its objects, and with those of its conjoined listed verbs.
-
-    Subjects, direct objects and objects of accepted prepositions come with
-    their conjuncts. Composition runs from object to subject.
-    """
-    listed = _VERBS[rule]
-    allowed = F.create_map(*[F.lit(x) for pair in AGGREGATION_PREPOSITIONS.items() for x in pair])
-
-    def is_listed(t: Column) -> Column:
-        return (t["pos"] == "VERB") & t["lemma"].isin(*listed)
-
-    def preps(verb: Column) -> Column:
-        if rule == "association":
-            return tree.preps(verb["i"])
-        if rule == "aggregation":
-            return F.filter(tree.preps(verb["i"]), lambda p: F.coalesce(p["name_lower"] == F.try_element_at(allowed, verb["lemma"]), F.lit(False)))
-        return F.filter(tree.preps(verb["i"]), lambda p: F.lit(False))
-
-    def objects(verb: Column) -> Column:
-        direct = tree.with_conjuncts(tree.classes(verb["i"], "dobj"))
-        indirect = F.flatten(F.transform(preps(verb), lambda p: tree.with_conjuncts(tree.classes(p["i"], "pobj"))))
-        return _distinct_names(F.concat(direct, indirect))
-
-    def label(verb: Column) -> Column:
-        last = F.try_element_at(preps(verb), F.lit(-1))
-        if rule == "association":
-            return F.concat_ws(" ", verb["text"], last["text"])
-        return F.concat_ws(" ", verb["lemma"], last["name_lower"])
-
-    def relations(verb: Column) -> Column:
-        subjects = _distinct_names(tree.with_conjuncts(tree.classes(verb["i"], "nsubj")))
-        acting = F.concat(F.array(verb), F.filter(tree.kids(verb["i"], "conj"), is_listed))
-
-        def of_verb(act: Column, subject: Column, text: Column) -> Column:
-            pair = (lambda o: _relation(rule, o, text, subject)) if rule == "composition" else (
-                lambda o: _relation(rule, subject, text, o))
-            return F.transform(objects(act), pair)
-
-        return let(subjects, lambda ss: F.when(F.size(ss) > 0, F.flatten(F.transform(
-            acting, lambda act: let(label(act), lambda text: F.flatten(F.transform(ss, lambda s: of_verb(act, s, text))))
-        ))).otherwise(F.array().cast(_RELATIONS)))
-
-    verbs = F.transform(F.filter(tree.nodes, lambda n: is_listed(n["own"])), lambda n: n["own"])
-    return F.flatten(F.transform(verbs, relations))
-
-
-def _include_rule(tree: _Tree) -> Column:
-    """``X includes Y``: first subject, direct objects with conjuncts, never itself; runs object to subject."""
-
-    def relations(verb: Column) -> Column:
-        first = F.try_element_at(tree.classes(verb["i"], "nsubj"), F.lit(1))
-        subject = F.struct(first["text"].alias("name"), first["tag"].alias("tag"))
-        objects = _distinct_names(tree.with_conjuncts(tree.classes(verb["i"], "dobj")))
-        return let(
-            subject,
-            lambda s: F.transform(
-                F.filter(objects, lambda o: F.coalesce(o["name"] != s["name"], F.lit(False))),
-                lambda o: _relation("include", o, F.lit("include"), s),
-            ),
-        )
-
-    verbs = F.filter(tree.nodes, lambda n: (n["own"]["pos"] == "VERB") & (n["own"]["lemma"] == "include"))
-    return F.flatten(F.transform(verbs, lambda n: relations(n["own"])))
-
-
-def _generalization_rule(tree: _Tree) -> Column:
-    """``A is a B`` by the first copula; ``A maybe B`` in a sentence without one.
-
-    An auxiliary *can* or a child *maybe* turns the direction round.
-    """
-
-    def usable(t: Column) -> Column:
-        return tree.is_class(t) & ~t["name_lower"].isin(*GENERALIZATION_RESERVED)
-
-    def first(found: Column, at: int = 1) -> Column:
-        return F.try_element_at(F.filter(found, usable), F.lit(at))["text"]
-
-    def linked(subject: Column, obj: Column, turned: Column) -> Column:
-        s, o = capitalize(subject), capitalize(obj)
-        none = F.lit(None).cast("string")
-        relation = F.struct(
-            F.lit("generalization").alias("rule"), F.when(turned, o).otherwise(s).alias("source"), none.alias("label"),
-            F.when(turned, s).otherwise(o).alias("target"), none.alias("source_card"), none.alias("target_card"),
-        )
-        return F.when(subject.isNotNull() & obj.isNotNull(), F.array(relation)).otherwise(F.array().cast(_RELATIONS))
-
-    def copular(be: Column) -> Column:
-        turned = F.exists(tree.all_kids(be["i"]), lambda k: (k["name_lower"] == "maybe") | ((k["lemma"] == "can") & (k["dep"] == "aux")))
-        of = F.filter(tree.kids(be["i"], "prep"), lambda p: p["name_lower"] == "of")
-        obj = F.coalesce(
-            first(tree.kids(be["i"], "attr", "acomp")), first(F.flatten(F.transform(of, lambda p: tree.kids(p["i"], "pobj"))))
-        )
-        return linked(first(tree.kids(be["i"], "nsubj")), obj, turned)
-
-    def around(cue: Column) -> Column:
-        own = F.transform(tree.nodes, lambda n: n["own"])
-        return let(own, lambda ts: linked(
-            first(F.filter(ts, lambda t: t["i"] < cue["i"]), -1), first(F.filter(ts, lambda t: t["i"] > cue["i"])), F.lit(True)
-        ))
-
-    copula = F.try_element_at(F.filter(tree.nodes, lambda n: n["own"]["lemma"] == "be"), F.lit(1))["own"]
-    cue = F.try_element_at(F.filter(tree.nodes, lambda n: n["own"]["name_lower"] == "maybe"), F.lit(1))["own"]
-    return let(copula, lambda be: F.when(be.isNotNull(), copular(be)).otherwise(
-        let(cue, lambda c: F.when(c.isNotNull(), around(c)).otherwise(F.array().cast(_RELATIONS)))
-    ))
-
-
-_RELATIONS = (
-    "array<struct<rule:string,source:string,label:string,target:string,source_card:string,target_card:string>>"
-)
 RULES = ("association", "aggregation", "composition", "include", "generalization")
 
 
 def apply_rules(tokens: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
     """dataset, id, sent_i, rule, source, label, target, source_card, target_card of the chosen rules.
 
-    All rules read the same sentence trees, in one pass and without joins.
+    All rules read the same sentence trees, in one pass and without joins: tokens are packed and meet by record, and the rules
+    of ``ruletrees`` run on the trees of many records at once.
     """
-
-    def found(bound: Column) -> Column:
-        tree = _Tree(bound)
-        parts = []
-        for rule in rules:
-            if rule == "include":
-                parts.append(_include_rule(tree))
-            elif rule == "generalization":
-                parts.append(_generalization_rule(tree))
-            else:
-                parts.append(_verb_rule(tree, rule))
-        return F.concat(*[p.cast(_RELATIONS) for p in parts])
-
-    bound = F.struct("nodes", "words", F.transform("nodes", lambda n: n["at"]).alias("numbers"))
-    return sentence_trees(tokens).select(*SENTENCE, F.inline(let(bound, found)))
+    flags = F.when(_is_candidate(), CANDIDATE).otherwise(0) + F.when(_is_kid(), KID).otherwise(0)
+    rows = packed(tokens.withColumns({"name_lower": F.lower("text"), "flags": flags}), NUMBERS, WORDS, "tokens")
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*KEYS).schema.fields)
+    chosen = list(rules)
+
+    def ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, at = rows_until(batch.column("tokens")), 0
+            while at < batch.num_rows:
+                done = sizes[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(sizes, done + _RULED_AT_ONCE, "right")))
+                some = batch.slice(at, end - at)
+                record, columns = relations(some.column("tokens"), chosen)
+                yield pa.RecordBatch.from_arrays([*(some.column(c).take(pa.array(record)) for c in KEYS), *columns.values()], [*KEYS, *columns])
+                at = end
+
+    found = rows.mapInArrow(
+        ruled, f"{keys}, sent_i int, rule string, source string, label string, target string, source_card string, target_card string")
+    return found.withColumns({c: capitalize(c) for c in ("source", "target")})
 
 
 def extract_association(tokens: DataFrame) -> DataFrame:
@@ -399,17 +228,15 @@ def relations_to_diagram(records: DataFrame, tokens: DataFrame) -> DataFrame:
     Every linked name is declared as a class. A record without any relation
     gives an empty text and the error ``no_relations``.
     """
-    relations = extract_relations(tokens)
+    found = extract_relations(tokens)
     kinds = F.create_map(*[F.lit(x) for pair in _KIND.items() for x in pair])
     order = F.create_map(*[F.lit(x) for i, rule in enumerate(_KIND) for x in (rule, i)])
-    rels = relations.select(
+    rels = found.select(
         *KEYS, "source", "target", F.element_at(kinds, F.col("rule")).alias("kind"), "source_card", "target_card",
         F.when(F.col("rule") == "association", F.col("label")).alias("label"),
         F.struct(F.element_at(order, F.col("rule")), "sent_i").alias("line_no"),
     )
-    names = rels.select(*KEYS, F.explode(F.array("source", "target")).alias("name")).distinct()
-    classes = names.select(*KEYS, "name", F.lit(False).alias("is_abstract"), F.lit(0).alias("line_no"))
-    text = render_diagram(classes, None, None, rels)
+    text = render_linked(rels)
     joined = records.select(*KEYS).join(text, KEYS, "left")
     missing = F.col("puml").isNull()
     return joined.select(
