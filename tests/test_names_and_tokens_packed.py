@@ -115,3 +115,23 @@ def test_named_queries_use_rows_made_at_once(spark, tmp_path):
     for name in ("token_features", "token_graph", "mean_root_distance_gapped", "class_attr_bindings", "kind_coverage", "split_identifier"):
         catalog.queries()[name](spark, d).collect()
         assert "MapInArrow" in catalog.queries()[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_digests_of_rows_that_travel_as_packs(spark):
+    rows = [("d", 1, "A", "z"), ("d", 1, "B", "y"), ("d", 1, "A", "é"), ("d", 2, "A", None), (None, 1, None, "b"), (None, 1, None, "a"), ("d", 1, "A", "B")]
+    df = spark.createDataFrame(rows, "dataset string, id long, name string, shown string").repartition(3)
+    found = packs.digests(df, "name", "shown")
+    assert not [x for x in exchanged_by(found) if "shown" in x or "name" in x]
+    listed = F.array_join(F.sort_array(F.collect_list("shown")), "|")
+    plain = df.groupBy("dataset", "id", "name").agg(F.count("*").alias("n"), F.md5(listed).alias("digest"))
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect())) and found.count() == 4
+
+
+def test_case_study_tokens_and_bindings_are_packed(spark, tmp_path):
+    d = stored(spark, tmp_path)
+    spark.createDataFrame([(4,), (4,), (9,), (None,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    only = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    shown = lambda df: sorted(map(repr, df.collect()))
+    assert shown(fixtures.token_rows(spark, d, only=only)) == shown(fixtures.tokens(spark, d, only)) == shown(fixtures.tokens(spark, d).where("id = 4"))
+    exchanged = exchanged_by(catalog.queries()["case_study_rows"](spark, d))
+    assert not [x for x in exchanged if "dataset" in x and ("part" in x or "name" in x or "token" in x)]
